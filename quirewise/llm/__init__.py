@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, quality, secrets, simhash, tokens
+from . import bpe, chat, licenses, media, mixing, quality, secrets, simhash, tokens, vectors
 
 _QUERIES = (
     mixing.op1_mixing,
+    chat.op2_chat,
     simhash.op3_simhash,
     media.op4_media,
+    licenses.op5_licenses,
     tokens.op6_tokens,
     secrets.op7_secrets,
+    vectors.op8_vectors,
     quality.op9_quality,
     bpe.op10_bpe,
 )
