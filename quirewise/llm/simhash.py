@@ -41,6 +41,8 @@ BLOCK_ROWS = 4096
 WARM_ROWS = BLOCK_ROWS // 33
 #: Crowded cells are broadcast up to this many (12 bytes each), else joined.
 BROADCAST_CELLS = 50_000
+#: Rows to drop are broadcast up to this many (17 bytes each), else joined by shuffles.
+BROADCAST_ROWS = 1_000_000
 #: Groups up to this size are compared by shifting the whole batch.
 SHIFT_ROWS = 48
 
@@ -287,16 +289,27 @@ def keep_one(docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFr
     columns = docs.columns
     hashed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
     marked = cut(fingerprints(hashed, ["doc_id", "_row"], shingle))
-    classes = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")).alias("first"))
-    classes = cut(classes)
-    rooted = classes.join(link_fingerprints(classes.select("fp"), max_distance), "fp", "left")
-    firsts = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = cut(firsts.select(F.col("first._row").alias("_row"), F.col("first.doc_id").alias("_id")).distinct())
-    same = (hashed._row == kept._row) & hashed.doc_id.eqNullSafe(kept._id)
-    found = hashed.join(kept, same, "left_semi")
-    times = marked.groupBy("doc_id", "_row").agg(F.count("*").alias("n")).where("n > 1").select("_row").distinct()
-    repeated = found.join(times, "_row", "left_semi").dropDuplicates(["doc_id", "_row"])
-    return found.join(times, "_row", "left_anti").unionByName(repeated).select(*[F.col(f"`{c}`") for c in columns])
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
+    classes = cut(marked.groupBy("fp").agg(F.min(order).alias("first")))
+    rooted = classes.join(link_fingerprints(classes.select("fp"), max_distance), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    best = rooted.select("fp", "root").join(firsts, "root").select("fp", "best")
+    rows = marked.groupBy("fp", "doc_id", "_row").agg(F.count("*").alias("times")).join(best, "fp")
+    stays = order == F.col("best")
+    # What leaves the plain path: other rows of a group, and the kept row where it is repeated.
+    out = cut(rows.where(~stays | (F.col("times") > 1)).select("doc_id", "_row", stays.alias("stays")))
+    counts = out.agg(F.count("*").alias("n"), F.count_if("stays").alias("repeated")).first()
+
+    def matching(side: DataFrame, n: int, how: str) -> DataFrame:
+        small = F.broadcast(side) if n <= BROADCAST_ROWS else side
+        return hashed.join(small, (hashed._row == side._row) & hashed.doc_id.eqNullSafe(side.doc_id), how)
+
+    kept = matching(out, counts.n, "left_anti")
+    if counts.repeated:
+        kept = kept.unionByName(matching(out.where("stays"), counts.repeated, "left_semi").dropDuplicates(["doc_id", "_row"]))
+    return kept.select(*[F.col(f"`{c}`") for c in columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
