@@ -12,6 +12,12 @@ Equal fingerprints are merged first, each cell hands on a spanning forest of its
 links and not the links themselves, and crowded cells are split into pairs of
 blocks, so no task holds an unbounded group.
 
+``near_duplicates`` takes one word of 64 bits from word shingles.  ``keep_one``,
+for dropping copies, takes two words of 64 bits from a text's different words:
+documents of five-word similarity 0.8 differ in a tenth of a shingle
+fingerprint's bits and more, but in few of these, and twice the bits tell them
+better from others.
+
 Rows: a null or wordless text has fingerprint zero; a null ``doc_id`` gets its
 row but never names a component; repeated rows each get theirs; an empty table
 gives an empty result; other columns of the input are ignored.
@@ -20,12 +26,12 @@ gives an empty result; other columns of the input are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, cut, map_batches, read, record_batch
@@ -41,6 +47,8 @@ BLOCK_ROWS = 4096
 WARM_ROWS = BLOCK_ROWS // 33
 #: Crowded cells are broadcast up to this many (12 bytes each), else joined.
 BROADCAST_CELLS = 50_000
+#: Differing bits of 128 up to which documents count as copies.
+COPY_BITS = 14
 #: Rows to drop are broadcast up to this many (17 bytes each), else joined by shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Groups up to this size are compared by shifting the whole batch.
@@ -71,18 +79,31 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, key: list[str], shingle: int = 4) -> DataFrame:
-    """``key`` columns of every document and its fingerprint ``fp`` (signed long)."""
+def word_fingerprint(text: bytes) -> tuple[int, int]:
+    """Two words of majority bits over a text's different words."""
+    words = set(WORD.findall(text.translate(ASCII_LOWER)))
+    if not words:
+        return 0, 0
+    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
+    counts, step = np.zeros(128, np.int64), 1 << 15
+    for at in range(0, len(hashes), step):
+        counts += np.unpackbits(hashes[at : at + step], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    bits = (2 * counts > len(hashes)).astype(np.uint8)
+    low, high = np.packbits(bits, bitorder="little").view("<u8")
+    return int(low), int(high)
+
+
+def fingerprints(docs: DataFrame, key: list[str], of: Callable[[bytes], tuple[int, ...]], words: int = 1) -> DataFrame:
+    """``key`` columns of every document and its fingerprint's ``words`` (signed longs ``fp0``, ...)."""
     fields = [docs.schema[k] for k in key]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["fp bigint"])
+    names = [f"fp{i}" for i in range(words)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} bigint" for n in names])
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.array(
-            [fingerprint((t or "").encode("utf-8", "surrogatepass"), shingle) for t in batch.column("_text").to_pylist()],
-            dtype=np.uint64,
-        )
-        columns = [batch.column(f"_k{i}") for i in range(len(key))]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64))], names=[*key, "fp"])
+        texts = batch.column("_text").to_pylist()
+        found = np.array([of((t or "").encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+        columns = [batch.column(f"_k{i}") for i in range(len(key))] + [pa.array(found[:, i]) for i in range(words)]
+        return pa.RecordBatch.from_arrays(columns, names=[*key, *names])
 
     inputs = docs.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key)], F.col("text").alias("_text"))
     return map_batches(inputs, per_batch, schema)
@@ -94,20 +115,20 @@ def embed(fps: np.ndarray) -> np.ndarray:
     return fps - ((fps >> np.uint64(1)) & np.uint64(0x5555555555555555))
 
 
-def parts(max_distance: int) -> list[tuple[int, int]]:
-    """Ranges of segments such that a pair is within distance 2 in one of them."""
-    n = max(2, max_distance // 3 + 1)
+def parts(max_distance: int, words: int = 1) -> list[tuple[int, int, int]]:
+    """(word, first segment, last + 1) such that a pair is within distance 2 in one of them."""
+    n = max(2, -(-(max_distance // 3 + 1) // words))
     edges = [round(i * SEGMENTS / n) for i in range(n + 1)]
-    return list(zip(edges, edges[1:], strict=False))
+    return [(word, a, b) for word in range(words) for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def cells_of(fps: np.ndarray, max_distance: int, reach: bool) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(fps: list[np.ndarray], max_distance: int, reach: bool) -> tuple[np.ndarray, np.ndarray]:
     """(cell, index) pairs: home cells and, with ``reach``, those one step away."""
     grid, index = [], []
-    everyone = np.arange(len(fps))
-    for part, (low, high) in enumerate(parts(max_distance)):
+    everyone = np.arange(len(fps[0]))
+    for part, (word, low, high) in enumerate(parts(max_distance, len(fps))):
         width = np.uint64(2 * (high - low))
-        points = (embed(fps) >> np.uint64(2 * low)) & ((np.uint64(1) << width) - np.uint64(1))
+        points = (embed(fps[word]) >> np.uint64(2 * low)) & ((np.uint64(1) << width) - np.uint64(1))
         tag = np.uint64(part << 33)
         grid.append(points | tag)
         index.append(everyone)
@@ -120,22 +141,24 @@ def cells_of(fps: np.ndarray, max_distance: int, reach: bool) -> tuple[np.ndarra
 
 
 def _to_cells(fps: DataFrame, max_distance: int, reach: bool) -> DataFrame:
+    names = [c for c in fps.columns if re.fullmatch(r"fp\d", c)]
+
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = batch.column(0).to_numpy(zero_copy_only=False)
+        values = [column.to_numpy(zero_copy_only=False) for column in batch.columns]
         grid, index = cells_of(values, max_distance, reach)
-        return record_batch(cell=(grid, pa.int64()), fp=(values[index], pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array(grid), *[pa.array(v[index]) for v in values]], names=["cell", *names])
 
-    return map_batches(fps.select("fp"), per_batch, "cell bigint, fp bigint")
+    return map_batches(fps.select(*names), per_batch, ", ".join(f"{n} bigint" for n in ["cell", *names]))
 
 
-def _reached(cells: DataFrame, max_distance: int) -> DataFrame:
+def _reached(cells: DataFrame, max_distance: int, words: int) -> DataFrame:
     """Cells within one step of the given ones, each with the rows it may get."""
-    spans = parts(max_distance)
+    spans = parts(max_distance, words)
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         out, rows = [], []
         for cell, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            low, high = spans[cell >> 33]
+            _, low, high = spans[cell >> 33]
             near = [cell]
             for i in range(high - low):
                 count = (cell >> (2 * i)) & 3
@@ -164,9 +187,13 @@ def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
-def forest(cell: np.ndarray, fp: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links within the cells; rows are sorted by cell."""
-    bits = fp.view(np.uint64)
+def _bits_apart(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
+
+
+def forest(cell: np.ndarray, words: list[np.ndarray], max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links within the cells, as pairs of rows; rows are sorted by cell."""
+    words = [w.view(np.uint64) for w in words]
     bounds = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
     size = np.repeat(np.diff(bounds), np.diff(bounds))
     left, right = [], []
@@ -176,49 +203,65 @@ def forest(cell: np.ndarray, fp: np.ndarray, max_distance: int) -> tuple[np.ndar
         rows = rows[cell[rows] == cell[rows + shift]]
         if not len(rows):
             break
-        near = rows[np.bitwise_count(bits[rows] ^ bits[rows + shift]) <= max_distance]
+        near = rows[_bits_apart(words, rows, rows + shift) <= max_distance]
         left.append(near)
         right.append(near + shift)
     for start, end in zip(bounds, bounds[1:], strict=False):
         if end - start > SHIFT_ROWS:
             for at in range(start, end, 512):
-                stop = min(at + 512, end)
-                near = np.bitwise_count(bits[at:stop, None] ^ bits[None, at:end]) <= max_distance
+                mine = np.arange(at, min(at + 512, end))
+                near = _bits_apart(words, mine[:, None], np.arange(at, end)[None, :]) <= max_distance
                 i, j = np.nonzero(near)
                 left.append(at + i[i < j])
                 right.append(at + j[i < j])
     if not left:
-        return fp[:0], fp[:0]
+        return bounds[:0], bounds[:0]
     a, b = np.concatenate(left), np.concatenate(right)
     used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
     labels = min_labels(len(used), place[: len(a)], place[len(a) :])
     child = np.flatnonzero(labels != np.arange(len(used)))
-    return fp[used[child]], fp[used[labels[child]]]
+    return used[child], used[labels[child]]
+
+
+def _node(words: int) -> Column:
+    """The fingerprint as one orderable value: the number itself, or hex digits of several."""
+    if words == 1:
+        return F.col("fp0")
+    return F.concat(*[F.lpad(F.hex(f"fp{i}"), 16, "0") for i in range(words)])
 
 
 def _forests(cells: DataFrame, max_distance: int) -> DataFrame:
     """Spanning links of every cell; ``cells`` is dealt and sorted by cell."""
 
+    n = len(cells.columns) - 1
+    kind = pa.int64() if n == 1 else pa.string()
+
+    def names(words: list[np.ndarray], rows: np.ndarray) -> pa.Array:
+        if n == 1:
+            return pa.array(words[0][rows], kind)
+        both = zip(*[w.view(np.uint64)[rows].tolist() for w in words], strict=True)
+        return pa.array(["".join(f"{x:016X}" for x in item) for item in both], kind)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_cell, held_fp = np.empty(0, np.int64), np.empty(0, np.int64)
+        held = [np.empty(0, np.int64)] * (n + 1)
 
-        def emit(cell: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = forest(cell, fp, max_distance) if len(cell) > 1 else (fp[:0], fp[:0])
+        def emit(cell: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = forest(cell, list(words), max_distance)
             if len(a):
-                yield record_batch(a=(a, pa.int64()), b=(b, pa.int64()))
+                yield pa.RecordBatch.from_arrays([names(words, a), names(words, b)], names=["a", "b"])
 
         for batch in batches:
-            cell = np.concatenate((held_cell, batch.column(0).to_numpy(zero_copy_only=False)))
-            fp = np.concatenate((held_fp, batch.column(1).to_numpy(zero_copy_only=False)))
-            if len(cell) < 1 << 16:
-                held_cell, held_fp = cell, fp
+            fresh = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
+            if len(held[0]) < 1 << 16:
                 continue
-            last = int(np.searchsorted(cell, cell[-1]))
-            yield from emit(cell[:last], fp[:last])
-            held_cell, held_fp = cell[last:], fp[last:]
-        yield from emit(held_cell, held_fp)
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            yield from emit(*[x[:last] for x in held])
+            held = [x[last:] for x in held]
+        yield from emit(*held)
 
-    return cells.mapInArrow(run, "a bigint, b bigint")
+    spark_kind = "bigint" if n == 1 else "string"
+    return cells.mapInArrow(run, f"a {spark_kind}, b {spark_kind}")
 
 
 def _split_crowded(cells: DataFrame, fps: DataFrame, max_distance: int, block_rows: int) -> DataFrame:
@@ -230,14 +273,14 @@ def _split_crowded(cells: DataFrame, fps: DataFrame, max_distance: int, block_ro
         .where(F.col("n") > max(1, block_rows // 33))
     )
     crowded = cut(
-        _reached(warm, max_distance)
+        _reached(warm, max_distance, len(cells.columns) - 1)
         .groupBy("cell")
         .agg(F.ceil((F.sum("n") + block_rows) / block_rows).cast("int").alias("blocks"))
         .where("blocks > 1")
     )
     if (n := crowded.count()) == 0:
         return cells
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64(*cells.columns[1:]), F.col("blocks")).cast("int")
     pair = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = (
         cells.join(F.broadcast(crowded) if n <= BROADCAST_CELLS else crowded, "cell", "left")
@@ -246,18 +289,29 @@ def _split_crowded(cells: DataFrame, fps: DataFrame, max_distance: int, block_ro
         .withColumn("other", pair)
     )
     low, high = F.least("own", "other").cast("bigint"), F.greatest("own", "other").cast("bigint")
-    return dealt.select((F.col("cell") + F.shiftleft(low * F.col("blocks") + high, 38)).alias("cell"), "fp")
+    return dealt.select((F.col("cell") + F.shiftleft(low * F.col("blocks") + high, 38)).alias("cell"), *cells.columns[1:])
 
 
 def link_fingerprints(fps: DataFrame, max_distance: int = 4, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``fp, root`` for every fingerprint linked, over links, to a different one.
+    """``node, root`` for every fingerprint linked, over links, to a different one.
 
-    ``fps`` holds distinct fingerprints.  ``root`` is the smallest linked one as
-    a signed number.
+    ``fps`` holds distinct fingerprints, in columns ``fp0`` and on.  ``root`` is
+    the smallest linked one.
     """
     cells = _split_crowded(_to_cells(fps, max_distance, reach=True), fps, max_distance, block_rows)
     links = _forests(cells.repartition("cell").sortWithinPartitions("cell"), max_distance)
-    return connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    return connected_components(links).withColumnRenamed("component", "root")
+
+
+def _rooted(marked: DataFrame, first: Column, max_distance: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The distinct fingerprints with their ``root`` and ``best``, the first of the rows under that root."""
+    words = [c for c in marked.columns if re.fullmatch(r"fp\d", c)]
+    classes = cut(marked.groupBy(*words).agg(F.min(first).alias("first")).withColumn("node", _node(len(words))))
+    rooted = classes.join(link_fingerprints(classes.select(*words), max_distance, block_rows), "node", "left").select(
+        *words, "first", F.coalesce("root", "node").alias("root")
+    )
+    named = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    return rooted.select(*words, "root").join(named, "root").select(*words, "best")
 
 
 def near_duplicates(
@@ -268,35 +322,27 @@ def near_duplicates(
     ``component_id`` is the smallest ``doc_id`` reachable over links of at most
     ``max_distance`` differing bits.
     """
-    marked = cut(fingerprints(docs, ["doc_id"], shingle))
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    rooted = classes.join(link_fingerprints(classes.select("fp"), max_distance, block_rows), "fp", "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
-    return marked.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    marked = cut(fingerprints(docs, ["doc_id"], lambda text: (fingerprint(text, shingle),)))
+    named = _rooted(marked, F.col("doc_id"), max_distance, block_rows)
+    return marked.join(named, "fp0").select(
+        "doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("best").alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, max_distance: int = COPY_BITS) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns.
 
+    Rows link where their word fingerprints differ in at most ``max_distance`` of 128 bits.
+
     The row of the smallest ``doc_id`` stays (nulls last); of several such rows
     the one of the smallest row hash, and one of rows that are equal throughout.
     """
     columns = docs.columns
     hashed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
-    marked = cut(fingerprints(hashed, ["doc_id", "_row"], shingle))
+    marked = cut(fingerprints(hashed, ["doc_id", "_row"], word_fingerprint, 2))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
-    classes = cut(marked.groupBy("fp").agg(F.min(order).alias("first")))
-    rooted = classes.join(link_fingerprints(classes.select("fp"), max_distance), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
-    firsts = rooted.groupBy("root").agg(F.min("first").alias("best"))
-    best = rooted.select("fp", "root").join(firsts, "root").select("fp", "best")
-    rows = marked.groupBy("fp", "doc_id", "_row").agg(F.count("*").alias("times")).join(best, "fp")
+    best = _rooted(marked, order, max_distance)
+    rows = marked.groupBy("fp0", "fp1", "doc_id", "_row").agg(F.count("*").alias("times")).join(best, ["fp0", "fp1"])
     stays = order == F.col("best")
     # What leaves the plain path: other rows of a group, and the kept row where it is repeated.
     out = cut(rows.where(~stays | (F.col("times") > 1)).select("doc_id", "_row", stays.alias("stays")))
