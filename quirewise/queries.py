@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import importlib
+import pkgutil
 
-from pyspark.sql import DataFrame, SparkSession
+from quirewise import plans
+from quirewise.registry import ORACLES, QUERIES
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
+
+for _module in sorted(m.name for m in pkgutil.iter_modules(plans.__path__)):
+    importlib.import_module(f"{plans.__name__}.{_module}")
