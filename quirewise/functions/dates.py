@@ -30,7 +30,7 @@ def parse_or_first(text: Column) -> Column:
 
 def normalise(month: Column, day: Column, year: Column) -> Column:
     """``MM/DD/YYYY`` of three texts of digits, or null beyond the ranges; no calendar check."""
-    m, d, y = (F.try_cast(x, "int") if hasattr(F, "try_cast") else x.try_cast("int") for x in (month, day, year))
+    m, d, y = (x.try_cast("int") for x in (month, day, year))
     full = F.when(y < 100, y + 2000).otherwise(y)
     return F.when(
         m.between(1, 12) & d.between(1, 31) & full.between(1900, 2100),
@@ -53,7 +53,6 @@ def house_date(token: Column) -> Column:
 def sort_key(text: Column) -> Column:
     """(unknown, year, month, day) for listings with unknown dates last; two-digit years are of this century."""
     part = F.split(F.trim(text), "/")
-    number = [F.expr("NULL").cast("int")] * 3
     number = [F.try_element_at(part, F.lit(i)).try_cast("int") for i in (1, 2, 3)]
     year = F.when(number[2] < 100, number[2] + 2000).otherwise(number[2])
     known = (F.size(part) == 3) & number[0].isNotNull() & number[1].isNotNull() & number[2].isNotNull()
@@ -67,7 +66,7 @@ def sort_key(text: Column) -> Column:
 
 def loose_pattern(date: Column) -> Column:
     """A pattern for an ``MM/DD/YYYY`` date with any separators and short years."""
-    m, d, y = (F.split(date, "/")[i] for i in range(3))
+    m, d, y = (F.get(F.split(date, "/"), F.lit(i)) for i in range(3))
     bare = [F.regexp_replace(x, "^0+(?=.)", "") for x in (m, d)]
     sep = F.lit(r"\s?[/.-]\s?")
     year = F.concat(F.lit("("), y, F.lit("|"), F.substring(y, -2, 2), F.lit(")"))
@@ -76,7 +75,7 @@ def loose_pattern(date: Column) -> Column:
 
 def month_pattern(date: Column) -> Column:
     """The loose pattern with any day."""
-    m, y = F.split(date, "/")[0], F.split(date, "/")[2]
+    m, y = (F.get(F.split(date, "/"), F.lit(i)) for i in (0, 2))
     sep = F.lit(r"\s?[/.-]\s?")
     year = F.concat(F.lit("("), y, F.lit("|"), F.substring(y, -2, 2), F.lit(")"))
     bare = F.regexp_replace(m, "^0+(?=.)", "")
@@ -85,17 +84,17 @@ def month_pattern(date: Column) -> Column:
 
 def spelled_pattern(date: Column) -> Column:
     """A pattern for ``March 11, 2026``, in any case."""
-    m, d, y = (F.split(date, "/")[i] for i in range(3))
+    m, d, y = (F.get(F.split(date, "/"), F.lit(i)) for i in range(3))
     names = F.array(*[F.lit(x) for x in MONTHS])
     return F.concat(
-        F.lit("(?i)"), F.element_at(names, m.cast("int")), F.lit(r"\s+0?"), F.regexp_replace(d, "^0+(?=.)", ""), F.lit(r",?\s+"), y
+        F.lit("(?i)"), F.get(names, m.try_cast("int") - 1), F.lit(r"\s+0?"), F.regexp_replace(d, "^0+(?=.)", ""), F.lit(r",?\s+"), y
     )
 
 
 def is_checkable(date: Column) -> Column:
     """Whether a date text is a full ``MM/DD/YYYY`` that can be looked for."""
     shape = date.rlike(r"^[0-9]+/[0-9]+/[0-9]{4}$")
-    part = [F.split(date, "/")[i].try_cast("int") for i in (0, 1)]
+    part = [F.get(F.split(date, "/"), F.lit(i)).try_cast("int") for i in (0, 1)]
     return F.coalesce(shape & part[0].between(1, 12) & part[1].between(1, 31), F.lit(False))
 
 
