@@ -22,18 +22,20 @@ import functools
 import hashlib
 import os
 import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, read, record_batch, text_or_empty
 
-#: Units a worker remembers; above this it forgets all and starts again.
-REMEMBERED = 300_000
+#: Units a worker remembers in each of two generations; the older is forgotten when the younger is full.
+REMEMBERED = 400_000
 #: Longest unit that is remembered.
 UNIT_CHARS = 200
 #: Units above this are encoded as a tree, from leaves of this many characters.
@@ -53,6 +55,29 @@ def vocabulary(path: str) -> str:
         return file.read()
 
 
+#: The pre-token pattern of byte-level vocabularies of this family.
+PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Remembered(dict):
+    """Values of units by a function, kept up to a bound."""
+
+    def __init__(self, value: Callable[[str], object]):
+        super().__init__()
+        self.value, self.older = value, {}
+
+    def __missing__(self, unit: str) -> object:
+        found = self.older.get(unit)
+        if found is None:
+            found = self.value(unit)
+        if len(unit) <= UNIT_CHARS:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = found
+        return found
+
+
 @functools.lru_cache(maxsize=4)
 def codec(content: str) -> Codec:
     """The worker's codec of a vocabulary."""
@@ -76,11 +101,14 @@ class Codec:
         self.tokenizer = Tokenizer.from_str(content)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.seen: dict[str, bytes] = {}
+        self.pattern = regex.compile(PRE_TOKEN)
+        self.units = Remembered(self._unit)
+        self.parts = Remembered(self.pre_token)
         self.added = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.specials = [t for t in self.added.values() if t]
         self.special = re.compile("(" + "|".join(map(re.escape, self.specials)) + ")") if self.specials else None
         alphabet = _byte_of_char()
+        self.alphabet = {b: c for c, b in alphabet.items()}
         size = 1 + max(self.tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
         self.pieces = [b""] * size
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -94,29 +122,32 @@ class Codec:
         return [np.array(x.ids, np.int32) for x in found]
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        """Ids of a text, as the library gives them."""
+        return np.frombuffer(b"".join(map(self.units.__getitem__, self._units(text))), np.int32)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of every text, as the library gives them."""
-        cut = [self._units(text) for text in texts]
-        new = set().union(*cut).difference(self.seen) if cut else set()
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
-            new = set().union(*cut)
-        short = [unit for unit in new if len(unit) <= LEAF_CHARS]
-        ids = {u: i.tobytes() for u, i in zip(short, self.direct(short), strict=True)}
-        ids |= {unit: self.tree(unit).tobytes() for unit in new if len(unit) > LEAF_CHARS}
-        self.seen |= {u: i for u, i in ids.items() if len(u) <= UNIT_CHARS}
-        return [
-            np.frombuffer(b"".join([self.seen[u] if u in self.seen else ids[u] for u in units]), np.int32)
-            for units in cut
-        ]
+        return [self.encode(text) for text in texts]
 
     def _units(self, text: str) -> list[str]:
         if any(special in text for special in self.specials) or ODD_SPACE.search(text):
             return [text]
         return UNIT.findall(text)
 
+    def _unit(self, unit: str) -> bytes:
+        """The ids of a unit, as bytes."""
+        if len(unit) > LEAF_CHARS:
+            return self.tree(unit).tobytes()
+        if any(special in unit for special in self.specials):
+            return self.direct([unit])[0].tobytes()
+        return b"".join(map(self.parts.__getitem__, self.pattern.findall(unit)))
+
+    def pre_token(self, piece: str) -> bytes:
+        """The ids of one pre-token, as bytes."""
+        if len(piece) > LEAF_CHARS:
+            return self.tree(piece).tobytes()
+        spelled = piece.encode().decode("latin-1").translate(self.alphabet)
+        return array("i", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
     def tree(self, text: str) -> np.ndarray:
         """Ids of one long text: both halves, joined.  Special strings are cut out first."""
         if len(text) <= LEAF_CHARS:

@@ -18,21 +18,16 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import LEAF_CHARS, ODD_SPACE, REMEMBERED, UNIT, UNIT_CHARS, codec, default_path, vocabulary
+from .bpe import ODD_SPACE, UNIT, Remembered, codec, default_path, vocabulary
 from .common import map_batches, read, record_batch, text_or_empty
 
-#: The pre-token pattern of byte-level vocabularies of this family.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 class Counter:
     """Counts tokens of texts for one vocabulary."""
 
     def __init__(self, content: str):
         self.codec = codec(content)
-        self.pattern = regex.compile(PRE_TOKEN)
         self.single = self._proved()
-        self.seen: dict[str, int] = {}
+        self.units = Remembered(self._unit)
 
     def _proved(self) -> frozenset[str]:
         """Vocabulary strings that are whole texts, one pre-token, and encode alone as one token."""
@@ -44,40 +39,19 @@ class Counter:
                 text = raw.decode("utf-8")
             except UnicodeDecodeError:
                 continue
-            if self.pattern.fullmatch(text):
+            if self.codec.pattern.fullmatch(text):
                 texts.append(text)
         ids = self.codec.direct(texts)
         return frozenset(t for t, x in zip(texts, ids, strict=True) if len(x) == 1)
 
-    def _merge(self, piece: str) -> int:
-        """Tokens of a pre-token that is not proved to be one."""
-        ids = self.codec.tree(piece) if len(piece) > LEAF_CHARS else self.codec.direct([piece])[0]
-        return len(ids)
+    def _unit(self, unit: str) -> int:
+        """Tokens of a unit: one for each proved pre-token, and those of the merged others."""
+        pieces = self.codec.pattern.findall(unit)
+        others = [p for p in pieces if p not in self.single]
+        return len(pieces) - len(others) + sum(len(self.codec.parts[p]) // 4 for p in others)
 
     def count_all(self, texts: list[str]) -> list[int]:
-        cut = [self._units(text) for text in texts]
-        new = set().union(*cut).difference(self.seen) if cut else set()
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
-            new = set().union(*cut)
-        counts, rest = {}, {}
-        for unit in new:
-            parts = self.pattern.findall(unit)
-            others = [p for p in parts if p not in self.single]
-            counts[unit] = len(parts) - len(others)
-            if others:
-                rest[unit] = others
-        pieces = list({p for others in rest.values() for p in others})
-        short = [p for p in pieces if len(p) <= LEAF_CHARS]
-        merged = {p: len(x) for p, x in zip(short, self.codec.direct(short), strict=True)}
-        merged |= {p: self._merge(p) for p in pieces if len(p) > LEAF_CHARS}
-        for unit, others in rest.items():
-            counts[unit] += sum(merged[p] for p in others)
-        self.seen |= {u: n for u, n in counts.items() if len(u) <= UNIT_CHARS}
-        return [
-            sum([self.seen[u] if u in self.seen else counts[u] for u in units]) + self._specials(text)
-            for units, text in zip(cut, texts, strict=True)
-        ]
+        return [sum(map(self.units.__getitem__, self._units(text))) + self._specials(text) for text in texts]
 
     def _specials(self, text: str) -> int:
         return sum(text.count(s) for s in self.codec.specials)
