@@ -187,6 +187,22 @@ def min_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return labels
 
 
+def spanning_forest(n: int, a: np.ndarray, b: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Positions of the links of the smallest ranks that connect what all links connect (Boruvka)."""
+    component, chosen, none = np.arange(n), np.empty(0, np.int64), len(a)
+    by_rank = np.argsort(rank)
+    while True:
+        from_a, from_b = component[a], component[b]
+        live = from_a != from_b
+        if not live.any():
+            return chosen
+        best = np.full(n, none)
+        np.minimum.at(best, from_a[live], rank[live])
+        np.minimum.at(best, from_b[live], rank[live])
+        chosen = np.union1d(chosen, by_rank[np.unique(best[best < none])])
+        component = min_labels(n, a[chosen], b[chosen])
+
+
 def _bits_apart(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
 
@@ -218,9 +234,13 @@ def forest(cell: np.ndarray, words: list[np.ndarray], max_distance: int) -> tupl
         return bounds[:0], bounds[:0]
     a, b = np.concatenate(left), np.concatenate(right)
     used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-    labels = min_labels(len(used), place[: len(a)], place[len(a) :])
-    child = np.flatnonzero(labels != np.arange(len(used)))
-    return used[child], used[labels[child]]
+    # The nearest pairs first, in an order that all cells share: then they name mostly the same links.
+    low = [np.minimum(w[a], w[b]) for w in words]
+    rank = np.empty(len(a), np.int64)
+    rank[np.lexsort([*[w[a] ^ w[b] for w in words], *low, _bits_apart(words, a, b)])] = np.arange(len(a))
+    tree = spanning_forest(len(used), place[: len(a)], place[len(a) :], rank)
+    swap = words[0][a[tree]] > words[0][b[tree]]
+    return np.where(swap, b[tree], a[tree]), np.where(swap, a[tree], b[tree])
 
 
 def _node(words: int) -> Column:
