@@ -2,8 +2,9 @@
 
 A text becomes its words: lower-case ASCII letters and digits and anything
 beyond ASCII, joined by one blank.  A rule is a label, a keyword and a regular
-expression over those words; it runs only on texts that hold its keyword.  Rules
-are ordered by priority: exact identifiers, named versions, grants, names, then
+expression over those words; it runs only on texts where words begin as its
+keyword does.
+Rules are ordered by priority: exact identifiers, named versions, grants, names, then
 general notices.  Of the detections those of higher priority stand first, and a
 detection within the interval of one that stands is suppressed.
 
@@ -44,7 +45,7 @@ NAMED = (
     ("eupl", "european", r"european union public licen[cs]e", "1 0|1 1|1 2"),
     ("cddl", "common development", r"common development and distribution licen[cs]e", "1 0|1 1"),
     ("cpl", "common public", r"common public licen[cs]e", "0 5|1 0"),
-    ("ipl", "ibm", r"ibm public licen[cs]e", "1 0"),
+    ("ipl", "ibm public", r"ibm public licen[cs]e", "1 0"),
     ("cpal", "attribution", r"common public attribution licen[cs]e", "1 0"),
     ("afl", "academic", r"academic free licen[cs]e", "1 1|1 2|2 0|2 1|3 0"),
     ("osl", "open software", r"open software licen[cs]e", "1 0|1 1|2 0|2 1|3 0"),
@@ -56,30 +57,33 @@ NAMED = (
     ("ofl", "open font", r"(?:sil )?open font licen[cs]e", "1 0|1 1"),
     ("lppl", "latex", r"latex project public licen[cs]e", "1 0|1 1|1 2|1 3a|1 3c"),
     ("psf", "python", r"python(?: software foundation)? licen[cs]e", "2|2 0"),
-    ("php", "php", r"php licen[cs]e", "3 0|3 01"),
+    ("php", "php licen", r"php licen[cs]e", "3 0|3 01"),
     ("zope", "zope", r"zope public licen[cs]e", "1 1|2 0|2 1"),
     ("openldap", "openldap", r"openldap public licen[cs]e", "2 0 1|2 8"),
     ("ms-pl", "microsoft", r"microsoft public licen[cs]e", ""),
     ("ms-rl", "microsoft", r"microsoft reciprocal licen[cs]e", ""),
     ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)? licen[cs]e", ""),
-    ("mit", "mit", r"(?:the )?mit licen[cs]e", ""),
-    ("isc", "isc", r"(?:the )?isc licen[cs]e", ""),
-    ("x11", "x11", r"x11 licen[cs]e", ""),
+    ("mit", "mit licen", r"(?:the )?mit licen[cs]e", ""),
+    ("isc", "isc licen", r"(?:the )?isc licen[cs]e", ""),
+    ("x11", "x11 licen", r"x11 licen[cs]e", ""),
     ("bsd-4-clause", "bsd", r"(?:4 clause bsd|bsd 4 clause|original bsd)(?: licen[cs]e)?", ""),
     ("bsd-3-clause", "bsd", r"(?:3 clause bsd|bsd 3 clause|new bsd|modified bsd)(?: licen[cs]e)?", ""),
-    ("bsd-2-clause", "bsd", r"(?:2 clause bsd|bsd 2 clause|simplified bsd|freebsd)(?: licen[cs]e)?", ""),
-    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[cs]e)?", ""),
+    ("bsd-2-clause", "bsd", r"(?:2 clause bsd|bsd 2 clause|simplified bsd)(?: licen[cs]e)?", ""),
+    ("bsd-2-clause", "freebsd", r"freebsd(?: documentation)? licen[cs]e", ""),
+    ("0bsd", "bsd", r"(?:zero clause bsd|bsd zero clause)(?: licen[cs]e)?", ""),
+    ("0bsd", "0bsd", r"0bsd", ""),
     ("bsd", "bsd", r"bsd(?: style)? licen[cs]e", ""),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[cs]e", ""),
     ("libpng", "libpng", r"libpng licen[cs]e", "2 0"),
     ("openssl", "openssl", r"openssl licen[cs]e", ""),
     ("postgresql", "postgresql", r"postgresql licen[cs]e", ""),
-    ("ruby", "ruby", r"ruby licen[cs]e", ""),
-    ("vim", "vim", r"vim licen[cs]e", ""),
-    ("curl", "curl", r"curl licen[cs]e", ""),
+    ("ruby", "ruby licen", r"ruby licen[cs]e", ""),
+    ("vim", "vim licen", r"vim licen[cs]e", ""),
+    ("curl", "curl licen", r"curl licen[cs]e", ""),
     ("sleepycat", "sleepycat", r"sleepycat licen[cs]e", ""),
     ("unlicense", "unlicense", r"(?:the )?unlicense", ""),
-    ("wtfpl", "wtfpl", r"wtfpl|do what the fuck you want to public licen[cs]e", "1|2"),
+    ("wtfpl", "wtfpl", r"wtfpl", "1|2"),
+    ("wtfpl", "do what the fuck", r"do what the fuck you want to public licen[cs]e", "2"),
     ("cecill", "cecill", r"cecill(?: free software licen[cs]e(?: agreement)?)?", "1 0|1 1|2 0|2 1|b|c"),
     ("upl", "universal permissive", r"universal permissive licen[cs]e", "1 0"),
     ("qpl", "q public", r"q public licen[cs]e", "1 0"),
@@ -90,7 +94,8 @@ NAMED = (
     ("ogl", "open government", r"open government licen[cs]e", "1 0|2 0|3 0"),
     ("etalab", "licence ouverte", r"licence ouverte", "1 0|2 0"),
     ("dl-de", "datenlizenz", r"datenlizenz deutschland", "2 0"),
-    ("openrail", "rail", r"(?:creativeml )?open ?rail(?: m)?(?: licen[cs]e)?", ""),
+    ("openrail", "openrail", r"openrail(?: m)?(?: licen[cs]e)?", ""),
+    ("openrail", "open rail", r"open rail(?: m)?(?: licen[cs]e)?", ""),
     ("llama", "llama", r"llama(?: \d)? community licen[cs]e", ""),
 )
 
@@ -179,7 +184,7 @@ def rules() -> tuple[Rule, ...]:
                 made.append((f"{label}-{_version(v)}{mark}", name, body))
     for label, short, full in COMMONS:
         for v in COMMONS_VERSIONS:
-            made.append((f"cc-{label}-{_version(v)}", "cc", rf"cc {short} {v}"))
+            made.append((f"cc-{label}-{_version(v)}", "cc by", rf"cc {short} {v}"))
             made.append((f"cc-{label}-{_version(v)}", "creative commons", rf"creative commons {full}(?: \S+){{0,4}} {v}"))
     for label, keyword, name, versions in NAMED:
         for v in filter(None, versions.split("|")):
@@ -189,7 +194,7 @@ def rules() -> tuple[Rule, ...]:
     for label, keyword, name, _ in NAMED:
         made.append((label, keyword, rf"(?:licen[cs]ed|released|distributed|available|published) under(?: the)?(?: terms of(?: the)?)? (?:{name})"))
     for label, short, full in COMMONS:
-        made.append((f"cc-{label}", "cc", rf"cc {short}"))
+        made.append((f"cc-{label}", "cc by", rf"cc {short}"))
         made.append((f"cc-{label}", "creative commons", rf"creative commons {full}"))
     for label, keyword, name, _ in NAMED:
         made.append((label, keyword, rf"(?:{name})"))
@@ -216,7 +221,8 @@ Detection = tuple[str, int, int]
 
 def detect(words: str) -> list[Detection]:
     """Standing detections of a normalised text: label, first word, word after the last."""
-    due = sorted(i for keyword, numbers in by_keyword() if keyword in words for i in numbers)
+    framed = f" {words}"
+    due = sorted(i for keyword, numbers in by_keyword() if f" {keyword}" in framed for i in numbers)
     found = []
     for i in due:
         rule = rules()[i]
