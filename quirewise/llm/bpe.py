@@ -115,6 +115,7 @@ class Codec:
             self.pieces[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         for i, token in self.added.items():
             self.pieces[i] = token.encode()
+        self.piece_of = np.array([*self.pieces, None], object)[:-1]
 
     def direct(self, texts: list[str]) -> list[np.ndarray]:
         """The library's ids, for texts of moderate length."""
@@ -193,7 +194,7 @@ class Codec:
         return bool(self.pieces[token].decode("utf-8", "ignore").strip())
 
     def bytes_of(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+        return b"".join(self.piece_of[np.asarray(ids, np.int64)].tolist())
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, special tokens included; broken UTF-8 becomes U+FFFD."""
@@ -206,6 +207,14 @@ def _ids_array(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32, copy=False)))
 
 
+def _id_rows(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a column of ids; a null row is an empty one."""
+    offsets = column.offsets.to_numpy()
+    flat = column.values.to_numpy(zero_copy_only=False)
+    valid = column.is_valid().to_pylist()
+    return [flat[a:b] if ok else flat[:0] for a, b, ok in zip(offsets, offsets[1:], valid, strict=False)]
+
+
 def _pieces(text: str, size: int, specials: list[str]) -> list[str]:
     """Consecutive pieces of about ``size``, cut at safe places where there are any.
 
@@ -271,7 +280,7 @@ def decode(rows: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") ->
     kind = rows.schema[key].dataType.simpleString()
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [codec(content.value).decode(x or ()) for x in batch.column(1).to_pylist()]
+        texts = [codec(content.value).decode(x) for x in _id_rows(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     return map_batches(rows.select(key, ids), per_batch, f"`{key}` {kind}, text string")
@@ -285,9 +294,9 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         names = _decimals(len(codec(content.value).pieces))
         sizes, spelled, decoded = [], [], []
-        for ids in batch.column(1).to_pylist():
+        for ids in _id_rows(batch.column(1)):
             sizes.append(len(ids))
-            spelled.append(hashlib.sha256(b",".join(map(names.__getitem__, ids))).hexdigest())
+            spelled.append(hashlib.sha256(b",".join(names[ids].tolist())).hexdigest())
             decoded.append(hashlib.sha256(codec(content.value).decode(ids).encode()).hexdigest())
         made = record_batch(n=(sizes, pa.int64()), a=(spelled, pa.string()), b=(decoded, pa.string()))
         return pa.RecordBatch.from_arrays(
@@ -302,8 +311,8 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
 
 
 @functools.lru_cache(maxsize=2)
-def _decimals(n: int) -> list[bytes]:
-    return [b"%d" % i for i in range(n)]
+def _decimals(n: int) -> np.ndarray:
+    return np.array([*(b"%d" % i for i in range(n)), None], object)[:-1]
 
 
 def default_path() -> str:
