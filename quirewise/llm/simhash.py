@@ -15,8 +15,8 @@ blocks, so no task holds an unbounded group.
 ``near_duplicates`` takes one word of 64 bits from word shingles.  ``keep_one``,
 for dropping copies, takes two words of 64 bits from a text's different words:
 documents of five-word similarity 0.8 differ in a tenth of a shingle
-fingerprint's bits and more, but in few of these, and twice the bits tell them
-better from others.
+fingerprint's bits and more, but in few of these.  There the bits only find
+candidates; the exact Jaccard similarity of the five-word shingles decides.
 
 Rows: a null or wordless text has fingerprint zero; a null ``doc_id`` gets its
 row but never names a component; repeated rows each get theirs; an empty table
@@ -47,8 +47,12 @@ BLOCK_ROWS = 4096
 WARM_ROWS = BLOCK_ROWS // 33
 #: Crowded cells are broadcast up to this many (12 bytes each), else joined.
 BROADCAST_CELLS = 50_000
-#: Differing bits of 128 up to which documents count as copies.
+#: Differing bits of 128 up to which documents are looked at as possible copies.
 COPY_BITS = 14
+#: Jaccard similarity of word shingles from which documents count as copies.
+COPY_JACCARD = 0.8
+#: Words of these shingles.
+SHINGLE_WORDS = 5
 #: Rows to drop are broadcast up to this many (17 bytes each), else joined by shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Groups up to this size are compared by shifting the whole batch.
@@ -349,20 +353,123 @@ def near_duplicates(
     )
 
 
-def keep_one(docs: DataFrame, max_distance: int = COPY_BITS) -> DataFrame:
+def shingle_hashes(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The different hashes of a text's word shingles, sorted; a shorter text is one shingle."""
+    words = WORD.findall(text.translate(ASCII_LOWER))
+    width = min(width, len(words))
+    if not width:
+        return np.empty(0, np.int64)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    total = np.zeros(len(words) - width + 1, np.uint64)
+    for i in range(width):
+        total += hashes[i : i + len(total)] * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64))
+    return np.unique(total.view(np.int64))
+
+
+def copy_fingerprint(text: bytes) -> tuple[int, int, int, int]:
+    """The word fingerprint, and two words of digest that name the sequence of words."""
+    joined = b" ".join(WORD.findall(text.translate(ASCII_LOWER)))
+    digest = xxhash.xxh3_128_intdigest(joined)
+    return *word_fingerprint(text), digest >> 64, digest & ((1 << 64) - 1)
+
+
+def _shingle_sets(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` of every document and its ``shingles``."""
+    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + ", shingles array<bigint>"
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(len(keys)).to_pylist()
+        found = pa.array([shingle_hashes((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], found], names=[*keys, "shingles"])
+
+    return map_batches(docs.select(*keys, "_text"), per_batch, schema)
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a, b`` of nodes whose shingle sets have at least that Jaccard similarity."""
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    rated = pairs.join(x, "a").join(y, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
+    return rated.where(F.col("c") >= least * (F.col("s") - F.col("c")) - 1e-9).where("s > 0").select("a", "b")
+
+
+def _prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` in one candidate group, not yet connected, that may be similar enough.
+
+    Sets that are share one of the first of their sorted hashes, so only those
+    prefixes are joined; what is connected already needs no comparison.
+    """
+    named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+    open_groups = named.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("root")
+    n = F.size("shingles")
+    prefix = F.slice("shingles", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
+    items = cut(named.join(open_groups, "root").select("root", "node", "label", n.alias("n"), F.explode(prefix).alias("shingle")))
+    mixed = items.groupBy("root", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    left = cut(items.join(mixed.select("root", "shingle"), ["root", "shingle"]))
+    right = left.select("root", "shingle", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
+    sized = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
+    both = left.join(right, ["root", "shingle"]).where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & sized)
+    return both.select(F.col("node").alias("a"), "b").distinct()
+
+
+def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: float) -> DataFrame:
+    """``node, component`` of the classes of equal texts that have a copy of at least that similarity.
+
+    The fingerprints' links only name the groups in which copies are looked for.
+    First these links are verified; then the pairs of a group that they leave
+    unconnected.
+    """
+    fps = classes.select("fp0", "fp1").distinct()
+    cells = _split_crowded(_to_cells(fps, max_distance, reach=True), fps, max_distance, BLOCK_ROWS)
+    links = cut(_forests(cells.repartition("cell").sortWithinPartitions("cell"), max_distance).distinct())
+    roots = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    named = classes.withColumn("fp", _node(2))
+    heads = named.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n"))
+    grouped = (
+        named.join(heads, "fp")
+        .join(roots, "fp", "left")
+        .where("root IS NOT NULL OR n > 1")
+        .select("node", "head", "fp", F.coalesce("root", "fp").alias("root"), F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_at"))
+    )
+    grouped = cut(grouped)
+    small = F.broadcast(grouped) if grouped.count() <= BROADCAST_ROWS // 4 else grouped
+    texts = hashed.select("doc_id", "_row", F.col("text").alias("_text"))
+    texts = texts.join(small, (texts._row == small._at) & texts.doc_id.eqNullSafe(small._id))
+    sets = cut(_shingle_sets(texts, ["node", "root"]).dropDuplicates(["node"]))
+    head = grouped.select("fp", "head").distinct()
+    near = links.join(head.select(F.col("fp").alias("a"), F.col("head").alias("u")), "a").join(
+        head.select(F.col("fp").alias("b"), F.col("head").alias("v")), "b"
+    )
+    first = near.select(F.col("u").alias("a"), F.col("v").alias("b")).union(grouped.where("node <> head").select("head", "node"))
+    good = cut(_verified(first, sets, least))
+    more = _verified(_prefix_pairs(sets, connected_components(good), least), sets, least)
+    return connected_components(good.union(more))
+
+
+def keep_one(docs: DataFrame, max_distance: int = COPY_BITS, least: float = COPY_JACCARD) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns.
 
-    Rows link where their word fingerprints differ in at most ``max_distance`` of 128 bits.
+    Rows link where the Jaccard similarity of their five-word shingles is at
+    least ``least``.  They are looked for among rows that links of word
+    fingerprints, of at most ``max_distance`` of 128 differing bits, connect.
 
     The row of the smallest ``doc_id`` stays (nulls last); of several such rows
     the one of the smallest row hash, and one of rows that are equal throughout.
     """
     columns = docs.columns
     hashed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
-    marked = cut(fingerprints(hashed, ["doc_id", "_row"], word_fingerprint, 2))
+    marked = cut(fingerprints(hashed, ["doc_id", "_row"], copy_fingerprint, 4))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
-    best = _rooted(marked, order, max_distance)
-    rows = marked.groupBy("fp0", "fp1", "doc_id", "_row").agg(F.count("*").alias("times")).join(best, ["fp0", "fp1"])
+    words = ["fp0", "fp1", "fp2", "fp3"]
+    name = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in words[2:]])
+    classes = cut(marked.groupBy(*words).agg(F.min(order).alias("first")).withColumn("node", name))
+    rooted = classes.join(_copies(classes, hashed, max_distance, least), "node", "left").select(
+        *words, "first", F.coalesce("component", "node").alias("root")
+    )
+    named = rooted.groupBy("root").agg(F.min("first").alias("best"))
+    best = rooted.select(*words, "root").join(named, "root").select(*words, "best")
+    rows = marked.groupBy(*words, "doc_id", "_row").agg(F.count("*").alias("times")).join(best, words)
     stays = order == F.col("best")
     # What leaves the plain path: other rows of a group, and the kept row where it is repeated.
     out = cut(rows.where(~stays | (F.col("times") > 1)).select("doc_id", "_row", stays.alias("stays")))

@@ -127,6 +127,33 @@ def test_keep_one(spark, docs, rows):
     assert simhash.keep_one(empty(docs)).count() == 0
 
 
+def test_keep_one_verifies_jaccard(spark):
+    """Words in another order, chains and small edits, against brute-force five-word Jaccard."""
+    rng = random.Random(11)
+    texts = []
+    for n in (60, 200, 200, 400):
+        base = words(rng, n).split()
+        texts.append(" ".join(base))
+        texts.append(" ".join(rng.sample(base, n)))
+        now = list(base)
+        for _ in range(12):  # each step is a copy of the one before; far steps are not copies
+            now[rng.randrange(n)] = "edit" + str(rng.randrange(10**6))
+            texts.append(" ".join(now))
+        shuffled = rng.sample(base, n)
+        texts += [" ".join(shuffled), " ".join(shuffled).upper(), "  ".join(shuffled[:-1] + ["tail"])]
+    rng.shuffle(texts)
+
+    def shingles(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    sets = [shingles(t) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    expected = sorted(set(components(len(sets), links)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == expected
+
+
 def test_mixing(spark, docs):
     got = mixing.probabilities(docs, share=0.5).collect()
     assert len(got) == docs.count()
