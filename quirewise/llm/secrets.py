@@ -7,7 +7,9 @@ are merged where their outgoing frequencies and those of all their successors
 differ by no more than a Hoeffding bound allows.  Every long run of credential
 characters in a text is then scored by how much likelier a credential automaton
 makes it than the automaton of ordinary long words; a run is a secret where the
-gain per character is high enough.
+gain per character is high enough.  Of a run that the base rules cover in part,
+each other part is scored.  A part that is not a secret as a whole, or is longer
+than ``DEPTH``, is scored by its windows from every character on.
 
 The automata are fitted on at most ``per_kind`` different labelled strings of
 each kind (those of the smallest hash); scanning covers all texts in full.
@@ -25,7 +27,9 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +51,12 @@ RUN = 16
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=.-]{{{RUN},}}")
 #: Labelled strings of a kind that an automaton is fitted on, at most.
 PER_KIND = 400
-#: Characters of a string that are learnt and scored; automata are cyclic, and more adds nothing.
+#: Characters of a labelled string that are learnt, and of the longest window that is scored.
 DEPTH = 64
+#: Nats that a window may lose at first.
+SLACK = 3.0
+#: Windows that are scored at once.
+STARTS = 4096
 #: Confidence of the merge test.
 ALPHA = 0.05
 #: Gain per character, in nats, from which a run is a secret.
@@ -64,7 +72,8 @@ _SYMBOL = str.maketrans(
 )
 #: Characters that one class stands for: a class's probability is shared among them.
 _SHARE = {"0": math.log(10), "a": math.log(6), "g": math.log(20), "A": math.log(26)}
-SYMBOLS = len("0agA+/_=.-") + 1
+_ORDER = "0agA+/_=.-"
+SYMBOLS = len(_ORDER) + 1
 
 
 @dataclass
@@ -87,13 +96,24 @@ class Automaton:
     def log_likelihood(self, text: str) -> float:
         """Log-probability of a string, a step never seen having a small share."""
         state, total = 0, 0.0
-        for symbol in text[:DEPTH].translate(_SYMBOL):
+        for symbol in text.translate(_SYMBOL):
             seen = self.counts[state].get(symbol, 0) if state is not None else 0
             all_seen = self.total(state) if state is not None else 0
             total += math.log((seen + 0.05) / (all_seen + 0.05 * SYMBOLS)) - _SHARE.get(symbol, 0.0)
             state = self.moves[state].get(symbol) if state is not None else None
         return total
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """Next state and log-probability by state and symbol; a step never seen leads to the first state."""
+        moves = np.zeros((len(self.ends), len(_ORDER)), np.int64)
+        logs = np.empty(moves.shape)
+        for state, seen in enumerate(self.counts):
+            for i, symbol in enumerate(_ORDER):
+                chance = (seen.get(symbol, 0) + 0.05) / (self.total(state) + 0.05 * SYMBOLS)
+                logs[state, i] = math.log(chance) - _SHARE.get(symbol, 0.0)
+                moves[state, i] = self.moves[state].get(symbol, 0)
+        return moves, logs
+
 
 def prefix_tree(strings: list[str]) -> Automaton:
     """The prefix tree of the strings' character classes, with counts."""
@@ -191,7 +211,48 @@ class Formats:
         if not self.credentials or self.ordinary is None:
             return -math.inf
         best = max(a.log_likelihood(text) for a in self.credentials.values())
-        return (best - self.ordinary.log_likelihood(text)) / min(len(text), DEPTH)
+        return (best - self.ordinary.log_likelihood(text)) / len(text)
+
+    @cached_property
+    def tables(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
+        return [a.tables() for a in self.credentials.values()], self.ordinary.tables()
+
+    def secrets(self, text: str, gain: float) -> list[tuple[int, int]]:
+        """Secret parts of a candidate: all of it, or its windows of ``RUN`` to ``DEPTH`` characters that gain enough.
+
+        A window ends where its gain beyond ``gain`` a character is largest, and
+        counts where that is positive and never fell below ``-SLACK`` before.
+        """
+        if not self.credentials or self.ordinary is None or len(text) < RUN:
+            return []
+        if len(text) <= DEPTH and self.gain(text) >= gain:
+            return [(0, len(text))]
+        credentials, ordinary = self.tables
+        codes = np.array([_ORDER.index(c) for c in text.translate(_SYMBOL)])
+        taken = np.zeros(len(text), bool)
+        for low in range(0, len(text) - RUN + 1, STARTS):
+            starts = np.arange(low, min(low + STARTS, len(text) - RUN + 1))
+            depth = min(DEPTH, len(text) - low)
+            at = starts + np.arange(depth)[:, None]
+            symbols = codes[np.minimum(at, len(text) - 1)]
+
+            def likelihood(moves: np.ndarray, logs: np.ndarray, symbols: np.ndarray = symbols) -> np.ndarray:
+                state, out = np.zeros(symbols.shape[1], np.int64), np.empty(symbols.shape)
+                for t, row in enumerate(symbols):
+                    out[t] = logs[state, row]
+                    state = moves[state, row]
+                return out.cumsum(axis=0)
+
+            best = np.max([likelihood(*x) for x in credentials], axis=0) - likelihood(*ordinary)
+            best -= gain * np.arange(1, depth + 1)[:, None]
+            least = np.minimum.accumulate(best, axis=0)
+            best[at >= len(text)] = -math.inf
+            best[: RUN - 1] = -math.inf
+            ends = best.argmax(axis=0)
+            for i in np.flatnonzero((best.max(axis=0) >= 0) & (least[ends, np.arange(len(starts))] >= -SLACK)):
+                taken[starts[i] : starts[i] + ends[i] + 1] = True
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], taken.view(np.int8), [0]))))
+        return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
 
 Span = tuple[str, int, int]
@@ -211,18 +272,26 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[Span, str]]:
     return sorted(found, key=lambda x: (x[0][1], KINDS.index(x[0][0])))
 
 
+def _uncovered(start: int, end: int, spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of a run that no span covers; spans are sorted by start."""
+    for _, s, e in spans:
+        if s < end and start < e:
+            if start < s:
+                yield start, s
+            start = max(start, e)
+    if start < end:
+        yield start, end
+
+
 def spans_of(text: str, formats: Formats | None, gain: float = GAIN) -> tuple[list[Span], list[Span]]:
     """Base spans and all spans of a text, each by start and kind."""
     raw = text.encode("utf-8", "surrogatepass")
     base = [span for span, _ in base_spans(text, raw)]
     more: list[Span] = []
     if formats and formats.credentials and b"h" * RUN in raw.translate(_BODY):
-        covered = [(s, e) for _, s, e in base]
         for m in CANDIDATE.finditer(text):
-            if any(s < m.end() and m.start() < e for s, e in covered):
-                continue
-            if formats.gain(m[0]) >= gain:
-                more.append(("format", m.start(), m.end()))
+            for start, end in _uncovered(m.start(), m.end(), base):
+                more += [("format", start + a, start + b) for a, b in formats.secrets(text[start:end], gain)]
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 

@@ -154,6 +154,31 @@ def test_keep_one_verifies_jaccard(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == expected
 
 
+def test_whole_runs_are_scored():
+    """Credentials behind long paths, before long tails and beside base spans are all found, and only they."""
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    word = lambda: "".join(rng.choices("aeinorst", k=rng.randint(3, 8)))
+    path = lambda n: "/".join(word() for _ in range(n)) + "/"
+    formats = secrets.Formats(
+        {"assign": secrets.infer([make(32) for _ in range(300)])}, secrets.infer([path(rng.randint(4, 9)) for _ in range(300)])
+    )
+    found = lambda text: [x for x in secrets.spans_of(text, formats)[1] if x[0] == "format"]
+    for before in ("", path(4), path(20), path(60)):
+        for after in ("", "/" + path(30)):
+            key = make(40)
+            at = len(before)
+            ((_, start, end),) = found(f"see {before}{key}{after} here")
+            assert start - 4 <= at + 4 <= start + 8 and abs(end - 4 - at - 40) <= 12, (before, key, after)
+            assert key not in secrets.redact_text(before + key + after, found(before + key + after))
+    assert not found(path(40)) and not found(path(3))
+    long = make(1000)
+    assert sum(e - s for _, s, e in found(long)) > 950
+    beside = "0123456789abcdef" + "-" + make(40)
+    base, spans = secrets.spans_of(beside, formats)
+    assert [k for k, _, _ in base] == ["hex"] and [k for k, _, _ in spans] == ["hex", "format"]
+
+
 def test_mixing(spark, docs):
     got = mixing.probabilities(docs, share=0.5).collect()
     assert len(got) == docs.count()
