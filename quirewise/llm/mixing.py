@@ -7,9 +7,9 @@ raked weight over its tokens, at most one, scaled such that the expected tokens
 of the sample are the wanted share of the corpus.
 
 Without explicit targets a value's target is its corpus share to the power
-``temperature``, which lifts rare values.  A marginal keeps at most
-``MAX_VALUES`` values; beyond that its values are folded into as many hash
-buckets, so the cell table has a fixed bound and is small enough to broadcast.
+``temperature``, which lifts rare values.  Every value keeps its own target, of
+however many there are: up to ``LOCAL_CELLS`` cells are raked in the driver and
+broadcast, more of them as a Spark table that is joined.
 
 Rows: null source, language or text count as empty ones; a text of no bytes
 counts one token; a document's draw depends on its ``doc_id`` (a null one: on
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import cut, read, text_or_empty
 
 MARGINALS = ("source", "lang", "topic")
-#: Values of each marginal, at most; the cell table is bounded by their product.
-MAX_VALUES = {"source": 512, "lang": 64, "topic": 16}
+#: Cells that are raked in the driver, at most; more are raked as a table, to the same weights.
+LOCAL_CELLS = 200_000
 #: Rounds of raking; each rakes to all three marginals.
 ROUNDS = 30
 #: Tokens of the sample as a share of the corpus.
@@ -97,12 +97,51 @@ def _keys(docs: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def _fold(name: str, values: int) -> Column:
-    """The value of a marginal, or its bucket where there are too many."""
-    most = MAX_VALUES[name]
-    if values <= most:
-        return F.col(name)
-    return F.concat(F.lit("bucket-"), F.pmod(F.xxhash64(name), F.lit(most)).cast("string"))
+def _rake_table(
+    cells: DataFrame, targets: dict[str, dict[str, float]] | None, temperature: float, rounds: int
+) -> DataFrame:
+    """``cells`` with their raked weight ``w``; what ``rake`` does, on a table of any size."""
+    spark = cells.sparkSession
+    total = max(cells.agg(F.sum("n")).first()[0] or 0.0, 1e-300)
+    wanted = {}
+    for m in MARGINALS:
+        values = cells.groupBy(m).agg(F.sum("n").alias("n"))
+        if targets and m in targets:
+            given = spark.createDataFrame([(str(k), float(v)) for k, v in targets[m].items()], f"{m} string, g double")
+            values = values.join(given, m, "left").select(m, F.coalesce("g", F.lit(0.0)).alias("g"))
+        else:
+            values = values.select(m, F.pow(F.col("n") / total, temperature).alias("g"))
+        wanted[m] = cut(values)
+        sums = max(wanted[m].agg(F.sum("g")).first()[0] or 0.0, 1e-300)
+        wanted[m] = wanted[m].withColumn("g", F.col("g") / sums)
+    now = cells.withColumn("w", F.col("n") / total)
+    for _ in range(rounds):
+        for m in MARGINALS:
+            factor = now.groupBy(m).agg(F.sum("w").alias("s")).join(wanted[m], m)
+            factor = factor.select(m, F.when(F.col("s") > 0, F.col("g") / F.col("s")).otherwise(0.0).alias("f"))
+            now = now.join(factor, m).withColumn("w", F.col("w") * F.col("f")).drop("f")
+        now = cut(now)
+    return now
+
+
+def _calibrate_table(raked: DataFrame, wanted: float) -> DataFrame:
+    """``raked`` with its ``probability``; what ``calibrate`` does, on a table of any size.
+
+    The cells taken in full only become more from step to step.
+    """
+    ratio = F.col("w") / F.col("n")
+    best, full = 0.0, -1
+    while True:
+        sure = ratio * F.lit(best) > 1
+        seen = raked.agg(
+            F.count_if(sure).alias("k"), F.sum(F.when(sure, F.col("n"))).alias("n"), F.sum(F.when(~sure, F.col("w"))).alias("w")
+        ).first()
+        if seen.k == full:
+            break
+        full = seen.k
+        best = (wanted - (seen.n or 0.0)) / seen.w if seen.w else float("inf")
+    chance = F.least(F.lit(1.0), ratio * F.lit(best))
+    return raked.select(*MARGINALS, F.when(ratio > 0, chance).otherwise(0.0).alias("probability"))
 
 
 def cell_chances(
@@ -111,25 +150,22 @@ def cell_chances(
     share: float = SHARE,
     temperature: float = TEMPERATURE,
     rounds: int = ROUNDS,
-) -> tuple[DataFrame, dict[str, Column]]:
-    """The bounded table of cells with their probabilities, and the cell columns of a document.
+    local_cells: int = LOCAL_CELLS,
+) -> DataFrame:
+    """The table of cells with their probabilities, marked for broadcast where it is small.
 
     ``targets`` gives shares by value for any of the marginals; a value that is
     not named there gets none.
     """
-    cells = cut(_keys(docs).groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")))
-    values = cells.agg(*[F.countDistinct(m).alias(m) for m in MARGINALS]).first()
-    folded = {f"_{m}": _fold(m, values[m]) for m in MARGINALS}
-    rows = sorted(
-        cells.select(*[c.alias(n) for n, c in folded.items()], "tokens")
-        .groupBy(*folded)
-        .agg(F.sum("tokens").alias("n"))
-        .collect()
-    )
+    cells = cut(_keys(docs).groupBy(*MARGINALS).agg(F.sum("n_tokens").cast("double").alias("n")))
+    if cells.count() > local_cells:
+        raked = _rake_table(cells, targets, temperature, rounds)
+        return cut(_calibrate_table(raked, share * cells.agg(F.sum("n")).first()[0]))
+    rows = sorted(cells.collect())
     tokens = np.array([r.n for r in rows], float)
     groups, wanted = [], []
     for m in MARGINALS if rows else ():
-        names, group = np.unique([r[f"_{m}"] for r in rows], return_inverse=True)
+        names, group = np.unique([r[m] for r in rows], return_inverse=True)
         if targets and m in targets:
             target = np.array([float(targets[m].get(str(n), 0.0)) for n in names])
         else:
@@ -139,18 +175,16 @@ def cell_chances(
     chances = calibrate(rake(tokens, groups, wanted, rounds), tokens, share * tokens.sum()) if rows else []
     table = docs.sparkSession.createDataFrame(
         [(*r[:-1], float(p)) for r, p in zip(rows, chances, strict=True)],
-        ", ".join(f"{n} string" for n in folded) + ", probability double",
+        ", ".join(f"{m} string" for m in MARGINALS) + ", probability double",
     )
-    return table, folded
+    return F.broadcast(table)
 
 
 def probabilities(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, probability, selected`` of every row."""
-    table, cell = cell_chances(docs, **options)
     return (
         _keys(docs)
-        .withColumns(cell)
-        .join(F.broadcast(table), list(cell))
+        .join(cell_chances(docs, **options), list(MARGINALS))
         .select("doc_id", *MARGINALS, "n_tokens", "probability", (F.col("draw") < F.col("probability")).alias("selected"))
     )
 
@@ -158,10 +192,9 @@ def probabilities(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The selected rows of ``docs``, with all their columns."""
     columns = docs.columns
-    table, cell = cell_chances(docs, **options)
     whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
-    keyed = _keys(docs, whole).withColumns(cell).select(*cell, "draw", "_row")
-    chosen = keyed.join(F.broadcast(table), list(cell)).where("draw < probability")
+    keyed = _keys(docs, whole).select(*MARGINALS, "draw", "_row")
+    chosen = keyed.join(cell_chances(docs, **options), list(MARGINALS)).where("draw < probability")
     return chosen.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 

@@ -193,6 +193,28 @@ def test_mixing(spark, docs):
     assert mixing.probabilities(empty(docs)).count() == 0 and mixing.mix(empty(docs)).count() == 0
 
 
+def test_many_sources_keep_their_targets(spark):
+    """More than 512 sources: each meets its own target, raked here or as a table."""
+    rng = random.Random(13)
+    rows = [(i, "x" * rng.randint(40, 300), rng.choice(["en", "de"]), f"s{min(i % 900, 600)}", 1) for i in range(3000)]
+    frame = spark.createDataFrame(rows, DOCS)
+    targets = {"source": {"s600": 3.0, "s7": 1.0}}
+    for options in ({}, {"targets": targets}):
+        local = {r.doc_id: r for r in mixing.probabilities(frame, share=0.05, rounds=2, **options).collect()}
+        table = {r.doc_id: r for r in mixing.probabilities(frame, share=0.05, local_cells=10, rounds=2, **options).collect()}
+        assert set(local) == set(table) == set(range(3000))
+        assert all(r.probability == pytest.approx(table[i].probability, abs=1e-9) for i, r in local.items())
+    assert {r.source for r in local.values() if r.probability > 0} == {"s600", "s7"}
+    free = {r.doc_id: r for r in mixing.probabilities(frame, share=0.001).collect()}
+    mass, tokens = {}, {}
+    for r in free.values():
+        mass[r.source] = mass.get(r.source, 0) + r.probability * r.n_tokens
+        tokens[r.source] = tokens.get(r.source, 0) + r.n_tokens
+    wanted = {k: (v / sum(tokens.values())) ** 0.5 for k, v in tokens.items()}
+    for k, v in mass.items():
+        assert v / sum(mass.values()) == pytest.approx(wanted[k] / sum(wanted.values()), rel=0.05)
+
+
 def test_raking_meets_the_marginals():
     rng = np.random.default_rng(1)
     tokens = rng.integers(1, 100, 24).astype(float)
