@@ -30,11 +30,17 @@ def leave_one_out(rows: DataFrame, record: str, features: list[str], label: str,
     """``rows`` with ``score``: each record's rows scored by a model of the other records.
 
     The scaler is fitted on the training side only; one model is fitted for each
-    of the few named records.
+    of the few named records.  A null record is a record of its own; rows that
+    no other record's model can score get a null score.
     """
-    scored = []
+    scored = [rows.limit(0).withColumn("score", F.lit(None).cast("double"))]
     for one in records:
-        train, test = balanced(rows.where(F.col(record) != one), label), rows.where(F.col(record) == one)
+        mine = F.col(record).eqNullSafe(F.lit(one))
+        others, test = rows.where(~mine), rows.where(mine)
+        if others.isEmpty():
+            scored.append(test.withColumn("score", F.lit(None).cast("double")))
+            continue
+        train = balanced(others, label)
         model = Pipeline(
             stages=[
                 VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"),

@@ -81,5 +81,6 @@ def boundary_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "page", "lang", (n % 5 == 0).cast("int").alias("label"), n.cast("double").alias("size"),
         (n % 5).cast("double").alias("rest"), F.col("page").cast("double").alias("place"),
     )
-    scored = L.leave_one_out(rows, "lang", ["size", "rest", "place"], "label", ["de", "en", "es", "fr"])
+    every = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
+    scored = L.leave_one_out(rows, "lang", ["size", "rest", "place"], "label", every)
     return scored.select("doc_id", "page", "lang", "label", "score")

@@ -56,3 +56,15 @@ def test_models(spark):
     texts = spark.createDataFrame([(i, t) for i, t in enumerate(["page one of report", "report page one", "cover letter", "letter and report"])], "i long, text string")
     model = L.weighted_terms(texts, "text").fit(texts)
     assert model.transform(texts).where("features IS NOT NULL").count() == 4
+
+
+def test_boundary_model_scores_every_language(spark, tmp_path):
+    from quirewise.queries import QUERIES
+
+    rng = random.Random(4)
+    text = lambda: "\n".join("x" * rng.randint(1, 30) for _ in range(12))
+    docs = [(i, text(), lang) for i, lang in enumerate(["de", "en", "it", None, "it", None])]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["boundary_model"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.page) for r in got) == [(i, p) for i in range(6) for p in range(2, 13)]
+    assert all(r.score is not None for r in got)
