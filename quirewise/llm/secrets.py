@@ -307,6 +307,12 @@ def _labels_of(text: str) -> Iterator[tuple[str, str]]:
                 yield "ordinary", m[0][:DEPTH]
 
 
+def _spark_hash(value: str) -> int:
+    """What Spark's ``xxhash64`` gives for a string: each task keeps the strings that all tasks together would choose."""
+    number = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 42)
+    return number - (1 << 64) if number >> 63 else number
+
+
 def fit(docs: DataFrame, per_kind: int = PER_KIND) -> Formats:
     """Infer the formats from the credentials that the base rules label.
 
@@ -318,7 +324,7 @@ def fit(docs: DataFrame, per_kind: int = PER_KIND) -> Formats:
         for batch in batches:
             for text in filter(None, batch.column(0).to_pylist()):
                 for kind, value in _labels_of(text):
-                    kept[kind][value] = xxhash.xxh64_intdigest(value)
+                    kept[kind][value] = _spark_hash(value)
             for kind, values in kept.items():
                 if len(values) > 4 * per_kind:
                     kept[kind] = dict(sorted(values.items(), key=lambda x: (x[1], x[0]))[:per_kind])

@@ -154,6 +154,14 @@ def test_keep_one_verifies_jaccard(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == expected
 
 
+def test_fit_does_not_depend_on_partitions(spark):
+    rng = random.Random(14)
+    texts = [(f"token = {''.join(rng.choices('abcxyzABC0189', k=rng.randint(12, 30)))}",) for _ in range(300)]
+    frame = spark.createDataFrame(texts, "text string")
+    one, more = (secrets.fit(frame.repartition(n), per_kind=20) for n in (1, 4))
+    assert one == more
+
+
 def test_whole_runs_are_scored():
     """Credentials behind long paths, before long tails and beside base spans are all found, and only they."""
     rng = random.Random(12)
