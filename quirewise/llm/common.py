@@ -12,14 +12,15 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quirewise.session import ship
 
-#: Rows of an Arrow batch handed to Python.  A text may be megabytes long, so
-#: the default of 10,000 rows would not bound a worker's memory.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch handed to Python, where the session names none.
+#: A text may be megabytes long, so rows alone would not bound a worker's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 #: A-Z to a-z and nothing else: the ASCII lower-casing the operators ask for.
 ASCII_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -31,9 +32,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts, and ship the package."""
+    """Ship the package, and keep Arrow batches small where the session has not set them itself."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, value in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
 
 
 def map_batches(
@@ -85,6 +88,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, with underscores appended until no column has it in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of a whole row that tells where nulls stand; nested values go in as JSON."""
+    parts: list[Column] = []
+    for f in df.schema:
+        value = F.col(f"`{f.name}`")
+        nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
+        parts += [value.isNull(), F.to_json(F.struct(value), {"ignoreNullFields": "false"}) if nested else value]
+    return F.xxhash64(*parts)
+
+
 def text_or_empty(name: str = "text"):
     """The text column, a null taken as the empty text."""
     return F.coalesce(F.col(name), F.lit(""))

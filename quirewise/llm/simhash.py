@@ -16,7 +16,10 @@ blocks, so no task holds an unbounded group.
 for dropping copies, takes two words of 64 bits from a text's different words:
 documents of five-word similarity 0.8 differ in a tenth of a shingle
 fingerprint's bits and more, but in few of these.  There the bits only find
-candidates; the exact Jaccard similarity of the five-word shingles decides.
+candidates; the exact Jaccard similarity of the five-word shingles decides.  An
+odd sketch, the parities of the shingles' hashes by place, goes before it: two
+sketches never differ in more places than the shingle sets differ in members, so
+no pair that is similar enough is lost to it.
 
 Rows: a null or wordless text has fingerprint zero; a null ``doc_id`` gets its
 row but never names a component; repeated rows each get theirs; an empty table
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, map_batches, read, record_batch
+from .common import ASCII_LOWER, cut, map_batches, read, record_batch, row_hash
 from .graph import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -47,12 +50,18 @@ BLOCK_ROWS = 4096
 WARM_ROWS = BLOCK_ROWS // 33
 #: Crowded cells are broadcast up to this many (12 bytes each), else joined.
 BROADCAST_CELLS = 50_000
-#: Differing bits of 128 up to which documents are looked at as possible copies.
-COPY_BITS = 14
+#: Differing bits of 128 up to which documents are looked at as possible copies: what six parts find.
+COPY_BITS = 17
 #: Jaccard similarity of word shingles from which documents count as copies.
 COPY_JACCARD = 0.8
 #: Words of these shingles.
 SHINGLE_WORDS = 5
+#: Words of 64 bits of the odd sketch of a text's shingles.
+SKETCH_WORDS = 8
+#: Unlinked partners of a row in a cell that are verified in the first round; eight times as many in each next.
+FIRST_PARTNERS = 32
+#: Pairs that a task holds before it reduces them to a spanning forest.
+HELD_PAIRS = 1 << 19
 #: Rows to drop are broadcast up to this many (17 bytes each), else joined by shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Groups up to this size are compared by shifting the whole batch.
@@ -83,12 +92,19 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
+def _word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    """Sixteen bytes of hash of each word."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
+
+
 def word_fingerprint(text: bytes) -> tuple[int, int]:
     """Two words of majority bits over a text's different words."""
-    words = set(WORD.findall(text.translate(ASCII_LOWER)))
-    if not words:
+    return _majority(_word_hashes(set(WORD.findall(text.translate(ASCII_LOWER)))))
+
+
+def _majority(hashes: np.ndarray) -> tuple[int, int]:
+    if not len(hashes):
         return 0, 0
-    hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint8).reshape(-1, 16)
     counts, step = np.zeros(128, np.int64), 1 << 15
     for at in range(0, len(hashes), step):
         counts += np.unpackbits(hashes[at : at + step], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -211,12 +227,11 @@ def _bits_apart(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nda
     return sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
 
 
-def forest(cell: np.ndarray, words: list[np.ndarray], max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links within the cells, as pairs of rows; rows are sorted by cell."""
-    words = [w.view(np.uint64) for w in words]
+def near_pairs(cell: np.ndarray, words: list[np.ndarray], max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows ``a < b`` of a cell within the distance, all of one ``a`` together; rows are sorted by cell."""
     bounds = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
     size = np.repeat(np.diff(bounds), np.diff(bounds))
-    left, right = [], []
+    left, right = [bounds[:0]], [bounds[:0]]
     rows = np.flatnonzero((size > 1) & (size <= SHIFT_ROWS))
     for shift in range(1, SHIFT_ROWS):
         rows = rows[rows + shift < len(cell)]
@@ -226,25 +241,75 @@ def forest(cell: np.ndarray, words: list[np.ndarray], max_distance: int) -> tupl
         near = rows[_bits_apart(words, rows, rows + shift) <= max_distance]
         left.append(near)
         right.append(near + shift)
+    yield np.concatenate(left), np.concatenate(right)
     for start, end in zip(bounds, bounds[1:], strict=False):
         if end - start > SHIFT_ROWS:
-            for at in range(start, end, 512):
-                mine = np.arange(at, min(at + 512, end))
+            for at in range(start, end, 128):
+                mine = np.arange(at, min(at + 128, end))
                 near = _bits_apart(words, mine[:, None], np.arange(at, end)[None, :]) <= max_distance
                 i, j = np.nonzero(near)
-                left.append(at + i[i < j])
-                right.append(at + j[i < j])
-    if not left:
-        return bounds[:0], bounds[:0]
-    a, b = np.concatenate(left), np.concatenate(right)
-    used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-    # The nearest pairs first, in an order that all cells share: then they name mostly the same links.
-    low = [np.minimum(w[a], w[b]) for w in words]
-    rank = np.empty(len(a), np.int64)
-    rank[np.lexsort([*[w[a] ^ w[b] for w in words], *low, _bits_apart(words, a, b)])] = np.arange(len(a))
-    tree = spanning_forest(len(used), place[: len(a)], place[len(a) :], rank)
-    swap = words[0][a[tree]] > words[0][b[tree]]
-    return np.where(swap, b[tree], a[tree]), np.where(swap, a[tree], b[tree])
+                yield at + i[i < j], at + j[i < j]
+
+
+def forest(
+    cell: np.ndarray, words: list[np.ndarray], max_distance: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links within the cells, as pairs of rows; rows are sorted by cell.
+
+    With ``alike`` only pairs for which it is true are links.  A forest of a part
+    of the links and the rest of them have the same forest as all of them, so
+    few are held at a time.
+    """
+    words = [w.view(np.uint64) for w in words]
+    held, n = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+
+    def reduce() -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        # The nearest pairs first, in an order that all cells share: then they name mostly the same links.
+        low = [np.minimum(w[a], w[b]) for w in words]
+        rank = np.empty(len(a), np.int64)
+        rank[np.lexsort([*[w[a] ^ w[b] for w in words], *low, _bits_apart(words, a, b)])] = np.arange(len(a))
+        tree = spanning_forest(len(used), place[: len(a)], place[len(a) :], rank)
+        return a[tree], b[tree]
+
+    for a, b in near_pairs(cell, words, max_distance):
+        if alike is not None and len(a):
+            good = alike(a, b)
+            a, b = a[good], b[good]
+        held.append((a, b))
+        n += len(a)
+        if n > HELD_PAIRS:
+            held = [reduce()]
+            n = len(held[0][0])
+    a, b = reduce()
+    swap = words[0][a] > words[0][b]
+    return np.where(swap, b, a), np.where(swap, a, b)
+
+
+Emit = Callable[..., Iterator[pa.RecordBatch]]
+
+
+def by_cell(emit: Emit) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` that hands whole cells, some at a time, to ``emit`` as arrays.
+
+    The first column is the cell, by which the rows are dealt and sorted.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            fresh = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            held = fresh if held is None else [np.concatenate(x) for x in zip(held, fresh, strict=True)]
+            if len(held[0]) < 1 << 16:
+                continue
+            last = int(np.searchsorted(held[0], held[0][-1]))
+            yield from emit(*[x[:last] for x in held])
+            held = [x[last:] for x in held]
+        if held is not None:
+            yield from emit(*held)
+
+    return run
 
 
 def _node(words: int) -> Column:
@@ -255,7 +320,7 @@ def _node(words: int) -> Column:
 
 
 def _forests(cells: DataFrame, max_distance: int) -> DataFrame:
-    """Spanning links of every cell; ``cells`` is dealt and sorted by cell."""
+    """Spanning links ``a, b`` of every cell, by ``fp0``; ``cells`` is dealt and sorted by cell."""
 
     n = len(cells.columns) - 1
     kind = pa.int64() if n == 1 else pa.string()
@@ -266,26 +331,13 @@ def _forests(cells: DataFrame, max_distance: int) -> DataFrame:
         both = zip(*[w.view(np.uint64)[rows].tolist() for w in words], strict=True)
         return pa.array(["".join(f"{x:016X}" for x in item) for item in both], kind)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64)] * (n + 1)
-
-        def emit(cell: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-            a, b = forest(cell, list(words), max_distance)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([names(words, a), names(words, b)], names=["a", "b"])
-
-        for batch in batches:
-            fresh = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = [np.concatenate(x) for x in zip(held, fresh, strict=True)]
-            if len(held[0]) < 1 << 16:
-                continue
-            last = int(np.searchsorted(held[0], held[0][-1]))
-            yield from emit(*[x[:last] for x in held])
-            held = [x[last:] for x in held]
-        yield from emit(*held)
+    def emit(cell: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = forest(cell, list(words), max_distance)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([names(words, a), names(words, b)], names=["a", "b"])
 
     spark_kind = "bigint" if n == 1 else "string"
-    return cells.mapInArrow(run, f"a {spark_kind}, b {spark_kind}")
+    return cells.mapInArrow(by_cell(emit), f"a {spark_kind}, b {spark_kind}")
 
 
 def _split_crowded(cells: DataFrame, fps: DataFrame, max_distance: int, block_rows: int) -> DataFrame:
@@ -353,36 +405,144 @@ def near_duplicates(
     )
 
 
-def shingle_hashes(text: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
-    """The different hashes of a text's word shingles, sorted; a shorter text is one shingle."""
-    words = WORD.findall(text.translate(ASCII_LOWER))
+def _shingles(words: list[bytes], names: dict[bytes, int], hashes: np.ndarray, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The different hashes of word shingles, sorted; fewer words are one shingle, and none are none."""
     width = min(width, len(words))
     if not width:
         return np.empty(0, np.int64)
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    number = np.ascontiguousarray(hashes[:, :8]).view("<u8")[:, 0][np.fromiter(map(names.__getitem__, words), np.int64, len(words))]
     total = np.zeros(len(words) - width + 1, np.uint64)
     for i in range(width):
-        total += hashes[i : i + len(total)] * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64))
+        total += number[i : i + len(total)] * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64))
     return np.unique(total.view(np.int64))
 
 
-def copy_fingerprint(text: bytes) -> tuple[int, int, int, int]:
-    """The word fingerprint, and two words of digest that name the sequence of words."""
-    joined = b" ".join(WORD.findall(text.translate(ASCII_LOWER)))
-    digest = xxhash.xxh3_128_intdigest(joined)
-    return *word_fingerprint(text), digest >> 64, digest & ((1 << 64) - 1)
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """The different hashes of a text's five-word shingles, sorted."""
+    words = WORD.findall(text.translate(ASCII_LOWER))
+    names = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    return _shingles(words, names, _word_hashes(names))
+
+
+def copy_marks(text: bytes) -> tuple[int, ...]:
+    """What copies are found by: the word fingerprint, two words of digest that name the
+    sequence of words, the number of its different shingles, and their odd sketch."""
+    words = WORD.findall(text.translate(ASCII_LOWER))
+    digest = xxhash.xxh3_128_intdigest(b" ".join(words))
+    names = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    hashes = _word_hashes(names)
+    shingles = _shingles(words, names, hashes)
+    places = (shingles.view(np.uint64) >> np.uint64(7)) % np.uint64(64 * SKETCH_WORDS)
+    odd = (np.bincount(places.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
+    sketch = np.packbits(odd, bitorder="little").view("<u8").tolist()
+    return *_majority(hashes), digest >> 64, digest & ((1 << 64) - 1), len(shingles), *sketch
+
+
+#: Columns of a text's marks: fingerprint, digest, shingles, sketch.
+MARKS = [f"fp{i}" for i in range(5 + SKETCH_WORDS)]
+
+
+def most_different(sizes: np.ndarray, least: float) -> np.ndarray:
+    """Members by which two sets of these sizes together may differ at that Jaccard similarity."""
+    return sizes * ((1 - least) / (1 + least)) + 1e-6
+
+
+def _alike(marks: list[np.ndarray], least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Whether sizes and sketches allow pairs of rows that similarity; ``marks`` are the columns from the shingles on."""
+    size, sketch = marks[0], [m.view(np.uint64) for m in marks[1:]]
+
+    def good(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a), bool)
+        for at in range(0, len(a), 1 << 17):
+            i, j = a[at : at + (1 << 17)], b[at : at + (1 << 17)]
+            differ = np.maximum(_bits_apart(sketch, i, j), np.abs(size[i] - size[j]))
+            out[at : at + (1 << 17)] = differ <= most_different(size[i] + size[j], least)
+        return out
+
+    return good
+
+
+def _hex_names(high: np.ndarray, low: np.ndarray) -> pa.Array:
+    both = zip(high.view(np.uint64).tolist(), low.view(np.uint64).tolist(), strict=True)
+    return pa.array([f"{x:016X}{y:016X}" for x, y in both], pa.string())
+
+
+def _occupied(cells: DataFrame, max_distance: int) -> DataFrame:
+    """The rows of cells that have a near row in the same cell."""
+
+    def emit(cell: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
+        near = np.zeros(len(cell), bool)
+        for a, b in near_pairs(cell, [w.view(np.uint64) for w in words], max_distance):
+            near[a] = near[b] = True
+        if near.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (cell, *words)], names=["cell", "fp0", "fp1"])
+
+    return cells.mapInArrow(by_cell(emit), "cell bigint, fp0 bigint, fp1 bigint")
 
 
-def _shingle_sets(docs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` of every document and its ``shingles``."""
-    schema = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys) + ", shingles array<bigint>"
+def _likely(rows: DataFrame, max_distance: int, least: float) -> DataFrame:
+    """Spanning links ``a, b`` of the rows in each cell that fingerprints, sizes and sketches let pass."""
+
+    def emit(cell: np.ndarray, *marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        a, b = forest(cell, list(marks[:2]), max_distance, _alike(list(marks[4:]), least))
+        if len(a):
+            names = [_hex_names(marks[2][x], marks[3][x]) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays(names, names=["a", "b"])
+
+    return rows.mapInArrow(by_cell(emit), "a string, b string")
+
+
+def _unlinked(rows: DataFrame, max_distance: int, least: float, low: int, high: int) -> DataFrame:
+    """Pairs ``a, b`` of different labels in a cell that may be similar enough, of each row the ``low``-th to ``high``-th.
+
+    A row of nulls tells that there are more.  The last column of ``rows`` is the label.
+    """
+
+    def emit(cell: np.ndarray, *marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        *marks, label = marks
+        _, label = np.unique(label.astype(str), return_inverse=True)
+        good, words, more = _alike(marks[4:], least), [w.view(np.uint64) for w in marks[:2]], False
+        for a, b in near_pairs(cell, words, max_distance):
+            passed = good(a, b) if len(a) else np.empty(0, bool)
+            a, b = a[passed], b[passed]
+            order = np.lexsort((b, _bits_apart(words, a, b), a))
+            a, b = a[order], b[order]
+            place = np.arange(len(a)) - np.searchsorted(a, a)
+            apart = label[a] != label[b]
+            more = more or bool((apart & (place >= high)).any())
+            now = apart & (place >= low) & (place < high)
+            if now.any():
+                names = [_hex_names(marks[2][x], marks[3][x]) for x in (a[now], b[now])]
+                yield pa.RecordBatch.from_arrays(names, names=["a", "b"])
+        if more:
+            yield record_batch(a=([None], pa.string()), b=([None], pa.string()))
+
+    return rows.mapInArrow(by_cell(emit), "a string, b string")
+
+
+def _blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows of cells, those of crowded cells dealt to pairs of blocks; dealt and sorted by cell."""
+    crowded = cut(rows.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1"))
+    if n := crowded.count():
+        dealt = (
+            rows.join(F.broadcast(crowded) if n <= BROADCAST_CELLS else crowded, "cell", "left")
+            .withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+            .withColumn("own", F.pmod(F.xxhash64("fp2", "fp3"), F.col("blocks")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        )
+        pair = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
+        rows = dealt.withColumn("cell", F.when(F.col("blocks") > 1, pair).otherwise(F.col("cell"))).select(*rows.columns)
+    return rows.repartition("cell").sortWithinPartitions("cell")
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """``node, shingles`` of rows of ``node, _text``."""
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(len(keys)).to_pylist()
-        found = pa.array([shingle_hashes((t or "").encode("utf-8", "surrogatepass")) for t in texts], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], found], names=[*keys, "shingles"])
+        found = [shingle_hashes((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(1).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "shingles"])
 
-    return map_batches(docs.select(*keys, "_text"), per_batch, schema)
+    return map_batches(texts.select("node", "_text"), per_batch, "node string, shingles array<bigint>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -390,80 +550,71 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    rated = pairs.join(x, "a").join(y, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
+    rated = pairs.join(y, "b").join(x, "a").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
     return rated.where(F.col("c") >= least * (F.col("s") - F.col("c")) - 1e-9).where("s > 0").select("a", "b")
 
 
-def _prefix_pairs(sets: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a, b`` in one candidate group, not yet connected, that may be similar enough.
-
-    Sets that are share one of the first of their sorted hashes, so only those
-    prefixes are joined; what is connected already needs no comparison.
-    """
-    named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-    open_groups = named.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("root")
-    n = F.size("shingles")
-    prefix = F.slice("shingles", F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int"))
-    items = cut(named.join(open_groups, "root").select("root", "node", "label", n.alias("n"), F.explode(prefix).alias("shingle")))
-    mixed = items.groupBy("root", "shingle").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    left = cut(items.join(mixed.select("root", "shingle"), ["root", "shingle"]))
-    right = left.select("root", "shingle", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
-    sized = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
-    both = left.join(right, ["root", "shingle"]).where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & sized)
-    return both.select(F.col("node").alias("a"), "b").distinct()
-
-
 def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: float) -> DataFrame:
     """``node, component`` of the classes of equal texts that have a copy of at least that similarity.
 
-    The fingerprints' links only name the groups in which copies are looked for.
-    First these links are verified; then the pairs of a group that they leave
-    unconnected.
+    First the spanning links of each cell's likely pairs are verified.  Then, in
+    rounds, all likely pairs of a cell whose rows are not linked yet.
     """
     fps = classes.select("fp0", "fp1").distinct()
     cells = _split_crowded(_to_cells(fps, max_distance, reach=True), fps, max_distance, BLOCK_ROWS)
-    links = cut(_forests(cells.repartition("cell").sortWithinPartitions("cell"), max_distance).distinct())
-    roots = connected_components(links).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    named = classes.withColumn("fp", _node(2))
-    heads = named.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n"))
-    grouped = (
-        named.join(heads, "fp")
-        .join(roots, "fp", "left")
-        .where("root IS NOT NULL OR n > 1")
-        .select("node", "head", "fp", F.coalesce("root", "fp").alias("root"), F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_at"))
-    )
-    grouped = cut(grouped)
-    small = F.broadcast(grouped) if grouped.count() <= BROADCAST_ROWS // 4 else grouped
+    found = cut(_occupied(cells.repartition("cell").sortWithinPartitions("cell"), max_distance))
+    marked = classes.select(*MARKS, "node")
+    # Texts of equal fingerprints meet in a cell of their own.
+    equal = marked.groupBy("fp0", "fp1").agg(F.count("*").alias("n")).where("n > 1").select("fp0", "fp1")
+    both = found.unionByName(equal.withColumn("cell", F.xxhash64("fp0", "fp1"))).join(marked, ["fp0", "fp1"])
+    rows = cut(both.select("cell", *MARKS, "node"))
+    tested = cut(_likely(_blocked(rows.drop("node")), max_distance, least).distinct())
+    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    named = tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct().join(classes.select("node", "first"), "node")
+    named = cut(named.select("node", F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_at")))
+    small = F.broadcast(named) if named.count() <= BROADCAST_ROWS // 4 else named
     texts = hashed.select("doc_id", "_row", F.col("text").alias("_text"))
     texts = texts.join(small, (texts._row == small._at) & texts.doc_id.eqNullSafe(small._id))
-    sets = cut(_shingle_sets(texts, ["node", "root"]).dropDuplicates(["node"]))
-    head = grouped.select("fp", "head").distinct()
-    near = links.join(head.select(F.col("fp").alias("a"), F.col("head").alias("u")), "a").join(
-        head.select(F.col("fp").alias("b"), F.col("head").alias("v")), "b"
-    )
-    first = near.select(F.col("u").alias("a"), F.col("v").alias("b")).union(grouped.where("node <> head").select("head", "node"))
-    good = cut(_verified(first, sets, least))
-    more = _verified(_prefix_pairs(sets, connected_components(good), least), sets, least)
-    return connected_components(good.union(more))
+    sets = cut(_shingle_sets(texts).dropDuplicates(["node"]))
+    good = cut(_verified(tested, sets, least))
+    low, high = 0, FIRST_PARTNERS
+    while True:
+        labels = connected_components(good)
+        labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        mixed = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
+        left = cut(labelled.join(mixed, "cell", "left_semi").select("cell", *MARKS, "label"))
+        pairs = cut(_unlinked(_blocked(left), max_distance, least, low, high).distinct())
+        more = pairs.where("a IS NULL").limit(1).count() > 0
+        named_pairs = pairs.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        fresh = cut(_verified(named_pairs.join(tested, ["a", "b"], "left_anti"), sets, least))
+        some = fresh.limit(1).count() > 0
+        if some:
+            good = cut(good.union(fresh))
+        if not more:
+            return connected_components(good) if some else labels
+        low, high = high, 8 * high
 
 
 def keep_one(docs: DataFrame, max_distance: int = COPY_BITS, least: float = COPY_JACCARD) -> DataFrame:
     """One row of each group of near-duplicates, with all its columns.
 
     Rows link where the Jaccard similarity of their five-word shingles is at
-    least ``least``.  They are looked for among rows that links of word
-    fingerprints, of at most ``max_distance`` of 128 differing bits, connect.
+    least ``least`` and their word fingerprints differ in at most ``max_distance``
+    of 128 bits; groups are what these links connect.
 
     The row of the smallest ``doc_id`` stays (nulls last); of several such rows
-    the one of the smallest row hash, and one of rows that are equal throughout.
+    the one of the smallest hash of all its columns, nulls and all, and one of
+    rows that are equal throughout.  Columns of any name are passed on as they are.
     """
-    columns = docs.columns
-    hashed = docs.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in columns]))
-    marked = cut(fingerprints(hashed, ["doc_id", "_row"], copy_fingerprint, 4))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = docs.select("doc_id", row_hash(docs).alias("_row"), "text", whole.alias("_whole"))
+    marked = cut(fingerprints(hashed, ["doc_id", "_row"], copy_marks, len(MARKS)))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
     words = ["fp0", "fp1", "fp2", "fp3"]
     name = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in words[2:]])
-    classes = cut(marked.groupBy(*words).agg(F.min(order).alias("first")).withColumn("node", name))
+    # Texts of one sequence of words have one sketch.
+    sketch = [F.min(c).alias(c) for c in MARKS[4:]]
+    classes = cut(marked.groupBy(*words).agg(F.min(order).alias("first"), *sketch).withColumn("node", name))
     rooted = classes.join(_copies(classes, hashed, max_distance, least), "node", "left").select(
         *words, "first", F.coalesce("component", "node").alias("root")
     )
@@ -482,7 +633,7 @@ def keep_one(docs: DataFrame, max_distance: int = COPY_BITS, least: float = COPY
     kept = matching(out, counts.n, "left_anti")
     if counts.repeated:
         kept = kept.unionByName(matching(out.where("stays"), counts.repeated, "left_semi").dropDuplicates(["doc_id", "_row"]))
-    return kept.select(*[F.col(f"`{c}`") for c in columns])
+    return kept.select("_whole.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
