@@ -2,26 +2,30 @@
 
 The base rules find assignments, access keys and hexadecimal runs.  Beyond them,
 one probabilistic automaton for each kind is inferred from the credentials that
-the rules label: their prefix tree is built over character classes, and states
-are merged where their outgoing frequencies and those of all their successors
-differ by no more than a Hoeffding bound allows.  Every long run of credential
-characters in a text is then scored by how much likelier a credential automaton
-makes it than the automaton of ordinary long words; a run is a secret where the
-gain per character is high enough.  Of a run that the base rules cover in part,
-each other part is scored.  A part that is not a secret as a whole, or is longer
-than ``DEPTH``, is scored by its windows from every character on.
+the rules label: their prefix tree moves by word characters and by each sign, and
+every state keeps the shares of its character classes.  States are merged where
+their frequencies of moves, ends and classes, and those of all their successors,
+differ by no more than a Hoeffding bound allows; so a format's length, its fixed
+beginning and its separators stay states of their own.  Every long run of
+credential characters in a text is then scored by how much likelier a credential
+automaton makes it than the automaton of ordinary long words; a run is a secret
+where the gain per character is high enough.  Of a run that the base rules cover
+in part, each other part is scored.  A part that is not a secret as a whole, or is
+longer than ``DEPTH``, is scored by its windows from every character on.  Scanning
+takes time in proportion to the text.
 
 The automata are fitted on at most ``per_kind`` different labelled strings of
-each kind (those of the smallest hash); scanning covers all texts in full.
+each kind (those of the smallest hash), and on ``DEPTH`` characters of each;
+scanning covers all texts in full.
 
 Rows: a null text counts as empty and has no spans; repeated rows are scanned
-each; without labelled credentials only the base rules apply; an empty table
+each; without labelled credentials only the base rules apply, without ordinary
+long words all characters are taken to be equally likely in them; an empty table
 gives an empty result; other columns are passed on where a whole row is.
 """
 
 from __future__ import annotations
 
-
 import math
 import re
 from collections import deque
@@ -58,75 +62,99 @@ SLACK = 3.0
 #: Windows that are scored at once.
 STARTS = 4096
 #: Confidence of the merge test.
-ALPHA = 0.05
+ALPHA = 0.5
+#: Short candidates whose results a worker keeps.
+REMEMBERED = 100_000
 #: Gain per character, in nats, from which a run is a secret.
 GAIN = 1.0
 
 _RUNS = bytes(b"h"[0] if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _BODY = bytes(b"h"[0] if re.match(r"[A-Za-z0-9+/_=.-]", chr(b)) and b < 128 else 32 for b in range(256))
-_SYMBOL = str.maketrans(
-    {c: "0" for c in "0123456789"}
-    | {c: "a" for c in "abcdef"}
-    | {c: "g" for c in "ghijklmnopqrstuvwxyz"}
-    | {c: "A" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-)
-#: Characters that one class stands for: a class's probability is shared among them.
-_SHARE = {"0": math.log(10), "a": math.log(6), "g": math.log(20), "A": math.log(26)}
-_ORDER = "0agA+/_=.-"
-SYMBOLS = len(_ORDER) + 1
+#: Classes of characters: five of word characters, by which no automaton moves apart, and the signs.
+CLASSES = ("0123456789", "abcdef", "ghijklmnopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+", "/", "_", "=", ".", "-")
+WORD_CLASSES = 5
+#: Moves of an automaton: by a word character, and by each sign.
+MOVES = 1 + len(CLASSES) - WORD_CLASSES
+_MOVE = np.array([0] * WORD_CLASSES + list(range(1, MOVES)))
+_CLASS = np.zeros(128, np.int8)
+for _i, _signs in enumerate(CLASSES):
+    _CLASS[[ord(c) for c in _signs]] = _i
+#: What is added to every count: a step never seen keeps a small share.
+RARE = 0.05
+
+
+def classes_of(text: str) -> np.ndarray:
+    """The class of each character of a run."""
+    return _CLASS[np.frombuffer(text.encode("ascii"), np.uint8)]
 
 
 @dataclass
 class Automaton:
-    """A deterministic automaton with counts, by state."""
+    """A deterministic automaton with counts, by state: moves, their counts, classes of word characters, ends."""
 
-    moves: list[dict[str, int]] = field(default_factory=list)
-    counts: list[dict[str, int]] = field(default_factory=list)
+    moves: list[dict[int, int]] = field(default_factory=list)
+    counts: list[dict[int, int]] = field(default_factory=list)
+    classes: list[list[int]] = field(default_factory=list)
     ends: list[int] = field(default_factory=list)
 
     def new(self) -> int:
         self.moves.append({})
         self.counts.append({})
+        self.classes.append([0] * WORD_CLASSES)
         self.ends.append(0)
         return len(self.ends) - 1
 
     def total(self, state: int) -> int:
         return self.ends[state] + sum(self.counts[state].values())
 
+    @cached_property
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Next state and log-probability by state and class, and of an end; a step never seen leads to the first state."""
+        moves = np.zeros((len(self.ends), len(CLASSES)), np.int64)
+        logs, ends = np.empty(moves.shape), np.empty(len(moves))
+        for state, seen in enumerate(self.counts):
+            whole = math.log(self.total(state) + RARE * (MOVES + 1))
+            wordy = math.log(sum(self.classes[state]) + RARE * WORD_CLASSES)
+            ends[state] = math.log(self.ends[state] + RARE) - whole
+            for i, move in enumerate(_MOVE.tolist()):
+                logs[state, i] = math.log(seen.get(move, 0) + RARE) - whole
+                if i < WORD_CLASSES:  # the class's share is divided among its characters
+                    logs[state, i] += math.log(self.classes[state][i] + RARE) - wordy - math.log(len(CLASSES[i]))
+                moves[state, i] = self.moves[state].get(move, 0)
+        return moves, logs, ends
+
     def log_likelihood(self, text: str) -> float:
-        """Log-probability of a string, a step never seen having a small share."""
+        """Log-probability of a whole string."""
+        moves, logs, ends = self.tables
         state, total = 0, 0.0
-        for symbol in text.translate(_SYMBOL):
-            seen = self.counts[state].get(symbol, 0) if state is not None else 0
-            all_seen = self.total(state) if state is not None else 0
-            total += math.log((seen + 0.05) / (all_seen + 0.05 * SYMBOLS)) - _SHARE.get(symbol, 0.0)
-            state = self.moves[state].get(symbol) if state is not None else None
-        return total
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        """Next state and log-probability by state and symbol; a step never seen leads to the first state."""
-        moves = np.zeros((len(self.ends), len(_ORDER)), np.int64)
-        logs = np.empty(moves.shape)
-        for state, seen in enumerate(self.counts):
-            for i, symbol in enumerate(_ORDER):
-                chance = (seen.get(symbol, 0) + 0.05) / (self.total(state) + 0.05 * SYMBOLS)
-                logs[state, i] = math.log(chance) - _SHARE.get(symbol, 0.0)
-                moves[state, i] = self.moves[state].get(symbol, 0)
-        return moves, logs
+        for c in classes_of(text).tolist():
+            total += logs[state, c]
+            state = moves[state, c]
+        return float(total + ends[state])
+
+
+def even_automaton() -> Automaton:
+    """One state, by which every character is equally likely."""
+    sizes = [len(c) for c in CLASSES]
+    counts = {0: sum(sizes[:WORD_CLASSES])} | dict.fromkeys(range(1, MOVES), 1)
+    return Automaton([dict.fromkeys(range(MOVES), 0)], [counts], [sizes[:WORD_CLASSES]], [1])
 
 
 def prefix_tree(strings: list[str]) -> Automaton:
-    """The prefix tree of the strings' character classes, with counts."""
+    """The prefix tree of the strings' moves, with counts; a string beyond ``DEPTH`` does not end in it."""
     tree = Automaton()
     tree.new()
     for string in strings:
         state = 0
-        for symbol in string[:DEPTH].translate(_SYMBOL):
-            if symbol not in tree.moves[state]:
-                tree.moves[state][symbol] = tree.new()
-            tree.counts[state][symbol] = tree.counts[state].get(symbol, 0) + 1
-            state = tree.moves[state][symbol]
-        tree.ends[state] += 1
+        for c in classes_of(string[:DEPTH]).tolist():
+            move = int(_MOVE[c])
+            if move not in tree.moves[state]:
+                tree.moves[state][move] = tree.new()
+            tree.counts[state][move] = tree.counts[state].get(move, 0) + 1
+            if c < WORD_CLASSES:
+                tree.classes[state][c] += 1
+            state = tree.moves[state][move]
+        tree.ends[state] += len(string) < DEPTH
     return tree
 
 
@@ -136,6 +164,10 @@ def _differ(a: int, n: int, b: int, m: int, bound: float) -> bool:
 
 def _compatible(auto: Automaton, one: int, two: int, bound: float) -> bool:
     """Whether two states' frequencies agree, and those of all states below them."""
+
+    def apart(a: int, n: int, b: int, m: int) -> bool:
+        return bool(n and m) and _differ(a, n, b, m, bound)
+
     todo, met = [(one, two)], set()
     while todo:
         a, b = todo.pop()
@@ -145,7 +177,10 @@ def _compatible(auto: Automaton, one: int, two: int, bound: float) -> bool:
         n, m = auto.total(a), auto.total(b)
         if not n or not m:
             continue
-        if _differ(auto.ends[a], n, auto.ends[b], m, bound):
+        if apart(auto.ends[a], n, auto.ends[b], m):
+            return False
+        of_a, of_b = auto.classes[a], auto.classes[b]
+        if any(apart(x, sum(of_a), y, sum(of_b)) for x, y in zip(of_a, of_b, strict=True)):
             return False
         for symbol in auto.counts[a].keys() | auto.counts[b].keys():
             if _differ(auto.counts[a].get(symbol, 0), n, auto.counts[b].get(symbol, 0), m, bound):
@@ -161,6 +196,7 @@ def _fold(auto: Automaton, into: int, state: int) -> None:
     while todo:
         a, b = todo.pop()
         auto.ends[a] += auto.ends[b]
+        auto.classes[a] = [x + y for x, y in zip(auto.classes[a], auto.classes[b], strict=True)]
         for symbol, n in auto.counts[b].items():
             auto.counts[a][symbol] = auto.counts[a].get(symbol, 0) + n
             if symbol in auto.moves[a]:
@@ -195,6 +231,7 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
     return Automaton(
         [{s: place[t] for s, t in auto.moves[r].items()} for r in red],
         [auto.counts[r] for r in red],
+        [auto.classes[r] for r in red],
         [auto.ends[r] for r in red],
     )
 
@@ -214,8 +251,9 @@ class Formats:
         return (best - self.ordinary.log_likelihood(text)) / len(text)
 
     @cached_property
-    def tables(self) -> tuple[list[tuple[np.ndarray, np.ndarray]], tuple[np.ndarray, np.ndarray]]:
-        return [a.tables() for a in self.credentials.values()], self.ordinary.tables()
+    def seen(self) -> dict[tuple[str, float], list[tuple[int, int]]]:
+        """Results of short candidates, which repeat a lot."""
+        return {}
 
     def secrets(self, text: str, gain: float) -> list[tuple[int, int]]:
         """Secret parts of a candidate: all of it, or its windows of ``RUN`` to ``DEPTH`` characters that gain enough.
@@ -225,10 +263,19 @@ class Formats:
         """
         if not self.credentials or self.ordinary is None or len(text) < RUN:
             return []
-        if len(text) <= DEPTH and self.gain(text) >= gain:
-            return [(0, len(text))]
-        credentials, ordinary = self.tables
-        codes = np.array([_ORDER.index(c) for c in text.translate(_SYMBOL)])
+        if len(text) > DEPTH:
+            return self.windows(text, gain)
+        if (known := self.seen.get((text, gain))) is not None:
+            return known
+        if len(self.seen) >= REMEMBERED:
+            self.seen.clear()
+        found = [(0, len(text))] if self.gain(text) >= gain else self.windows(text, gain)
+        self.seen[text, gain] = found
+        return found
+
+    def windows(self, text: str, gain: float) -> list[tuple[int, int]]:
+        """Stretches of windows that gain enough."""
+        codes = classes_of(text)
         taken = np.zeros(len(text), bool)
         for low in range(0, len(text) - RUN + 1, STARTS):
             starts = np.arange(low, min(low + STARTS, len(text) - RUN + 1))
@@ -236,14 +283,15 @@ class Formats:
             at = starts + np.arange(depth)[:, None]
             symbols = codes[np.minimum(at, len(text) - 1)]
 
-            def likelihood(moves: np.ndarray, logs: np.ndarray, symbols: np.ndarray = symbols) -> np.ndarray:
+            def likelihood(auto: Automaton, symbols: np.ndarray = symbols) -> np.ndarray:
+                moves, logs, _ = auto.tables
                 state, out = np.zeros(symbols.shape[1], np.int64), np.empty(symbols.shape)
                 for t, row in enumerate(symbols):
                     out[t] = logs[state, row]
                     state = moves[state, row]
                 return out.cumsum(axis=0)
 
-            best = np.max([likelihood(*x) for x in credentials], axis=0) - likelihood(*ordinary)
+            best = np.max([likelihood(a) for a in self.credentials.values()], axis=0) - likelihood(self.ordinary)
             best -= gain * np.arange(1, depth + 1)[:, None]
             least = np.minimum.accumulate(best, axis=0)
             best[at >= len(text)] = -math.inf
@@ -272,15 +320,19 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[Span, str]]:
     return sorted(found, key=lambda x: (x[0][1], KINDS.index(x[0][0])))
 
 
-def _uncovered(start: int, end: int, spans: list[Span]) -> Iterator[tuple[int, int]]:
-    """The parts of a run that no span covers; spans are sorted by start."""
-    for _, s, e in spans:
-        if s < end and start < e:
+def _parts(runs: Iterable[re.Match[str]], spans: list[Span]) -> Iterator[tuple[int, int]]:
+    """The parts of runs that no span covers; both are sorted by start, and passed once."""
+    reach, at = 0, 0
+    for run in runs:
+        start, end = run.span()
+        start = max(start, min(reach, end))
+        while at < len(spans) and spans[at][1] < end:
+            _, s, e = spans[at]
             if start < s:
                 yield start, s
-            start = max(start, e)
-    if start < end:
-        yield start, end
+            start, reach, at = max(start, min(e, end)), max(reach, e), at + 1
+        if start < end:
+            yield start, end
 
 
 def spans_of(text: str, formats: Formats | None, gain: float = GAIN) -> tuple[list[Span], list[Span]]:
@@ -289,9 +341,8 @@ def spans_of(text: str, formats: Formats | None, gain: float = GAIN) -> tuple[li
     base = [span for span, _ in base_spans(text, raw)]
     more: list[Span] = []
     if formats and formats.credentials and b"h" * RUN in raw.translate(_BODY):
-        for m in CANDIDATE.finditer(text):
-            for start, end in _uncovered(m.start(), m.end(), base):
-                more += [("format", start + a, start + b) for a, b in formats.secrets(text[start:end], gain)]
+        for start, end in _parts(CANDIDATE.finditer(text), base):
+            more += [("format", start + a, start + b) for a, b in formats.secrets(text[start:end], gain)]
     return base, sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -302,9 +353,10 @@ def _labels_of(text: str) -> Iterator[tuple[str, str]]:
     for (kind, _, _), value in found:
         yield kind, value[:DEPTH]
     if b"h" * RUN in raw.translate(_BODY):
-        for m in CANDIDATE.finditer(text):
-            if not any(c.isdigit() for c in m[0]) and not any(s < m.end() and m.start() < e for (_, s, e), _ in found):
-                yield "ordinary", m[0][:DEPTH]
+        whole = {m.span() for m in CANDIDATE.finditer(text)}
+        for start, end in _parts(CANDIDATE.finditer(text), [span for span, _ in found]):
+            if (start, end) in whole and not any(c.isdigit() for c in text[start:end]):
+                yield "ordinary", text[start:end][:DEPTH]
 
 
 def _spark_hash(value: str) -> int:
@@ -342,9 +394,8 @@ def fit(docs: DataFrame, per_kind: int = PER_KIND) -> Formats:
     for row in sorted(chosen.collect()):
         by_kind.setdefault(row.kind, []).append(row.value)
     ordinary = by_kind.pop("ordinary", [])
-    # Letters and joining signs, so that a corpus without long words still has a contrast.
-    ordinary = ordinary or ["ordinaryandlongwords", "another.long-ordinary_word"]
-    return Formats({k: infer(v) for k, v in by_kind.items() if k in KINDS}, infer(ordinary))
+    credentials = {k: infer(v) for k, v in by_kind.items() if k in KINDS}
+    return Formats(credentials, infer(ordinary) if ordinary else even_automaton())
 
 
 def join_spans(spans: list[Span]) -> str:
