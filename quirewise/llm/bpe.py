@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
 from array import array
@@ -50,9 +51,19 @@ SAFE_CUT = re.compile(r"(?<=[^\s\x1c-\x1f])(?=[ \n\t\r])")
 
 
 def vocabulary(path: str) -> str:
-    """The vocabulary file's content, read on the driver and sent with the tasks."""
+    """The vocabulary file's content, read on the driver and sent with the tasks.
+
+    A file of another kind than byte-level BPE with the pre-tokens of ``PRE_TOKEN`` is an error.
+    """
     with open(path, encoding="utf-8") as file:
-        return file.read()
+        content = file.read()
+    kind = json.loads(content)
+    before, model = kind.get("pre_tokenizer") or {}, kind["model"]
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    changed = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges") if model.get(k)]
+    if kind.get("normalizer") or not plain or model.get("type") != "BPE" or changed:
+        raise ValueError(f"{path}: only plain byte-level BPE vocabularies are known here")
+    return content
 
 
 #: The pre-token pattern of byte-level vocabularies of this family.

@@ -1,8 +1,9 @@
 """Token counts with a whole-token shortcut.
 
-Which vocabulary strings encode alone as one token is proved before counting, by
-encoding every one of them.  A pre-token in that set counts one at once; only
-the others are merged.  A pre-token's count does not depend on its neighbours,
+Which vocabulary strings encode alone as one token is proved once, on the driver
+before any counting, by encoding every one of them; the set, at most as large as
+the vocabulary, is sent with the tasks.  A pre-token in that set counts one at
+once; only the others are merged.  A pre-token's count does not depend on its neighbours,
 so the counts of a text's pre-tokens add up to the text's.
 
 Rows: a null text counts as empty, with no tokens; repeated rows are counted
@@ -21,29 +22,30 @@ from pyspark.sql import functions as F
 from .bpe import ODD_SPACE, UNIT, Remembered, codec, default_path, vocabulary
 from .common import map_batches, read, record_batch, text_or_empty
 
+
+def proved(content: str) -> frozenset[str]:
+    """Vocabulary strings that are whole texts, one pre-token, and encode alone as one token."""
+    codes, texts = codec(content), []
+    for i, raw in enumerate(codes.pieces):
+        if i in codes.added or not raw:
+            continue
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            continue
+        if codes.pattern.fullmatch(text):
+            texts.append(text)
+    return frozenset(t for t, x in zip(texts, codes.direct(texts), strict=True) if len(x) == 1)
+
+
 class Counter:
-    """Counts tokens of texts for one vocabulary."""
+    """Counts tokens of texts for one vocabulary, of which ``single`` are proved."""
 
-    def __init__(self, content: str):
+    def __init__(self, content: str, single: frozenset[str]):
         self.codec = codec(content)
-        self.single = self._proved()
+        self.single = single
         self.units = Remembered(self._unit)
 
-    def _proved(self) -> frozenset[str]:
-        """Vocabulary strings that are whole texts, one pre-token, and encode alone as one token."""
-        texts = []
-        for i, raw in enumerate(self.codec.pieces):
-            if i in self.codec.added or not raw:
-                continue
-            try:
-                text = raw.decode("utf-8")
-            except UnicodeDecodeError:
-                continue
-            if self.codec.pattern.fullmatch(text):
-                texts.append(text)
-        ids = self.codec.direct(texts)
-        return frozenset(t for t, x in zip(texts, ids, strict=True) if len(x) == 1)
-
     def _unit(self, unit: str) -> int:
         """Tokens of a unit: one for each proved pre-token, and those of the merged others."""
         pieces = self.codec.pattern.findall(unit)
@@ -65,18 +67,19 @@ class Counter:
 
 
 @functools.lru_cache(maxsize=4)
-def counter(content: str) -> Counter:
+def counter(content: str, single: frozenset[str]) -> Counter:
     """The worker's counter of a vocabulary."""
-    return Counter(content)
+    return Counter(content, single)
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 1024, key: str = "doc_id") -> DataFrame:
     """``key, n_bytes, n_tokens, over_limit`` of every row's whole text."""
-    content = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
+    content = vocabulary(path)
+    shared = docs.sparkSession.sparkContext.broadcast((content, proved(content)))
     kind = docs.schema[key].dataType.simpleString()
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        counts = counter(content.value).count_all(batch.column(2).to_pylist())
+        counts = counter(*shared.value).count_all(batch.column(2).to_pylist())
         made = record_batch(n=(counts, pa.int64()), o=([n > limit for n in counts], pa.bool_()))
         return pa.RecordBatch.from_arrays(
             [*batch.columns[:2], *made.columns], names=[key, "n_bytes", "n_tokens", "over_limit"]
