@@ -11,10 +11,16 @@ Without explicit targets a value's target is its corpus share to the power
 however many there are: up to ``LOCAL_CELLS`` cells are raked in the driver and
 broadcast, more of them as a Spark table that is joined.
 
+Raking stops when every marginal is met to ``TOLERANCE``, or after ``ROUNDS``;
+``marginals`` reports how well each target is met.  The topic is a rule on the
+text's form, or any column or expression that is given as ``topic``.
+
 Rows: null source, language or text count as empty ones; a text of no bytes
 counts one token; a document's draw depends on its ``doc_id`` (a null one: on
 its text), so repeated rows are drawn alike; an empty table gives an empty
 result; other columns are passed on by ``mix``, ignored by ``probabilities``.
+A value with documents but no target gets weight zero; one with a target but no
+documents leaves its target to the others.
 """
 
 from __future__ import annotations
@@ -28,8 +34,10 @@ from .common import cut, read, text_or_empty
 MARGINALS = ("source", "lang", "topic")
 #: Cells that are raked in the driver, at most; more are raked as a table, to the same weights.
 LOCAL_CELLS = 200_000
-#: Rounds of raking; each rakes to all three marginals.
+#: Rounds of raking at most; each rakes to all three marginals.
 ROUNDS = 30
+#: Raking stops when no marginal's shares are further from their targets, in sum.
+TOLERANCE = 1e-13
 #: Tokens of the sample as a share of the corpus.
 SHARE = 0.8
 TEMPERATURE = 0.5
@@ -65,9 +73,13 @@ def rake(cells: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray],
     """
     weights = cells / max(cells.sum(), 1e-300)
     for _ in range(rounds):
+        gap = 0.0
         for group, target in zip(groups, targets, strict=True):
             sums = np.bincount(group, weights, len(target))
+            gap = max(gap, np.abs(sums - target).sum())
             weights = weights * np.divide(target, sums, out=np.zeros(len(target)), where=sums > 0)[group]
+        if gap <= TOLERANCE:
+            break
     return weights
 
 
@@ -84,13 +96,16 @@ def calibrate(weights: np.ndarray, tokens: np.ndarray, wanted: float) -> np.ndar
         return np.where(ratio > 0, np.minimum(1.0, ratio * best), 0.0)
 
 
-def _keys(docs: DataFrame, *more: Column) -> DataFrame:
+def _keys(docs: DataFrame, *more: Column, topic: Column | str | None = None) -> DataFrame:
     text = text_or_empty()
+    if topic is not None:
+        own = F.col(f"`{topic}`") if isinstance(topic, str) else topic
+        topic = F.coalesce(own.cast("string"), F.lit(""))
     return docs.select(
         "doc_id",
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"),
-        topic_of(text).alias("topic"),
+        (topic_of(text) if topic is None else topic).alias("topic"),
         tokens_of(text).alias("n_tokens"),
         draw_of(F.col("doc_id"), text).alias("draw"),
         *more,
@@ -121,6 +136,10 @@ def _rake_table(
             factor = factor.select(m, F.when(F.col("s") > 0, F.col("g") / F.col("s")).otherwise(0.0).alias("f"))
             now = now.join(factor, m).withColumn("w", F.col("w") * F.col("f")).drop("f")
         now = cut(now)
+        # The last marginal is met by now; the others tell whether another round is due.
+        sums = [now.groupBy(m).agg(F.sum("w").alias("s")).join(wanted[m], m) for m in MARGINALS[:-1]]
+        if all((s.agg(F.sum(F.abs(F.col("s") - F.col("g")))).first()[0] or 0.0) <= TOLERANCE for s in sums):
+            break
     return now
 
 
@@ -151,13 +170,14 @@ def cell_chances(
     temperature: float = TEMPERATURE,
     rounds: int = ROUNDS,
     local_cells: int = LOCAL_CELLS,
+    topic: Column | str | None = None,
 ) -> DataFrame:
     """The table of cells with their probabilities, marked for broadcast where it is small.
 
     ``targets`` gives shares by value for any of the marginals; a value that is
     not named there gets none.
     """
-    cells = cut(_keys(docs).groupBy(*MARGINALS).agg(F.sum("n_tokens").cast("double").alias("n")))
+    cells = cut(_keys(docs, topic=topic).groupBy(*MARGINALS).agg(F.sum("n_tokens").cast("double").alias("n")))
     if cells.count() > local_cells:
         raked = _rake_table(cells, targets, temperature, rounds)
         return cut(_calibrate_table(raked, share * cells.agg(F.sum("n")).first()[0]))
@@ -183,7 +203,7 @@ def cell_chances(
 def probabilities(docs: DataFrame, **options) -> DataFrame:
     """``doc_id, source, lang, topic, n_tokens, probability, selected`` of every row."""
     return (
-        _keys(docs)
+        _keys(docs, topic=options.get("topic"))
         .join(cell_chances(docs, **options), list(MARGINALS))
         .select("doc_id", *MARGINALS, "n_tokens", "probability", (F.col("draw") < F.col("probability")).alias("selected"))
     )
@@ -193,11 +213,39 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The selected rows of ``docs``, with all their columns."""
     columns = docs.columns
     whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
-    keyed = _keys(docs, whole).select(*MARGINALS, "draw", "_row")
+    keyed = _keys(docs, whole, topic=options.get("topic")).select(*MARGINALS, "draw", "_row")
     chosen = keyed.join(cell_chances(docs, **options), list(MARGINALS)).where("draw < probability")
     return chosen.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
 
 
+def marginals(
+    docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temperature: float = TEMPERATURE, **options
+) -> DataFrame:
+    """``marginal, value, corpus_share, target_share, sample_share``: how well the expected sample meets each target.
+
+    A share falls short of its target where a cell's documents are all taken, or
+    where the targets contradict each other.
+    """
+    rows = probabilities(docs, targets=targets, temperature=temperature, **options)
+    n, expected = F.sum("n_tokens").cast("double"), F.sum(F.col("probability") * F.col("n_tokens"))
+    by_cell = cut(rows.groupBy(*MARGINALS).agg(n.alias("n"), expected.alias("e")))
+    total = by_cell.agg(F.sum("n").alias("n"), F.sum("e").alias("e")).first()
+    out = None
+    for m in MARGINALS:
+        shares = by_cell.groupBy(F.col(m).alias("value")).agg((F.sum("n") / (total.n or 1.0)).alias("c"), (F.sum("e") / (total.e or 1.0)).alias("e"))
+        if targets and m in targets:
+            given = docs.sparkSession.createDataFrame([(str(k), float(v)) for k, v in targets[m].items()], "value string, g double")
+            shares = shares.join(given, "value", "left").withColumn("g", F.coalesce("g", F.lit(0.0)))
+        else:
+            shares = shares.withColumn("g", F.pow("c", F.lit(temperature)))
+        whole = shares.agg(F.sum("g")).first()[0] or 1.0
+        part = shares.select(
+            F.lit(m).alias("marginal"), "value", F.col("c").alias("corpus_share"), (F.col("g") / whole).alias("target_share"), F.col("e").alias("sample_share")
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampling probabilities of the whole documents table, with the draws."""
     return probabilities(read(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 9))

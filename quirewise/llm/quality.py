@@ -180,6 +180,19 @@ def score(docs: DataFrame, model: Discriminant | None) -> DataFrame:
     return map_batches(docs.select(*[F.col(f"`{c}`") for c in kept]), per_batch, f"{schema}, score double, predicted int")
 
 
+def keep(docs: DataFrame, model: Discriminant | None, least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score at least ``least``, all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if shared.value is None:
+            return batch
+        points = np.array([statistics((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()])
+        return batch.filter(pa.array(shared.value.scores(points) >= least))
+
+    return map_batches(docs, per_batch, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of the whole documents table."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
