@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quirewise.llm import bpe, chat, graph, licenses, media, mixing, quality, secrets, simhash, tokens, vectors
+from quirewise.llm import bpe, chat, common, graph, licenses, media, mixing, quality, secrets, simhash, tokens, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -117,9 +119,11 @@ def test_keep_one(spark, docs, rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = sorted(str(r.doc_id) for r in kept.select("doc_id").collect())
-    fps = [simhash.word_fingerprint((r.text or "").encode()) for r in rows]
-    links = [(i, j) for i in range(len(fps)) for j in range(i) if sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j], strict=True)) <= 14]
-    labels = components(len(fps), links)
+    lower = {c: c + 32 for c in range(65, 91)}
+    cut = [re.findall(r"[^ \t-\r]+", (r.text or "").translate(lower)) for r in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in cut]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    labels = components(len(sets), links)
     least = {}
     for r, c in zip(rows, labels, strict=True):
         least[c] = min(least.get(c, 10**9), 10**9 if r.doc_id is None else r.doc_id)
@@ -127,8 +131,12 @@ def test_keep_one(spark, docs, rows):
     assert simhash.keep_one(empty(docs)).count() == 0
 
 
-def test_keep_one_verifies_jaccard(spark):
-    """Words in another order, chains and small edits, against brute-force five-word Jaccard."""
+@pytest.mark.parametrize(("first", "block"), [(32, 4096), (1, 4096), (1, 16)])
+def test_keep_one_verifies_jaccard(spark, monkeypatch, first, block):
+    """Words in another order, chains, small edits and crowds, against brute-force five-word Jaccard; in rounds and blocks too."""
+    monkeypatch.setattr(simhash, "FIRST_PARTNERS", first)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
+    monkeypatch.setattr(simhash._blocked, "__defaults__", (block,))
     rng = random.Random(11)
     texts = []
     for n in (60, 200, 200, 400):
@@ -141,6 +149,12 @@ def test_keep_one_verifies_jaccard(spark):
             texts.append(" ".join(now))
         shuffled = rng.sample(base, n)
         texts += [" ".join(shuffled), " ".join(shuffled).upper(), "  ".join(shuffled[:-1] + ["tail"])]
+    base = words(rng, 300).split()
+    for _ in range(60):  # copies of one text that are copies of it, but hardly of each other
+        now = list(base)
+        for k in rng.sample(range(300), 5):
+            now[k] = "edit" + str(rng.randrange(10**6))
+        texts.append(" ".join(now))
     rng.shuffle(texts)
 
     def shingles(text):
@@ -154,12 +168,210 @@ def test_keep_one_verifies_jaccard(spark):
     assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == expected
 
 
+def test_keep_one_tells_rows_apart(spark):
+    """Rows that differ only in where a null stands are different rows; a column named like ours keeps its values."""
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(0, text, None, "x", "mine"), (1, text, None, "y", "a"), (1, None, text, "y", "b"), (1, None, text, "y", "b"), (2, "other", None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _row string")
+    kept = sorted(simhash.keep_one(frame).collect(), key=lambda r: r.doc_id)
+    assert [tuple(r) for r in kept] == [rows[0], rows[2], rows[4]]
+    nested = spark.createDataFrame([(1, None, ["a", None]), (1, None, [None, "a"])], "doc_id long, text string, more array<string>")
+    assert nested.select(common.row_hash(nested)).distinct().count() == 2
+    assert simhash.keep_one(nested).count() == 1
+
+
+def test_quality_keeps_columns_of_its_names(spark):
+    rows = [(i, "A plain sentence of good words stands here. " * (1 + i % 3), "mine", "too") for i in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score string, predicted string")
+    points = np.array([quality.statistics(r[1].encode()) for r in rows])
+    shift = np.ones(len(quality.FEATURES))
+    model = quality.Discriminant(np.array([points[0] + shift, points[0]]), np.array([np.eye(len(shift))] * 2), 0.0)
+    kept = quality.keep(frame, model)
+    good = {r[0] for r, s in zip(rows, model.scores(points), strict=True) if s >= quality.THRESHOLD}
+    assert 0 < len(good) < 6 or len(good) == 6
+    assert sorted(tuple(r) for r in kept.collect()) == [r for r in rows if r[0] in good]
+    assert quality.keep(frame, None).count() == 6 and quality.keep(empty(frame), model).count() == 0
+
+
+def test_quality_scores_follow_the_densities():
+    """Scores against the plain formula of two normal densities with the shrunk covariances."""
+    rng = np.random.default_rng(7)
+    d = len(quality.FEATURES)
+    made = [rng.normal(size=(300, d)) @ rng.normal(size=(d, d)) + k for k in (0, 1)]
+    counts = np.array([300.0, 200.0])
+    means, covs = np.array([m.mean(0) for m in made]), np.array([np.cov(m.T, bias=True) for m in made])
+    model = quality.discriminant(counts, means, covs)
+    points = np.concatenate([m[:20] for m in made])
+    pooled = 0.6 * covs[0] + 0.4 * covs[1]
+    centre = 0.6 * means[0] + 0.4 * means[1]
+    spread = np.diag(pooled) + 0.6 * (means[0] - centre) ** 2 + 0.4 * (means[1] - centre) ** 2
+    logs = []
+    for k in (0, 1):
+        shrunk = 0.8 * covs[k] + 0.1 * np.diag(np.diag(covs[k])) + 0.1 * pooled + np.diag(np.maximum(spread / 50, 1e-4))
+        away = points - means[k]
+        logs.append(np.log(counts[k]) - 0.5 * (np.linalg.slogdet(shrunk)[1] + (away * np.linalg.solve(shrunk, away.T).T).sum(1)))
+    assert np.allclose(model.scores(points), 1 / (1 + np.exp(-np.clip((logs[1] - logs[0]) / quality.TEMPERATURE, -60, 60))))
+
+
 def test_fit_does_not_depend_on_partitions(spark):
     rng = random.Random(14)
     texts = [(f"token = {''.join(rng.choices('abcxyzABC0189', k=rng.randint(12, 30)))}",) for _ in range(300)]
     frame = spark.createDataFrame(texts, "text string")
-    one, more = (secrets.fit(frame.repartition(n), per_kind=20) for n in (1, 4))
-    assert one == more
+    one, *more = (secrets.fit(frame.repartition(n), per_kind=20) for n in (1, 4, 7, 32))
+    assert all(one == other for other in more)
+
+
+def test_automata_learn_the_formats(spark):
+    """More than one state for each kind; unlabelled secrets of the formats are found, other words are not."""
+    rng = random.Random(15)
+    hexes, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    make = {
+        "assign": lambda: "sk_" + "".join(rng.choices(upper, k=8)) + "-" + "".join(rng.choices(upper, k=24)),
+        "access": lambda: "AKIA" + "".join(rng.choices(upper, k=16)),
+        "hex": lambda: "".join(rng.choices(hexes, k=40)),
+    }
+    plain = lambda: words(rng, 1) + rng.choice(["schaftlichkeiten", "-of-the-gathering", ".example/articles"])
+    texts = [f"token: {make['assign']()} and {make['access']()} or {make['hex']()} with {plain()} {plain()}" for _ in range(300)]
+    formats = secrets.fit(spark.createDataFrame([(t,) for t in texts], "text string"))
+    sizes = {k: len(a.ends) for k, a in formats.credentials.items()}
+    assert set(sizes) == {"assign", "access", "hex"} and min(sizes.values()) > 1 and len(formats.ordinary.ends) > 1
+    assert sizes["assign"] >= 36 and sizes["access"] >= 20
+    found = lambda text: [x for x in secrets.spans_of(text, formats)[1] if x[0] == "format"]
+    hits = [found(f"see {(key := make['assign']())} here") == [("format", 4, 4 + len(key))] for _ in range(100)]
+    false = [found(f"see {plain()} here") for _ in range(300)]
+    assert sum(hits) >= 95 and not any(false)
+    assert not any(found(f"see {'/'.join(words(rng, 1) for _ in range(9))} here") for _ in range(50))
+
+
+def test_scans_take_time_in_proportion():
+    """Base spans and runs are passed once: four times the text takes about four times as long."""
+    rng = random.Random(16)
+    line = lambda: f"token = {''.join(rng.choices('0123456789abcdef', k=32))} {words(rng, 2)} GNU General Public License, version 2 "
+    text = "".join(line() for _ in range(4000))
+    formats = secrets.Formats({"assign": secrets.infer(["ab12" * 8] * 50)}, secrets.infer(["ordinarylongwords"] * 50))
+    for scan in (lambda t: secrets.spans_of(t, formats), lambda t: licenses.detect(licenses.normal_words(t.lower().encode()))):
+        took = []
+        for part in (text[: len(text) // 4], text):
+            began = time.perf_counter()
+            scan(part)
+            took.append(time.perf_counter() - began)
+        assert took[1] < 10 * took[0] + 0.5
+
+
+def plain_detections(text):
+    """Detections without a prefilter, word offsets or an interval list."""
+    found = []
+    for i, rule in enumerate(licenses.rules()):
+        for m in rule.pattern.finditer(text):
+            first = text[: m.start()].count(" ")
+            found.append((i, first, first + m[0].count(" ") + 1, rule.label))
+    standing = []
+    for _, first, end, label in sorted(found):
+        if not any(a <= first and end <= b for _, a, b in standing):
+            standing.append((label, first, end))
+    return sorted(standing, key=lambda d: (d[1], d[2], d[0]))
+
+
+def test_license_contract(spark, tmp_path):
+    """All columns of the query against plain Python."""
+    rng = random.Random(17)
+    parts = ["GNU General Public License", "version 2", "or later", "Apache License, 2.0", "CC BY-NC-SA 4.0", "CC-BY", "All rights reserved", "licensed under the",
+             "MIT License", "Copyright (c) 2020", "Ünï", "bar_baz", "creative commons attribution", "use it at your own risk", "cc", "by", "all", "rights reserved"]
+    texts = [" ".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(200)] + [None, "", "  ", "cc by cc by cc by"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in licenses.op5_licenses(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    lower = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+    for i, text, *_ in rows:
+        found = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate(lower))
+        places = [(k, label) for phrase, label in licenses.BASE for k in range(len(found)) if found[k : k + len(phrase.split())] == phrase.split()]
+        more = {x for x, _, _ in plain_detections(" ".join(found))}
+        r = got[i]
+        assert (r.n_words, r.n_base) == (len(found), len(places))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places}))
+        assert r.labels == ",".join(sorted({x for _, x in places} | more)) and r.score == 1 - 0.5 ** len({x for _, x in places} | more)
+    assert len({*licenses.NAMED, *licenses.IDENTIFIED, *licenses.COMMONS, *licenses.PERMISSIVE, *licenses.COPYLEFT, *licenses.OTHER_TERMS, *licenses.NOTICES}) >= 300
+
+
+def test_vectors_of_many_lists(spark):
+    """Real links across many lists and blocks, floats and doubles, against brute force."""
+    rng = np.random.default_rng(21)
+    centres = rng.normal(size=(60, 16))
+    values = centres[rng.integers(0, 60, 1500)] + rng.normal(size=(1500, 16)) * rng.choice([0.08, 0.25], (1500, 1))
+    for kind, store in (("float", np.float32), ("double", np.float64)):
+        frame = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(values)], f"vec_id long, label int, embedding array<{kind}>")
+        unit = values.astype(store).astype(float)
+        unit /= np.linalg.norm(unit, axis=1)[:, None]
+        near = (unit @ unit.T >= 0.93) & (np.arange(1500)[:, None] % 2 == np.arange(1500) % 2)
+        np.fill_diagonal(near, False)
+        labels = components(1500, list(zip(*np.nonzero(np.triu(near)), strict=True)))
+        got = {r.vec_id: r for r in vectors.near_duplicates(frame, list_rows=30, block_rows=16).collect()}
+        assert near.sum() > 3000
+        assert [(got[i].n_links, got[i].component_id) for i in range(1500)] == list(zip(near.sum(1).tolist(), labels, strict=True))
+
+
+def test_mixing_by_a_topic_column(spark, docs):
+    by_source = mixing.probabilities(docs, topic="source").collect()
+    assert {r.topic for r in by_source} == {"", "s0", "s1"} and all(r.topic == r.source for r in by_source)
+    rng = random.Random(18)
+    rows = [(i, "x" * rng.randint(40, 3900), rng.choice(["en", "de", "fr"]), f"s{rng.randint(0, 3)}", 1) for i in range(2000)]
+    frame = spark.createDataFrame(rows, DOCS)
+    for options in ({}, {"targets": {"lang": {"en": 1, "de": 1, "fr": 2}}}):
+        report = mixing.marginals(frame, share=0.05, **options).collect()
+        assert {r.marginal for r in report} == {"source", "lang", "topic"}
+        assert all(abs(r.sample_share - r.target_share) < 1e-6 for r in report)
+    assert {r.value: r.target_share for r in report if r.marginal == "lang"} == pytest.approx({"en": 0.25, "de": 0.25, "fr": 0.5})
+    assert mixing.marginals(empty(frame)).count() == 0
+
+
+def test_media_digests(spark, tmp_path):
+    """Stored forms and features against plain decoders and averages."""
+    rng = random.Random(19)
+    texts = [words(rng, n) for n in (1, 90, 180, 300, 1000)] + ["é" * 700, "", None]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in media.op4_media(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        raw = (text or "").encode()
+        payload = raw + b"\xff" * ((-len(raw)) % 576 or (0 if raw else 576))
+        file, height = media.store(payload), len(payload) // 24
+        if file[:2] == b"BM":
+            offset = int.from_bytes(file[10:14], "little")
+            samples = b"".join(file[offset + 24 * y : offset + 24 * y + 24] for y in reversed(range(height)))
+            pixels = np.frombuffer(samples, np.uint8).reshape(height, 24, 1)
+        else:
+            samples = file[-len(payload) :]
+            pixels = np.frombuffer(samples, np.uint8).reshape(-1, 24, 3 if file[:2] == b"P6" else 1)
+        assert samples == payload
+        grey = np.kron(pixels.mean(axis=2), np.ones((8, 9)))  # every box then holds whole cells
+        small = np.round(grey.reshape(8, grey.shape[0] // 8, 9, grey.shape[1] // 9).mean(axis=(1, 3)), 6)
+        bits = "".join("1" if b > a else "0" for row in small for a, b in zip(row, row[1:], strict=False))
+        tiles = []
+        for top in range(0, pixels.shape[0], 24):
+            file_of = io.BytesIO()
+            np.save(file_of, np.ascontiguousarray(pixels[top : top + 24]))
+            tiles.append(hashlib.md5(file_of.getvalue()).hexdigest())
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(file))
+        assert (r.payload_sha256, r.media_sha256, r.tail_crc32) == (
+            hashlib.sha256(payload).hexdigest(), hashlib.sha256(file).hexdigest(), zlib.crc32(payload[-32:])
+        )
+        assert r.feature == f"{int(bits, 2):016x}:{len(tiles)}:{hashlib.sha256(','.join(tiles).encode()).hexdigest()[:16]}"
+
+
+def test_bpe_digests(spark, tmp_path, docs, rows):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    reference, expected = library(), []
+    for r in rows:
+        ids = reference.encode(r.text or "", add_special_tokens=False).ids
+        back = reference.decode(ids, skip_special_tokens=False)
+        digest = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), back)]
+        expected.append((str(r.doc_id), len(ids), *digest))
+    got = bpe.op10_bpe(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(expected)
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.vocabulary(bpe.default_path().replace("byte_bpe_50k", "word_bpe_49k"))
 
 
 def test_whole_runs_are_scored():
