@@ -21,7 +21,7 @@ MIX_SHARE = 0.9
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     model = quality.fit(docs.select("doc_id", "text"), read(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return quality.keep(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +57,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each one's result written and read again."""
+    """All stages over the documents table, each one's result written and read again.
+
+    The stages' folders are in one new folder under the shared one; the last
+    holds the result, so whoever reads that removes them.
+    """
     docs = read(spark, sf_dir, "documents")
     folder = run_folder(spark)
     for name, stage in STAGES:
