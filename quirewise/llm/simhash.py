@@ -160,6 +160,32 @@ def cells_of(fps: list[np.ndarray], max_distance: int, reach: bool) -> tuple[np.
     return np.concatenate(grid).view(np.int64), np.concatenate(index)
 
 
+def first_met(cell: np.ndarray, fps: list[np.ndarray], a: np.ndarray, b: np.ndarray, max_distance: int) -> np.ndarray:
+    """Whether the rows ``a`` and ``b`` of a cell meet there first: each pair is due in one of its cells.
+
+    That is in the first part where they are within distance two, and there in the
+    smallest cell that both reach.  Only the low bits of a cell name a place.
+    """
+    spans, one = parts(max_distance, len(fps)), np.uint64(1)
+    points = [embed(w) for w in fps]
+    unary = [p | ((p >> one) & np.uint64(0x5555555555555555)) for p in points]
+    due = np.full(len(a), -1, np.int64)
+    for part in range(len(spans) - 1, -1, -1):
+        word, low, high = spans[part]
+        shift, mask = np.uint64(2 * low), (one << np.uint64(2 * (high - low))) - one
+        apart = np.bitwise_count(((unary[word][a] ^ unary[word][b]) >> shift) & mask)
+        x, y = (points[word][a] >> shift) & mask, (points[word][b] >> shift) & mask
+        differ = x ^ y
+        # The lowest differing segment of two; taken from either side it gives the two cells between.
+        bit = differ & (~differ + one)
+        segment = np.where(bit & np.uint64(0x5555555555555555), bit | (bit << one), bit | (bit >> one))
+        between = np.minimum((x & ~segment) | (y & segment), (y & ~segment) | (x & segment))
+        middle = np.where(differ == segment & np.uint64(0xAAAAAAAAAAAAAAAA), (x + y) >> one, between)
+        place = np.where(apart == 2, middle, np.minimum(x, y)) | np.uint64(part << 33)
+        due = np.where(apart <= 2, place.view(np.int64), due)
+    return (cell[a] & ((1 << 38) - 1)) == due
+
+
 def _to_cells(fps: DataFrame, max_distance: int, reach: bool) -> DataFrame:
     names = [c for c in fps.columns if re.fullmatch(r"fp\d", c)]
 
@@ -332,7 +358,8 @@ def _forests(cells: DataFrame, max_distance: int) -> DataFrame:
         return pa.array(["".join(f"{x:016X}" for x in item) for item in both], kind)
 
     def emit(cell: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = forest(cell, list(words), max_distance)
+        fps = [w.view(np.uint64) for w in words]
+        a, b = forest(cell, list(words), max_distance, lambda a, b: first_met(cell, fps, a, b, max_distance))
         if len(a):
             yield pa.RecordBatch.from_arrays([names(words, a), names(words, b)], names=["a", "b"])
 
@@ -468,12 +495,13 @@ def _hex_names(high: np.ndarray, low: np.ndarray) -> pa.Array:
 
 
 def _occupied(cells: DataFrame, max_distance: int) -> DataFrame:
-    """The rows of cells that have a near row in the same cell."""
+    """The rows of cells that meet a near row there first."""
 
     def emit(cell: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        near = np.zeros(len(cell), bool)
-        for a, b in near_pairs(cell, [w.view(np.uint64) for w in words], max_distance):
-            near[a] = near[b] = True
+        near, fps = np.zeros(len(cell), bool), [w.view(np.uint64) for w in words]
+        for a, b in near_pairs(cell, fps, max_distance):
+            due = first_met(cell, fps, a, b, max_distance)
+            near[a[due]] = near[b[due]] = True
         if near.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (cell, *words)], names=["cell", "fp0", "fp1"])
 

@@ -115,6 +115,28 @@ def test_links_are_complete(spark, distance, n_words, block):
     assert sorted(map(sorted, ours.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+@pytest.mark.parametrize(("n_words", "distance"), [(1, 4), (1, 8), (2, 14), (2, 17)])
+def test_each_pair_meets_first_once(n_words, distance):
+    rng = np.random.default_rng(6)
+    points = [rng.integers(0, 2**63, (60, n_words), dtype=np.uint64)]
+    for _ in range(8):
+        flips = np.zeros((60, n_words), np.uint64)
+        for i in range(60):
+            for bit in rng.integers(0, 64 * n_words, rng.integers(0, distance + 2)):
+                flips[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        points.append(points[0] ^ flips)
+    fps = np.unique(np.concatenate(points), axis=0)
+    cell, index = simhash.cells_of([np.ascontiguousarray(fps[:, w]) for w in range(n_words)], distance, True)
+    order = np.argsort(cell, kind="stable")
+    cell, index = cell[order], index[order]
+    words, met = [np.ascontiguousarray(fps[index, w]) for w in range(n_words)], []
+    for a, b in simhash.near_pairs(cell, words, distance):
+        due = simhash.first_met(cell, words, a, b, distance)
+        met += [tuple(sorted(x)) for x in zip(index[a[due]].tolist(), index[b[due]].tolist(), strict=True)]
+    apart = sum(np.bitwise_count(fps[:, None, w] ^ fps[None, :, w]).astype(int) for w in range(n_words))
+    assert sorted(met) == sorted(zip(*(x.tolist() for x in np.nonzero(np.triu(apart <= distance, 1))), strict=True))
+
+
 def test_keep_one(spark, docs, rows):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
