@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import map_batches, read, record_batch, text_or_empty
 
 #: Units a worker remembers in each of two generations; the older is forgotten when the younger is full.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Longest unit that is remembered.
 UNIT_CHARS = 200
 #: Units above this are encoded as a tree, from leaves of this many characters.
