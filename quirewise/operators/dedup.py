@@ -1,8 +1,12 @@
-"""Near-duplicate rows: exact Jaccard candidates, date rule, clusters, gates and resolution."""
+"""Near-duplicate rows: exact Jaccard candidates, date rule, clusters, gates and resolution.
+
+Rows: a null text counts as empty, and one without words is no duplicate of any;
+null and unknown dates are one date; repeated rows are duplicates of each other;
+empty tables give empty results.
+"""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
@@ -11,42 +15,53 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirewise.functions import text as X
+from quirewise.operators.graph import checkpoint, components
 from quirewise.session import ship
 
 #: Least word overlap of a candidate pair, and least character similarity where dates differ.
 JACCARD, CROSS_DATE, ACCEPT = 0.7, 0.99, 0.95
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's folder, or a temporary one where a session has none."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quirewise-"))
-    return df.checkpoint(eager=True)
+#: Words in the prefixes of more sets than this are joined in salted parts.
+HOT_WORD = 2000
 
 
 def signature_classes(items: DataFrame, key: str) -> DataFrame:
-    """``key, sid``: rows with equal word signatures share a class; rows without words have none."""
-    words = F.array_sort(X.signature(F.col("text")))
-    return items.select(key, words.alias("words")).where(F.size("words") > 0).select(key, F.sha2(F.array_join("words", " "), 256).alias("sid"), "words")
+    """``key, sid, words``: rows with equal word signatures share a class; rows without words have none.
+
+    Words are 64-bit hashes, which everything here compares in their place.
+    """
+    signed = items.select(key, F.sort_array(X.signature(F.col("text"))).alias("_w")).where(F.size("_w") > 0)
+    return signed.select(key, F.sha2(F.array_join("_w", " "), 256).alias("sid"), F.transform("_w", lambda w: F.xxhash64(w)).alias("words"))
 
 
-def jaccard_pairs(signatures: DataFrame, least: float = JACCARD, key: str = "sid") -> DataFrame:
+def jaccard_pairs(signatures: DataFrame, least: float = JACCARD, key: str = "sid", hot: int = HOT_WORD) -> DataFrame:
     """``a, b, jaccard`` of all pairs of distinct word sets ``key, words`` with at least that overlap, a < b.
 
     Words are ordered by how rare they are; two sets that overlap enough share
-    one of their first words, so only those prefixes are joined.  Pairs whose
-    sizes rule the overlap out are dropped before the exact count.
+    one of their first words, so only those prefixes are joined.  The words that
+    two prefixes share, and how much is left of both sets behind the last of them,
+    bound the overlap of a pair; only pairs whose bound reaches far enough are
+    counted exactly.  A word in very many prefixes is joined in parts.
     """
     numbered = checkpoint(signatures.select(F.col(key).alias("id"), "words", F.size("words").alias("n")))
     exploded = numbered.select("id", "n", F.explode("words").alias("word"))
     rarity = exploded.groupBy("word").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "word"))
     need = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    prefix = checkpoint(exploded.join(rarity, "word").where("df > 1").withColumn("at", place).where(F.col("at") <= need).select("id", "n", "word"))
-    other = prefix.select(F.col("id").alias("b"), F.col("n").alias("m"), "word")
+    # A word that one set alone has keeps its place, but joins nothing.
+    placed = exploded.join(rarity, "word").withColumn("at", place).where((F.col("at") <= need) & (F.col("df") > 1))
+    prefix = checkpoint(placed.select("id", "n", "word", "at"))
+    crowd = prefix.groupBy("word").agg(F.count("*").alias("times")).where("times > 1")
+    parts = F.ceil(F.col("times") / hot).cast("int")
+    salted = prefix.join(crowd.select("word", parts.alias("parts")), "word")
+    one = salted.select("id", "n", "word", "at", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    two = salted.select(
+        F.col("id").alias("b"), F.col("n").alias("m"), "word", F.col("at").alias("at_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    )
     sized = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
-    candidates = prefix.join(other, "word").where((F.col("id") < F.col("b")) & sized).select(F.col("id").alias("a"), "b").distinct()
+    met = one.join(two, ["word", "part"]).where((F.col("id") < F.col("b")) & sized)
+    shared = met.groupBy(F.col("id").alias("a"), "b", "n", "m").agg(F.count("*").alias("c"), F.max("at").alias("i"), F.max("at_b").alias("j"))
+    most = F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
+    candidates = shared.where(most >= (F.col("n") + F.col("m")) * (least / (1 + least)) - 1e-9).select("a", "b")
     left = numbered.select(F.col("id").alias("a"), F.col("words").alias("x"))
     right = numbered.select(F.col("id").alias("b"), F.col("words").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -54,76 +69,123 @@ def jaccard_pairs(signatures: DataFrame, least: float = JACCARD, key: str = "sid
     return rated.select("a", "b", (F.col("c") / (F.col("s") - F.col("c"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, component`` for all ``nodes``: the smallest reachable one.
+def excerpt(text: Column) -> Column:
+    """What is compared character by character: the start of a text, dates masked."""
+    return F.left(X.mask_dates(text), F.lit(X.EXCERPT))
 
-    Minima travel along the edges and then along themselves, until nothing
-    changes; each round is checkpointed.
-    """
-    a, b = edges.columns
-    links = checkpoint(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).union(edges.select(F.col(b), F.col(a))).distinct())
-    labels = checkpoint(nodes.select(F.col(nodes.columns[0]).alias("node"), F.col(nodes.columns[0]).alias("component")).distinct())
-    while True:
-        near = links.join(labels, links.v == labels.node).groupBy("u").agg(F.min("component").alias("least"))
-        moved = labels.join(near, labels.node == near.u, "left").select(
-            "node", F.col("component").alias("was"), F.least("component", F.coalesce("least", "component")).alias("now")
-        )
-        target = moved.select(F.col("node").alias("now"), F.col("now").alias("jump"))
-        new = checkpoint(moved.join(target, "now", "left").select("node", "was", F.least("now", F.coalesce("jump", "now")).alias("component")))
-        changed = new.where("component <> was").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
-
-
-def excerpt_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """Pairs with the character ratio of their masked excerpts, in argument order."""
+
+def ratios(pairs: DataFrame, a: str = "s", b: str = "t") -> DataFrame:
+    """Pairs with the character ratio of two texts, in argument order, in place of the texts."""
     ship(pairs.sparkSession)
-    cut = lambda c: F.left(X.mask_dates(F.col(c)), F.lit(X.EXCERPT))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in (a, b)) + ", ratio double"
     others = [c for c in pairs.columns if c not in (a, b)]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in (a, b)] + ["ratio double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True)
-            ratio = pa.array([SequenceMatcher(None, x, y).ratio() for x, y in both], pa.float64())
+            both = zip(batch.column(a).to_pylist(), batch.column(b).to_pylist(), strict=True)
+            ratio = pa.array([SequenceMatcher(None, x or "", y or "").ratio() for x, y in both], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], ratio], names=[*others, "ratio"])
 
-    return pairs.select(*others, cut(a).alias("_a"), cut(b).alias("_b")).mapInArrow(run, schema)
+    return pairs.mapInArrow(run, schema)
+
+
+def _across_dates(marked: DataFrame, linked: DataFrame, key: str, least: float) -> DataFrame:
+    """``u, v``: links of rows whose dates differ and whose excerpts are alike to the character.
+
+    Rows of equal word sets and excerpts are alike whatever their dates.  Others
+    are compared by excerpt, not by row: for each order in which two rows of
+    different dates stand, once.
+    """
+    ids = ["sid", "cut"]
+    named = marked.select(key, "sid", "date", excerpt(F.col("text")).alias("s")).withColumn("cut", F.sha2("s", 256))
+    by_date = named.groupBy(*ids, "date").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    ends = by_date.groupBy(*ids).agg(F.min(F.struct("lo", "date")).alias("f"), F.max(F.struct("hi", "date")).alias("l"))
+    others = by_date.join(ends, ids).groupBy(*ids).agg(
+        F.first("f").alias("f"), F.first("l").alias("l"),
+        F.min(F.when(F.col("date") != F.col("f.date"), F.col("lo"))).alias("lo2"),
+        F.max(F.when(F.col("date") != F.col("l.date"), F.col("hi"))).alias("hi2"),
+    )
+    texts = named.groupBy(*ids).agg(F.first("s").alias("s"))
+    units = checkpoint(others.join(texts, ids))
+    alike = by_date.join(units.select(*ids, F.col("f.lo").alias("v")), ids).where("lo <> v").select(F.col("lo").alias("u"), "v")
+    side = lambda n, k: units.select(F.col("sid").alias(n), *[F.col(c).alias(f"{c}_{k}") for c in ("cut", "f", "l", "lo2", "hi2")])
+    met = linked.join(side("a", "x"), "a").join(side("b", "y"), "b").where("a <> b OR cut_x < cut_y")
+
+    def stands(x: str, y: str) -> Column:
+        """Whether a row of the one stands before a row of another date of the other."""
+        same = F.col(f"f_{x}.date") == F.col(f"l_{y}.date")
+        plain = F.col(f"f_{x}.lo") < F.col(f"l_{y}.hi")
+        turned = (F.col(f"f_{x}.lo") < F.col(f"hi2_{y}")) | (F.col(f"lo2_{x}") < F.col(f"l_{y}.hi"))
+        return F.coalesce(F.when(same, turned).otherwise(plain), F.lit(False))
+
+    kept = ["u", "v"]
+    node = lambda k: F.col(f"f_{k}.lo")
+    asked = met.where(stands("x", "y")).select(node("x").alias("u"), node("y").alias("v"), F.col("a").alias("p"), F.col("cut_x").alias("q"), F.col("b").alias("r"), F.col("cut_y").alias("w"))
+    asked = asked.union(met.where(stands("y", "x")).select(node("y"), node("x"), "b", "cut_y", "a", "cut_x"))
+    one = units.select(F.col("sid").alias("p"), F.col("cut").alias("q"), "s")
+    two = units.select(F.col("sid").alias("r"), F.col("cut").alias("w"), F.col("s").alias("t"))
+    both = asked.distinct().join(one, ["p", "q"]).join(two, ["r", "w"])
+    # Lengths alone rule out most pairs that are not alike.
+    possible = 2.0 * F.least(F.length("s"), F.length("t")) >= (least - 1e-9) * (F.length("s") + F.length("t"))
+    return alike.union(ratios(both.where(possible).select(*kept, "s", "t")).where(F.col("ratio") >= least).select(*kept))
 
 
 def clusters(items: DataFrame, key: str, least: float = JACCARD, cross_date: float | None = None) -> DataFrame:
     """``key, cluster`` of the rows that have a near-duplicate: word overlap and, by rule, the same date.
 
-    ``items`` gives ``key, text, date``.  Rows with equal signatures and dates are
-    one node.  Pairs of different dates link only where ``cross_date`` is given
-    and their texts are that similar by character.  The cluster is its smallest key.
+    ``items`` gives ``key, text, date``.  Pairs of different dates link only where
+    ``cross_date`` is given and their texts are that similar by character.  The
+    cluster is its smallest key.
     """
-    marked = checkpoint(
-        items.select(key, "text", X.comparison_key(F.col("date")).alias("date")).join(signature_classes(items, key), key)
-    )
-    nodes = checkpoint(marked.groupBy("sid", "date").agg(F.min(key).alias("node"), F.count("*").alias("times"), F.min_by("text", key).alias("text")))
+    dated = items.select(key, "text", X.comparison_key(F.col("date")).alias("date"))
+    marked = checkpoint(dated.join(signature_classes(items, key), key))
+    nodes = checkpoint(marked.groupBy("sid", "date").agg(F.min(key).alias("node")))
     sets = marked.groupBy("sid").agg(F.first("words").alias("words"))
-    pairs = jaccard_pairs(sets, least).select("a", "b")
-    same = sets.select(F.col("sid").alias("a"), F.col("sid").alias("b"))
-    linked = checkpoint(pairs.union(same))
+    pairs = checkpoint(jaccard_pairs(sets, least).select("a", "b"))
     left = nodes.select(F.col("sid").alias("a"), "date", F.col("node").alias("u"))
-    right = nodes.select(F.col("sid").alias("b"), F.col("date").alias("date"), F.col("node").alias("v"))
-    by_date = linked.join(left, "a").join(right, ["b", "date"]).where("u <> v").select("u", "v")
+    right = nodes.select(F.col("sid").alias("b"), "date", F.col("node").alias("v"))
+    links = pairs.join(left, "a").join(right, ["b", "date"]).select("u", "v")
+    rows = marked.join(nodes, ["sid", "date"]).select(key, "node")
     if cross_date is not None:
-        first = nodes.select(F.col("sid").alias("a"), F.col("date").alias("d"), F.col("node").alias("u"), F.col("text").alias("s"))
-        second = nodes.select(F.col("sid").alias("b"), F.col("date").alias("e"), F.col("node").alias("v"), F.col("text").alias("t"))
-        other = linked.join(first, "a").join(second, "b").where("d <> e AND u <> v")
-        ordered = other.select(
-            F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"),
-            F.when(F.col("u") < F.col("v"), F.col("s")).otherwise(F.col("t")).alias("s"),
-            F.when(F.col("u") < F.col("v"), F.col("t")).otherwise(F.col("s")).alias("t"),
-        ).distinct()
-        by_date = by_date.union(excerpt_ratio(ordered, "s", "t").where(F.col("ratio") >= cross_date).select("u", "v"))
-    found = components(by_date, nodes.select("node"))
-    members = marked.join(nodes.select("sid", "date", "node"), ["sid", "date"]).join(found, "node")
-    size = members.groupBy("component").agg(F.count("*").alias("n")).where("n >= 2")
-    return members.join(size, "component").select(key, F.col("component").alias("cluster"))
+        linked = pairs.union(sets.select(F.col("sid").alias("a"), F.col("sid").alias("b")))
+        # Rows, not nodes, stand in these links; the nodes' own members tie them together.
+        links = links.union(_across_dates(marked, linked, key, cross_date)).union(rows.select(F.col(key).alias("u"), F.col("node").alias("v")))
+    found = components(checkpoint(links))
+    named = rows.join(found, "node", "left").select(key, F.coalesce("component", "node").alias("component"))
+    size = named.groupBy("component").agg(F.count("*").alias("n")).where("n >= 2")
+    return named.join(size, "component").select(key, F.col("component").alias("cluster"))
+
+
+def lowest_ratios(members: DataFrame, group: str, key: str) -> DataFrame:
+    """``group, similarity``: the lowest character ratio of any two members' excerpts, to three places; 1.0 for one member.
+
+    Equal excerpts are compared once: their ratio is 1.
+    """
+    cuts = members.select(group, key, excerpt(F.col("text")).alias("s"))
+    kinds = cuts.groupBy(group, "s").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    other = kinds.select(group, F.col("s").alias("t"), F.col("lo").alias("lo_t"), F.col("hi").alias("hi_t"))
+    # The member of the smaller key is the first argument; where both orders occur, both count.
+    met = kinds.join(other, group).where((F.col("s") != F.col("t")) & (F.col("lo") < F.col("hi_t")))
+    low = ratios(met.select(group, "s", "t")).groupBy(group).agg(F.min("ratio").alias("r"))
+    every = members.select(group).distinct()
+    return every.join(low, group, "left").select(group, F.coalesce(F.round("r", 3), F.lit(1.0)).alias("similarity"))
+
+
+def confirmed(members: DataFrame, facts: DataFrame, verdicts: DataFrame, group: str, key: str, override: float = ACCEPT) -> DataFrame:
+    """The members that stay duplicates, with ``how``: ``similarity`` or ``confirmed``.
+
+    ``facts`` gives ``group, passes, similarity``; groups that do not pass the gate
+    are dropped, and those similar enough need no verdict.  ``verdicts`` gives
+    ``key, same, failed`` of the external confirmation: a failed call trusts the
+    candidate, a member without a verdict is not confirmed, and a group of which
+    fewer than two members are left is dropped whole.
+    """
+    asked = members.join(facts.where("passes"), group).join(verdicts.select(key, "same", "failed"), key, "left")
+    sure = F.coalesce(F.col("similarity") >= override, F.lit(False))
+    stays = sure | F.coalesce(F.col("failed"), F.lit(False)) | F.coalesce(F.col("same"), F.lit(False))
+    kept = asked.where(stays).withColumn("how", F.when(sure, "similarity").otherwise("confirmed"))
+    enough = kept.groupBy(group).agg(F.count("*").alias("_left")).where("_left >= 2").select(group)
+    return kept.join(enough, group, "left_semi").select(*members.columns, "similarity", "how")
 
 
 def gate(members: DataFrame, key: str, similarity: str = "similarity", override: float = ACCEPT) -> DataFrame:
@@ -138,12 +200,56 @@ def gate(members: DataFrame, key: str, similarity: str = "similarity", override:
     return grouped.select(key, (agree | F.coalesce(F.col("_s") >= override, F.lit(False))).alias("passes"))
 
 
+def ranked(values: DataFrame, order: str, name: str) -> DataFrame:
+    """Distinct values with their rank from 1, without one task that sees all of them.
+
+    Sorted partitions count their rows; the driver gets one count a partition.
+    """
+    dealt = checkpoint(values.distinct().repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
+    sizes = sorted((r["_p"], r["n"]) for r in dealt.groupBy("_p").agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part, n in sizes:
+        before.append((part, total))
+        total += n
+    offsets = dealt.sparkSession.createDataFrame(before, "_p int, _before bigint")
+    within = F.row_number().over(Window.partitionBy("_p").orderBy(order))
+    numbered = dealt.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_before") + within).cast("bigint"))  # one row a partition
+    return numbered.drop("_p", "_before")
+
+
 def number_groups(members: DataFrame, cluster: str, order: str) -> DataFrame:
     """Members with group numbers from 1, in the order of each cluster's first row."""
-    first = F.min(order).over(Window.partitionBy(cluster))
-    rows = members.withColumn("_first", first)
-    numbered = rows.select(cluster, "_first").distinct().withColumn("grp", F.row_number().over(Window.orderBy("_first", cluster)))
-    return rows.join(numbered.select(cluster, "grp"), cluster).drop("_first")
+    firsts = members.groupBy(cluster).agg(F.min(F.struct(order, cluster)).alias("_first"))
+    return members.join(ranked(firsts, "_first", "grp").drop("_first"), cluster)
+
+
+def renumbered(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """All rows with their grouping written anew: numbers and similarity of ``groups``, none and undismissed elsewhere.
+
+    ``groups`` gives ``key, grp, similarity``.  The mark of the copy that a person kept stays.
+    """
+    written = groups.select(key, F.col("grp").alias("_g"), F.col("similarity").alias("_s"))
+    cleared = {"dupe_group": F.col("_g"), "dupe_similarity": F.col("_s"), "dupe_dismissed": F.lit(False)}
+    return rows.join(written, key, "left").withColumns(cleared).select(*rows.columns)
+
+
+def unreviewed(members: DataFrame, key: str, group: str) -> DataFrame:
+    """``key, n``: groups of each record of which two members or more would still be included and none is dismissed."""
+    facts = members.where(F.col(group).isNotNull()).groupBy(key, group).agg(
+        F.bool_or(F.coalesce("dismissed", F.lit(False))).alias("d"), F.count_if("include").alias("i")
+    )
+    return facts.groupBy(key).agg(F.count_if(~F.col("d") & (F.col("i") >= 2)).alias("n"))
+
+
+def without_member(members: DataFrame, removed: DataFrame, group: str, key: str) -> DataFrame:
+    """Members with the removed ones out of their groups; a group of which one is left is no group."""
+    gone = members.join(removed.select(key, F.lit(True).alias("_out")), key, "left").withColumn("_out", F.coalesce("_out", F.lit(False)))
+    left = gone.where(~F.col("_out")).groupBy(group).agg(F.count("*").alias("_left"))
+    stays = ~F.col("_out") & (F.col("_left") >= 2)
+    touched = gone.groupBy(group).agg(F.bool_or("_out").alias("_touched"))
+    both = gone.join(left, group, "left").join(touched, group, "left")
+    keeps = F.coalesce(stays | ~F.col("_touched"), F.lit(False))
+    return both.withColumn(group, F.when(keeps, F.col(group))).select(*members.columns)
 
 
 def dismissed(members: DataFrame, past: DataFrame, cluster: str) -> DataFrame:
