@@ -39,3 +39,34 @@ def job_timeout(pages: Column, base: int, per_page: float, margin: int = 0) -> C
 def backoff(attempt: Column, base: float, most: float) -> Column:
     """The longest wait before an attempt; the wait itself is a random share of it."""
     return F.least(F.lit(most), base * F.pow(F.lit(2.0), attempt))
+
+
+def header_rate(remaining: Column, reset: Column, ceiling: float) -> Column:
+    """Requests a second that a provider's own headers allow, within the bounds; null where they say nothing.
+
+    ``ceiling`` is the most a minute; a window that is over or unknown tells nothing.
+    """
+    most = ceiling / 60.0
+    stated = F.when(reset > 0, remaining.cast("double") / reset.cast("double"))
+    return F.when(stated.isNotNull(), F.greatest(F.lit(FLOOR * most), F.least(F.lit(most), stated)))
+
+
+def scan_resolution(edge: Column, base: int, cap: int) -> Column:
+    """Dots an inch for a page whose longer edge is ``edge`` points: the base, lowered only so far that the picture fits the cap."""
+    if cap <= 0:
+        return F.lit(base)
+    return F.when(edge > 0, F.greatest(F.lit(1), F.least(F.lit(base), F.floor(F.lit(cap * 72.0) / edge)))).otherwise(base).cast("int")
+
+
+def relative_time(then: Column, now: Column) -> Column:
+    """How long ago a time is, as listings say it."""
+    minutes = F.floor((F.unix_millis(now) - F.unix_millis(then)) / 60000 + 0.5)
+    hours = F.floor(minutes / 60 + 0.5)
+    days = F.floor(hours / 24 + 0.5)
+    day = F.date_format(then, "MMM d")
+    return (
+        F.when(then.isNull(), "—").when(minutes < 1, "Just now").when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m ago")))
+        .when(hours < 24, F.concat(hours.cast("string"), F.lit("h ago"))).when(days == 1, "Yesterday")
+        .when(days < 7, F.concat(days.cast("string"), F.lit("d ago"))).when(F.year(then) == F.year(now), day)
+        .otherwise(F.concat(day, F.lit(", "), F.year(then).cast("string")))
+    )

@@ -200,3 +200,21 @@ def page_phrase(pages: Column) -> Column:
         F.lit("pages "), F.array_join(F.slice(numbers, 1, F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.try_element_at(numbers, F.lit(-1))
     )
     return F.when(n == 0, "").when(n == 1, F.concat(F.lit("page "), F.try_element_at(numbers, F.lit(1)))).otherwise(several)
+
+
+def display_parts(title: Column, body: Column) -> list[Column]:
+    """``title, injury, body`` as a summary is shown: without marks, the injury dates apart (null for none)."""
+    shown = F.regexp_replace(title, r"(?i)^\s*\[ManualCheck\]\s*", "")
+    shown = F.regexp_replace(shown, r"(?i)\s*\(Pages\s+\d+\s*[-–]\s*\d+\)\s*$", "")
+    shown = F.regexp_replace(shown, r"(?i)\s*\[Diagnostic Study\]\s*$", "")
+    text = F.coalesce(body, F.lit(""))
+    new = F.regexp_extract(text, _PREFIX, 1)
+    old = F.regexp_replace(F.regexp_extract(text, _OLD_PREFIX, 1), r"^\*\*DOI\*\*:\s*", "")
+    injury = F.nullif(F.trim(F.when(new != "", new).otherwise(old)), F.lit(""))
+    rest = F.when(new != "", F.regexp_replace(text, _PREFIX, "")).otherwise(F.regexp_replace(text, _OLD_PREFIX, ""))
+    return [F.coalesce(shown, F.lit("")).alias("title"), injury.alias("injury"), rest.alias("body")]
+
+
+def title_key(title: Column) -> Column:
+    """Letters, digits and blanks of a title, trimmed, in lower case."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(title, F.lit("Unknown")), r"[^a-zA-Z0-9\s]", "")))

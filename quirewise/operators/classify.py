@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from difflib import SequenceMatcher
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirewise.functions import text as X
+from quirewise.session import ship
+
+#: Categories of a catalog of vectors, at most.
+CATEGORIES = 2_000
 #: The category of paperwork, and of whatever nothing else claims.
 GENERAL = "100"
 #: A mere mention of the evaluator gives this; it yields to any of the others.
@@ -76,17 +85,19 @@ def by_rules(title: Column) -> Column:
 def nearest_category(vectors: DataFrame, categories: DataFrame, key: str) -> DataFrame:
     """``key, category, similarity`` of the category vector with the largest dot product.
 
-    ``categories`` gives ``category, vector`` and has a row for each category of
-    the catalog; ties go to the first by name.
+    ``categories`` gives ``category, vector`` and is a catalog of at most
+    ``CATEGORIES`` rows (more are an error), which every task gets; rows are rated
+    where they are, without a shuffle.  Ties go to the first by name.
     """
-    dot = F.aggregate(F.zip_with("embedding", "vector", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    # The catalog as one row of an array: every vector is compared with all of it where it is.
-    catalog = categories.agg(F.array_sort(F.collect_list(F.struct("category", "vector"))).alias("_all"))
-    rated = vectors.crossJoin(catalog).select(key, "embedding", F.explode("_all").alias("_c")).select(
-        key, "embedding", "_c.category", "_c.vector"
-    ).select(key, "category", dot.alias("similarity"))
-    best = rated.groupBy(key).agg(F.max(F.struct("similarity", (-F.col("category")).alias("c"))).alias("_b"))
-    return best.select(key, (-F.col("_b.c")).alias("category"), F.col("_b.similarity").alias("similarity"))
+    if (n := categories.limit(CATEGORIES + 1).count()) > CATEGORIES:
+        raise ValueError(f"more than {CATEGORIES} categories")
+    if not n:
+        return vectors.limit(0).select(key, F.lit(None).cast(categories.schema["category"].dataType).alias("category"), F.lit(0.0).alias("similarity"))
+    catalog = categories.agg(F.sort_array(F.collect_list(F.struct("category", "vector"))).alias("_all"))  # one row, of checked size
+    dot = lambda v: F.aggregate(F.zip_with("embedding", v, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
+    rated = F.transform("_all", lambda c, i: F.struct(dot(c["vector"]).alias("s"), (-i).alias("o"), c["category"].alias("c")))
+    best = vectors.crossJoin(F.broadcast(catalog)).select(key, F.array_max(rated).alias("_b"))
+    return best.select(key, F.col("_b.c").alias("category"), F.col("_b.s").alias("similarity"))
 
 
 def fuse(rule: Column, vector: Column, vote: Column) -> Column:
@@ -137,3 +148,42 @@ def best_threshold(rows: DataFrame, grid: list[float], score: str = "score", lab
     rated = counted.withColumn("f1", f1)
     place = F.row_number().over(Window.orderBy(F.col("f1").desc(), "threshold"))  # as many rows as the grid has
     return rated.withColumn("best", place == 1)
+
+
+#: Exemplars that are sent to every task, at most.
+EXEMPLARS = 10_000
+
+
+def fuzzy_category(titles: DataFrame, exemplars: DataFrame, key: str, least: float = 0.65) -> DataFrame:
+    """``key, category`` by the exemplar title most like each title, by characters; the general one where none is like enough.
+
+    ``exemplars`` gives ``category, title, place`` and is a catalog of at most
+    ``EXEMPLARS`` rows (more are an error); the first by place of equally good
+    ones wins.  Equal titles are compared once.
+    """
+    rows = exemplars.select("place", "category", X.title_key(F.col("title")).alias("t")).orderBy("place").limit(EXEMPLARS + 1).collect()
+    if len(rows) > EXEMPLARS:
+        raise ValueError(f"more than {EXEMPLARS} exemplars")
+    ship(titles.sparkSession)
+    named = [(r.category, r.t) for r in rows]
+    keyed = titles.select(key, X.title_key(F.col("title")).alias("_t"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for title in batch.column(0).to_pylist():
+                best, category, match = 0.0, GENERAL, SequenceMatcher(None, title, "")
+                for name, example in named:
+                    short, long = sorted((len(title), len(example)))
+                    bound = 2.0 * short / (short + long) if long else 1.0
+                    if bound < least or bound <= best:
+                        continue
+                    match.set_seq2(example)
+                    ratio = match.ratio()
+                    if ratio > best and ratio >= least:
+                        best, category = ratio, name
+                found.append(category)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["_t", "category"])
+
+    rated = keyed.select("_t").distinct().mapInArrow(run, "_t string, category string")
+    return keyed.join(rated, "_t").select(key, "category")

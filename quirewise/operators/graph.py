@@ -4,25 +4,30 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: More rounds than any graph of 2**40 nodes needs; reaching it is an error.
 MAX_ROUNDS = 60
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session's ``spark.checkpoint.dir`` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session's ``spark.checkpoint.dir`` names.
 
     Where a session names none: a temporary folder on one machine, an error on a cluster.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quirewise-"))
+    return named or context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirewise.functions.pacing import bucket_step, rate_step
+from quirewise.functions.pacing import bucket_step, header_rate, rate_step
+from quirewise.session import ship
 
 #: Events that end a job.
 TERMINAL = ("done", "error", "paused", "needs_attention", "cancelled", "interrupted")
@@ -123,3 +127,62 @@ def orphans(jobs: DataFrame, queue: DataFrame, key: str, state: str) -> DataFram
     held = queue.select(key, F.lit(True).alias("_held")).distinct()
     lost = F.col(state).isin(*ACTIVE) & F.col("_held").isNull()
     return jobs.join(held, key, "left").withColumn(state, F.when(lost, "interrupted").otherwise(F.col(state))).drop("_held")
+
+
+def progress_writes(reports: DataFrame, key: str, order: list[str], seconds: float) -> DataFrame:
+    """The progress reports that are written: a change of stage, or ``seconds`` after the last one written.
+
+    ``reports`` gives ``key, stage, t`` and the columns of ``order``.  A job's
+    reports pass in order through one task, which holds only the last one written.
+    """
+    ship(reports.sparkSession)
+    dealt = reports.repartition(key).sortWithinPartitions(key, *order)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reports.schema)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, stage, at, none = None, None, 0.0, True
+        for batch in batches:
+            keep = []
+            for k, s, t in zip(*(batch.column(c).to_pylist() for c in (key, "stage", "t")), strict=True):
+                written = none or k != job or s != stage or t - at >= seconds
+                if written:
+                    job, stage, at, none = k, s, t, False
+                keep.append(written)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def latest_rates(readings: DataFrame, key: list[str], order: str, ceiling: float) -> DataFrame:
+    """``key, rate, per_minute`` by the last reading of a provider's headers that says anything."""
+    rated = readings.withColumn("_rate", header_rate(F.col("remaining"), F.col("reset"), ceiling)).where("_rate IS NOT NULL")
+    last = rated.groupBy(*key).agg(F.max_by("_rate", order).alias("rate"))
+    return last.withColumn("per_minute", F.round(F.col("rate") * 60, 1))
+
+
+def cancelled(events: DataFrame, key: str, order: list[str], seconds: float) -> DataFrame:
+    """Ticks with ``cancelled``: whether a request to stop, not cleared and not older than ``seconds``, is pending.
+
+    ``events`` gives ``key, t, kind`` with kinds ``request``, ``clear`` and ``tick``.
+    """
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("kind") != "tick", F.struct("kind", "t")), ignorenulls=True).over(upto)
+    pending = (F.col("_last.kind") == "request") & (F.col("t") - F.col("_last.t") < seconds)
+    return events.withColumn("_last", last).where("kind = 'tick'").withColumn("cancelled", F.coalesce(pending, F.lit(False))).drop("_last")
+
+
+def counters(events: DataFrame, model: str, outcome: str, outcomes: list[str]) -> DataFrame:
+    """A column for each of the outcomes with its count by model."""
+    return events.groupBy(model).agg(*[F.count_if(F.col(outcome) == o).alias(o) for o in outcomes])
+
+
+def call_costs(calls: DataFrame, key: str, input_price: float, output_price: float) -> DataFrame:
+    """``key, calls, input_tokens, output_tokens, tokens_per_call, usd``; a call without usage counts as a call."""
+    n, into, out = F.count("*"), F.coalesce(F.sum("input_tokens"), F.lit(0)), F.coalesce(F.sum("output_tokens"), F.lit(0))
+    sums = calls.groupBy(key).agg(n.alias("calls"), into.cast("bigint").alias("input_tokens"), out.cast("bigint").alias("output_tokens"))
+    return sums.withColumns(
+        {
+            "tokens_per_call": F.coalesce(F.try_divide((F.col("input_tokens") + F.col("output_tokens")).cast("double"), F.col("calls").cast("double")), F.lit(0.0)),
+            "usd": F.col("input_tokens") * F.lit(input_price) + F.col("output_tokens") * F.lit(output_price),
+        }
+    )

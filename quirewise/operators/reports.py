@@ -124,3 +124,8 @@ def all_or_abort(rows: DataFrame, ok: Column) -> DataFrame:
     """The rows that succeeded, or none where every row failed: a backfill that only fails must not be kept."""
     facts = rows.agg(F.count_if(ok).alias("_good"))
     return rows.where(ok).join(F.broadcast(facts), F.col("_good") > 0).drop("_good")  # one row
+
+
+def category_total(rows: DataFrame, key: str, category: str) -> DataFrame:
+    """``key, n``: the rows of one category in each record, none counting 0."""
+    return rows.groupBy(key).agg(F.count_if(F.col("category") == category).alias("n"))

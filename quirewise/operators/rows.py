@@ -141,3 +141,9 @@ def same_span_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """``key, same``: whether two sides hold equal, non-empty sets of spans."""
     spans = lambda df, name: df.groupBy(key).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias(name))
     return spans(a, "_a").join(spans(b, "_b"), key).select(key, (F.col("_a") == F.col("_b")).alias("same"))
+
+
+def header_shape(read: DataFrame) -> DataFrame:
+    """Header fields under the names they are stored by; a field that was not read is empty."""
+    names = {"first_name": "patient_first_name", "last_name": "patient_last_name", "dob": "patient_dob", "lawfirm": "law_firm"}
+    return read.withColumnsRenamed(names).na.fill("", list(names.values()))

@@ -99,3 +99,27 @@ def prompt_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.explode(F.array(F.lit("0"), F.lit("1"), F.lit(C.GENERAL)))
     builtin = wanted.select("role").distinct().select("role", kinds.alias("category")).withColumn("text", F.concat(F.lit("code"), "category"))
     return C.resolve_prompts(wanted, custom, builtin)
+
+
+@query()
+def fuzzy_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The category of each part's name by the brand whose names are most like it."""
+    parts = table(spark, sf_dir, "part")
+    names = parts.groupBy(F.col("p_type").alias("category")).agg(F.min("p_name").alias("title"), F.min("p_partkey").alias("place"))
+    return C.fuzzy_category(parts.select("p_partkey", F.concat_ws(" ", "p_name", F.lit("no. 1")).alias("title")), names, "p_partkey")
+
+
+@query(r"""SELECT page_id, lower(trim(regexp_replace(coalesce(html, 'Unknown'), '[^a-zA-Z0-9\s]', '', 'g'), ' ')) AS k FROM pages""")
+def title_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts as titles are compared: letters, digits and blanks."""
+    from quirewise.functions.text import title_key
+
+    return table(spark, sf_dir, "pages").select("page_id", title_key(F.col("html")).alias("k"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars % 70 / 10.0 >= 5 THEN 'strong' WHEN n_chars % 70 / 10.0 >= 2 THEN 'useful' WHEN n_chars % 70 / 10.0 >= 1.2 THEN 'weak' ELSE 'none' END AS band FROM documents")
+def signal_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lifts of these sizes are worth."""
+    from quirewise.operators.learn import signal_band
+
+    return table(spark, sf_dir, "documents").select("doc_id", signal_band(F.col("n_chars") % 70 / 10.0).alias("band"))

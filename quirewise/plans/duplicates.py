@@ -135,3 +135,66 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark's passage."""
     docs, probes = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return U.containment(docs.select("doc_id", "text"), probes).withColumn("share", F.round("share", 9))
+
+
+_GROUPED = """m AS (SELECT o_custkey % 50 AS doc, o_custkey AS grp, o_orderkey AS id, o_orderstatus = 'O' AS include, o_orderkey % 11 = 0 AS dismissed FROM orders)"""
+
+
+def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 50).alias("doc"), F.col("o_custkey").alias("grp"), i.alias("id"),
+        (F.col("o_orderstatus") == "O").alias("include"), (i % 11 == 0).alias("dismissed"),
+    )
+
+
+@query(
+    f"""WITH {_GROUPED}, g AS (SELECT doc, grp, bool_or(dismissed) AS d, count(*) FILTER (WHERE include) AS i FROM m GROUP BY ALL) SELECT doc, count(*) FILTER (WHERE NOT d AND i >= 2) AS n FROM g GROUP BY doc"""
+)
+def unreviewed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many groups of each record are still to be reviewed."""
+    return U.unreviewed(_grouped(spark, sf_dir), "doc", "grp")
+
+
+@query(
+    f"""WITH {_GROUPED}, k AS (SELECT *, id % 7 = 0 AS out FROM m), l AS (SELECT *, count(*) FILTER (WHERE NOT out) OVER (PARTITION BY grp) AS n, bool_or(out) OVER (PARTITION BY grp) AS touched FROM k)
+SELECT id, CASE WHEN NOT touched OR NOT out AND n >= 2 THEN grp END AS grp FROM l"""
+)
+def removed_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members left in their groups after some are taken out; a group of one dissolves."""
+    members = _grouped(spark, sf_dir)
+    return U.without_member(members, members.where("id % 7 = 0").select("id"), "grp", "id").select("id", "grp")
+
+
+@query(
+    f"""WITH {_GROUPED}, f AS (SELECT DISTINCT grp, grp % 5 <> 0 AS passes, CASE WHEN grp % 3 = 0 THEN 0.97 ELSE 0.5 END AS similarity FROM m),
+k AS (SELECT id, grp, similarity, CASE WHEN similarity >= 0.95 THEN 'similarity' ELSE 'confirmed' END AS how, count(*) OVER (PARTITION BY grp) AS n FROM m JOIN f USING (grp) WHERE passes AND (similarity >= 0.95 OR grp % 7 = 0 OR id % 3 = 0 AND id % 2 = 0))
+SELECT id, grp, similarity, how FROM k WHERE n >= 2"""
+)
+def confirmed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that similarity or an external confirmation upholds."""
+    members = _grouped(spark, sf_dir).select("id", "grp")
+    facts = members.select("grp").distinct().select("grp", (F.col("grp") % 5 != 0).alias("passes"), F.when(F.col("grp") % 3 == 0, 0.97).otherwise(0.5).alias("similarity"))
+    verdicts = members.where("id % 2 = 0 OR grp % 7 = 0").select("id", (F.col("id") % 3 == 0).alias("same"), (F.col("grp") % 7 == 0).alias("failed"))
+    return U.confirmed(members, facts, verdicts, "grp", "id")
+
+
+@query(
+    f"""WITH {_GROUPED}, g AS (SELECT id, dense_rank() OVER (ORDER BY grp) AS n FROM m WHERE grp % 3 = 0) SELECT id, n AS dupe_group, CASE WHEN n IS NOT NULL THEN 0.9 END AS dupe_similarity, false AS dupe_dismissed, include AS dupe_primary FROM m LEFT JOIN g USING (id)"""
+)
+def renumbered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows with their grouping written anew; the copy that was kept stays marked."""
+    rows = _grouped(spark, sf_dir)
+    stored = rows.select(
+        "id", F.col("grp").alias("dupe_group"), F.lit(0.1).alias("dupe_similarity"), F.col("dismissed").alias("dupe_dismissed"), F.col("include").alias("dupe_primary")
+    )
+    groups = rows.where("grp % 3 = 0").select("id", "grp")
+    numbers = U.ranked(groups.select("grp"), "grp", "n")
+    return U.renumbered(stored, groups.join(numbers, "grp").select("id", F.col("n").alias("grp"), F.lit(0.9).alias("similarity")), "id")
+
+
+@query()
+def lowest_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest similarity of any two turns of each role in a conversation."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), "role").alias("grp"), "turn", "text")
+    return U.lowest_ratios(turns, "grp", "turn")

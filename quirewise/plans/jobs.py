@@ -179,3 +179,114 @@ def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = tumbling_counts(table(spark, sf_dir, "events"), "1 hour", "30 minutes")
     return found.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n")
+
+
+@query(
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id, event_id, event_type AS stage, {SECONDS} AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f(user_id, i, event_id, stage, at_, out) AS (SELECT user_id, i, event_id, stage, t, true FROM e WHERE i = 1
+UNION ALL SELECT e.user_id, e.i, e.event_id, CASE WHEN e.stage <> f.stage OR e.t - f.at_ >= 20000 THEN e.stage ELSE f.stage END, CASE WHEN e.stage <> f.stage OR e.t - f.at_ >= 20000 THEN e.t ELSE f.at_ END,
+e.stage <> f.stage OR e.t - f.at_ >= 20000 FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT user_id, event_id FROM f WHERE out"""
+)
+def progress_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The progress reports that are written, not more often than stages change or time passes."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("stage"), _seconds().alias("t"))
+    return J.progress_writes(rows, "user_id", ["t", "event_id"], 20_000.0).select("user_id", "event_id")
+
+
+@query(
+    """WITH r AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN NULL ELSE greatest(0.02 * 2, least(2.0, (event_id % 100) / value)) END AS rate FROM events)
+SELECT user_id, event_type, round(arg_max(rate, event_id), 9) AS rate, round(arg_max(rate, event_id) * 60, 1) AS per_minute FROM r WHERE rate IS NOT NULL GROUP BY ALL"""
+)
+def header_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates by the last headers that a provider sent."""
+    i = F.col("event_id")
+    readings = table(spark, sf_dir, "events").select(
+        "user_id", "event_type", i.alias("seq"), F.when(i % 5 != 0, i % 100).alias("remaining"), F.when(i % 7 == 0, 0.0).otherwise(F.col("value")).alias("reset")
+    )
+    return J.latest_rates(readings, ["user_id", "event_type"], "seq", 120.0).withColumn("rate", F.round("rate", 9))
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, event_id, {SECONDS} AS t, CASE event_type WHEN 'purchase' THEN 'request' WHEN 'signup' THEN 'clear' ELSE 'tick' END AS kind FROM events),
+l AS (SELECT *, last_value(CASE WHEN kind <> 'tick' THEN kind END IGNORE NULLS) OVER w AS k, last_value(CASE WHEN kind <> 'tick' THEN t END IGNORE NULLS) OVER w AS at_ FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING))
+SELECT user_id, event_id, coalesce(k = 'request' AND t - at_ < 50000, false) AS cancelled FROM l WHERE kind = 'tick'"""
+)
+def cancel_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which ticks of a job see a pending request to stop."""
+    kind = F.when(F.col("event_type") == "purchase", "request").when(F.col("event_type") == "signup", "clear").otherwise("tick")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", _seconds().alias("t"), kind.alias("kind"))
+    return J.cancelled(rows, "user_id", ["t", "event_id"], 50_000.0).select("user_id", "event_id", "cancelled")
+
+
+@query(
+    f"""WITH e AS (SELECT user_id, {OUTCOME} AS o FROM events) SELECT user_id, count(*) FILTER (WHERE o = 'accepted') AS accepted, count(*) FILTER (WHERE o = 'rate_limited') AS rate_limited, count(*) FILTER (WHERE o = 'exhausted') AS exhausted FROM e GROUP BY user_id"""
+)
+def counter_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of outcomes by user, one column each."""
+    rows = table(spark, sf_dir, "events").select("user_id", _outcome().alias("outcome"))
+    return J.counters(rows, "user_id", "outcome", ["accepted", "rate_limited", "exhausted"])
+
+
+@query(
+    """WITH c AS (SELECT user_id, CASE WHEN event_type <> 'error' THEN event_id % 900 END AS i, CASE WHEN event_type <> 'error' THEN event_id % 70 END AS o FROM events)
+SELECT user_id, count(*) AS calls, CAST(coalesce(sum(i), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(o), 0) AS BIGINT) AS output_tokens, round((coalesce(sum(i), 0) + coalesce(sum(o), 0)) / count(*), 9) AS tokens_per_call,
+round(coalesce(sum(i), 0) * 0.0000003 + coalesce(sum(o), 0) * 0.0000025, 9) AS usd FROM c GROUP BY user_id"""
+)
+def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls, tokens and cost by user."""
+    used = F.col("event_type") != "error"
+    calls = table(spark, sf_dir, "events").select(
+        "user_id", F.when(used, F.col("event_id") % 900).alias("input_tokens"), F.when(used, F.col("event_id") % 70).alias("output_tokens")
+    )
+    return J.call_costs(calls, "user_id", 0.0000003, 0.0000025).withColumns({c: F.round(c, 9) for c in ("tokens_per_call", "usd")})
+
+
+@query(
+    """SELECT user_id, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY user_id HAVING count(*) > 1"""
+)
+def double_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that break the rule of one active job."""
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "queued").when(kind == "click", "running").otherwise("done")
+    return J.one_active(table(spark, sf_dir, "events").select("user_id", state.alias("state")), "user_id", "state")
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, round(epoch(min(ts)), 3) AS start, count(*) AS n FROM s GROUP BY user_id, s"""
+)
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions that six hours without events end; the batch twin of the stream."""
+    from quirewise.streaming.windows import session_counts
+
+    found = session_counts(table(spark, sf_dir, "events"), "6 hours")
+    return found.select("user_id", F.round(F.unix_micros("window.start") / 1e6, 3).alias("start"), "n")
+
+
+@query(f"WITH e AS (SELECT user_id, {OUTCOME} AS outcome FROM events) SELECT user_id, outcome, count(*) AS n FROM e WHERE outcome <> 'exhausted' GROUP BY ALL")
+def attempt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts by user and outcome; the batch twin of the stream."""
+    from quirewise.streaming.windows import attempt_counts as counted
+
+    return counted(table(spark, sf_dir, "events").select("ts", "user_id", _outcome().alias("outcome")))
+
+
+@query(
+    """WITH e AS (SELECT event_id, ts, (epoch(TIMESTAMP '2024-01-30 12:00:00') - epoch(ts)) / 60 AS q FROM events), m AS (SELECT *, floor(q + 0.5) AS mins FROM e), h AS (SELECT *, floor(mins / 60 + 0.5) AS hours FROM m), d AS (SELECT *, floor(hours / 24 + 0.5) AS days FROM h)
+SELECT event_id, CASE WHEN mins < 1 THEN 'Just now' WHEN mins < 60 THEN CAST(mins AS INTEGER) || 'm ago' WHEN hours < 24 THEN CAST(hours AS INTEGER) || 'h ago' WHEN days = 1 THEN 'Yesterday' WHEN days < 7 THEN CAST(days AS INTEGER) || 'd ago' ELSE strftime(ts, '%b %-d') END AS label FROM d"""
+)
+def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How long ago each event was, as a listing says it."""
+    from quirewise.functions.pacing import relative_time
+
+    now = F.to_timestamp(F.lit("2024-01-30 12:00:00"))
+    return table(spark, sf_dir, "events").select("event_id", relative_time(F.col("ts").cast("timestamp"), now).alias("label"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 200 ELSE greatest(1, least(200, CAST(floor(3500 * 72 / (p_size * 60.0)) AS INT))) END AS dpi FROM part")
+def scan_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The resolution at which pages of these sizes are scanned."""
+    from quirewise.functions.pacing import scan_resolution
+
+    edge = F.when(F.col("p_size") % 9 == 0, 0).otherwise(F.col("p_size") * 60)
+    return table(spark, sf_dir, "part").select("p_partkey", scan_resolution(edge, 200, 3500).alias("dpi"))

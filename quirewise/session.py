@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,3 +24,10 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(application)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder's name inside the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    from quirewise.operators.graph import shared_folder
+
+    return f"{shared_folder(spark).rstrip('/')}/quirewise-{uuid.uuid4().hex}"

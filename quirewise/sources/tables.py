@@ -39,26 +39,45 @@ def page_count(files: DataFrame) -> DataFrame:
     )
 
 
-def read_ocr_cache(spark: SparkSession, path: str) -> DataFrame:
+def _keyed(schema: T.StructType, key: str | None) -> T.StructType:
+    """A schema behind a key of the record, a whole number."""
+    return schema if key is None else T.StructType([T.StructField(key, T.LongType()), *schema.fields])
+
+
+def read_ocr_cache(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """Dense ``page, text`` rows of a JSON-lines cache; gaps are empty, the last of repeated pages wins.
 
-    Malformed lines are skipped.
+    Malformed lines are skipped.  With ``key`` the cache holds many records, each
+    dense up to its own last page.
     """
-    raw = spark.read.schema(OCR_SCHEMA).json(path).where("page >= 1")
-    known = raw.withColumn("_at", F.monotonically_increasing_id()).groupBy("page").agg(F.max_by("text", "_at").alias("text"))
-    every = known.agg(F.max("page").alias("n")).where("n IS NOT NULL").select(F.explode(F.sequence(F.lit(1), "n")).alias("page"))
-    return every.join(known, "page", "left").select("page", F.coalesce("text", F.lit("")).alias("text"))
+    by = [key] if key else []
+    raw = spark.read.schema(_keyed(OCR_SCHEMA, key)).json(path).where("page >= 1")
+    known = raw.withColumn("_at", F.monotonically_increasing_id()).groupBy(*by, "page").agg(F.max_by("text", "_at").alias("text"))
+    every = known.groupBy(*by).agg(F.max("page").alias("n")).where("n IS NOT NULL").select(*by, F.explode(F.sequence(F.lit(1), "n")).alias("page"))
+    return every.join(known, [*by, "page"], "left").select(*by, "page", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def done_pages(spark: SparkSession, path: str) -> DataFrame:
+def done_pages(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """Distinct pages already present in an append-only JSON-lines log."""
-    return spark.read.schema(OCR_SCHEMA).json(path).where("page IS NOT NULL").select("page").distinct()
+    by = [key] if key else []
+    return spark.read.schema(_keyed(OCR_SCHEMA, key)).json(path).where("page IS NOT NULL").select(*by, "page").distinct()
+
+
+def read_labels(spark: SparkSession, path: str, n_pages: int | None = None, key: str | None = None) -> DataFrame:
+    """Spans of a ``start,end`` CSV: bad rows dropped, ends clamped to ``n_pages`` where it is given."""
+    rows = spark.read.schema(_keyed(LABEL_SCHEMA, key)).option("header", True).option("mode", "DROPMALFORMED").csv(path)
+    end = F.col("end") if n_pages is None else F.least("end", F.lit(n_pages))
+    return rows.where("start IS NOT NULL AND end IS NOT NULL").select(*([key] if key else []), "start", end.alias("end"))
+
+
+def write_labels(starts: DataFrame, path: str, key: str = "doc_id") -> None:
+    """Spans as a CSV of labels with a header."""
+    starts.select(key, "start", "end").write.mode("overwrite").option("header", True).csv(path)
 
 
-def read_labels(spark: SparkSession, path: str, n_pages: int) -> DataFrame:
-    """Spans of a ``start,end`` CSV: bad rows dropped, ends clamped to the record."""
-    rows = spark.read.schema(LABEL_SCHEMA).option("header", True).option("mode", "DROPMALFORMED").csv(path)
-    return rows.where("start IS NOT NULL AND end IS NOT NULL").select("start", F.least("end", F.lit(n_pages)).alias("end"))
+def append_log(rows: DataFrame, path: str) -> None:
+    """Rows added to an append-only JSON-lines log."""
+    rows.write.mode("append").json(path)
 
 
 def read_page_map(spark: SparkSession, path: str) -> DataFrame:
