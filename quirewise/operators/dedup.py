@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quirewise.functions import text as X
 from quirewise.operators.graph import checkpoint, components
+from quirewise.operators.order import ranked, spare
 from quirewise.session import ship
 
 #: Least word overlap of a candidate pair, and least character similarity where dates differ.
@@ -200,23 +201,6 @@ def gate(members: DataFrame, key: str, similarity: str = "similarity", override:
     return grouped.select(key, (agree | F.coalesce(F.col("_s") >= override, F.lit(False))).alias("passes"))
 
 
-def ranked(values: DataFrame, order: str, name: str) -> DataFrame:
-    """Distinct values with their rank from 1, without one task that sees all of them.
-
-    Sorted partitions count their rows; the driver gets one count a partition.
-    """
-    dealt = checkpoint(values.distinct().repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id()))
-    sizes = sorted((r["_p"], r["n"]) for r in dealt.groupBy("_p").agg(F.count("*").alias("n")).collect())
-    before, total = [], 0
-    for part, n in sizes:
-        before.append((part, total))
-        total += n
-    offsets = dealt.sparkSession.createDataFrame(before, "_p int, _before bigint")
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    numbered = dealt.join(F.broadcast(offsets), "_p").withColumn(name, (F.col("_before") + within).cast("bigint"))  # one row a partition
-    return numbered.drop("_p", "_before")
-
-
 def number_groups(members: DataFrame, cluster: str, order: str) -> DataFrame:
     """Members with group numbers from 1, in the order of each cluster's first row."""
     firsts = members.groupBy(cluster).agg(F.min(F.struct(order, cluster)).alias("_first"))
@@ -267,8 +251,9 @@ def keep_one(members: DataFrame, group: str, kept: Column, include: str = "inclu
 
 def oldest_copy(files: DataFrame, digest: str, *order: str) -> DataFrame:
     """One row for each digest: the oldest."""
+    n = spare(files, "_n")
     first = F.row_number().over(Window.partitionBy(digest).orderBy(*order))
-    return files.withColumn("_n", first).where("_n = 1").drop("_n")
+    return files.withColumn(n, first).where(F.col(n) == 1).drop(n)
 
 
 def containment(items: DataFrame, probes: DataFrame, least: float = 0.8, width: int = 8) -> DataFrame:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirewise.operators.order import spare
 from quirewise.functions.pacing import bucket_step, header_rate, rate_step
 from quirewise.session import ship
 
@@ -40,12 +41,13 @@ def one_active(jobs: DataFrame, document: str, state: str) -> DataFrame:
 
 def streaks(events: DataFrame, key: str, failed: Column, order: str) -> DataFrame:
     """Events with the length of the run of failures that ends with them; a success is 0."""
+    f, run = spare(events, "_f"), spare(events, "_run")
     by_event = Window.partitionBy(key).orderBy(order)
-    marked = events.withColumn("_f", failed).withColumn(
-        "_run", F.sum(F.when(F.col("_f"), 0).otherwise(1)).over(by_event.rowsBetween(Window.unboundedPreceding, 0))
+    marked = events.withColumn(f, failed).withColumn(
+        run, F.sum(F.when(F.col(f), 0).otherwise(1)).over(by_event.rowsBetween(Window.unboundedPreceding, 0))
     )
-    within = Window.partitionBy(key, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("streak", F.sum(F.when(F.col("_f"), 1).otherwise(0)).over(within)).drop("_f", "_run")
+    within = Window.partitionBy(key, run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("streak", F.sum(F.when(F.col(f), 1).otherwise(0)).over(within)).drop(f, run)
 
 
 def run_ends(events: DataFrame, key: str, failed: Column, order: str, limit: int) -> DataFrame:

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Terms of a vocabulary that are broadcast, at most; more are joined by a shuffle.
+MOST_BROADCAST = 100_000
+
+
 def weighted_terms(train: DataFrame, column: str, least_documents: int = 2, most_terms: int = 50_000) -> Pipeline:
     """A pipeline of single words and pairs, weighted by rarity; fit it on ``train``."""
     words = RegexTokenizer(inputCol=column, outputCol="_w", pattern=r"[^\p{L}\p{N}]+", minTokenLength=2)
@@ -19,6 +23,33 @@ def weighted_terms(train: DataFrame, column: str, least_documents: int = 2, most
     return Pipeline(stages=[*stages, VectorAssembler(inputCols=["_iw", "_ip"], outputCol="features")])
 
 
+def _terms(rows: DataFrame, key: str, column: str) -> DataFrame:
+    """``key, term, n``: how often each text has each word and each pair of words."""
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
+    split = rows.select(key, words.alias("_w"))
+    pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return split.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+
+
+def tfidf(train: DataFrame, rows: DataFrame, key: str, column: str, least_documents: int = 2, most_terms: int = 50_000) -> DataFrame:
+    """``key, term, weight``: damped counts of words and pairs by their rarity, each text at unit length.
+
+    The vocabulary and the rarities are those of ``train``: of the terms that at
+    least ``least_documents`` of its texts have, the ``most_terms`` most frequent
+    (of equally frequent ones the first by name).  A text without a known term has
+    no rows.
+    """
+    counted = _terms(train, key, column)
+    total = train.agg(F.count("*").alias("_all"))
+    common = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where(F.col("df") >= least_documents)
+    vocabulary = common.orderBy(F.col("tf").desc(), "term").limit(most_terms).crossJoin(F.broadcast(total))  # one row of totals
+    rarity = vocabulary.select("term", (F.log((1 + F.col("_all")) / (1.0 + F.col("df"))) + 1).alias("_r"))
+    known = F.broadcast(rarity) if most_terms <= MOST_BROADCAST else rarity  # a vocabulary of bounded size
+    weighed = _terms(rows, key, column).join(known, "term").select(key, "term", ((1 + F.log("n")) * F.col("_r")).alias("_w"))
+    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
+    return weighed.join(length, key).select(key, "term", (F.col("_w") / F.col("_l")).alias("weight"))
+
+
 def balanced(rows: DataFrame, label: str) -> DataFrame:
     """Rows with weights under which both classes count alike."""
     counts = rows.agg(F.count("*").alias("n"), F.sum(label).alias("p")).first()
@@ -30,13 +61,14 @@ def leave_one_out(rows: DataFrame, record: str, features: list[str], label: str,
     """``rows`` with ``score``: each record's rows scored by a model of the other records.
 
     The scaler is fitted on the training side only; one model is fitted for each
-    of the few named records.  A null record is a record of its own; rows that
-    no other record's model can score get a null score.
+    of the few named records.  Rows without a label are scored and train nothing.
+    A null record is a record of its own; rows that no other record's model can
+    score get a null score.
     """
     scored = [rows.limit(0).withColumn("score", F.lit(None).cast("double"))]
     for one in records:
         mine = F.col(record).eqNullSafe(F.lit(one))
-        others, test = rows.where(~mine), rows.where(mine)
+        others, test = rows.where(~mine & F.col(label).isNotNull()), rows.where(mine)
         if others.isEmpty():
             scored.append(test.withColumn("score", F.lit(None).cast("double")))
             continue

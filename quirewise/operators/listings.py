@@ -28,12 +28,6 @@ def page_of(rows: DataFrame, order: list[Column], size: int, page: int) -> DataF
     return rows.orderBy(*order).offset(min(max(page, 0), last) * size).limit(size)
 
 
-def report_lines(entries: DataFrame, order: str) -> DataFrame:
-    """Entries with their place in a chronological report: undated ones first, ties as they came."""
-    by_date = Window.orderBy(D.parse_or_first(F.col("date")), order)
-    return entries.withColumn("line", F.row_number().over(by_date))
-
-
 def chronological(entries: DataFrame, key: str, order: str) -> DataFrame:
     """Entries with their place within each record's report."""
     by_date = Window.partitionBy(key).orderBy(D.parse_or_first(F.col("date")), order)

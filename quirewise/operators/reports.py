@@ -17,10 +17,12 @@ STUDIES = "3"
 
 def standalone_studies(rows: DataFrame, key: str) -> DataFrame:
     """``key, start, end, studies``: for every row, the spans of other rows that are diagnostic studies."""
-    spans = F.collect_list(F.when(F.col("category") == STUDIES, F.struct("start", "end"))).over(Window.partitionBy(key))
-    others = F.filter(spans, lambda s: (s["start"] != F.col("start")) | (s["end"] != F.col("end")))
-    named = F.transform(F.array_sort(others), lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
-    return rows.select(key, "start", "end", F.array_join(named, ",").alias("studies"))
+    listed = rows.where(F.col("category") == STUDIES).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_s"))
+    named = F.transform("_s", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string")))
+    once = listed.select(key, named.alias("_names"))
+    own = F.concat_ws("-", F.col("start").cast("string"), F.col("end").cast("string"))
+    others = F.array_join(F.array_remove(F.coalesce("_names", F.array().cast("array<string>")), own), ",")
+    return rows.join(once, key, "left").select(key, "start", "end", others.alias("studies"))
 
 
 def bundle_pages(rows: DataFrame, sizes: DataFrame, categories: list[str], key: str = "doc_id") -> DataFrame:

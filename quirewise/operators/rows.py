@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirewise.operators.order import spare
+
 #: Error codes of row validation, in the order they are tested.
 ERRORS = ("not an integer", "out of range", "overlaps the row before", "unknown category")
 
@@ -64,9 +66,10 @@ def reconcile(wanted: DataFrame, existing: DataFrame, key: list[str], order: str
 
 
 def upsert_success_wins(attempts: DataFrame, key: list[str], ok: str, order: str) -> DataFrame:
-    """One row a key: the first success, else the first failure."""
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(ok).desc(), order))
-    return attempts.withColumn("_n", first).where("_n = 1").drop("_n")
+    """One row a key: the first success, else the first failure; of ties the one of the smallest row hash."""
+    n = spare(attempts, "_n")
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(ok).desc_nulls_last(), order, F.xxhash64("*")))
+    return attempts.withColumn(n, first).where(F.col(n) == 1).drop(n)
 
 
 def missing_pages(sizes: DataFrame, stored: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -76,9 +79,10 @@ def missing_pages(sizes: DataFrame, stored: DataFrame, key: str = "doc_id") -> D
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
-    """The newest row of each key."""
-    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc()))
-    return rows.withColumn("_n", last).where("_n = 1").drop("_n")
+    """The newest row of each key; of ties the one of the smallest row hash."""
+    n = spare(rows, "_n")
+    last = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc(), F.xxhash64("*")))
+    return rows.withColumn(n, last).where(F.col(n) == 1).drop(n)
 
 
 def verdicts(rows: DataFrame, table: DataFrame, key: list[str], column: str, default: Column) -> DataFrame:

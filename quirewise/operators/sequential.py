@@ -65,6 +65,55 @@ def accumulated_starts(sizes: DataFrame, verdicts: DataFrame, key: str = "doc_id
     return _by_record(rows, key, lambda r: accumulate([(x["first"], x["page"]) for x in r["new"] or []], r["n"]))
 
 
+def accumulated_by_rule(pages: DataFrame, modulus: int, key: str = "doc_id") -> DataFrame:
+    """``key, start`` by growing each span, where a page's verdict is a rule on the span's first page.
+
+    ``pages`` gives ``key, page, rests``: the page is new to spans whose first
+    page leaves one of these rests.  Pages pass in order; a task holds the first
+    page of one span, however long a record is.
+    """
+    ship(pages.sparkSession)
+    dealt = pages.select(key, F.col("page").cast("int").alias("page"), "rests").repartition(key).sortWithinPartitions(key, "page")
+    kind = dealt.schema[key].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        record, first, begun = None, 0, False
+        for batch in batches:
+            kept = []
+            for at, (k, page, rests) in enumerate(zip(*(c.to_pylist() for c in batch.columns), strict=True)):
+                if not begun or k != record or first % modulus in (rests or ()):
+                    record, first, begun = k, page, True
+                    kept.append(at)
+            index = pa.array(kept, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index)], names=[key, "start"])
+
+    return dealt.mapInArrow(run, f"`{key}` {kind}, start int")
+
+
+def probed_by_label(pages: DataFrame, cuts: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """``key, start`` by probing ranges, where a page is new to a span whose label it does not share.
+
+    ``pages`` gives ``key, page, label``, one row for each page from 1; a record's
+    labels are one array.  No search passes a cut.
+    """
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("page", "label"))), lambda x: x["label"])
+    rows = pages.groupBy(key).agg(listed.alias("labels"))
+    if cuts is not None:
+        rows = rows.join(cuts.groupBy(key).agg(F.collect_set(F.col("start").cast("int")).alias("cuts")), key, "left")
+    else:
+        rows = rows.withColumn("cuts", F.array().cast("array<int>"))
+
+    def starts_of(row: dict) -> list[int]:
+        labels, n = row["labels"], len(row["labels"])
+        bounds = [1, *sorted(p for p in set(row["cuts"] or []) if 1 < p <= n), n + 1]
+        found: set[int] = set()
+        for low, after in zip(bounds, bounds[1:], strict=False):
+            found.update(search(lambda s, p: labels[s - 1] != labels[p - 1], None, low, after - 1))
+        return sorted(found)
+
+    return _by_record(rows, key, starts_of)
+
+
 def first_new(is_new: Callable[[int, int], bool], start: int, known: int, end: int) -> int | None:
     """The first page after ``known`` that is new to the span from ``start``: gallop, then halve.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewise.operators import catalog as C
-from quirewise.operators.dedup import ranked
+from quirewise.operators.order import ranked
 from quirewise.registry import query
 from quirewise.sources.tables import table
 

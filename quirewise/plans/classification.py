@@ -9,13 +9,13 @@ from quirewise.operators import classify as C
 from quirewise.registry import query
 from quirewise.sources.tables import table
 
-#: Titles to classify, dealt to documents by number.
-TITLES = (
-    "Cover Letter - AME Report", "Transmittal Letter - MRI Lumbar Spine", "Joint AME Letter", "Supplemental QME Report",
-    "AME Deposition Transcript", "Proof of Service", "QME Declaration of Service of Medical - Legal Report",
-    "PR-2 Progress Report", "Permanent and Stationary Report", "Operative Report", "Laboratory Results", "Utilization Review Determination",
-    "Return-to-Work & Voucher Report", "Request for Authorization", "Facesheet", "Something else entirely", "Physical Therapy Note",
-    "Notice of QME Evaluation", "Application for Adjudication of Claim", "X-Ray of the hand",
+#: Kinds of documents, one of which is put behind each web page's own title, by the page's number.
+KINDS = (
+    "Covering note to the operative report", "Fax transmittal letter", "Supplemental report of the agreed medical evaluator", "Deposition of the applicant, volume II",
+    "Proof of service by mail", "Certificate of mailing", "Progress note, primary treating physician", "Permanent and stationary evaluation", "Surgical pathology",
+    "Laboratory panel", "Utilization review denial", "Independent medical review decision", "Voucher for return to work", "Authorization request", "Emergency room registration",
+    "Notes of nothing in particular", "Daily therapy note", "Notice of qualified medical evaluator appointment", "Claim application", "Radiograph of the left wrist",
+    "Index of records", "Patient information sheet", "Medication administration chart", "Ultrasound, abdomen",
 )
 
 
@@ -29,33 +29,35 @@ k AS (SELECT *, CASE WHEN list_has_any(f, ['3', '8', '9', '14']) THEN list_filte
 rl AS (SELECT *, CASE WHEN NOT paperwork OR document THEN kept[1] ELSE coalesce(list_filter(kept, lambda x: x <> '13')[1], '100') END AS rule FROM k)"""
 
 
-_TITLED = f"tt AS (SELECT doc_id, lower([{', '.join(repr(t) for t in TITLES)}][doc_id % {len(TITLES)} + 1] || ' ' || source) AS t FROM documents)"
+_TITLED = (
+    f"tt AS (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1) || ' ' || [{', '.join(repr(k) for k in KINDS)}][page_id % {len(KINDS)} + 1]) AS t FROM pages)"
+)
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    titles = F.array(*[F.lit(t) for t in TITLES])
-    title = F.concat(F.get(titles, F.col("doc_id") % len(TITLES)), F.lit(" "), "source")
-    return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"))
+    kind = F.get(F.array(*[F.lit(k) for k in KINDS]), F.col("page_id") % len(KINDS))
+    title = F.concat(F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.lit(" "), kind)
+    return table(spark, sf_dir, "pages").select("page_id", title.alias("title"))
 
 
-@query(f"WITH {_TITLED}, {_sql_rules()} SELECT doc_id, rule AS category FROM rl")
+@query(f"WITH {_TITLED}, {_sql_rules()} SELECT page_id, rule AS category FROM rl")
 def rules_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The category that each title's wording decides."""
-    return _titled(spark, sf_dir).select("doc_id", C.by_rules(F.col("title")).alias("category"))
+    return _titled(spark, sf_dir).select("page_id", C.by_rules(F.col("title")).alias("category"))
 
 
 @query(
-    f"""WITH {_TITLED}, {_sql_rules()}, o AS (SELECT doc_id, rule, CASE WHEN doc_id % 5 > 0 THEN CAST(doc_id % 3 AS VARCHAR) END AS vec, CASE WHEN doc_id % 7 > 0 THEN CAST(doc_id % 2 AS VARCHAR) END AS vote FROM rl)
-SELECT doc_id, coalesce(rule, vote, vec, '100') AS category, CASE WHEN rule IS NOT NULL OR vec = vote THEN 'high' ELSE 'low' END AS confidence,
+    f"""WITH {_TITLED}, {_sql_rules()}, o AS (SELECT page_id, rule, CASE WHEN page_id % 5 > 0 THEN CAST(page_id % 3 AS VARCHAR) END AS vec, CASE WHEN page_id % 7 > 0 THEN CAST(page_id % 2 AS VARCHAR) END AS vote FROM rl)
+SELECT page_id, coalesce(rule, vote, vec, '100') AS category, CASE WHEN rule IS NOT NULL OR vec = vote THEN 'high' ELSE 'low' END AS confidence,
 CASE WHEN rule IS NOT NULL THEN 'rules' WHEN vec IS NULL AND vote IS NULL THEN 'default' WHEN vote IS NULL THEN 'embedding' WHEN vec = vote THEN 'agreement' ELSE 'vote' END AS method,
 NOT (rule IS NOT NULL OR coalesce(vec = vote, false)) AS needs_review FROM o"""
 )
 def vote_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules, nearest vector and vote fused into one opinion."""
-    i = F.col("doc_id")
+    i = F.col("page_id")
     vector = F.when(i % 5 > 0, (i % 3).cast("string"))
     vote = F.when(i % 7 > 0, (i % 2).cast("string"))
-    return _titled(spark, sf_dir).select("doc_id", C.fuse(C.by_rules(F.col("title")), vector, vote).alias("o")).select("doc_id", "o.*")
+    return _titled(spark, sf_dir).select("page_id", C.fuse(C.by_rules(F.col("title")), vector, vote).alias("o")).select("page_id", "o.*")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirewise.operators import dedup as U
+from quirewise.operators.order import ranked
 from quirewise.registry import query
 from quirewise.sources.tables import table
 
@@ -189,7 +190,7 @@ def renumbered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", F.col("grp").alias("dupe_group"), F.lit(0.1).alias("dupe_similarity"), F.col("dismissed").alias("dupe_dismissed"), F.col("include").alias("dupe_primary")
     )
     groups = rows.where("grp % 3 = 0").select("id", "grp")
-    numbers = U.ranked(groups.select("grp"), "grp", "n")
+    numbers = ranked(groups.select("grp"), "grp", "n")
     return U.renumbered(stored, groups.join(numbers, "grp").select("id", F.col("n").alias("grp"), F.lit(0.9).alias("similarity")), "id")
 
 

@@ -36,8 +36,8 @@ def listing_filter_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SUMMARIES = """s AS (SELECT d.doc_id, '[ManualCheck] Report ' || source || ' [Diagnostic Study] x (Pages 1-' || (length(d.text) % 90) || ')' AS title,
   CASE WHEN d.doc_id % 3 = 0 THEN 'Verified ' || lang END AS verified_title, CASE WHEN d.doc_id % 5 = 0 THEN '' END AS edited_title,
-  '**DOI**: 01/02/20' || CASE WHEN d.doc_id % 2 = 0 THEN ' & 03/04/21' ELSE '' END || '. ' || left(replace(d.text, chr(10), ' '), 40) AS text,
-  CASE WHEN d.doc_id % 4 = 0 THEN left(replace(d.text, chr(10), ' '), 20) END AS verified_text,
+  '**DOI**: 01/02/20' || CASE WHEN d.doc_id % 2 = 0 THEN ' & 03/04/21' ELSE '' END || '. ' || replace(d.text, chr(10), ' ') AS text,
+  CASE WHEN d.doc_id % 4 = 0 THEN replace(d.text, chr(10), ' ') END AS verified_text,
   CASE WHEN d.doc_id % 7 = 0 THEN '' END AS edited_text, '0' || (1 + d.doc_id % 9) || '/1' || (d.doc_id % 10) || '/2020' AS date,
   CASE WHEN d.doc_id % 6 = 0 THEN '-' END AS edited_date, l.quality = 0 AS excluded FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
@@ -51,8 +51,8 @@ def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("[ManualCheck] Report "), "source", F.lit(" [Diagnostic Study] x (Pages 1-"), (F.length("text") % 90).cast("string"), F.lit(")")).alias("title"),
         F.when(i % 3 == 0, F.concat(F.lit("Verified "), "lang")).alias("verified_title"),
         F.when(i % 5 == 0, "").alias("edited_title"),
-        F.concat(F.lit("**DOI**: 01/02/20"), F.when(i % 2 == 0, " & 03/04/21").otherwise(""), F.lit(". "), F.left(flat, F.lit(40))).alias("text"),
-        F.when(i % 4 == 0, F.left(flat, F.lit(20))).alias("verified_text"),
+        F.concat(F.lit("**DOI**: 01/02/20"), F.when(i % 2 == 0, " & 03/04/21").otherwise(""), F.lit(". "), flat).alias("text"),
+        F.when(i % 4 == 0, flat).alias("verified_text"),
         F.when(i % 7 == 0, "").alias("edited_text"),
         F.concat(F.lit("0"), (1 + i % 9).cast("string"), F.lit("/1"), (i % 10).cast("string"), F.lit("/2020")).alias("date"),
         F.when(i % 6 == 0, "-").alias("edited_date"),
@@ -113,12 +113,12 @@ BUCKETS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-NONE
 
 @query(
     """WITH d AS (SELECT * FROM (VALUES (0, '1-URGENT'), (1, '2-HIGH'), (2, '3-MEDIUM'), (3, '4-NOT SPECIFIED'), (4, '5-LOW'), (5, '6-NONE')) v(place, bucket)),
-c AS (SELECT o_orderpriority AS bucket, count(*) AS n FROM orders WHERE o_orderpriority <> '4-NOT SPECIFIED' GROUP BY 1),
+c AS (SELECT o_orderpriority AS bucket, count(*) AS n FROM orders GROUP BY 1),
 f AS (SELECT place, bucket, coalesce(n, 0) AS n FROM d LEFT JOIN c USING (bucket)) SELECT place, bucket, n, round(100.0 * n / (SELECT sum(n) FROM f), 1) AS share FROM f"""
 )
 def bucket_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and shares of a fixed order of buckets."""
-    rows = table(spark, sf_dir, "orders").where("o_orderpriority <> '4-NOT SPECIFIED'").select(F.col("o_orderpriority").alias("bucket"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("bucket"))
     return L.bucket_report(rows, "bucket", BUCKETS)
 
 
@@ -139,10 +139,10 @@ def export_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS p FROM lineitem WHERE l_partkey % 3 <> 0 GROUP BY 1)
+    """WITH g AS (SELECT l_orderkey, list_sort(list(DISTINCT l_linenumber)) AS p FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CASE WHEN len(p) = 1 THEN 'page ' || p[1] ELSE 'pages ' || array_to_string(p[1:len(p) - 1], ', ') || ' and ' || p[len(p)] END AS phrase FROM g"""
 )
 def page_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages put into words."""
-    items = table(spark, sf_dir, "lineitem").where("l_partkey % 3 <> 0")
+    items = table(spark, sf_dir, "lineitem")
     return items.groupBy("l_orderkey").agg(X.page_phrase(F.collect_set("l_linenumber")).alias("phrase"))

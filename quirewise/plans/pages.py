@@ -114,17 +114,17 @@ def transition_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT user_id, event_id % 6 + 1 AS i, event_id % 6 + 1 + user_id % 5 + CASE WHEN event_id % 4 = 0 THEN 3 ELSE 0 END AS printed, event_id FROM events WHERE event_id % 13 < 4),
-c AS (SELECT user_id, printed - i AS off, count(*) AS n, min(i) AS f FROM r GROUP BY ALL),
+    """WITH r AS (SELECT user_id, event_id % 6 + 1 AS i, CASE WHEN event_id % 13 < 4 THEN event_id % 6 + 1 + user_id % 5 + CASE WHEN event_id % 4 = 0 THEN 3 ELSE 0 END END AS printed, event_id FROM events),
+c AS (SELECT user_id, printed - i AS off, count(*) AS n, min(i) AS f FROM r WHERE printed IS NOT NULL GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, f) AS rn FROM c)
-SELECT user_id, CASE WHEN n >= 2 THEN off END AS "offset" FROM b WHERE rn = 1"""
+SELECT u.user_id, CASE WHEN n >= 2 THEN off END AS "offset" FROM (SELECT DISTINCT user_id FROM r) u LEFT JOIN b ON b.user_id = u.user_id AND rn = 1"""
 )
 def counter_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page offset that most readings agree on."""
     i = F.col("event_id") % 6 + 1
-    readings = table(spark, sf_dir, "events").where("event_id % 13 < 4").select(
-        "user_id", i.alias("i"), (i + F.col("user_id") % 5 + F.when(F.col("event_id") % 4 == 0, 3).otherwise(0)).alias("printed")
-    )
+    printed = i + F.col("user_id") % 5 + F.when(F.col("event_id") % 4 == 0, 3).otherwise(0)
+    # Of some pages no number could be read.
+    readings = table(spark, sf_dir, "events").select("user_id", i.alias("i"), F.when(F.col("event_id") % 13 < 4, printed).alias("printed"))
     return P.counter_offset(readings, "user_id", 6)
 
 

@@ -56,28 +56,34 @@ def page_map_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page_map_errors(lines, "rec")
 
 
-@query("SELECT n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
+@query("SELECT c_custkey || ',' || c_name || ',' || CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE c_mktsegment END AS line FROM customer")
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as lines."""
-    return R.csv_lines(table(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    rows = table(spark, sf_dir, "customer").withColumn("segment", F.when(F.col("c_nationkey") % 5 != 0, F.col("c_mktsegment")))
+    return R.csv_lines(rows, ["c_custkey", "c_name", "segment"])
 
 
 @query(
-    """WITH h AS (SELECT DISTINCT o_custkey AS doc_id, strftime(o_orderdate, '%m/%d/%Y') AS date FROM orders WHERE o_orderkey % 2 = 0),
-r AS (SELECT o_custkey AS doc_id, strftime(o_orderdate, '%m/%d/%Y') AS date, bool_or(o_orderkey % 5 > 0) AS shipped FROM orders WHERE o_orderkey % 3 > 0 GROUP BY ALL),
+    """WITH d AS (SELECT o_custkey AS doc_id, o_orderkey AS i, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 2) AS said, o_orderdate + INTERVAL 1 DAY * (CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END) AS sent, o_orderdate AS od FROM orders),
+h AS (SELECT DISTINCT doc_id, strftime(said, '%m/%d/%Y') AS date FROM d),
+r AS (SELECT doc_id, strftime(sent, '%m/%d/%Y') AS date, bool_or(i % 5 > 0) AS shipped FROM d GROUP BY ALL),
+t AS (SELECT DISTINCT doc_id, strftime(od, '%m/%d/%Y') AS date FROM d WHERE doc_id % 2 = 0),
 b AS (SELECT coalesce(h.doc_id, r.doc_id) AS doc_id, coalesce(h.date, r.date) AS date, h.doc_id IS NOT NULL AS listed, shipped FROM h FULL JOIN r ON h.doc_id = r.doc_id AND h.date = r.date)
-SELECT doc_id, date, CASE WHEN listed AND shipped THEN 'delivered' WHEN listed AND shipped IS NOT NULL THEN 'excluded' WHEN listed AND doc_id % 2 = 0 THEN 're_dated' WHEN listed THEN 'unfound' ELSE 'extra' END AS bucket
+SELECT doc_id, date, CASE WHEN listed AND shipped THEN 'delivered' WHEN listed AND shipped IS NOT NULL THEN 'excluded' WHEN listed AND (doc_id, date) IN (SELECT doc_id, date FROM t) THEN 're_dated' WHEN listed THEN 'unfound' ELSE 'extra' END AS bucket
 FROM b WHERE listed OR shipped"""
 )
 def delivered_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates that people list against the dates that are delivered."""
+    i, day = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    moved = lambda n: F.date_format(F.date_add(day, n.cast("int")), "MM/dd/yyyy")
     orders = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("doc_id"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("date"), F.col("o_orderkey").alias("i"),
-        F.date_format("o_orderdate", "MMMM d, yyyy").alias("spelled"),
+        F.col("o_custkey").alias("doc_id"), i.alias("i"), moved(i % 2).alias("said"), moved(F.when(i % 3 == 0, 2).otherwise(0)).alias("sent"),
+        F.when(F.col("o_custkey") % 2 == 0, F.date_format(day, "MMMM d, yyyy")).alias("spelled"),
     )
-    rows = orders.where("i % 3 > 0").select("doc_id", "date", (F.col("i") % 5 > 0).alias("included"))
-    texts = orders.where("doc_id % 2 = 0").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("spelled")), "; ").alias("text"))
-    return R.delivered_buckets(orders.where("i % 2 = 0").select("doc_id", "date"), rows, texts)
+    human = orders.select("doc_id", F.col("said").alias("date"))
+    rows = orders.select("doc_id", F.col("sent").alias("date"), (F.col("i") % 5 > 0).alias("included"))
+    texts = orders.groupBy("doc_id").agg(F.array_join(F.sort_array(F.collect_set("spelled")), "; ").alias("text"))
+    return R.delivered_buckets(human, rows, texts)
 
 
 @query(
@@ -113,4 +119,4 @@ def target_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File names in plain ASCII."""
-    return R.safe_names(table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(40)).alias("name")), "name")
+    return R.safe_names(table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("name")), "name")

@@ -36,27 +36,21 @@ FROM w JOIN pages_v p ON p.doc_id = w.doc_id AND p.page = w.page + 1) SELECT doc
 )
 def accumulated_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts of spans grown page by page: a verdict depends on where the span began."""
-    paged = pages(spark, sf_dir)
-    sizes = S.sizes_of(paged)
-    # A verdict is a rule on the page's length and the span's first page; only 4 remainders differ.
-    firsts = sizes.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("first"))
-    remainders = firsts.groupBy("doc_id", (F.col("first") % 4).alias("r")).agg(F.collect_list("first").alias("firsts"))
-    due = paged.withColumn("r", (4 - F.length("text") % 4) % 4).join(remainders, ["doc_id", "r"])
-    verdicts = due.select("doc_id", "page", F.explode(F.filter("firsts", lambda x: x < F.col("page"))).alias("first"), F.lit(True).alias("is_new"))
-    return Q.accumulated_starts(sizes, verdicts)
+    # A verdict is a rule on the page's length and the span's first page; only 4 rests differ.
+    rests = F.array((4 - F.length("text") % 4) % 4)
+    return Q.accumulated_by_rule(pages(spark, sf_dir).select("doc_id", "page", rests.alias("rests")), 4)
 
 
 @query(f"WITH {PAGES}, {GOLD_STARTS} SELECT * FROM gold")
 def probed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts by probing ranges: with right verdicts all true ones are found."""
+    from pyspark.sql import Window
+
     paged = pages(spark, sf_dir)
-    sizes = S.sizes_of(paged)
-    spans = S.tile(gold(paged), sizes).join(sizes, "doc_id")
-    # A page is new to a span where it lies behind the span's end.
-    behind = F.filter(F.sequence(F.col("end") + 1, F.col("n") + 1), lambda p: p <= F.col("n"))
-    probes = spans.select("doc_id", F.col("start").alias("first"), F.explode(behind).alias("page"), F.lit(True).alias("is_new"))
-    sure = gold(paged).select("doc_id", F.col("start").alias("page"), F.lit(True).alias("is_new"))
-    return Q.probed_starts(sizes, probes, sure, gold(paged).where("start % 20 = 0"))
+    begins = F.when((F.col("page") == 1) | (F.length("text") % 5 == 0), 1).otherwise(0)
+    upto = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    labelled = paged.select("doc_id", "page", F.sum(begins).over(upto).alias("label"))
+    return Q.probed_by_label(labelled, gold(paged).where("start % 20 = 0"))
 
 
 @query(
@@ -74,13 +68,35 @@ def older_suspicion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def boundary_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages scored as starts by models of the other languages."""
+    """Whether each page follows the end of a sentence, scored by models of the other languages."""
+    from pyspark.sql import Window
+
     langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    n = F.length("text")
-    rows = pages(spark, sf_dir).where("page > 1").join(langs, "doc_id").select(
-        "doc_id", "page", "lang", (n % 5 == 0).cast("int").alias("label"), n.cast("double").alias("size"),
-        (n % 5).cast("double").alias("rest"), F.col("page").cast("double").alias("place"),
+    share = lambda p: F.coalesce(F.try_divide(F.regexp_count("text", F.lit(p)).cast("double"), F.length("text").cast("double")), F.lit(0.0))
+    by_page = Window.partitionBy("doc_id").orderBy("page")
+    before = F.lag("text").over(by_page)
+    rows = pages(spark, sf_dir).withColumn("before", before).where("page > 1").join(langs, "doc_id").select(
+        "doc_id", "page", "lang", F.coalesce(F.col("before").rlike(r"[.!?]\s*$"), F.lit(False)).cast("int").alias("label"),
+        F.log1p(F.length("text")).alias("size"), F.log1p(F.length("before")).alias("size_before"),
+        F.col("text").rlike(r"^\s*\p{Lu}").cast("double").alias("opens"), share(r"\p{Lu}").alias("capitals"), share("[0-9]").alias("digits"),
+        F.log1p("page").alias("place"),
     )
     every = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    scored = L.leave_one_out(rows, "lang", ["size", "rest", "place"], "label", every)
+    scored = L.leave_one_out(rows, "lang", ["size", "size_before", "opens", "capitals", "digits", "place"], "label", every)
     return scored.select("doc_id", "page", "lang", "label", "score")
+
+
+@query(
+    r"""WITH w AS (SELECT d.doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}') AS w, d.doc_id IN (SELECT doc_id FROM labels) AS tr FROM documents d),
+t AS (SELECT doc_id, tr, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w),
+c AS MATERIALIZED (SELECT doc_id, tr, term, count(*) AS n FROM t GROUP BY ALL),
+v AS (SELECT term, count(*) AS df, sum(n) AS tf FROM c WHERE tr GROUP BY term HAVING count(*) >= 2 ORDER BY tf DESC, term LIMIT 20000),
+x AS (SELECT doc_id, term, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM w WHERE tr)) / (1.0 + df)) + 1) AS a FROM c JOIN v USING (term))
+SELECT doc_id, count(*) AS n_terms, round(sum(a) / sqrt(sum(a * a)), 6) AS total, round(max(a) / sqrt(sum(a * a)), 6) AS top FROM x GROUP BY doc_id"""
+)
+def term_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's word and pair weights, by a vocabulary of the labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    train = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+    found = L.tfidf(train, docs, "doc_id", "text", most_terms=20_000)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_terms"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.max("weight"), 6).alias("top"))

@@ -68,12 +68,12 @@ rep AS (SELECT w.doc_id, w.k, g.start - w.ws AS pos, g.start, CAST(w.k AS VARCHA
   FROM win w JOIN pred g ON g.doc_id = w.doc_id AND g.start BETWEEN w.ws AND w.we)"""
 
 
-def _reports(paged: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Reports of fixed windows: each names the predicted starts it sees."""
+def _reports(paged: DataFrame, starts: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reports of fixed windows: each names the starts it sees, the predicted ones if no others are given."""
     sizes = S.sizes_of(paged)
     windows = S.fixed_windows(sizes, 6, 2)
     seen = S.span_pages(windows).select("doc_id", "k", F.col("start").alias("ws"), F.col("page").alias("start"))
-    reports = seen.join(predicted(paged), ["doc_id", "start"]).select(
+    reports = seen.join(predicted(paged) if starts is None else starts, ["doc_id", "start"]).select(
         "doc_id",
         "k",
         (F.col("start") - F.col("ws")).alias("pos"),
@@ -98,15 +98,17 @@ def ownership_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {PAGES}, {SIZES}, {PRED_STARTS}, {_FIXED},
-t AS (SELECT doc_id, k, pos, start, title FROM rep WHERE (start + k) % 3 <> 0)
+    f"""WITH {PAGES}, {SIZES}, {PRED_STARTS}, {GOLD_STARTS}, {_FIXED},
+t AS (SELECT doc_id, k, pos, start, title FROM rep WHERE k % 2 = 1 UNION ALL SELECT w.doc_id, w.k, g.start - w.ws, g.start, CAST(w.k AS VARCHAR) || ':' || g.start FROM win w JOIN gold g ON g.doc_id = w.doc_id AND g.start BETWEEN w.ws AND w.we WHERE w.k % 2 = 0)
 SELECT t.* FROM t JOIN (SELECT doc_id, k, lag(we) OVER (PARTITION BY doc_id ORDER BY k) AS until FROM win) u USING (doc_id, k)
 WHERE until IS NULL OR start > until OR EXISTS (SELECT 1 FROM t b WHERE b.doc_id = t.doc_id AND b.k = t.k - 1 AND abs(b.start - t.start) <= 2)"""
 )
 def overlap_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports in overlaps that the window before confirms; each window misses some."""
-    reports, windows, _ = _reports(pages(spark, sf_dir))
-    return S.overlap_vote(reports.where("(start + k) % 3 <> 0"), windows)
+    """Reports in overlaps that the window before confirms; every other window sees other starts."""
+    paged = pages(spark, sf_dir)
+    reports, windows, _ = _reports(paged)
+    others, _, _ = _reports(paged, gold(paged))
+    return S.overlap_vote(reports.where("k % 2 = 1").unionByName(others.where("k % 2 = 0")), windows)
 
 
 @query(

@@ -13,7 +13,7 @@ from quirewise.sources.tables import table
 
 #: Documents with a date of an order written into them.
 DATED = """dd AS (SELECT d.doc_id, o_orderdate AS od, strftime(o_orderdate, '%m/%d/%Y') AS assigned,
-  left(d.text, 60) || CASE d.doc_id % 6 WHEN 0 THEN ' Date of Exam: ' || strftime(o_orderdate, '%-m/%-d/%Y') || ' '
+  d.text || chr(10) || CASE d.doc_id % 6 WHEN 0 THEN ' Date of Exam: ' || strftime(o_orderdate, '%-m/%-d/%Y') || ' '
   WHEN 1 THEN ' Signed on ' || strftime(o_orderdate, '%m-%d-%Y') || ' ' WHEN 2 THEN ' printed on | ' || strftime(o_orderdate, '%m.%d.%Y') || ' '
   WHEN 3 THEN ' DOI ' || strftime(o_orderdate, '%m/%d/%Y') || ' ' WHEN 4 THEN ' on ' || strftime(o_orderdate, '%B %-d, %Y') || ' ' ELSE ' ' END AS text
   FROM documents d JOIN orders ON o_orderkey = d.doc_id)"""
@@ -31,7 +31,7 @@ def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderdate")
     return table(spark, sf_dir, "documents").select("doc_id", "text").join(orders, "doc_id").select(
-        "doc_id", F.date_format(od, "MM/dd/yyyy").alias("assigned"), F.concat(F.left("text", F.lit(60)), written).alias("text")
+        "doc_id", F.date_format(od, "MM/dd/yyyy").alias("assigned"), F.concat("text", F.lit("\n"), written).alias("text")
     )
 
 
@@ -65,12 +65,17 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT source, substr(sha256(string_agg(lang || ':' || doc_id, ',' ORDER BY lang || ':' || doc_id)), 1, 12) AS fingerprint FROM documents GROUP BY source")
+@query(
+    """WITH r AS (SELECT source, doc_id // 1000 AS part, sha256(string_agg(lang || ':' || doc_id, ',' ORDER BY lang || ':' || doc_id)) AS d FROM documents GROUP BY ALL)
+SELECT source, substr(sha256(string_agg(d, ',' ORDER BY part)), 1, 12) AS fingerprint FROM r GROUP BY source"""
+)
 def group_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One fingerprint over the sorted parts of each group."""
+    """One fingerprint over the digests of each group's ranges, each over its sorted parts: no group is one array."""
     part = F.concat_ws(":", "lang", F.col("doc_id").cast("string"))
-    joined = F.array_join(F.array_sort(F.collect_list(part)), ",")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.substring(F.sha2(joined, 256), 1, 12).alias("fingerprint"))
+    ranged = table(spark, sf_dir, "documents").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("part"))
+    digests = ranged.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(part)), ","), 256).alias("d"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("part", "d"))), lambda x: x["d"])
+    return digests.groupBy("source").agg(F.substring(F.sha2(F.array_join(ordered, ","), 256), 1, 12).alias("fingerprint"))
 
 
 @query(
@@ -183,11 +188,11 @@ def caps_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, len(regexp_extract_all(t, '\\*\\*(.+?)\\*\\*')) AS bold, greatest(1, length(t) // 4 + 258) AS tokens,
-regexp_replace(t, '\\*\\*(.+?)\\*\\*', '<b>\\1</b>', 'g') AS html FROM (SELECT doc_id, '**' || source || '** ' || left(replace(replace(text, '*', ''), '_', ''), 50) || ' **' || lang || '**' AS t FROM documents)"""
+regexp_replace(t, '\\*\\*(.+?)\\*\\*', '<b>\\1</b>', 'g') AS html FROM (SELECT doc_id, '**' || source || '** ' || replace(replace(text, '*', ''), '_', '') || ' **' || lang || '**' AS t FROM documents)"""
 )
 def emphasis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bold spans counted and rendered, and a token estimate."""
-    plain = F.left(F.replace(F.replace(F.col("text"), F.lit("*"), F.lit("")), F.lit("_"), F.lit("")), F.lit(50))
+    plain = F.replace(F.replace(F.col("text"), F.lit("*"), F.lit("")), F.lit("_"), F.lit(""))
     t = F.concat(F.lit("**"), "source", F.lit("** "), plain, F.lit(" **"), "lang", F.lit("**"))
     rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return rows.select(

@@ -12,15 +12,25 @@ from quirewise.functions.pacing import COOLDOWN, FLOOR, GAIN
 from quirewise.session import ship
 
 
-def job_states(events: DataFrame, terminal: tuple[str, ...] = ("done", "error", "paused", "cancelled", "interrupted")) -> DataFrame:
+def _timeout(keep_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def job_states(
+    events: DataFrame, terminal: tuple[str, ...] = ("done", "error", "paused", "cancelled", "interrupted"), keep_ms: int | None = None
+) -> DataFrame:
     """``job, state, seq``: a row for every accepted change of a job's state.
 
     ``events`` gives ``job, seq, state``.  The first ending stays: what comes
-    after it is ignored.
+    after it is ignored.  With ``keep_ms`` the state of a job that has ended is
+    forgotten that long after its last event; without, it is kept for ever.
     """
     ship(events.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         now, last = state.get if state.exists else ("", -1)
         rows = pd.concat(list(batches)).sort_values("seq")
         out = []
@@ -31,21 +41,27 @@ def job_states(events: DataFrame, terminal: tuple[str, ...] = ("done", "error",
                 now, last = str(new), int(seq)
                 out.append((key[0], now, last))
         state.update((now, last))
+        if keep_ms is not None and now in terminal:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame(out, columns=["job", "state", "seq"])
 
     return events.groupBy("job").applyInPandasWithState(
-        step, "job long, state string, seq long", "state string, seq long", "append", GroupStateTimeout.NoTimeout
+        step, "job long, state string, seq long", "state string, seq long", "append", _timeout(keep_ms)
     )
 
 
-def paced_rates(events: DataFrame, ceiling: float) -> DataFrame:
+def paced_rates(events: DataFrame, ceiling: float, keep_ms: int | None = None) -> DataFrame:
     """``user_id, rate, cut`` after each micro-batch, by the transition of the batch fold.
 
-    ``events`` gives ``user_id, t, seq, outcome``.
+    ``events`` gives ``user_id, t, seq, outcome``.  With ``keep_ms`` a user without
+    events for that long is forgotten and begins again at the ceiling.
     """
     ship(events.sparkSession)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rate, cut_at, cut = state.get if state.exists else (ceiling, -1e18, 0)
         rows = pd.concat(list(batches)).sort_values(["t", "seq"])
         for t, outcome in zip(rows["t"], rows["outcome"], strict=True):
@@ -55,8 +71,10 @@ def paced_rates(events: DataFrame, ceiling: float) -> DataFrame:
                 rate += GAIN * ceiling
             rate = min(ceiling, max(FLOOR * ceiling, rate))
         state.update((rate, cut_at, cut))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         yield pd.DataFrame([(key[0], rate, cut)], columns=["user_id", "rate", "cut"])
 
     return events.groupBy("user_id").applyInPandasWithState(
-        step, "user_id long, rate double, cut int", "rate double, cut_at double, cut int", "update", GroupStateTimeout.NoTimeout
+        step, "user_id long, rate double, cut int", "rate double, cut_at double, cut int", "update", _timeout(keep_ms)
     )

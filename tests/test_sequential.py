@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from quirewise.operators import learn as L
+from quirewise.operators import sequential as Q
 from quirewise.operators.sequential import accumulate, search
 
 
@@ -68,3 +69,25 @@ def test_boundary_model_scores_every_language(spark, tmp_path):
     got = QUERIES["boundary_model"](spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.page) for r in got) == [(i, p) for i in range(6) for p in range(2, 13)]
     assert all(r.score is not None for r in got)
+
+
+def test_sequential_by_rule_and_label(spark):
+    """Verdicts by rule and by label give what tables of all verdicts give."""
+    rng = random.Random(8)
+    rows = [(d, p, [rng.randrange(4)] if rng.random() < 0.5 else None, None) for d in range(6) for p in range(1, 30 + d)]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, rests array<int>, text string").repartition(3)
+    sizes = pages.groupBy("doc_id").agg(F.max("page").alias("n"))
+    pairs = [(d, first, p, True) for d, p, rests, _ in rows for first in range(1, p) if rests and first % 4 in rests]
+    table = spark.createDataFrame(pairs, "doc_id long, first int, page int, is_new boolean")
+    order = lambda df: sorted(map(tuple, df.collect()))
+    assert order(Q.accumulated_by_rule(pages, 4)) == order(Q.accumulated_starts(sizes, table))
+    labels, now = [], 0
+    for d, p, *_ in rows:
+        now += rng.random() < 0.3
+        labels.append((d, p, now))
+    labelled = spark.createDataFrame(labels, "doc_id long, page int, label int").repartition(3)
+    probes = [(d, f, p, True) for d, f, x in labels for e, p, y in labels if d == e and p > f and x != y]
+    cuts = spark.createDataFrame([(1, 7), (1, 12), (3, 2), (3, 900)], "doc_id long, start int")
+    asked = spark.createDataFrame(probes, "doc_id long, first int, page int, is_new boolean")
+    assert order(Q.probed_by_label(labelled, cuts)) == order(Q.probed_starts(sizes, asked, None, cuts))
+    assert Q.accumulated_by_rule(pages.limit(0), 4).count() == 0 and Q.probed_by_label(labelled.limit(0)).count() == 0
