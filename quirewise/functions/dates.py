@@ -130,3 +130,14 @@ def labelled_dates(text: Column, family: str) -> Column:
         parts = [F.regexp_extract_all(low, pattern, F.lit(i)) for i in (1, 2, 3)]
         found.append(F.transform(F.arrays_zip(*[p.alias(n) for p, n in zip(parts, "mdy", strict=True)]), lambda x: normalise(x["m"], x["d"], x["y"])))
     return F.array_distinct(F.filter(F.concat(*found), lambda x: x.isNotNull()))
+
+
+def appears_loosely(date: Column, text: Column) -> Column:
+    """Whether a date is written in a text with any separators or blanks, or spelled out with an ordinal; bad dates are not."""
+    part = [F.try_element_at(F.split(date, "/"), F.lit(i)).try_cast("int") for i in (1, 2, 3)]
+    m, d, y = (p.cast("string") for p in part)
+    sep = F.lit(r"[/\-.\s]{1,3}")
+    numeric = F.concat(F.lit(r"\b0?"), m, sep, F.lit("0?"), d, sep, F.lit("("), y, F.lit("|"), F.substring(y, 3, 2), F.lit(r")\b"))
+    names = F.array(*[F.lit(x) for x in MONTHS])
+    spelled = F.concat(F.lit(r"(?i)\b"), F.get(names, part[0] - 1), F.lit(r"\.?\s+0?"), d, F.lit(r"(st|nd|rd|th)?,?\s+"), y, F.lit(r"\b"))
+    return F.coalesce(F.rlike(text, numeric) | F.rlike(text, spelled), F.lit(False))

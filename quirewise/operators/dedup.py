@@ -273,3 +273,25 @@ def containment(items: DataFrame, probes: DataFrame, least: float = 0.8, width:
     total = wanted.groupBy("item_id").agg(F.count("*").alias("n"))
     shared = runs(items, "doc_id").join(wanted, "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("c"))
     return shared.join(total, "item_id").select("doc_id", "item_id", (F.col("c") / F.col("n")).alias("share")).where(F.col("share") >= least)
+
+
+def resolved(members: DataFrame, actions: DataFrame, group: str, key: str) -> DataFrame:
+    """Members after their groups' actions: ``kept``, ``dismissed`` and ``include``.
+
+    ``actions`` gives ``group, action, kept_key``.  ``keep_one`` marks the kept
+    member, which is included if any was, and excludes the others; ``dismiss``
+    only says that they are no duplicates.  A kept member that is not in the group
+    changes nothing.
+    """
+    inside = members.select(group, F.col(key).alias("kept_key")).distinct()
+    known = actions.join(inside, [group, "kept_key"], "left_semi").where("action = 'keep_one'").unionByName(actions.where("action = 'dismiss'"))
+    wanted = members.groupBy(group).agg(F.bool_or("include").alias("_any"))
+    joined = members.join(known.select(group, "action", "kept_key"), group, "left").join(wanted, group, "left")
+    keep, drop = F.coalesce(F.col("action") == "keep_one", F.lit(False)), F.coalesce(F.col("action") == "dismiss", F.lit(False))
+    mine = keep & (F.col(key) == F.col("kept_key"))
+    values = {
+        "include": F.when(keep, mine & F.col("_any")).otherwise(F.col("include")),
+        "kept": F.when(keep | drop, mine).otherwise(F.col("kept")),
+        "dismissed": F.when(keep, False).when(drop, True).otherwise(F.col("dismissed")),
+    }
+    return joined.withColumns(values).select(*members.columns)

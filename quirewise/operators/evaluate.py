@@ -247,3 +247,21 @@ def mcnemar(base: DataFrame, contender: DataFrame, truth: DataFrame, key: str =
         F.count_if(right("b") & ~right("c")).alias("base_only"), F.count_if(right("c") & ~right("b")).alias("contender_only")
     )
     return counts.withColumn("p_value", sign_test(F.col("contender_only"), F.col("base_only")))
+
+
+def known_mean(column: Column) -> Column:
+    """The mean of the values that are numbers: null and NaN count as absent, none gives null."""
+    return F.avg(F.when(~F.isnan(column), column))
+
+
+def near_misses(points: DataFrame, targets: DataFrame, reach: int = 2, key: str = "doc_id") -> DataFrame:
+    """``key, start``: points that are no target, but have one within ``reach`` pages."""
+    around = targets.select(key, F.explode(F.sequence(F.col("start") - reach, F.col("start") + reach)).alias("start")).distinct()
+    missed = points.select(key, "start").distinct().join(targets.select(key, "start"), [key, "start"], "left_anti")
+    return missed.join(around, [key, "start"], "left_semi")
+
+
+def shifted(starts: DataFrame, shifts: DataFrame, sizes: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, start``: starts moved by each record's constant, clamped to its pages; no shift is 0."""
+    moved = starts.join(sizes, key).join(shifts.select(key, "shift"), key, "left").withColumn("_s", F.col("start") + F.coalesce("shift", F.lit(0)))
+    return moved.select(key, F.least(F.greatest("_s", F.lit(1)), "n").alias("start")).distinct()

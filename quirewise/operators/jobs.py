@@ -188,3 +188,14 @@ def call_costs(calls: DataFrame, key: str, input_price: float, output_price: flo
             "usd": F.col("input_tokens") * F.lit(input_price) + F.col("output_tokens") * F.lit(output_price),
         }
     )
+
+
+def accepted_states(events: DataFrame, key: str, order: str) -> DataFrame:
+    """The changes of a job's state that are accepted: none after its first ending, and none that changes nothing.
+
+    The batch twin of the stream of job states.
+    """
+    ended = first_terminal(events, key, "state", order).select(key, F.col(order).alias("_end"))
+    before = F.lag("state").over(Window.partitionBy(key).orderBy(order))
+    live = events.join(ended, key, "left").where(F.col("_end").isNull() | (F.col(order) <= F.col("_end"))).withColumn("_was", before)
+    return live.where(F.col("_was").isNull() | (F.col("_was") != F.col("state"))).drop("_end", "_was")

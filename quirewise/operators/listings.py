@@ -77,3 +77,23 @@ def bucket_report(rows: DataFrame, bucket: str, buckets: list[str]) -> DataFrame
     return filled.crossJoin(total).select(  # one row against the fixed list of buckets
         "place", bucket, "n", F.round(F.coalesce(F.try_divide(100 * F.col("n"), "_all"), F.lit(0.0)), 1).alias("share")
     )
+
+
+def with_edit_marks(summaries: DataFrame) -> DataFrame:
+    """Summaries with ``edited`` (any layer a person wrote) and ``verify_changed`` (an audit that ran and found something)."""
+    edited = F.col("edited_title").isNotNull() | F.col("edited_date").isNotNull() | F.col("edited_text").isNotNull()
+    found = F.size(F.coalesce("verify_issues", F.array().cast("array<string>"))) > 0
+    return summaries.withColumn("edited", edited).withColumn("verify_changed", F.coalesce("verified", F.lit(False)) & found)
+
+
+def document_listing(documents: DataFrame, jobs: DataFrame, key: str, active: tuple[str, ...], order: str) -> DataFrame:
+    """Documents with ``name``, trimmed and put together, and ``active_job``: the newest active job's state and number, or null."""
+    running = jobs.where(F.col("state").isin(*active)).groupBy(key).agg(F.max(F.struct(order, "state")).alias("_j"))
+    name = F.trim(F.concat_ws(" ", F.coalesce("first_name", F.lit("")), F.coalesce("last_name", F.lit(""))))
+    return documents.withColumn("name", name).join(running, key, "left").withColumn("active_job", F.col("_j")).drop("_j")
+
+
+def sort_places(rows: DataFrame, key: str, columns: list[tuple[str, bool]], tie: str) -> DataFrame:
+    """Rows with their place within each record by several columns, each up (True) or down; nulls last, then ``tie``."""
+    order = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in columns]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order, tie)))

@@ -151,3 +151,25 @@ def header_shape(read: DataFrame) -> DataFrame:
     """Header fields under the names they are stored by; a field that was not read is empty."""
     names = {"first_name": "patient_first_name", "last_name": "patient_last_name", "dob": "patient_dob", "lawfirm": "law_firm"}
     return read.withColumnsRenamed(names).na.fill("", list(names.values()))
+
+
+def first_known(rows: DataFrame, key: str, order: str, columns: list[str]) -> DataFrame:
+    """``key`` and each column's first value that is not null, in order; null where all are."""
+    return rows.groupBy(key).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c))).alias(c) for c in columns])
+
+
+def with_live(summaries: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Summaries with ``live``: the category that the row of their span has now, or null where its boundary moved."""
+    now = rows.select(key, "start", "end", F.col("category").alias("live"))
+    return summaries.join(now, [key, "start", "end"], "left")
+
+
+def retried(attempts: DataFrame, key: str, retries: int = 1) -> DataFrame:
+    """``key, page, ok, tries`` of pages read again after errors: the first success, or the last of ``retries`` more attempts.
+
+    ``attempts`` gives ``key, page, attempt, ok`` with attempts from 0; later ones are not made.
+    """
+    made = attempts.where(F.col("attempt") <= retries)
+    first = F.min(F.when(F.col("ok"), F.col("attempt")))
+    grouped = made.groupBy(key, "page").agg(first.alias("_f"), F.max("attempt").alias("_l"))
+    return grouped.select(key, "page", F.col("_f").isNotNull().alias("ok"), (F.coalesce("_f", "_l") + 1).alias("tries"))
