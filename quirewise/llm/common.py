@@ -7,8 +7,6 @@ is the empty text).
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -16,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quirewise.session import ship
+from quirewise.operators.graph import checkpoint
+from quirewise.session import scratch, ship
 
 #: Rows and bytes of an Arrow batch handed to Python, where the session names none.
 #: A text may be megabytes long, so rows alone would not bound a worker's memory.
@@ -65,35 +64,14 @@ def record_batch(**columns: tuple[Iterable, pa.DataType]) -> pa.RecordBatch:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's ``spark.checkpoint.dir``.
-
-    Only where a session names none (tests on one machine) it is a temporary one.
-    """
-    context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quirewise-"))
-    return named or context.getCheckpointDir()
-
-
 def run_folder(spark: SparkSession) -> str:
-    """A new folder's name inside the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/quirewise-{uuid.uuid4().hex}"
+    """A new folder's name inside the folder that driver and executors share."""
+    return scratch(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def fresh(columns: Iterable[str], name: str) -> str:
-    """``name``, with underscores appended until no column has it in any case."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+    return checkpoint(df)
 
 
 def row_hash(df: DataFrame) -> Column:

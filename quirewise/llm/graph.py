@@ -1,56 +1,7 @@
-"""Connected components of an edge table, by alternating star operations."""
+"""Connected components of an edge table, by the engine's own operator."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from quirewise.operators.graph import components as connected_components
 
-from .common import cut
-
-#: More rounds than any graph of 2**40 nodes needs; reaching it is an error.
-MAX_ROUNDS = 60
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Point each neighbour that is larger than a node at the node's smallest one."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    smallest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Point each node and its smaller neighbours at the smallest of them."""
-    smallest = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(smallest.select("u", F.col("m").alias("v"))).distinct()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Component of every node that has an edge.
-
-    ``edges`` has two columns of one orderable type; direction, repeats, loops
-    and nulls do not matter.  Returns ``node, component`` with the smallest node
-    of the component, a node without an edge to another one being left out.
-
-    Two star operations alternate until the edge set is a set of stars.  Both
-    are joins and minima, so a node with very many neighbours is never gathered
-    in one place; each round is checkpointed.
-    """
-    a, b = edges.columns
-    now = cut(
-        edges.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-        .distinct()
-    )
-    mark = None
-    for _ in range(MAX_ROUNDS):
-        seen = now.agg(
-            F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if seen.n == 0 or (seen.n, seen.h) == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                now.select(F.col("v"), F.col("v")).distinct()
-            )
-        mark = (seen.n, seen.h)
-        now = cut(_small_star(_large_star(now)))
-    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+__all__ = ["connected_components"]
