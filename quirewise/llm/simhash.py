@@ -58,7 +58,8 @@ COPY_JACCARD = 0.8
 SHINGLE_WORDS = 5
 #: Words of 64 bits of the odd sketch of a text's shingles.
 SKETCH_WORDS = 8
-#: Unlinked partners of a row in a cell that are verified in the first round; eight times as many in each next.
+#: Unlinked partners of a row in a cell, the most alike first, that are verified by the end of the first round; eight times as many by
+#: the end of each next, until there are no more.
 FIRST_PARTNERS = 32
 #: Pairs that a task holds before it reduces them to a spanning forest.
 HELD_PAIRS = 1 << 19
@@ -278,37 +279,36 @@ def near_pairs(cell: np.ndarray, words: list[np.ndarray], max_distance: int) ->
 
 
 def forest(
-    cell: np.ndarray, words: list[np.ndarray], max_distance: int, alike: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    cell: np.ndarray, words: list[np.ndarray], max_distance: int, unlike: Callable[[np.ndarray, np.ndarray], np.ndarray]
 ) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links within the cells, as pairs of rows; rows are sorted by cell.
 
-    With ``alike`` only pairs for which it is true are links.  A forest of a part
-    of the links and the rest of them have the same forest as all of them, so
-    few are held at a time.
+    Links are pairs for which ``unlike`` is not below 0; those it is least for
+    come first.  A forest of a part of the links and the rest of them have the
+    same forest as all of them, so few are held at a time.
     """
     words = [w.view(np.uint64) for w in words]
-    held, n = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+    held, n = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))], 0
 
-    def reduce() -> tuple[np.ndarray, np.ndarray]:
-        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+    def reduce() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        a, b, far = (np.concatenate(x) for x in zip(*held, strict=True))
         used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-        # The nearest pairs first, in an order that all cells share: then they name mostly the same links.
+        # The most alike pairs first, in an order that all cells share: then they name mostly the same links.
         low = [np.minimum(w[a], w[b]) for w in words]
         rank = np.empty(len(a), np.int64)
-        rank[np.lexsort([*[w[a] ^ w[b] for w in words], *low, _bits_apart(words, a, b)])] = np.arange(len(a))
+        rank[np.lexsort([*[w[a] ^ w[b] for w in words], *low, _bits_apart(words, a, b), far])] = np.arange(len(a))
         tree = spanning_forest(len(used), place[: len(a)], place[len(a) :], rank)
-        return a[tree], b[tree]
+        return a[tree], b[tree], far[tree]
 
     for a, b in near_pairs(cell, words, max_distance):
-        if alike is not None and len(a):
-            good = alike(a, b)
-            a, b = a[good], b[good]
-        held.append((a, b))
-        n += len(a)
+        far = unlike(a, b)
+        good = far >= 0
+        held.append((a[good], b[good], far[good].astype(np.int32)))
+        n += len(held[-1][0])
         if n > HELD_PAIRS:
             held = [reduce()]
             n = len(held[0][0])
-    a, b = reduce()
+    a, b, _ = reduce()
     swap = words[0][a] > words[0][b]
     return np.where(swap, b, a), np.where(swap, a, b)
 
@@ -359,7 +359,7 @@ def _forests(cells: DataFrame, max_distance: int) -> DataFrame:
 
     def emit(cell: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
         fps = [w.view(np.uint64) for w in words]
-        a, b = forest(cell, list(words), max_distance, lambda a, b: first_met(cell, fps, a, b, max_distance))
+        a, b = forest(cell, list(words), max_distance, lambda a, b: np.where(first_met(cell, fps, a, b, max_distance), 0, -1))
         if len(a):
             yield pa.RecordBatch.from_arrays([names(words, a), names(words, b)], names=["a", "b"])
 
@@ -474,19 +474,22 @@ def most_different(sizes: np.ndarray, least: float) -> np.ndarray:
     return sizes * ((1 - least) / (1 + least)) + 1e-6
 
 
-def _alike(marks: list[np.ndarray], least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-    """Whether sizes and sketches allow pairs of rows that similarity; ``marks`` are the columns from the shingles on."""
+def _unlike(marks: list[np.ndarray], least: float) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """How far pairs of rows differ by size and sketch, in 10,000ths of what two sets may differ at most, or -1 beyond it.
+
+    ``marks`` are the columns from the number of shingles on.
+    """
     size, sketch = marks[0], [m.view(np.uint64) for m in marks[1:]]
 
-    def good(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.empty(len(a), bool)
+    def far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a), np.int32)
         for at in range(0, len(a), 1 << 17):
             i, j = a[at : at + (1 << 17)], b[at : at + (1 << 17)]
-            differ = np.maximum(_bits_apart(sketch, i, j), np.abs(size[i] - size[j]))
-            out[at : at + (1 << 17)] = differ <= most_different(size[i] + size[j], least)
+            share = np.maximum(_bits_apart(sketch, i, j), np.abs(size[i] - size[j])) / most_different(size[i] + size[j], least)
+            out[at : at + (1 << 17)] = np.where(share <= 1, share * 10_000, -1)
         return out
 
-    return good
+    return far
 
 
 def _hex_names(high: np.ndarray, low: np.ndarray) -> pa.Array:
@@ -509,36 +512,51 @@ def _occupied(cells: DataFrame, max_distance: int) -> DataFrame:
 
 
 def _likely(rows: DataFrame, max_distance: int, least: float) -> DataFrame:
-    """Spanning links ``a, b`` of the rows in each cell that fingerprints, sizes and sketches let pass."""
+    """Pairs that fingerprints, sizes and sketches let pass, as spanning links and as the rows they connect.
+
+    Links ``a, b`` have no ``part``; the rows ``fp2, fp3`` that some link connects
+    in a cell have that part of the cell's rows, and no link.
+    """
+    mix = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
     def emit(cell: np.ndarray, *marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = forest(cell, list(marks[:2]), max_distance, _alike(list(marks[4:]), least))
-        if len(a):
-            names = [_hex_names(marks[2][x], marks[3][x]) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays(names, names=["a", "b"])
+        a, b = forest(cell, list(marks[:2]), max_distance, _unlike(list(marks[4:]), least))
+        if not len(a):
+            return
+        used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+        root = used[min_labels(len(used), place[: len(a)], place[len(a) :])]
+        part = cell[root].view(np.uint64) * mix[0] ^ marks[2][root].view(np.uint64) * mix[1] ^ marks[3][root].view(np.uint64) * mix[2]
+        n, m = len(a), len(used)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.concat_arrays([_hex_names(marks[2][a], marks[3][a]), pa.nulls(m, pa.string())]),
+                pa.concat_arrays([_hex_names(marks[2][b], marks[3][b]), pa.nulls(m, pa.string())]),
+                *[pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in (part.view(np.int64), marks[2][used], marks[3][used])],
+            ],
+            names=["a", "b", "part", "fp2", "fp3"],
+        )
 
-    return rows.mapInArrow(by_cell(emit), "a string, b string")
+    return rows.mapInArrow(by_cell(emit), "a string, b string, part bigint, fp2 bigint, fp3 bigint")
 
 
-def _unlinked(rows: DataFrame, max_distance: int, least: float, low: int, high: int) -> DataFrame:
-    """Pairs ``a, b`` of different labels in a cell that may be similar enough, of each row the ``low``-th to ``high``-th.
+def _unlinked(rows: DataFrame, max_distance: int, least: float, most: int) -> DataFrame:
+    """Pairs ``a, b`` of different labels in a cell that may be similar enough, of each row the ``most`` most alike.
 
     A row of nulls tells that there are more.  The last column of ``rows`` is the label.
     """
 
     def emit(cell: np.ndarray, *marks: np.ndarray) -> Iterator[pa.RecordBatch]:
         *marks, label = marks
-        _, label = np.unique(label.astype(str), return_inverse=True)
-        good, words, more = _alike(marks[4:], least), [w.view(np.uint64) for w in marks[:2]], False
+        far, words, more = _unlike(marks[4:], least), [w.view(np.uint64) for w in marks[:2]], False
         for a, b in near_pairs(cell, words, max_distance):
-            passed = good(a, b) if len(a) else np.empty(0, bool)
-            a, b = a[passed], b[passed]
-            order = np.lexsort((b, _bits_apart(words, a, b), a))
-            a, b = a[order], b[order]
-            place = np.arange(len(a)) - np.searchsorted(a, a)
             apart = label[a] != label[b]
-            more = more or bool((apart & (place >= high)).any())
-            now = apart & (place >= low) & (place < high)
+            a, b = a[apart], b[apart]
+            share = far(a, b)
+            a, b, share = a[share >= 0], b[share >= 0], share[share >= 0]
+            order = np.lexsort((b, share, a))
+            a, b = a[order], b[order]
+            now = np.arange(len(a)) - np.searchsorted(a, a) < most
+            more = more or not now.all()
             if now.any():
                 names = [_hex_names(marks[2][x], marks[3][x]) for x in (a[now], b[now])]
                 yield pa.RecordBatch.from_arrays(names, names=["a", "b"])
@@ -591,13 +609,13 @@ def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: flo
     fps = classes.select("fp0", "fp1").distinct()
     cells = _split_crowded(_to_cells(fps, max_distance, reach=True), fps, max_distance, BLOCK_ROWS)
     found = cut(_occupied(cells.repartition("cell").sortWithinPartitions("cell"), max_distance))
-    marked = classes.select(*MARKS, "node")
+    marked = classes.select(*MARKS)
     # Texts of equal fingerprints meet in a cell of their own.
     equal = marked.groupBy("fp0", "fp1").agg(F.count("*").alias("n")).where("n > 1").select("fp0", "fp1")
-    both = found.unionByName(equal.withColumn("cell", F.xxhash64("fp0", "fp1"))).join(marked, ["fp0", "fp1"])
-    rows = cut(both.select("cell", *MARKS, "node"))
-    tested = cut(_likely(_blocked(rows.drop("node")), max_distance, least).distinct())
-    tested = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    rows = found.unionByName(equal.withColumn("cell", F.xxhash64("fp0", "fp1"))).join(marked, ["fp0", "fp1"]).select("cell", *MARKS)
+    likely = cut(_likely(_blocked(cut(rows)), max_distance, least).distinct())
+    tested = likely.where("part IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    members = likely.where("part IS NOT NULL").select("part", "fp2", "fp3")
     named = tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct().join(classes.select("node", "first"), "node")
     named = cut(named.select("node", F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_at")))
     small = F.broadcast(named) if named.count() <= BROADCAST_ROWS // 4 else named
@@ -605,22 +623,27 @@ def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: flo
     texts = texts.join(small, (texts._row == small._at) & texts.doc_id.eqNullSafe(small._id))
     sets = cut(_shingle_sets(texts).dropDuplicates(["node"]))
     good = cut(_verified(tested, sets, least))
-    low, high = 0, FIRST_PARTNERS
+    most = FIRST_PARTNERS
     while True:
         labels = connected_components(good)
-        labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        mixed = labelled.groupBy("cell").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("cell")
-        left = cut(labelled.join(mixed, "cell", "left_semi").select("cell", *MARKS, "label"))
-        pairs = cut(_unlinked(_blocked(left), max_distance, least, low, high).distinct())
+        named = labels.join(classes.select("node", "fp2", "fp3"), "node").select("fp2", "fp3", F.xxhash64("component").alias("label"))
+        labelled = members.join(named, ["fp2", "fp3"], "left").withColumn("label", F.coalesce("label", F.xxhash64("fp2", "fp3")))
+        # Only where rows that likely pairs connect are not linked yet is there anything left to verify.
+        mixed = labelled.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("part")
+        left = labelled.join(mixed, "part").join(marked, ["fp2", "fp3"]).select(F.col("part").alias("cell"), *MARKS, "label")
+        left = cut(left)
+        pairs = cut(_unlinked(_blocked(left), max_distance, least, most).distinct())
         more = pairs.where("a IS NULL").limit(1).count() > 0
         named_pairs = pairs.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = cut(_verified(named_pairs.join(tested, ["a", "b"], "left_anti"), sets, least))
+        new = cut(named_pairs.join(tested, ["a", "b"], "left_anti"))
+        tested = tested.union(new)
+        fresh = cut(_verified(new, sets, least))
         some = fresh.limit(1).count() > 0
         if some:
             good = cut(good.union(fresh))
         if not more:
             return connected_components(good) if some else labels
-        low, high = high, 8 * high
+        most *= 8
 
 
 def keep_one(docs: DataFrame, max_distance: int = COPY_BITS, least: float = COPY_JACCARD) -> DataFrame:
