@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, media, mixing, quality, secrets, simhash, substrings, tokens, vectors
+from . import bpe, chat, licenses, media, mixing, negatives, quality, secrets, simhash, substrings, tokens, vectors
 
 _QUERIES = (
     mixing.op1_mixing,
@@ -19,6 +19,7 @@ _QUERIES = (
     vectors.op8_vectors,
     quality.op9_quality,
     bpe.op10_bpe,
+    negatives.op11_negatives,
     substrings.op12_superkmers,
 )
 
@@ -30,4 +31,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can express."""
-    return {"op1_mixing": mixing.ORACLE, "op12_superkmers": substrings.ORACLE}
+    return {"op1_mixing": mixing.ORACLE, "op11_negatives": negatives.ORACLE, "op12_superkmers": substrings.ORACLE}
