@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, media, mixing, negatives, quality, secrets, simhash, substrings, tokens, vectors
+from . import bpe, chat, licenses, media, mixing, negatives, quality, secrets, simhash, structure, substrings, tokens, vectors
 
 _QUERIES = (
     mixing.op1_mixing,
@@ -21,6 +21,7 @@ _QUERIES = (
     bpe.op10_bpe,
     negatives.op11_negatives,
     substrings.op12_superkmers,
+    structure.op13_structure,
 )
 
 
