@@ -13,7 +13,9 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quirewise.columns import extended, map_arrow
 from quirewise.functions import text as X
 from quirewise.operators.graph import checkpoint, components
 from quirewise.operators.order import ranked, spare
@@ -79,7 +81,7 @@ def ratios(pairs: DataFrame, a: str = "s", b: str = "t") -> DataFrame:
     """Pairs with the character ratio of two texts, in argument order, in place of the texts."""
     ship(pairs.sparkSession)
     others = [c for c in pairs.columns if c not in (a, b)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name not in (a, b)] + ["ratio double"])
+    schema = extended([f for f in pairs.schema if f.name not in (a, b)], ratio=T.DoubleType())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +89,7 @@ def ratios(pairs: DataFrame, a: str = "s", b: str = "t") -> DataFrame:
             ratio = pa.array([SequenceMatcher(None, x or "", y or "").ratio() for x, y in both], pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], ratio], names=[*others, "ratio"])
 
-    return pairs.mapInArrow(run, schema)
+    return map_arrow(pairs, run, schema)
 
 
 def _across_dates(marked: DataFrame, linked: DataFrame, key: str, least: float) -> DataFrame:

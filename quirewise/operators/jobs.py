@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirewise.columns import extended, map_arrow
 from quirewise.operators.order import spare
 from quirewise.functions.pacing import bucket_step, header_rate, rate_step
 from quirewise.session import ship
@@ -139,7 +140,7 @@ def progress_writes(reports: DataFrame, key: str, order: list[str], seconds: flo
     """
     ship(reports.sparkSession)
     dealt = reports.repartition(key).sortWithinPartitions(key, *order)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in reports.schema)
+    schema = extended(reports.schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         job, stage, at, none = None, None, 0.0, True
@@ -152,7 +153,7 @@ def progress_writes(reports: DataFrame, key: str, order: list[str], seconds: flo
                 keep.append(written)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return dealt.mapInArrow(run, schema)
+    return map_arrow(dealt, run, schema)
 
 
 def latest_rates(readings: DataFrame, key: list[str], order: str, ceiling: float) -> DataFrame:

@@ -8,7 +8,9 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quirewise.columns import extended, map_arrow
 from quirewise.functions import text as X
 from quirewise.session import ship
 
@@ -77,7 +79,7 @@ def similarity(rows: DataFrame, a: str, b: str, name: str, both_empty: float | N
     argument order matters.  Computed on Arrow batches.
     """
     ship(rows.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{name}` double"
+    schema = extended(rows.schema, **{name: T.DoubleType()})
 
     def one(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
@@ -92,7 +94,7 @@ def similarity(rows: DataFrame, a: str, b: str, name: str, both_empty: float | N
             ratios = pa.array([one(x, y) for x, y in pairs], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, ratios], names=[*batch.schema.names, name])
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def band_starts(pages: DataFrame, threshold: float = 0.45) -> DataFrame:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirewise.columns import extended, map_arrow
 from quirewise.functions import dates as D
 from quirewise.session import ship
 
@@ -106,7 +107,7 @@ def insert_row(rows: DataFrame, wanted: DataFrame, sizes: DataFrame, key: str =
 def safe_names(rows: DataFrame, column: str, fallback: str = "file") -> DataFrame:
     """Rows with a file name in plain ASCII: letters lose their marks, which no built-in function does."""
     ship(rows.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    schema = extended(rows.schema)
 
     def plain(text: str | None) -> str:
         ascii_text = unicodedata.normalize("NFKD", text or "").encode("ascii", "ignore").decode().replace("/", " ").replace("\\", " ")
@@ -119,7 +120,7 @@ def safe_names(rows: DataFrame, column: str, fallback: str = "file") -> DataFram
             columns[column] = pa.array([plain(t) for t in columns[column].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def all_or_abort(rows: DataFrame, ok: Column) -> DataFrame:
