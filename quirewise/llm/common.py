@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quirewise.columns import column, map_arrow
 from quirewise.operators.graph import checkpoint
 from quirewise.session import scratch, ship
 
@@ -41,7 +42,7 @@ def bound_batches(spark: SparkSession) -> None:
 def map_batches(
     df: DataFrame,
     per_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None],
-    schema: str,
+    schema: str | T.StructType,
 ) -> DataFrame:
     """Apply ``per_batch`` to every Arrow batch of ``df``, partition by partition."""
     bound_batches(df.sparkSession)
@@ -53,7 +54,7 @@ def map_batches(
                 if out is not None:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def record_batch(**columns: tuple[Iterable, pa.DataType]) -> pa.RecordBatch:
@@ -78,7 +79,7 @@ def row_hash(df: DataFrame) -> Column:
     """A hash of a whole row that tells where nulls stand; nested values go in as JSON."""
     parts: list[Column] = []
     for f in df.schema:
-        value = F.col(f"`{f.name}`")
+        value = column(f.name)
         nested = isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType))
         parts += [value.isNull(), F.to_json(F.struct(value), {"ignoreNullFields": "false"}) if nested else value]
     return F.xxhash64(*parts)

@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirewise.columns import column
+
 from .common import cut, read, text_or_empty
 
 MARGINALS = ("source", "lang", "topic")
@@ -212,10 +214,10 @@ def probabilities(docs: DataFrame, **options) -> DataFrame:
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The selected rows of ``docs``, with all their columns."""
     columns = docs.columns
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    whole = F.struct(*[column(c) for c in columns]).alias("_row")
     keyed = _keys(docs, whole, topic=options.get("topic")).select(*MARGINALS, "draw", "_row")
     chosen = keyed.join(cell_chances(docs, **options), list(MARGINALS)).where("draw < probability")
-    return chosen.select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])
+    return chosen.select("_row.*")
 
 
 def marginals(

@@ -24,6 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quirewise.columns import column, extended
 
 from .common import map_batches, read, record_batch, text_or_empty
 
@@ -164,11 +167,11 @@ def discriminant(counts: np.ndarray, means: np.ndarray, covariances: np.ndarray)
 def score(docs: DataFrame, model: Discriminant | None) -> DataFrame:
     """All columns of ``docs``, then ``score`` and ``predicted`` (1 from THRESHOLD on).
 
-    Columns of these names in the input are replaced.
+    Columns of these names in the input, in any case, are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
+    schema = extended([docs.schema[c] for c in kept], score=T.DoubleType(), predicted=T.IntegerType())
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
@@ -177,7 +180,7 @@ def score(docs: DataFrame, model: Discriminant | None) -> DataFrame:
         made = record_batch(s=(scores, pa.float64()), p=((scores >= THRESHOLD).astype(np.int32), pa.int32()))
         return pa.RecordBatch.from_arrays([*batch.columns, *made.columns], names=[*kept, "score", "predicted"])
 
-    return map_batches(docs.select(*[F.col(f"`{c}`") for c in kept]), per_batch, f"{schema}, score double, predicted int")
+    return map_batches(docs.select(*[column(c) for c in kept]), per_batch, schema)
 
 
 def keep(docs: DataFrame, model: Discriminant | None, least: float = THRESHOLD) -> DataFrame:
@@ -190,7 +193,7 @@ def keep(docs: DataFrame, model: Discriminant | None, least: float = THRESHOLD)
         points = np.array([statistics((t or "").encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()])
         return batch.filter(pa.array(shared.value.scores(points) >= least))
 
-    return map_batches(docs, per_batch, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return map_batches(docs, per_batch, extended(docs.schema))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

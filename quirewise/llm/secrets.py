@@ -39,6 +39,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quirewise.columns import extended
+
 from .common import ASCII_LOWER, bound_batches, cut, map_batches, read, record_batch
 
 ASSIGN = re.compile(
@@ -425,8 +427,6 @@ def redact(docs: DataFrame, formats: Formats | None = None, gain: float = GAIN)
     is set anew; a text without secrets stays as it is, a null one too.
     """
     shared = docs.sparkSession.sparkContext.broadcast(formats)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("text").to_pylist()
         clean = [redact_text(t, spans_of(t, shared.value, gain)[1]) if t else t for t in texts]
@@ -438,7 +438,7 @@ def redact(docs: DataFrame, formats: Formats | None = None, gain: float = GAIN)
             columns["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
         return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return map_batches(docs, per_batch, schema)
+    return map_batches(docs, per_batch, extended(docs.schema))
 
 
 def redact_text(text: str, spans: list[Span]) -> str:
