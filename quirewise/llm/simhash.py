@@ -16,8 +16,9 @@ blocks, so no task holds an unbounded group.
 for dropping copies, takes two words of 64 bits from a text's different words:
 documents of five-word similarity 0.8 differ in a tenth of a shingle
 fingerprint's bits and more, but in few of these.  There the bits only find
-candidates; the exact Jaccard similarity of the five-word shingles decides.  An
-odd sketch, the parities of the shingles' hashes by place, goes before it: two
+candidates; the exact Jaccard similarity of the five-word shingles decides.  What
+is still unlinked then is looked for by shared shingles, the rare ones first, so
+that no similar pair depends on its bits.  An odd sketch, the parities of the shingles' hashes by place, goes before it: two
 sketches never differ in more places than the shingle sets differ in members, so
 no pair that is similar enough is lost to it.
 
@@ -36,8 +37,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, cut, map_batches, read, record_batch, row_hash
+from quirewise.columns import column, extended
+
+from .common import ASCII_LOWER, cut, map_batches, read, record_batch, row_hash, text_or_empty
 from .graph import connected_components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -50,16 +54,18 @@ BLOCK_ROWS = 4096
 WARM_ROWS = BLOCK_ROWS // 33
 #: Crowded cells are broadcast up to this many (12 bytes each), else joined.
 BROADCAST_CELLS = 50_000
-#: Differing bits of 128 up to which documents are looked at as possible copies: what six parts find.
+#: Differing bits of 128 up to which fingerprints link documents that are then verified: what six parts find.
 COPY_BITS = 17
+#: Shingles that make up this share of all are looked at last.
+COMMON_SHARE = 5e-6
 #: Jaccard similarity of word shingles from which documents count as copies.
 COPY_JACCARD = 0.8
 #: Words of these shingles.
 SHINGLE_WORDS = 5
 #: Words of 64 bits of the odd sketch of a text's shingles.
 SKETCH_WORDS = 8
-#: Unlinked partners of a row in a cell, the most alike first, that are verified by the end of the first round; eight times as many by
-#: the end of each next, until there are no more.
+#: Unlinked partners of a row that share a shingle with it, the most alike first, that are verified by the end of the first round; eight
+#: times as many by the end of each next, until there are no more.
 FIRST_PARTNERS = 32
 #: Pairs that a task holds before it reduces them to a spanning forest.
 HELD_PAIRS = 1 << 19
@@ -116,9 +122,8 @@ def _majority(hashes: np.ndarray) -> tuple[int, int]:
 
 def fingerprints(docs: DataFrame, key: list[str], of: Callable[[bytes], tuple[int, ...]], words: int = 1) -> DataFrame:
     """``key`` columns of every document and its fingerprint's ``words`` (signed longs ``fp0``, ...)."""
-    fields = [docs.schema[k] for k in key]
     names = [f"fp{i}" for i in range(words)]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"{n} bigint" for n in names])
+    schema = extended([docs.schema[k] for k in key], **dict.fromkeys(names, T.LongType()))
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = batch.column("_text").to_pylist()
@@ -451,9 +456,9 @@ def shingle_hashes(text: bytes) -> np.ndarray:
     return _shingles(words, names, _word_hashes(names))
 
 
-def copy_marks(text: bytes) -> tuple[int, ...]:
+def copy_marks(text: bytes) -> tuple[tuple[int, ...], np.ndarray]:
     """What copies are found by: the word fingerprint, two words of digest that name the
-    sequence of words, the number of its different shingles, and their odd sketch."""
+    sequence of words, the number of its different shingles, and their odd sketch; then the shingles."""
     words = WORD.findall(text.translate(ASCII_LOWER))
     digest = xxhash.xxh3_128_intdigest(b" ".join(words))
     names = {w: i for i, w in enumerate(dict.fromkeys(words))}
@@ -462,7 +467,7 @@ def copy_marks(text: bytes) -> tuple[int, ...]:
     places = (shingles.view(np.uint64) >> np.uint64(7)) % np.uint64(64 * SKETCH_WORDS)
     odd = (np.bincount(places.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1).astype(np.uint8)
     sketch = np.packbits(odd, bitorder="little").view("<u8").tolist()
-    return *_majority(hashes), digest >> 64, digest & ((1 << 64) - 1), len(shingles), *sketch
+    return (*_majority(hashes), digest >> 64, digest & ((1 << 64) - 1), len(shingles), *sketch), shingles
 
 
 #: Columns of a text's marks: fingerprint, digest, shingles, sketch.
@@ -497,48 +502,6 @@ def _hex_names(high: np.ndarray, low: np.ndarray) -> pa.Array:
     return pa.array([f"{x:016X}{y:016X}" for x, y in both], pa.string())
 
 
-def _occupied(cells: DataFrame, max_distance: int) -> DataFrame:
-    """The rows of cells that meet a near row there first."""
-
-    def emit(cell: np.ndarray, *words: np.ndarray) -> Iterator[pa.RecordBatch]:
-        near, fps = np.zeros(len(cell), bool), [w.view(np.uint64) for w in words]
-        for a, b in near_pairs(cell, fps, max_distance):
-            due = first_met(cell, fps, a, b, max_distance)
-            near[a[due]] = near[b[due]] = True
-        if near.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[near]) for x in (cell, *words)], names=["cell", "fp0", "fp1"])
-
-    return cells.mapInArrow(by_cell(emit), "cell bigint, fp0 bigint, fp1 bigint")
-
-
-def _likely(rows: DataFrame, max_distance: int, least: float) -> DataFrame:
-    """Pairs that fingerprints, sizes and sketches let pass, as spanning links and as the rows they connect.
-
-    Links ``a, b`` have no ``part``; the rows ``fp2, fp3`` that some link connects
-    in a cell have that part of the cell's rows, and no link.
-    """
-    mix = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-
-    def emit(cell: np.ndarray, *marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        a, b = forest(cell, list(marks[:2]), max_distance, _unlike(list(marks[4:]), least))
-        if not len(a):
-            return
-        used, place = np.unique(np.concatenate((a, b)), return_inverse=True)
-        root = used[min_labels(len(used), place[: len(a)], place[len(a) :])]
-        part = cell[root].view(np.uint64) * mix[0] ^ marks[2][root].view(np.uint64) * mix[1] ^ marks[3][root].view(np.uint64) * mix[2]
-        n, m = len(a), len(used)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays([_hex_names(marks[2][a], marks[3][a]), pa.nulls(m, pa.string())]),
-                pa.concat_arrays([_hex_names(marks[2][b], marks[3][b]), pa.nulls(m, pa.string())]),
-                *[pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(x)]) for x in (part.view(np.int64), marks[2][used], marks[3][used])],
-            ],
-            names=["a", "b", "part", "fp2", "fp3"],
-        )
-
-    return rows.mapInArrow(by_cell(emit), "a string, b string, part bigint, fp2 bigint, fp3 bigint")
-
-
 def _unlinked(rows: DataFrame, max_distance: int, least: float, most: int) -> DataFrame:
     """Pairs ``a, b`` of different labels in a cell that may be similar enough, of each row the ``most`` most alike.
 
@@ -600,49 +563,130 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return rated.where(F.col("c") >= least * (F.col("s") - F.col("c")) - 1e-9).where("s > 0").select("a", "b")
 
 
+def common_shingles(texts: DataFrame, share: float = COMMON_SHARE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles that make up at least ``share`` of all, sorted, and how often they were seen.
+
+    A unit names those that come twice in it and make up half of that share there.
+    They only tell which shingles to look at last: at most ``1 / share`` of them.
+    """
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_hashes(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        found, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= max(2, n.sum() * share / 2)
+        return record_batch(shingle=([*found[often].tolist(), None], pa.int64()), n=([*n[often].tolist(), int(n.sum())], pa.int64()))
+
+    sums = cut(map_batches(texts, per_batch, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")))
+    total = sums.where("shingle IS NULL").first()
+    rows = sums.where("shingle IS NOT NULL").where(F.col("n") >= share * total.n).collect() if total else []
+    found = np.array(sorted((r.shingle, r.n) for r in rows), np.int64).reshape(-1, 2)
+    return found[:, 0].copy(), found[:, 1].copy()
+
+
+def rare_first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles in an order of all shingles, common ones last: two sets that are similar enough share one of them."""
+    keys, counts = common
+    seen = np.zeros(len(shingles), np.int64)
+    if len(keys):
+        place = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        seen = np.where(keys[place] == shingles, counts[place], 0)
+    need = len(shingles) - int(np.ceil(len(shingles) * least - 1e-9)) + 1
+    return shingles[np.lexsort((shingles, seen))[:need]]
+
+
+def _marked(hashed: DataFrame, least: float) -> DataFrame:
+    """``doc_id, _row``, the marks of every row's text, and the shingles that a copy of it must share one of."""
+    common = hashed.sparkSession.sparkContext.broadcast(common_shingles(hashed.select(text_or_empty().alias("_text"))))
+    keys = ["doc_id", "_row"]
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        marks, first = [], []
+        for text in batch.column(2).cast(pa.binary()).to_pylist():
+            own, shingles = copy_marks(text)
+            marks.append(own)
+            first.append(rare_first(shingles, common.value, least) if len(shingles) else shingles)
+        found = np.array(marks, np.uint64).view(np.int64)
+        columns = [batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(len(MARKS))], pa.array(first, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, *MARKS, "first_shingles"])
+
+    schema = extended([hashed.schema[k] for k in keys], **dict.fromkeys(MARKS, T.LongType()), first_shingles=T.ArrayType(T.LongType()))
+    return map_batches(hashed.select(*keys, text_or_empty().alias("_text")), per_batch, schema)
+
+
+def _pairs_of(links: DataFrame) -> DataFrame:
+    """Links as pairs ``a < b``, each once."""
+    a, b = links.columns
+    return links.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
 def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: float) -> DataFrame:
     """``node, component`` of the classes of equal texts that have a copy of at least that similarity.
 
-    First the spanning links of each cell's likely pairs are verified.  Then, in
-    rounds, all likely pairs of a cell whose rows are not linked yet.
+    Cells give a spanning forest of the near fingerprints, whose texts are verified
+    first; that links most copies.  What fingerprints cannot reach is found by the
+    shingles themselves: two sets that are similar enough share one of each set's
+    first shingles, so only where such a shingle has rows that are not linked yet
+    are there pairs left.  These are verified in rounds, the most alike first,
+    until none is left.
     """
+    named = classes.select("node", F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_at"))
+    texts = hashed.select("doc_id", "_row", F.col("text").alias("_text"))
+
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = cut(nodes.distinct().join(named, "node"))
+        small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS // 4 else wanted
+        found = texts.join(small, (texts._row == small._at) & texts.doc_id.eqNullSafe(small._id))
+        return cut(_shingle_sets(found).dropDuplicates(["node"]))
+
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+
     fps = classes.select("fp0", "fp1").distinct()
     cells = _split_crowded(_to_cells(fps, max_distance, reach=True), fps, max_distance, BLOCK_ROWS)
-    found = cut(_occupied(cells.repartition("cell").sortWithinPartitions("cell"), max_distance))
-    marked = classes.select(*MARKS)
-    # Texts of equal fingerprints meet in a cell of their own.
-    equal = marked.groupBy("fp0", "fp1").agg(F.count("*").alias("n")).where("n > 1").select("fp0", "fp1")
-    rows = found.unionByName(equal.withColumn("cell", F.xxhash64("fp0", "fp1"))).join(marked, ["fp0", "fp1"]).select("cell", *MARKS)
-    likely = cut(_likely(_blocked(cut(rows)), max_distance, least).distinct())
-    tested = likely.where("part IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    members = likely.where("part IS NOT NULL").select("part", "fp2", "fp3")
-    named = tested.select(F.col("a").alias("node")).union(tested.select("b")).distinct().join(classes.select("node", "first"), "node")
-    named = cut(named.select("node", F.col("first.doc_id").alias("_id"), F.col("first._row").alias("_at")))
-    small = F.broadcast(named) if named.count() <= BROADCAST_ROWS // 4 else named
-    texts = hashed.select("doc_id", "_row", F.col("text").alias("_text"))
-    texts = texts.join(small, (texts._row == small._at) & texts.doc_id.eqNullSafe(small._id))
-    sets = cut(_shingle_sets(texts).dropDuplicates(["node"]))
+    edges = _pairs_of(_forests(cells.repartition("cell").sortWithinPartitions("cell"), max_distance))
+    # One text stands for those of a fingerprint, so marks follow fingerprints and not cells.
+    stands = cut(classes.groupBy("fp0", "fp1").agg(F.min("node").alias("rep")).withColumn("fp", _node(2)))
+    one, two = (stands.select(F.col("fp").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
+    across = edges.join(one, "a").join(two, "b").select("rep_a", "rep_b")
+    within = classes.join(stands, ["fp0", "fp1"]).select("node", "rep")
+    tested = cut(_pairs_of(across.union(within)))
+    sets = sets_of(ends(tested))
     good = cut(_verified(tested, sets, least))
+    labels = connected_components(good)
+
+    def label_of(labels: DataFrame) -> DataFrame:
+        own = labels.join(classes.select("node", "fp2", "fp3"), "node")
+        return own.select("fp2", "fp3", F.xxhash64("component").alias("label"))
+
+    def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+        return rows.join(label_of(labels), ["fp2", "fp3"], "left").withColumn("label", F.coalesce("label", F.xxhash64("fp2", "fp3")))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The shingles that rows of different labels have."""
+        ends = rows.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+        return ends.where("lo <> hi").select("part")
+
+    keyed = labelled(classes.select("fp2", "fp3", "first_shingles"), labels).select("fp2", "fp3", "label", F.explode("first_shingles").alias("part"))
+    shared = cut(mixed(keyed))
+    small = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    members = cut(keyed.join(small, "part").select("part", "fp2", "fp3"))
+    marked = classes.select(*MARKS)
     most = FIRST_PARTNERS
     while True:
-        labels = connected_components(good)
-        named = labels.join(classes.select("node", "fp2", "fp3"), "node").select("fp2", "fp3", F.xxhash64("component").alias("label"))
-        labelled = members.join(named, ["fp2", "fp3"], "left").withColumn("label", F.coalesce("label", F.xxhash64("fp2", "fp3")))
-        # Only where rows that likely pairs connect are not linked yet is there anything left to verify.
-        mixed = labelled.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("part")
-        left = labelled.join(mixed, "part").join(marked, ["fp2", "fp3"]).select(F.col("part").alias("cell"), *MARKS, "label")
-        left = cut(left)
-        pairs = cut(_unlinked(_blocked(left), max_distance, least, most).distinct())
+        # Only where rows that share a shingle are not linked yet is there anything left to verify.
+        now = labelled(members, labels)
+        left = cut(now.join(mixed(now), "part").join(marked, ["fp2", "fp3"]).select(F.col("part").alias("cell"), *MARKS, "label"))
+        pairs = cut(_unlinked(_blocked(left), 64 * 2, least, most).distinct())
         more = pairs.where("a IS NULL").limit(1).count() > 0
-        named_pairs = pairs.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = cut(named_pairs.join(tested, ["a", "b"], "left_anti"))
+        new = cut(_pairs_of(pairs.where("a IS NOT NULL")).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(new)
+        sets = sets.union(sets_of(ends(new).join(sets, "node", "left_anti")))
         fresh = cut(_verified(new, sets, least))
-        some = fresh.limit(1).count() > 0
-        if some:
+        if fresh.limit(1).count():
             good = cut(good.union(fresh))
+            labels = connected_components(good)
         if not more:
-            return connected_components(good) if some else labels
+            return labels
         most *= 8
 
 
@@ -650,22 +694,24 @@ def keep_one(docs: DataFrame, max_distance: int = COPY_BITS, least: float = COPY
     """One row of each group of near-duplicates, with all its columns.
 
     Rows link where the Jaccard similarity of their five-word shingles is at
-    least ``least`` and their word fingerprints differ in at most ``max_distance``
-    of 128 bits; groups are what these links connect.
+    least ``least``; groups are what these links connect.  Word fingerprints that
+    differ in at most ``max_distance`` of 128 bits find most of these links, and
+    the shingles themselves the rest, so none is lost.  Documents without words,
+    null texts too, are one group: one of them stays.
 
     The row of the smallest ``doc_id`` stays (nulls last); of several such rows
     the one of the smallest hash of all its columns, nulls and all, and one of
     rows that are equal throughout.  Columns of any name are passed on as they are.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.struct(*[column(c) for c in docs.columns])
     hashed = docs.select("doc_id", row_hash(docs).alias("_row"), "text", whole.alias("_whole"))
-    marked = cut(fingerprints(hashed, ["doc_id", "_row"], copy_marks, len(MARKS)))
+    marked = cut(_marked(hashed, least))
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
     words = ["fp0", "fp1", "fp2", "fp3"]
     name = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in words[2:]])
-    # Texts of one sequence of words have one sketch.
-    sketch = [F.min(c).alias(c) for c in MARKS[4:]]
-    classes = cut(marked.groupBy(*words).agg(F.min(order).alias("first"), *sketch).withColumn("node", name))
+    # Texts of one sequence of words have one sketch and one set of shingles.
+    same = [*[F.min(c).alias(c) for c in MARKS[4:]], F.first("first_shingles").alias("first_shingles")]
+    classes = cut(marked.groupBy(*words).agg(F.min(order).alias("first"), *same).withColumn("node", name))
     rooted = classes.join(_copies(classes, hashed, max_distance, least), "node", "left").select(
         *words, "first", F.coalesce("component", "node").alias("root")
     )
