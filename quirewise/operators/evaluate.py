@@ -160,34 +160,39 @@ def best_f1(rows: DataFrame, score: str = "score", label: str = "label") -> Data
     )
 
 
-#: Decided cases up to which the sign test sums the binomial terms; beyond, the normal tail is used.
-EXACT_SIGNS = 10_000
+def _beyond_stirling(n: Column) -> Column:
+    """What the logarithm of n! has beyond Stirling's formula: its series, and below 16 the factorial itself."""
+    small = F.log(F.factorial(F.least(n, F.lit(16)))) - (n + 0.5) * F.log(F.greatest(n, F.lit(1))) + n - 0.5 * math.log(2 * math.pi)
+    large = F.greatest(n, F.lit(1)).cast("double")
+    x = 1.0 / (large * large)
+    series = (1 / 12 - x * (1 / 360 - x * (1 / 1260 - x * (1 / 1680 - x / 1188)))) / large
+    return F.when(n == 0, 0.0).when(n < 16, small).otherwise(series)
 
 
 def sign_test(wins: Column, losses: Column) -> Column:
-    """Two-sided sign test; 1 where nothing was decided.
+    """Exact two-sided sign test; 1 where nothing was decided.
 
-    Exact up to ``EXACT_SIGNS`` cases, with terms built one from the next,
-    starting from two to the minus n.  Beyond that the normal tail with
-    continuity correction, which differs by less than 0.0001 there.
+    Twice the chance of at least k of n heads.  The chance of exactly k is put as
+    its distance from the middle, so nothing large cancels, and each term behind it
+    is made from the one before.  Term i is below exp(-2 i^2 / n) of the first, so
+    five times the root of n of them are all that a double can tell.
     """
     n, k = (wins + losses).cast("bigint"), F.greatest(wins, losses).cast("bigint")
-    few = F.least(n, F.lit(EXACT_SIGNS))
-    terms = F.aggregate(
-        F.sequence(F.lit(0), few.cast("int")),
-        F.struct(F.lit(0.0).alias("sum"), (-few * F.lit(math.log(2))).cast("double").alias("term")),
-        lambda s, i: F.struct(
-            (s["sum"] + F.when(i >= k, F.exp(s["term"])).otherwise(0.0)).alias("sum"),
-            (s["term"] + F.log(F.greatest(few - i, F.lit(1)) / (i + 1.0))).cast("double").alias("term"),
-        ),
+    rest = n - k
+    t = (k - rest) / F.greatest(n, F.lit(1))
+    away = n / 2 * (F.log1p(-t * t) + t * (F.log1p(t) - F.log1p(-t)))
+    size = F.sqrt(n / (2 * math.pi * F.greatest(k, F.lit(1)) * F.greatest(rest, F.lit(1))))
+    first = F.when(rest == 0, F.exp(-n * math.log(2))).otherwise(
+        size * F.exp(_beyond_stirling(n) - _beyond_stirling(k) - _beyond_stirling(rest) - away)
+    )
+    last = F.least(rest, F.ceil(5 * F.sqrt(n)) + 10)
+    tail = F.aggregate(
+        F.sequence(F.lit(0).cast("bigint"), last),
+        F.struct(F.lit(0.0).alias("sum"), F.lit(1.0).alias("term")),
+        lambda s, i: F.struct((s["sum"] + s["term"]).alias("sum"), (s["term"] * (rest - i) / (k + i + 1)).cast("double").alias("term")),
         lambda s: s["sum"],
     )
-    z = F.greatest(F.lit(0.0), (2 * k - n - 1) / F.sqrt(n))
-    # The complementary error function of z over root two, by a rational approximation good to 1.5e-7.
-    x = z / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    tail = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * F.exp(-x * x)
-    return F.when(n == 0, 1.0).when(n > EXACT_SIGNS, F.least(F.lit(1.0), tail)).otherwise(F.least(F.lit(1.0), 2 * terms))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * first * tail))
 
 
 def compare_arms(scores: DataFrame, base: str, contender: str) -> DataFrame:

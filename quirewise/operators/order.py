@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,3 +45,29 @@ def ranked(values: DataFrame, order: str, name: str) -> DataFrame:
     one = spare(values, "_one")
     numbered = running_sums(values.distinct().withColumn(one, F.lit(1).cast("bigint")), order, [one])
     return numbered.withColumnRenamed(f"{one}_upto", name).drop(one)
+
+
+def by_key(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[dict[str, list]]:
+    """The rows of each value of the first column as lists by column; rows of one value stand together.
+
+    A value's rows in this partition are held, so at most a partition is.
+    """
+    key, held = columns[0], None
+    for batch in batches:
+        data = {c: batch.column(c).to_pylist() for c in columns}
+        at, keys = 0, data[key]
+        while at < len(keys):
+            end = at + 1
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            part = {c: v[at:end] for c, v in data.items()}
+            if held is not None and held[key][0] == keys[at]:
+                for c in columns:
+                    held[c] += part[c]
+            else:
+                if held is not None:
+                    yield held
+                held = part
+            at = end
+    if held is not None:
+        yield held

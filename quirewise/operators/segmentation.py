@@ -12,31 +12,26 @@ DEFAULT = "100"
 
 
 def segment(
-    pages: DataFrame,
+    windows: DataFrame,
     reports: DataFrame,
     votes: DataFrame,
     continues: DataFrame,
-    injuries: DataFrame,
-    overlap: int,
-    budget: int,
-    most: int,
     cap: int = 200,
     merge: bool = True,
     key: str = "doc_id",
 ) -> DataFrame:
-    """``key, start, end, title, category, flag, injury_date, n_rows``: the rows of every record, in its final spans.
+    """``key, start, end, title, category, flag, n_rows``: the rows of every record, in its final spans.
 
-    Windows are cut by bytes and pages; what each reported (``reports``: ``key, k,
-    pos, start, title``) is merged by ownership into spans that tile the record.
+    ``windows`` (``key, k, start, end``) are cut by bytes and pages; what each
+    reported (``reports``: ``key, k, pos, start, title``) is merged by ownership
+    into spans that tile the record.
     ``votes`` (``key, start, end, category``) names categories: a row without a
     vote gets the default and a flag.  Of the boundaries worth a second look, at
     most ``cap`` a record, those that ``continues`` (``key, start, same``) refutes
     are folded into the row before or, without ``merge``, keep their rows and a
-    flag.  Injury dates are read last, from the final spans; none is ``-``.
-    A record with a page over the budget has no rows.
+    flag.  A record with a page over the budget has no windows and no rows.
     """
-    sized = pages.select(key, "page", F.octet_length("text").alias("bytes"))
-    windows = S.budget_windows(sized, overlap, budget, most, key).where("k >= 0")
+    windows = windows.where("k >= 0")
     sizes = windows.groupBy(key).agg(F.max("end").alias("n"))
     merged = S.ownership_merge(reports, windows, sizes, key)
     voted = merged.join(votes.select(key, "start", "end", F.col("category").alias("_c")), [key, "start", "end"], "left")
@@ -55,7 +50,12 @@ def segment(
     else:
         marked = F.when(F.col("same"), "x").otherwise(F.col("flag"))
         final = judged.select(key, "start", "end", "title", "category", marked.alias("flag"), F.lit(1).cast("bigint").alias("n_rows"))
-    dated = final.join(injuries.select(key, "start", "end", "injury_date"), [key, "start", "end"], "left")
+    return final
+
+
+def with_injuries(rows: DataFrame, injuries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Segmented rows with ``injury_date``, read last, from the final spans; none is ``-``."""
+    dated = rows.join(injuries.select(key, "start", "end", "injury_date"), [key, "start", "end"], "left")
     return dated.withColumn("injury_date", F.coalesce("injury_date", F.lit("-"))).select(
         key, "start", "end", "title", "category", "flag", "injury_date", "n_rows"
     )

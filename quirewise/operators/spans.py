@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import bisect
-import itertools
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from quirewise.columns import extended
+from quirewise.operators.graph import checkpoint
+from quirewise.operators.order import by_key, running_sums
 from quirewise.session import ship
 
 
@@ -28,55 +32,102 @@ def sizes_of(pages: DataFrame, key: str = "doc_id") -> DataFrame:
     return pages.groupBy(key).agg(F.max("page").alias("n"))
 
 
-def next_start(start: Column, end: Column, overlap: int) -> Column:
+def next_start(start: str, end: str, overlap: int) -> Column:
     """Where the window after ``start..end`` begins: it moves on, and overlaps by a third at most."""
+    start, end = F.col(start), F.col(end)
     shared = F.least(F.lit(overlap), F.greatest(F.lit(1), F.floor((end - start + 1) / 3)))
     return F.greatest(start + 1, end - shared + 1)
 
 
-def greedy_windows(sizes: list[int], overlap: int, budget: int, most: int) -> list[tuple[int, int]] | None:
-    """Windows over pages of these sizes; None where one page alone is over the budget."""
-    if any(size > budget for size in sizes):
-        return None
-    total, out, start, n = [0, *itertools.accumulate(sizes)], [], 1, len(sizes)
-    while start <= n:
-        end = min(bisect.bisect_right(total, total[start - 1] + budget) - 1, start + most - 1)
-        out.append((start, end))
-        if end == n:
-            break
-        shared = min(overlap, max(1, (end - start + 1) // 3)) if overlap else 0
-        start = max(start + 1, end - shared + 1)
-    return out
+def _numbered(pages: DataFrame, budget: int, most: int, key: str) -> DataFrame:
+    """``key, top, s, e, first, last``: of every page, numbered over all records, the last page of a window from there.
+
+    A window holds the pages whose running sum of bytes is at most that before its
+    first page plus the budget.  Sums and bounds are merged in one order, so the
+    pages up to a bound are a running count.
+    """
+    rows = pages.select(key, F.struct(key, "page").alias("_o"), F.col("bytes").cast("bigint").alias("bytes"), F.lit(1).cast("bigint").alias("s"))
+    summed = running_sums(rows, "_o", ["bytes", "s"]).select(key, "bytes", F.col("bytes_upto").alias("v"), F.col("s_upto").alias("s"))
+    records = summed.groupBy(key).agg(F.min("s").alias("first"), F.max("s").alias("last"), F.max("bytes").alias("top"))
+    pages_ = summed.join(records, key).select(key, "top", "s", "first", "last", "v", F.lit(1).cast("bigint").alias("is_page"), "bytes")
+    bounds = pages_.withColumns({"v": F.col("v") - F.col("bytes") + budget, "is_page": F.lit(0).cast("bigint")})
+    both = pages_.unionByName(bounds).withColumn("_o", F.struct("v", -F.col("is_page"), "s"))
+    counted = running_sums(both, "_o", ["is_page"]).where("is_page = 0")
+    return counted.select(key, "top", "s", F.least("is_page_upto", F.col("s") + (most - 1), "last").alias("e"), "first", "last")
 
 
 def budget_windows(pages: DataFrame, overlap: int, budget: int, most: int, key: str = "doc_id") -> DataFrame:
     """``key, k, start, end``: windows of at most ``budget`` bytes and ``most`` pages.
 
-    ``pages`` gives ``key, page, bytes``.  Each window starts where the one
-    before it says, so a record's windows are walked in order, with binary search
-    in its running sum of bytes; records are independent.  A record with a page
-    over the budget has one row with ``k`` = -1 and no span.  ``overlap`` 0 gives
-    windows that do not overlap.
+    ``pages`` gives ``key, page, bytes``; pages count from 1 in their order.  Each
+    window starts where the one before it says.  So every page points at the start
+    of the window after its own, and partitions of consecutive pages follow these
+    pointers to where they leave the partition.  Where a record goes on through
+    several partitions, these exits are followed by doubling: exits of exits, until
+    all lie behind the record.  Then each partition knows where it is entered, and
+    walks from there.  No task holds a record, only a partition of pages.
+
+    A record with a page over the budget has one row with ``k`` = -1 and no span.
+    ``overlap`` 0 gives windows that do not overlap.
     """
     if most < 1:
         raise ValueError("a window holds one page at least")
     ship(pages.sparkSession)
-    kind = pages.schema[key].dataType.simpleString()
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("page", "bytes"))), lambda p: p["bytes"].cast("bigint"))
-    records = pages.groupBy(key).agg(ordered.alias("sizes"))
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            index, rows = [], []
-            for i, sizes in enumerate(batch.column(1).to_pylist()):
-                found = greedy_windows(sizes, overlap, budget, most)
-                made = [(-1, None, None)] if found is None else [(k, s, e) for k, (s, e) in enumerate(found)]
-                index += [i] * len(made)
-                rows += made
-            columns = [pa.array([r[j] for r in rows], pa.int32()) for j in range(3)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int32())), *columns], names=[key, "k", "start", "end"])
-
-    return records.mapInArrow(run, f"`{key}` {kind}, k int, start int, end int")
+    numbered = checkpoint(_numbered(pages, budget, most, key))
+    over = numbered.where((F.col("top") > budget) & (F.col("s") == F.col("first"))).select(
+        key, F.lit(-1).alias("k"), *[F.lit(None).cast("int").alias(c) for c in ("start", "end")]
+    )
+    follows = next_start("s", "e", overlap) if overlap else F.col("e") + 1
+    good = numbered.where(F.col("top") <= budget).withColumn("next", F.when(F.col("e") < F.col("last"), follows))
+    order = ["s", "e", "next", "first", "last"]
+    dealt = checkpoint(good.select(key, *order).repartitionByRange("s").sortWithinPartitions("s").withColumn("part", F.spark_partition_id()))
+
+    def exits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_key(batches, ["part", "s", "next"]):
+            place = np.array(rows["s"], np.int64)
+            goes = np.array([x or 0 for x in rows["next"]], np.int64)
+            hops = (goes > 0).astype(np.int64)
+            # The pointers double until each leaves the partition or the record.
+            while True:
+                at = np.minimum(np.searchsorted(place, goes), len(place) - 1)
+                inside = (goes > 0) & (place[at] == goes)
+                if not inside.any():
+                    break
+                here = np.flatnonzero(inside)
+                hops[here] += hops[at[here]]
+                goes[here] = goes[at[here]]
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(goes, mask=goes == 0), pa.array(hops)], names=["s", "exit", "hops"])
+
+    leaves = checkpoint(dealt.select("part", "s", "next").mapInArrow(exits, "s bigint, exit bigint, hops bigint").where("exit IS NOT NULL"))
+    firsts = dealt.where(F.col("s") == F.col("first")).select("s", F.lit(0).cast("bigint").alias("k"))
+    # Only pages that some pointer from another partition reaches matter from here on: a window's reach at each partition's start.
+    wanted = leaves.select(F.col("exit").alias("s")).distinct()
+    jumps = checkpoint(leaves.join(wanted, "s"))
+    reached = checkpoint(firsts.join(leaves, "s").select(F.col("exit").alias("s"), (F.col("k") + F.col("hops")).alias("k")))
+    while jumps.limit(1).count():
+        more = reached.join(jumps, "s").select(F.col("exit").alias("s"), (F.col("k") + F.col("hops")).alias("k"))
+        reached = checkpoint(reached.union(more))
+        then = jumps.select(F.col("s").alias("exit"), F.col("exit").alias("exit2"), F.col("hops").alias("hops2"))
+        jumps = checkpoint(jumps.join(then, "exit").select("s", F.col("exit2").alias("exit"), (F.col("hops") + F.col("hops2")).alias("hops")))
+    # At most one record goes on into a partition, so there is at most one entry for each.
+    entries = dict(map(tuple, reached.collect()))
+    kind = pages.schema[key]
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in by_key(batches, ["first", key, *order[:3]]):
+            place, first, out = rows["s"], rows["first"][0], []
+            at, k = (place[0], entries.get(place[0], 0)) if place[0] == first else next(((s, entries[s]) for s in place if s in entries), (None, 0))
+            while at is not None and place[0] <= at <= place[-1]:
+                i = at - place[0]
+                out.append((k, at - first + 1, rows["e"][i] - first + 1))
+                at, k = rows["next"][i], k + 1
+            if out:
+                ids = pa.array(rows[key][:1] * len(out), batch_type)
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.int32()) for c in zip(*out, strict=True)]], names=[key, "k", "start", "end"])
+
+    batch_type = to_arrow_type(kind.dataType)
+    found = dealt.select("first", key, *order[:3]).mapInArrow(walk, extended([kind], k=T.IntegerType(), start=T.IntegerType(), end=T.IntegerType()))
+    return found.unionByName(over)
 
 
 def fixed_windows(sizes: DataFrame, window: int, overlap: int, key: str = "doc_id") -> DataFrame:

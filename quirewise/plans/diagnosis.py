@@ -9,6 +9,7 @@ from quirewise.operators import diagnose as G
 from quirewise.operators import pages as P
 from quirewise.operators import segmentation as M
 from quirewise.operators import spans as S
+from quirewise.operators.graph import checkpoint
 from quirewise.registry import query
 from quirewise.sources.tables import pages, table
 
@@ -254,7 +255,7 @@ def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole segmentation of every document, with tables of verdicts in place of the models."""
     paged = pages(spark, sf_dir)
     sized = paged.select("doc_id", "page", F.octet_length("text").alias("bytes"))
-    windows = S.budget_windows(sized, OVERLAP, BUDGET, MOST).where("k >= 0")
+    windows = checkpoint(S.budget_windows(sized, OVERLAP, BUDGET, MOST).where("k >= 0"))
     seen = S.span_pages(windows).select("doc_id", "k", F.col("start").alias("ws"), F.col("page").alias("start"))
     reports = seen.join(predicted(paged), ["doc_id", "start"]).select(
         "doc_id", "k", (F.col("start") - F.col("ws")).alias("pos"), "start", F.concat_ws(":", F.col("k").cast("string"), F.col("start").cast("string")).alias("title")
@@ -264,6 +265,6 @@ def segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = spans.where("start % 6 <> 0").select("doc_id", "start", "end", (F.col("start") % 3).cast("string").alias("category"))
     starts = paged.select("doc_id", F.col("page").alias("start"))
     continues = starts.withColumn("same", (F.col("start") + F.col("doc_id")) % 4 == 0)
-    first = M.segment(paged, reports, votes, continues, spans.limit(0).withColumn("injury_date", F.lit("")), OVERLAP, BUDGET, MOST, 3)
+    first = checkpoint(M.segment(windows, reports, votes, continues, 3))
     injuries = first.where("start % 2 = 0").select("doc_id", "start", "end", F.concat(F.lit("d"), F.col("end").cast("string")).alias("injury_date"))
-    return M.segment(paged, reports, votes, continues, injuries, OVERLAP, BUDGET, MOST, 3)
+    return M.with_injuries(first, injuries)

@@ -182,6 +182,18 @@ def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(E.compare_arms(_runs(spark, sf_dir), "A", "R"), "gap")
 
 
+@query(
+    f"""WITH RECURSIVE {_RUNS}, s AS (SELECT document, arm, avg(metric) AS m FROM rn GROUP BY ALL),
+g AS (SELECT b.m - a.m AS gap FROM s a JOIN s b ON a.document = b.document AND a.arm = 'A' AND b.arm = 'R'),
+c AS (SELECT count(*) FILTER (WHERE gap > 0) AS wins, count(*) FILTER (WHERE gap < 0) AS losses, count(*) FILTER (WHERE gap = 0) AS ties FROM g),
+k AS (SELECT *, wins + losses AS nn, unnest(range(greatest(wins, losses), wins + losses + 1)) AS i FROM c)
+SELECT wins, losses, ties, round(CASE WHEN any_value(nn) = 0 THEN 1 ELSE least(1, 2 * sum(exp(lgamma(nn + 1) - lgamma(i + 1) - lgamma(nn - i + 1) - nn * ln(2)))) END, 8) AS p_value FROM k GROUP BY ALL"""
+)
+def ab_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wins, losses and ties of two arms over all documents, with the exact test."""
+    return E.outcome(E.compare_arms(_runs(spark, sf_dir), "A", "R")).withColumn("p_value", F.round("p_value", 8))
+
+
 @query(
     f"""WITH {_RUNS} SELECT document, count(*) FILTER (WHERE arm = 'A') >= 2 AND count(*) FILTER (WHERE arm = 'R') >= 2 AS complete FROM rn GROUP BY document"""
 )

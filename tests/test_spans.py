@@ -27,15 +27,42 @@ def walk(sizes, overlap, budget, most):
         start = max(start + 1, end - shared + 1)
 
 
-def test_greedy_windows():
+@pytest.fixture
+def many_partitions(spark):
+    """Thirteen partitions, whatever their size."""
+    names = {"spark.sql.shuffle.partitions": "13", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    yield
+    for n, v in before.items():
+        spark.conf.set(n, v)
+
+
+def found_windows(spark, records, overlap, budget, most):
+    rows = [(i, p, b) for i, sizes in records.items() for p, b in enumerate(sizes, 1)]
+    got = {}
+    for r in S.budget_windows(spark.createDataFrame(rows, "doc_id long, page int, bytes int"), overlap, budget, most).collect():
+        got.setdefault(r.doc_id, []).append((r.k, r.start, r.end))
+    return {i: [(s, e) for _, s, e in sorted(w)] for i, w in got.items() if [k for k, _, _ in sorted(w)] == list(range(len(w)))}
+
+
+def test_greedy_windows(spark, many_partitions):
     rng = random.Random(3)
-    for _ in range(500):
-        sizes = [rng.randint(0, 60) for _ in range(rng.randint(1, 30))]
+    for _ in range(4):
         overlap, budget, most = rng.randint(1, 5), rng.randint(60, 200), rng.randint(1, 9)
-        found = S.greedy_windows(sizes, overlap, budget, most)
-        assert found == walk(sizes, overlap, budget, most)
-        assert found[0][0] == 1 and found[-1][1] == len(sizes)
-    assert S.greedy_windows([10, 99], 1, 50, 5) is None
+        records = {i: [rng.randint(0, 60) for _ in range(rng.randint(1, 30))] for i in range(120)}
+        # Records that go on through several partitions, one of pages without bytes.
+        records |= {500: [rng.randint(0, 60) for _ in range(900)], 501: [0] * 300, 502: [rng.randint(0, 9) for _ in range(700)]}
+        assert found_windows(spark, records, overlap, budget, most) == {i: walk(x, overlap, budget, most) for i, x in records.items()}
+
+
+def test_windows_of_a_long_record(spark, many_partitions):
+    """One record of 200,000 pages among short ones; no task holds it."""
+    rng = random.Random(4)
+    records = {1: [5], 2: [rng.randint(0, 60) for _ in range(200_000)], 3: [9, 9]}
+    assert found_windows(spark, records, 2, 200, 8) == {i: walk(x, 2, 200, 8) for i, x in records.items()}
+    assert found_windows(spark, {2: records[2][:5000]}, 0, 90, 1 << 30)[2][0] == (1, next(e for e in range(1, 99) if sum(records[2][: e + 1]) > 90))
 
 
 def test_budget_windows(spark):
@@ -95,6 +122,39 @@ def test_sign_test(spark):
         assert got == pytest.approx(expected, rel=1e-9)
 
 
+@pytest.mark.parametrize("n", [9_999, 10_000, 10_001, 1_000_000])
+def test_sign_test_is_exact_at_every_size(spark, n):
+    """Against whole-number sums, on both sides of the middle and far out."""
+    from fractions import Fraction
+
+    root = int(n**0.5)
+    for k in {n // 2 + root} if n > 20_000 else {n // 2 + 1, n // 2 + root // 3, n // 2 + root, n // 2 + 3 * root}:
+        total = 0
+        # Terms as whole multiples of the first, scaled to keep their digits.
+        scale = 10**40
+        term = scale
+        for i in range(n - k + 1):
+            total += term
+            term = term * (n - k - i) // (k + 1 + i)
+            if not term:
+                break
+        chance = _choose_over_two_to_the(n, k)
+        expected = min(1.0, float(2 * chance * Fraction(total, scale)))
+        got = spark.range(1).select(E.sign_test(F.lit(k), F.lit(n - k)).alias("p")).first().p
+        assert abs(got - expected) < 1e-12
+    assert spark.range(1).select(E.sign_test(F.lit(n // 2), F.lit(n - n // 2)).alias("p")).first().p == 1.0
+
+
+def _choose_over_two_to_the(n, k):
+    """The chance of k heads to forty digits."""
+    from fractions import Fraction
+    from math import comb
+
+    bits = comb(n, k)
+    shift = max(0, bits.bit_length() - 200)
+    return Fraction(bits >> shift, 1) / Fraction(2) ** (n - shift)
+
+
 def test_row_errors(spark):
     rows = spark.createDataFrame(
         [(1, 0, "1", "2", "A"), (1, 1, "2", "3", "A"), (1, 2, "4", "4", "Z"), (1, 3, "3.5", "6", "A"), (1, 4, "9", "20", "A"), (1, 5, "True", "6", "A")],
