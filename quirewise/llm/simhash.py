@@ -505,12 +505,12 @@ def _hex_names(high: np.ndarray, low: np.ndarray) -> pa.Array:
 def _unlinked(rows: DataFrame, max_distance: int, least: float, most: int) -> DataFrame:
     """Pairs ``a, b`` of different labels in a cell that may be similar enough, of each row the ``most`` most alike.
 
-    A row of nulls tells that there are more.  The last column of ``rows`` is the label.
+    A row of nulls names a ``shingle`` of which there are more.  The last columns of ``rows`` are the label and the shingle.
     """
 
     def emit(cell: np.ndarray, *marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        *marks, label = marks
-        far, words, more = _unlike(marks[4:], least), [w.view(np.uint64) for w in marks[:2]], False
+        *marks, label, shingle = marks
+        far, words, more = _unlike(marks[4 : 5 + SKETCH_WORDS], least), [w.view(np.uint64) for w in marks[:2]], []
         for a, b in near_pairs(cell, words, max_distance):
             apart = label[a] != label[b]
             a, b = a[apart], b[apart]
@@ -519,14 +519,16 @@ def _unlinked(rows: DataFrame, max_distance: int, least: float, most: int) -> Da
             order = np.lexsort((b, share, a))
             a, b = a[order], b[order]
             now = np.arange(len(a)) - np.searchsorted(a, a) < most
-            more = more or not now.all()
+            more.append(np.unique(shingle[a[~now]]))
             if now.any():
                 names = [_hex_names(marks[2][x], marks[3][x]) for x in (a[now], b[now])]
-                yield pa.RecordBatch.from_arrays(names, names=["a", "b"])
-        if more:
-            yield record_batch(a=([None], pa.string()), b=([None], pa.string()))
+                yield pa.RecordBatch.from_arrays([*names, pa.nulls(len(names[0]), pa.int64())], names=["a", "b", "shingle"])
+        unfinished = np.unique(np.concatenate(more)) if more else np.empty(0, np.int64)
+        if len(unfinished):
+            none = pa.nulls(len(unfinished), pa.string())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(unfinished)], names=["a", "b", "shingle"])
 
-    return rows.mapInArrow(by_cell(emit), "a string, b string")
+    return rows.mapInArrow(by_cell(emit), "a string, b string, shingle bigint")
 
 
 def _blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -544,6 +546,23 @@ def _blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return rows.repartition("cell").sortWithinPartitions("cell")
 
 
+def wide_sketch(shingles: np.ndarray) -> bytes:
+    """The parities of a set's hashes in as many places as it has members, rounded up to a power of two."""
+    places = max(64, 1 << (len(shingles) - 1).bit_length()) if len(shingles) else 64
+    odd = np.bincount((shingles.view(np.uint64) % np.uint64(places)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketches_apart(a: bytes, b: bytes) -> int:
+    """Places in which two sets' sketches differ: never more than the sets' members.  A wider sketch is folded."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _shingle_sets(texts: DataFrame) -> DataFrame:
     """``node, shingles`` of rows of ``node, _text``."""
 
@@ -554,6 +573,20 @@ def _shingle_sets(texts: DataFrame) -> DataFrame:
     return map_batches(texts.select("node", "_text"), per_batch, "node string, shingles array<bigint>")
 
 
+def _sifted(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs of nodes that their sets' sizes and wide sketches let pass, so that few whole sets travel."""
+
+    def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+        near = [sketches_apart(x, y) <= most_different(n + m, least) for n, m, x, y in zip(*columns, strict=True)]
+        return batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+
+    side = lambda c, n, x: classes.select(F.col("node").alias(c), F.col(MARKS[4]).alias(n), F.col("wide").alias(x))
+    met = pairs.join(side("b", "m", "y"), "b").join(side("a", "n", "x"), "a").where("n > 0 AND m > 0")
+    sized = F.least("n", "m") >= F.greatest("n", "m") * least - 1e-9
+    return map_batches(met.where(sized).select("a", "b", "n", "m", "x", "y"), per_batch, "a string, b string")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs ``a, b`` of nodes whose shingle sets have at least that Jaccard similarity."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
@@ -595,21 +628,23 @@ def rare_first(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], leas
 
 
 def _marked(hashed: DataFrame, least: float) -> DataFrame:
-    """``doc_id, _row``, the marks of every row's text, and the shingles that a copy of it must share one of."""
+    """``doc_id, _row``, the marks of every row's text, its wide sketch, and the shingles that a copy of it must share one of."""
     common = hashed.sparkSession.sparkContext.broadcast(common_shingles(hashed.select(text_or_empty().alias("_text"))))
     keys = ["doc_id", "_row"]
 
     def per_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks, first = [], []
+        marks, wide, first = [], [], []
         for text in batch.column(2).cast(pa.binary()).to_pylist():
             own, shingles = copy_marks(text)
             marks.append(own)
+            wide.append(wide_sketch(shingles))
             first.append(rare_first(shingles, common.value, least) if len(shingles) else shingles)
         found = np.array(marks, np.uint64).view(np.int64)
-        columns = [batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(len(MARKS))], pa.array(first, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=[*keys, *MARKS, "first_shingles"])
+        columns = [batch.column(0), batch.column(1), *[pa.array(found[:, i]) for i in range(len(MARKS))], pa.array(wide, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, *MARKS, "wide", "first_shingles"])
 
-    schema = extended([hashed.schema[k] for k in keys], **dict.fromkeys(MARKS, T.LongType()), first_shingles=T.ArrayType(T.LongType()))
+    own = dict.fromkeys(MARKS, T.LongType()) | {"wide": T.BinaryType(), "first_shingles": T.ArrayType(T.LongType())}
+    schema = extended([hashed.schema[k] for k in keys], **own)
     return map_batches(hashed.select(*keys, text_or_empty().alias("_text")), per_batch, schema)
 
 
@@ -650,8 +685,9 @@ def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: flo
     across = edges.join(one, "a").join(two, "b").select("rep_a", "rep_b")
     within = classes.join(stands, ["fp0", "fp1"]).select("node", "rep")
     tested = cut(_pairs_of(across.union(within)))
-    sets = sets_of(ends(tested))
-    good = cut(_verified(tested, sets, least))
+    likely = cut(_sifted(tested, classes, least))
+    sets = sets_of(ends(likely))
+    good = cut(_verified(likely, sets, least))
     labels = connected_components(good)
 
     def label_of(labels: DataFrame) -> DataFrame:
@@ -675,18 +711,21 @@ def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: flo
     while True:
         # Only where rows that share a shingle are not linked yet is there anything left to verify.
         now = labelled(members, labels)
-        left = cut(now.join(mixed(now), "part").join(marked, ["fp2", "fp3"]).select(F.col("part").alias("cell"), *MARKS, "label"))
+        left = cut(now.join(mixed(now), "part").join(marked, ["fp2", "fp3"]).select(F.col("part").alias("cell"), *MARKS, "label", F.col("part").alias("shingle")))
         pairs = cut(_unlinked(_blocked(left), 64 * 2, least, most).distinct())
-        more = pairs.where("a IS NULL").limit(1).count() > 0
-        new = cut(_pairs_of(pairs.where("a IS NOT NULL")).join(tested, ["a", "b"], "left_anti"))
+        more = cut(pairs.where("a IS NULL").select(F.col("shingle").alias("part")).distinct())
+        n_more = more.count()
+        new = cut(_pairs_of(pairs.where("a IS NOT NULL").select("a", "b")).join(tested, ["a", "b"], "left_anti"))
         tested = tested.union(new)
-        sets = sets.union(sets_of(ends(new).join(sets, "node", "left_anti")))
-        fresh = cut(_verified(new, sets, least))
+        likely = cut(_sifted(new, classes, least))
+        sets = sets.union(sets_of(ends(likely).join(sets, "node", "left_anti")))
+        fresh = cut(_verified(likely, sets, least))
         if fresh.limit(1).count():
             good = cut(good.union(fresh))
             labels = connected_components(good)
-        if not more:
+        if not n_more:
             return labels
+        members = cut(members.join(F.broadcast(more) if n_more <= BROADCAST_ROWS else more, "part", "left_semi"))
         most *= 8
 
 
@@ -710,7 +749,7 @@ def keep_one(docs: DataFrame, max_distance: int = COPY_BITS, least: float = COPY
     words = ["fp0", "fp1", "fp2", "fp3"]
     name = F.concat(*[F.lpad(F.hex(c), 16, "0") for c in words[2:]])
     # Texts of one sequence of words have one sketch and one set of shingles.
-    same = [*[F.min(c).alias(c) for c in MARKS[4:]], F.first("first_shingles").alias("first_shingles")]
+    same = [*[F.min(c).alias(c) for c in MARKS[4:]], *[F.first(c).alias(c) for c in ("wide", "first_shingles")]]
     classes = cut(marked.groupBy(*words).agg(F.min(order).alias("first"), *same).withColumn("node", name))
     rooted = classes.join(_copies(classes, hashed, max_distance, least), "node", "left").select(
         *words, "first", F.coalesce("component", "node").alias("root")

@@ -79,6 +79,17 @@ def test_prefixes_always_meet():
             assert set(simhash.rare_first(a, common, 0.8).tolist()) & set(simhash.rare_first(b, common, 0.8).tolist())
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        pool = rng.integers(-(2**63), 2**63, rng.integers(1, 900))
+        a, b = (np.unique(pool[rng.random(len(pool)) < rng.choice([0.3, 0.8, 0.95])]) for _ in range(2))
+        apart = simhash.sketches_apart(simhash.wide_sketch(a), simhash.wide_sketch(b))
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist()))
+        if min(len(a), len(b)) > 100 and max(len(a), len(b)) < 1.2 * min(len(a), len(b)) and jaccard(set(a.tolist()), set(b.tolist())) < 0.5:
+            assert apart > simhash.most_different(np.array([len(a) + len(b)]), 0.8)[0]
+
+
 def odd_columns(frame):
     """Columns that schemas written as text, or names compared by case, would break on."""
     made = frame.withColumn("nested", F.struct(F.lit(1).alias("a-b"), F.lit("x").alias("c`d"), F.col("doc_id").alias("e f")))
