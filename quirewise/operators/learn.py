@@ -1,14 +1,21 @@
-"""Boundary models on pyspark.ml: word features and leave-one-record-out logistic regression."""
+"""Boundary models: word features on pyspark.ml, and logistic regression that leaves each record out."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from quirewise.columns import extended, map_arrow
+from quirewise.operators.graph import checkpoint
+from quirewise.session import ship
 
 #: Terms of a vocabulary that are broadcast, at most; more are joined by a shuffle.
 MOST_BROADCAST = 100_000
@@ -50,41 +57,140 @@ def tfidf(train: DataFrame, rows: DataFrame, key: str, column: str, least_docume
     return weighed.join(length, key).select(key, "term", (F.col("_w") / F.col("_l")).alias("weight"))
 
 
-def balanced(rows: DataFrame, label: str) -> DataFrame:
-    """Rows with weights under which both classes count alike."""
-    counts = rows.agg(F.count("*").alias("n"), F.sum(label).alias("p")).first()
-    ones, zeros = max(1, counts.p or 0), max(1, counts.n - (counts.p or 0))
-    return rows.withColumn("weight", F.when(F.col(label) == 1, counts.n / (2 * ones)).otherwise(counts.n / (2 * zeros)))
-
-
-def leave_one_out(rows: DataFrame, record: str, features: list[str], label: str, records: list) -> DataFrame:
+class Folds(NamedTuple):
+    """Of every fold, what its training side adds up to, which is all rows but its own; ``share``: of ones among them."""
+
+    records: list
+    centre: np.ndarray
+    scale: np.ndarray
+    penalty: np.ndarray
+    class_weights: np.ndarray
+    share: np.ndarray
+
+    @property
+    def trained(self) -> np.ndarray:
+        """Folds whose other records have both classes."""
+        return np.isfinite(self.class_weights).all(1)
+
+
+def _sums(rows: DataFrame, record: str, features: list[str], label: str) -> DataFrame:
+    """``record, n, p`` and the sums and squares of the features of each record's labelled rows."""
+    known = F.col(label).isNotNull()
+    for f in features:
+        known = known & F.col(f).isNotNull() & ~F.isnan(f)
+    each = []
+    for i, f in enumerate(features):
+        each += [F.sum(F.when(known, F.col(f))).alias(f"s{i}"), F.sum(F.when(known, F.col(f) * F.col(f))).alias(f"q{i}")]
+    return rows.groupBy(record).agg(F.count_if(known).alias("n"), F.count_if(known & (F.col(label) == 1)).alias("p"), *each)
+
+
+def _folds(rows: DataFrame, record: str, features: list[str], label: str) -> Folds:
+    found = _sums(rows, record, features, label).collect()  # one row of a few numbers for each record
+    d = len(features)
+    n, p = (np.array([float(r[c] or 0) for r in found]) for c in "np")
+    s, q = (np.array([[float(r[f"{c}{j}"] or 0) for j in range(d)] for r in found]).reshape(-1, d) for c in "sq")
+
+    def spread(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mean = s / np.maximum(n, 1)
+        return mean, np.sqrt(np.maximum(q / np.maximum(n, 1) - mean**2, 0))
+
+    centre, scale = spread(n.sum(keepdims=True), s.sum(0), q.sum(0))
+    scale = np.where(scale > 1e-12, scale, 1)
+    rest, ones = n.sum() - n, p.sum() - p
+    _, own = spread(rest[:, None], s.sum(0) - s, q.sum(0) - q)
+    # Each fold's features are scaled by its own training side; that only changes what its penalty weighs.
+    penalty = np.square(np.where(own > 1e-12, own, 1) / scale)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        weights = np.stack([rest / (2 * (rest - ones)), rest / (2 * ones)], axis=1)
+        share = np.where(rest > 0, ones / rest, np.nan)
+    return Folds([r[record] for r in found], centre, scale, penalty, weights, share)
+
+
+def _newton_sums(rows: DataFrame, folds: Folds, models: np.ndarray, record: str, features: list[str], label: str) -> DataFrame:
+    """``fold, sums``: gradient and upper half of the Hessian of every fold at its own model, of the rows that it trains on."""
+    place = {r: i for i, r in enumerate(folds.records)}
+    shared = rows.sparkSession.sparkContext.broadcast((folds, models, place))
+    d = len(features) + 1
+    upper = np.triu_indices(d)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at, where = shared.value
+        total = np.zeros((len(at), d + len(upper[0])))
+        for batch in batches:
+            points, labels, own = _points(batch, known, where, len(features))
+            use = np.isfinite(points).all(1) & np.isfinite(labels)
+            points, labels, own = points[use], labels[use], own[use]
+            outer = points[:, upper[0]] * points[:, upper[1]]
+            for low in range(0, len(at), 256):  # folds by blocks, so that the batch times folds stays small
+                part = slice(low, low + 256)
+                chance = 1 / (1 + np.exp(-np.clip(points @ at[part].T, -500, 500)))
+                weight = np.where(labels[:, None] == 1, known.class_weights[part, 1], known.class_weights[part, 0])
+                weight[own[:, None] == np.arange(low, min(low + 256, len(at)))] = 0
+                weight = np.where(np.isfinite(weight), weight, 0)
+                total[part, :d] += (weight * (chance - labels[:, None])).T @ points
+                total[part, d:] += (weight * chance * (1 - chance)).T @ outer
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array(list(total), pa.list_(pa.float64()))], names=["fold", "sums"])
+
+    found = rows.select(record, label, *features).mapInArrow(run, "fold bigint, sums array<double>")
+    parts = [F.sum(F.col("sums")[i]).alias(f"v{i}") for i in range(d + len(upper[0]))]
+    return found.groupBy("fold").agg(*parts)
+
+
+def _points(batch: pa.RecordBatch, folds: Folds, place: dict, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled features behind a constant, labels (NaN where null), and the fold of each row's record."""
+    numbers = [batch.column(2 + i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(d)]
+    points = np.column_stack([np.ones(batch.num_rows), (np.column_stack(numbers) - folds.centre) / folds.scale])
+    labels = batch.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False)
+    return points, labels, np.array([place[r] for r in batch.column(0).to_pylist()], np.int64)
+
+
+def leave_one_out(rows: DataFrame, record: str, features: list[str], label: str, rounds: int = 50, within: float = 1e-10) -> DataFrame:
     """``rows`` with ``score``: each record's rows scored by a model of the other records.
 
-    The scaler is fitted on the training side only; one model is fitted for each
-    of the few named records.  Rows without a label are scored and train nothing.
-    A null record is a record of its own; rows that no other record's model can
-    score get a null score.
+    The models are logistic, with both classes weighted alike, features scaled by
+    each training side, and half the squared length of the scaled weights as
+    penalty.  All are fitted together: each round one aggregate gives every fold
+    the gradient and Hessian of its own model over the rows that it trains on, and
+    one Newton step is taken for each, until no step is larger than ``within``.
+    The driver holds one row of numbers for each record, and rows meet the models
+    of all records in blocks, as the folds are asked for.
+
+    Rows without a label are scored and train nothing; rows with unknown features
+    get no score.  A null record is a record of its own.  Where the other records
+    have one class only, that class is the score, and null where they train nothing.
     """
-    scored = [rows.limit(0).withColumn("score", F.lit(None).cast("double"))]
-    for one in records:
-        mine = F.col(record).eqNullSafe(F.lit(one))
-        others, test = rows.where(~mine & F.col(label).isNotNull()), rows.where(mine)
-        if others.isEmpty():
-            scored.append(test.withColumn("score", F.lit(None).cast("double")))
-            continue
-        train = balanced(others, label)
-        model = Pipeline(
-            stages=[
-                VectorAssembler(inputCols=features, outputCol="_raw", handleInvalid="keep"),
-                StandardScaler(inputCol="_raw", outputCol="_x", withMean=True),
-                LogisticRegression(featuresCol="_x", labelCol=label, weightCol="weight", probabilityCol="_prob", maxIter=100),
-            ]
-        ).fit(train)
-        scored.append(model.transform(test).select(*rows.columns, vector_to_array("_prob")[1].alias("score")))
-    out = scored[0]
-    for more in scored[1:]:
-        out = out.unionByName(more)
-    return out
+    ship(rows.sparkSession)
+    rows = checkpoint(rows)
+    folds = _folds(rows, record, features, label)
+    d, good = len(features) + 1, folds.trained
+    upper = np.triu_indices(d)
+    models = np.zeros((len(folds.records), d))
+    penalty = np.column_stack([np.zeros(len(models)), folds.penalty])
+    for _ in range(rounds if good.any() else 0):
+        sums = np.zeros((len(models), d + len(upper[0])))
+        for r in _newton_sums(rows, folds, models, record, features, label).collect():
+            sums[r[0]] = r[1:]
+        hessian = np.zeros((len(models), d, d))
+        hessian[:, upper[0], upper[1]] = hessian[:, upper[1], upper[0]] = sums[:, d:]
+        hessian[:, np.arange(d), np.arange(d)] += penalty
+        step = np.zeros_like(models)
+        step[good] = np.linalg.solve(hessian[good], (sums[:, :d] + penalty * models)[good][:, :, None])[:, :, 0]
+        models = models - step
+        if np.abs(step).max() <= within:
+            break
+    place = {r: i for i, r in enumerate(folds.records)}
+    shared = rows.sparkSession.sparkContext.broadcast((folds, models, place))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at, where = shared.value
+        for batch in batches:
+            points, _, own = _points(batch.select([record, label, *features]), known, where, len(features))
+            score = 1 / (1 + np.exp(-np.clip((points * at[own]).sum(1), -500, 500)))
+            score = np.where(known.trained[own] | ~np.isfinite(score), score, known.share[own])
+            none = ~np.isfinite(score)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, mask=none)], names=[*batch.schema.names, "score"])
+
+    return map_arrow(rows, run, extended(rows.schema, score=T.DoubleType()))
 
 
 def signal_band(lift: Column) -> Column:

@@ -81,8 +81,7 @@ def boundary_model(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").rlike(r"^\s*\p{Lu}").cast("double").alias("opens"), share(r"\p{Lu}").alias("capitals"), share("[0-9]").alias("digits"),
         F.log1p("page").alias("place"),
     )
-    every = [r.lang for r in rows.select("lang").distinct().orderBy("lang").collect()]
-    scored = L.leave_one_out(rows, "lang", ["size", "size_before", "opens", "capitals", "digits", "place"], "label", every)
+    scored = L.leave_one_out(rows, "lang", ["size", "size_before", "opens", "capitals", "digits", "place"], "label")
     return scored.select("doc_id", "page", "lang", "label", "score")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quirewise.operators import learn as L
@@ -50,7 +51,7 @@ def test_models(spark):
     rng = random.Random(3)
     rows = [(r, float(x), int(x + rng.gauss(0, 0.3) > 0.8)) for r in "abc" for x in [rng.random() for _ in range(80)]]
     frame = spark.createDataFrame(rows, "rec string, x double, label int")
-    scored = L.leave_one_out(frame, "rec", ["x"], "label", ["a", "b", "c"])
+    scored = L.leave_one_out(frame, "rec", ["x"], "label")
     assert scored.count() == 240
     means = {r.label: r.m for r in scored.groupBy("label").agg(F.avg("score").alias("m")).collect()}
     assert means[1] > means[0] + 0.1
@@ -59,6 +60,48 @@ def test_models(spark):
     assert model.transform(texts).where("features IS NOT NULL").count() == 4
 
 
+def fold_scores(rows, record):
+    """Scores of one record's rows by a model that is fitted on the others alone, scaled by them."""
+    train = [r for r in rows if r[0] != record and r[3] is not None]
+    x, y = np.array([r[1:3] for r in train], float), np.array([r[3] for r in train], float)
+    mean, spread = x.mean(0), np.where(x.std(0) > 1e-12, x.std(0), 1)
+    z = np.column_stack([np.ones(len(x)), (x - mean) / spread])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    beta, ridge = np.zeros(3), np.diag([0.0, 1, 1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta -= np.linalg.solve(z.T @ (z * (w * p * (1 - p))[:, None]) + ridge, z.T @ (w * (p - y)) + ridge @ beta)
+    mine = np.array([r[1:3] for r in rows if r[0] == record], float)
+    return 1 / (1 + np.exp(-np.column_stack([np.ones(len(mine)), (mine - mean) / spread]) @ beta))
+
+
+def test_all_folds_at_once_equal_each_fold_alone(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(40):
+        for _ in range(rng.randint(1, 30)):
+            x, z = rng.gauss(i % 3, 1), rng.random() * 100
+            rows.append((None if i == 7 else f"r{i}", x, z, rng.choice([None, int(x + z / 50 + rng.gauss(0, 1) > 2)]) if rng.random() < 0.2 else int(x + z / 50 + rng.gauss(0, 1) > 2)))
+    frame = spark.createDataFrame(rows, "rec string, x double, z double, label int").repartition(5)
+    got: dict = {}
+    for r in L.leave_one_out(frame, "rec", ["x", "z"], "label").collect():
+        got.setdefault(r.rec, []).append(r.score)
+    for record in {r[0] for r in rows}:
+        assert np.allclose(sorted(got[record]), sorted(fold_scores(rows, record)), atol=1e-9)
+    one_class = spark.createDataFrame([("a", 1.0, 1), ("b", 2.0, 0), ("c", None, 1)], "rec string, x double, label int")
+    assert {r.rec: r.score for r in L.leave_one_out(one_class, "rec", ["x"], "label").collect()} == {"a": 0.0, "b": 1.0, "c": None}
+    alone = spark.createDataFrame([("a", 1.0, 1)], "rec string, x double, label int")
+    assert L.leave_one_out(alone, "rec", ["x"], "label").first().score is None
+    assert L.leave_one_out(frame.limit(0), "rec", ["x", "z"], "label").count() == 0
+
+
+def test_thousands_of_records(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 2000, float(x), int(x > 0.3 * rng.normal())) for i, x in enumerate(rng.normal(size=6000))]
+    scored = L.leave_one_out(spark.createDataFrame(rows, "rec int, x double, label int"), "rec", ["x"], "label").collect()
+    assert len(scored) == 6000 and all(0 < r.score < 1 for r in scored)
+
+
 def test_boundary_model_scores_every_language(spark, tmp_path):
     from quirewise.queries import QUERIES
 
