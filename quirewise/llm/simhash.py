@@ -532,7 +532,7 @@ def _unlinked(rows: DataFrame, max_distance: int, least: float, most: int) -> Da
 
 
 def _blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Rows of cells, those of crowded cells dealt to pairs of blocks; dealt and sorted by cell."""
+    """Rows of cells, those of crowded cells dealt to pairs of blocks."""
     crowded = cut(rows.groupBy("cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1"))
     if n := crowded.count():
         dealt = (
@@ -543,7 +543,7 @@ def _blocked(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         )
         pair = F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))
         rows = dealt.withColumn("cell", F.when(F.col("blocks") > 1, pair).otherwise(F.col("cell"))).select(*rows.columns)
-    return rows.repartition("cell").sortWithinPartitions("cell")
+    return rows
 
 
 def wide_sketch(shingles: np.ndarray) -> bytes:
@@ -690,12 +690,12 @@ def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: flo
     good = cut(_verified(likely, sets, least))
     labels = connected_components(good)
 
-    def label_of(labels: DataFrame) -> DataFrame:
-        own = labels.join(classes.select("node", "fp2", "fp3"), "node")
-        return own.select("fp2", "fp3", F.xxhash64("component").alias("label"))
-
     def labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-        return rows.join(label_of(labels), ["fp2", "fp3"], "left").withColumn("label", F.coalesce("label", F.xxhash64("fp2", "fp3")))
+        # A node is the two numbers in hexadecimal.
+        number = lambda at: F.conv(F.substring("node", at, 16), 16, -10).cast("bigint")
+        own = cut(labels.select(number(1).alias("fp2"), number(17).alias("fp3"), F.xxhash64("component").alias("label")))
+        small = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+        return rows.join(small, ["fp2", "fp3"], "left").withColumn("label", F.coalesce("label", F.xxhash64("fp2", "fp3")))
 
     def mixed(rows: DataFrame) -> DataFrame:
         """The shingles that rows of different labels have."""
@@ -711,8 +711,9 @@ def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: flo
     while True:
         # Only where rows that share a shingle are not linked yet is there anything left to verify.
         now = labelled(members, labels)
-        left = cut(now.join(mixed(now), "part").join(marked, ["fp2", "fp3"]).select(F.col("part").alias("cell"), *MARKS, "label", F.col("part").alias("shingle")))
-        pairs = cut(_unlinked(_blocked(left), 64 * 2, least, most).distinct())
+        left = cut(now.join(mixed(now), "part").select(F.col("part").alias("cell"), "fp2", "fp3", "label", F.col("part").alias("shingle")))
+        near = _blocked(left).join(marked, ["fp2", "fp3"]).select("cell", *MARKS, "label", "shingle")
+        pairs = cut(_unlinked(near.repartition("cell").sortWithinPartitions("cell"), 64 * 2, least, most).distinct())
         more = cut(pairs.where("a IS NULL").select(F.col("shingle").alias("part")).distinct())
         n_more = more.count()
         new = cut(_pairs_of(pairs.where("a IS NOT NULL").select("a", "b")).join(tested, ["a", "b"], "left_anti"))
