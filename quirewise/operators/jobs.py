@@ -105,6 +105,24 @@ def attempt_rollup(events: DataFrame, model: str, outcome: str) -> DataFrame:
     )
 
 
+def attempt_statistics(events: DataFrame, model: str, outcome: str) -> DataFrame:
+    """Attempts, accepted and rejected calls, the rejected share, waits, and accepted calls a minute, with a total row (null model).
+
+    ``events`` gives ``model, outcome, wait_ms, t``, in seconds; ``exhausted`` is no
+    attempt.  Minutes are those between the first and the last event of all.
+    """
+    count = lambda value: F.count_if(F.col(outcome) == value)
+    tried, accepted, rejected = F.count_if(F.col(outcome) != "exhausted"), count("accepted"), count("rate_limited")
+    span = events.agg(((F.max("t") - F.min("t")) / 60.0).alias("_minutes"))
+    summed = events.rollup(model).agg(
+        tried.alias("attempts"), accepted.alias("accepted"), rejected.alias("rejected"),
+        F.coalesce(F.try_divide(100.0 * rejected, tried), F.lit(0.0)).alias("reject_percent"),
+        (F.coalesce(F.sum("wait_ms"), F.lit(0)) / 1000.0).alias("wait_s"),
+    )
+    timed = summed.crossJoin(F.broadcast(span))  # one row
+    return timed.withColumn("accepted_a_minute", F.try_divide(F.col("accepted").cast("double"), F.col("_minutes"))).drop("_minutes")
+
+
 def deltas(snapshots: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Snapshots with the change since the one before; a first one counts from 0."""
     before = F.lag(value).over(Window.partitionBy(key).orderBy(order))

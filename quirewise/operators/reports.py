@@ -132,3 +132,48 @@ def all_or_abort(rows: DataFrame, ok: Column) -> DataFrame:
 def category_total(rows: DataFrame, key: str, category: str) -> DataFrame:
     """``key, n``: the rows of one category in each record, none counting 0."""
     return rows.groupBy(key).agg(F.count_if(F.col("category") == category).alias("n"))
+
+
+#: Sentences of a report that a reader knows it by; fixed values.
+REVIEW_TITLE = "Medical Record Review"
+SUMMARY_INTRO = "The following is a summary of those records:"
+CONCLUSION = "This concludes the review of submitted records."
+
+
+def report_lines(heads: DataFrame, entries: DataFrame, key: str, order: str) -> DataFrame:
+    """``key, part, at, line``: the lines of each record's chronological report, in the order of ``part`` and ``at``.
+
+    ``heads`` gives ``key, name, born, kind, intro``, one row a record; ``entries``
+    ``key, date, title, text`` and ``order``.  Header, kind of review, title, intro
+    and lead come first, then the entries, undated ones first, then by date, of
+    equal ones by ``order``, and a conclusion.  A line break within a text becomes
+    a blank.
+    """
+    flat = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\r\n]+", " ")
+    opening = [F.concat(F.lit("RE: "), flat("name")), flat("born"), F.coalesce(F.nullif(flat("kind"), F.lit("")), F.lit(" ")), F.lit(REVIEW_TITLE), flat("intro"), F.lit(SUMMARY_INTRO)]
+    top = heads.select(key, F.lit(0).alias("part"), F.posexplode(F.array(*opening)).alias("_n", "line"))
+    first = top.select(key, "part", F.struct(F.lit(None).cast("date").alias("day"), F.col("_n").cast("bigint").alias("n")).alias("at"), "line")
+    line = F.concat(flat("date"), F.lit("\t"), flat("title"), F.lit(": "), flat("text"))
+    place = F.struct(D.parse(F.col("date")).alias("day"), F.col(order).cast("bigint").alias("n"))
+    middle = entries.select(key, F.lit(1).alias("part"), place.alias("at"), line.alias("line"))
+    last = heads.select(key, F.lit(2).alias("part"), F.struct(F.lit(None).cast("date").alias("day"), F.lit(0).cast("bigint").alias("n")).alias("at"), F.lit(CONCLUSION).alias("line"))
+    return first.unionByName(middle).unionByName(last)
+
+
+def write_reports(lines: DataFrame, key: str, path: str) -> None:
+    """Each record's lines as one text file in a folder of its own, in order.
+
+    A record's lines pass sorted through one task, which holds none of them.  The
+    files appear when the whole job is committed, and a task that is run again
+    replaces what it wrote, so no line is there twice.
+    """
+    dealt = lines.repartition(key).sortWithinPartitions(key, "part", "at")
+    dealt.select(F.col(key).alias("record"), F.col("line").alias("value")).write.mode("overwrite").partitionBy("record").text(path)
+
+
+def read_reports(spark, path: str) -> DataFrame:
+    """``record, file, n, line``: the lines of written reports, numbered from 1 in each file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    record = F.regexp_extract("path", "record=([^/]*)/", 1)
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "\n$", "")
+    return files.select(record.alias("record"), F.col("path").alias("file"), F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)

@@ -15,16 +15,18 @@ from quirewise.sources.tables import pages, table
 from .views import GOLD_SPANS, GOLD_STARTS, PAGES, SIZES, gold
 
 
-@query("SELECT CAST(sum(CASE WHEN source IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS n_pages, lang FROM documents GROUP BY lang")
+@query(
+    """SELECT lang, CAST(sum(1 + length(t) - length(replace(replace(t, chr(10), ''), chr(12), ''))) AS BIGINT) AS n_pages FROM (SELECT lang, coalesce(text, '') AS t FROM documents) GROUP BY lang"""
+)
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of the text files of each language, a form feed behind each page."""
-    docs = table(spark, sf_dir, "documents").where("source IS NOT NULL")
+    """Pages of the text files of each language: every line of every document is a page, a form feed behind each."""
     path = scratch(spark)
-    lines = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\n\\r\\f]", " "), F.lit("\f"))
-    docs.select("lang", lines.alias("value")).write.partitionBy("lang").option("maxRecordsPerFile", 500).text(path)
+    lines = F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\f")), F.lit("\f"))
+    table(spark, sf_dir, "documents").select("lang", lines.alias("value")).write.partitionBy("lang").option("maxRecordsPerFile", 500).text(path)
     files = T.page_count(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
-    lang = F.regexp_extract("path", "lang=([^/]*)/", 1)
-    return files.groupBy(lang.alias("lang")).agg(F.sum("n_pages").alias("n_pages"))
+    lang = F.url_decode(F.regexp_extract("path", "lang=([^/]*)/", 1))
+    named = F.when(lang != "__HIVE_DEFAULT_PARTITION__", lang)
+    return files.groupBy(named.alias("lang")).agg(F.sum("n_pages").alias("n_pages"))
 
 
 @query(
@@ -125,13 +127,14 @@ def seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, event_type AS action, event_id AS doc, 'value ' || CAST(floor(value) AS INT) AS detail FROM events WHERE event_type IN ('purchase', 'signup')"""
+    """SELECT user_id, event_type AS action, event_id AS doc, 'value ' || CAST(floor(value) AS INT) AS detail FROM events"""
 )
 def audit_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches of audit entries appended to one log."""
+    """All audit entries, appended to one log in two batches."""
     path = scratch(spark)
     detail = F.concat(F.lit("value "), F.floor("value").cast("int").cast("string"))
     entries = table(spark, sf_dir, "events").select("user_id", F.col("event_type").alias("action"), F.col("event_id").alias("doc"), detail.alias("detail"))
-    for action in ("purchase", "signup"):
-        T.append_log(entries.where(F.col("action") == action), path)
+    late = F.coalesce(F.col("action").isin("purchase", "signup"), F.lit(False))
+    for batch in (~late, late):
+        T.append_log(entries.where(batch), path)
     return spark.read.schema("user_id long, action string, doc long, detail string").json(path)
