@@ -1,4 +1,4 @@
-"""Steps of rate control, as expressions of a state and an event."""
+"""Rate control: the adaptive rate's state, and expressions of times, waits and rates."""
 
 from __future__ import annotations
 
@@ -9,26 +9,19 @@ from pyspark.sql import functions as F
 COOLDOWN, FLOOR, GAIN = 2.0, 0.02, 0.02
 
 
-def rate_step(state: Column, event: Column, ceiling: float) -> Column:
-    """Halve on a rejection outside the cooldown, add a little on a success, within the bounds."""
-    cut = (event["outcome"] == "rate_limited") & (event["t"] - state["cut_at"] >= COOLDOWN)
-    rate = (
-        F.when(cut, state["rate"] / 2).when(event["outcome"] == "accepted", state["rate"] + GAIN * ceiling).otherwise(state["rate"])
-    )
-    return F.struct(
-        F.least(F.lit(ceiling), F.greatest(F.lit(FLOOR * ceiling), rate)).alias("rate"),
-        F.when(cut, event["t"]).otherwise(state["cut_at"]).alias("cut_at"),
-        (state["cut"] + F.when(cut, 1).otherwise(0)).alias("cut"),
-    )
-
-
-def bucket_step(state: Column, event: Column, rate: float, burst: float) -> Column:
-    """Refill by the time passed, then take what a request costs; a lack is waited for and owed."""
-    passed = F.greatest(F.lit(0.0), event["t"] - F.coalesce(state["last"], event["t"]))
-    full = F.least(F.lit(burst), state["left"] + passed * rate)
-    left = full - event["cost"]
-    wait = F.when(left < 0, -left / rate * 1000).otherwise(0.0)
-    return F.struct(left.alias("left"), event["t"].alias("last"), (state["waited"] + wait).alias("waited"))
+class Pace:
+    """An adaptive request rate: halved on a rejection outside the cooldown, raised a little on a success, within bounds."""
+
+    def __init__(self, ceiling: float, rate: float | None = None, cut_at: float = -1e18, cut: int = 0) -> None:
+        self.ceiling, self.cut_at, self.cut = ceiling, cut_at, cut
+        self.rate = ceiling if rate is None else rate
+
+    def step(self, t: float, outcome: str | None) -> None:
+        if outcome == "rate_limited" and t - self.cut_at >= COOLDOWN:
+            self.rate, self.cut_at, self.cut = self.rate / 2, float(t), self.cut + 1
+        elif outcome == "accepted":
+            self.rate += GAIN * self.ceiling
+        self.rate = min(self.ceiling, max(FLOOR * self.ceiling, self.rate))
 
 
 def job_timeout(pages: Column, base: int, per_page: float, margin: int = 0) -> Column:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quirewise.columns import extended, map_arrow
-from quirewise.operators.order import spare
-from quirewise.functions.pacing import bucket_step, header_rate, rate_step
+from quirewise.functions.pacing import Pace, header_rate
+from quirewise.operators.graph import checkpoint
+from quirewise.operators.order import by_key, spare
 from quirewise.session import ship
 
 #: Events that end a job.
@@ -70,31 +75,94 @@ def run_ends(events: DataFrame, key: str, failed: Column, order: str, limit: int
     return grouped.select(key, end.alias("end"), F.col(f"_s.{order}").alias("at"))
 
 
-def fold(events: DataFrame, key: str, order: list[str], columns: list[str], zero: Column, step, finish) -> DataFrame:
-    """``key`` and the fold of a record's events in order.
+def paced_rates(events: DataFrame, key: str, ceiling: float) -> DataFrame:
+    """``key, rate, cut``: the request rate after all events, and how often it was halved.
 
-    For recurrences that no window function expresses.  A key's events are one
-    array: keys are jobs and models, whose events are bounded by their run.
+    ``events`` gives ``key, t, seq, outcome``.  Whether a rejection cuts depends on
+    when the last cut was, so a key's events pass in order; a task holds one state.
     """
-    ordered = F.array_sort(F.collect_list(F.struct(*order, *[c for c in columns if c not in order])))
-    return events.groupBy(key).agg(F.aggregate(ordered, zero, step, finish).alias("_r")).select(key, "_r.*")
+    ship(events.sparkSession)
+    dealt = events.select(key, "t", "seq", "outcome").repartition(key).sortWithinPartitions(key, "t", "seq")
+    kind = to_arrow_type(dealt.schema[key].dataType)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, begun = None, Pace(ceiling), False
+        for batch in batches:
+            done = []
+            for k, t, outcome in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3)), strict=True):
+                if not begun or k != now:
+                    if begun:
+                        done.append((now, state.rate, state.cut))
+                    now, state, begun = k, Pace(ceiling), True
+                state.step(t, outcome)
+            if done:
+                yield rows_of(done)
+        if begun:
+            yield rows_of([(now, state.rate, state.cut)])
 
-def paced_rates(events: DataFrame, key: str, ceiling: float) -> DataFrame:
-    """``key, rate, cut``: the request rate after all events, and how often it was halved."""
-    zero = F.struct(F.lit(ceiling).alias("rate"), F.lit(-1e18).alias("cut_at"), F.lit(0).alias("cut"))
-    return fold(
-        events, key, ["t", "seq"], ["outcome"], zero, lambda s, e: rate_step(s, e, ceiling), lambda s: F.struct(s["rate"].alias("rate"), s["cut"].alias("cut"))
-    )
+    def rows_of(done: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(c, k) for c, k in zip(zip(*done, strict=True), (kind, pa.float64(), pa.int32()), strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "rate", "cut"])
+
+    return map_arrow(dealt, run, extended([dealt.schema[key]], rate=T.DoubleType(), cut=T.IntegerType()))
 
 
 def bucket_waits(events: DataFrame, key: str, rate: float, burst: float) -> DataFrame:
-    """``key, waited_ms, left``: what a token bucket makes each request wait, in all, and what it holds at the end."""
-    zero = F.struct(F.lit(burst).alias("left"), F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("waited"))
-    return fold(
-        events, key, ["t", "seq"], ["cost"], zero, lambda s, e: bucket_step(s, e, rate, burst),
-        lambda s: F.struct(s["waited"].alias("waited_ms"), s["left"].alias("left")),
-    )
+    """``key, waited_ms, left``: what a token bucket makes each request wait, in all, and what it holds at the end.
+
+    ``events`` gives ``key, t, seq, cost``.  Events are dealt by ranges of key and
+    time.  What a run of requests does to a level is ``min(a, level + b)``, and two
+    such functions in turn are one again, so the driver gets a few numbers for the
+    last run of each partition and gives each partition the state that it begins
+    with.  No task holds a key's events, however many there are.
+    """
+    ship(events.sparkSession)
+    order = [key, "t", "seq"]
+    rows = events.select(*order, F.col("cost").cast("double").alias("cost"))
+    dealt = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    names, kind = [key, "t", "cost"], dealt.schema[key]
+
+    def last_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, first, last, whole = TaskContext.get().partitionId(), None, None, True
+        for run in by_key(batches, names):
+            first, whole = (run[key][0], True) if last is None else (first, False)
+            last = run
+        if last is not None:
+            t, cost = np.array(last["t"], float), np.array(last["cost"], float)
+            total = np.cumsum(np.concatenate(([0.0], np.diff(t) * rate)) - cost)
+            # The level after all, of a level y at the first request: y + total[-1], or what a full bucket leaves since the second.
+            most = float((burst - cost[1:] - total[1:]).min() + total[-1]) if len(t) > 1 else float("inf")
+            numbers = [float(t[0]), float(t[-1]), most, float(total[-1])]
+            columns = [pa.array([part], pa.int32()), pa.array([first], to_arrow_type(kind.dataType)), pa.array([last[key][0]], to_arrow_type(kind.dataType))]
+            columns += [pa.array([whole]), pa.array([numbers], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "first", "last", "whole", "numbers"])
+
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("first", kind.dataType), T.StructField("last", kind.dataType)])
+    schema = schema.add("whole", T.BooleanType()).add("numbers", T.ArrayType(T.DoubleType()))
+    begins: dict[int, tuple[float, float]] = {}
+    before, state = None, None
+    for r in sorted(map_arrow(dealt.select(*names), last_runs, schema).collect(), key=lambda r: r.part):
+        goes_on = before is not None and before.last == r.first
+        if goes_on:
+            begins[r.part] = state
+        start, end, most, total = r.numbers
+        left, since = state if goes_on and r.whole else (burst, start)
+        state = min(most, min(burst, left + max(0.0, start - since) * rate) + total), end
+        before = r
+
+    def waits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, opening = TaskContext.get().partitionId(), True
+        for run in by_key(batches, names):
+            left, since = begins.get(part, (burst, None)) if opening else (burst, None)
+            opening, waited = False, 0.0
+            for t, cost in zip(run["t"], run["cost"], strict=True):
+                left = min(burst, left + max(0.0, t - (t if since is None else since)) * rate) - cost
+                waited, since = waited + (-left / rate * 1000 if left < 0 else 0.0), t
+            columns = [pa.array(run[key][:1], to_arrow_type(kind.dataType)), pa.array([part], pa.int32()), pa.array([waited]), pa.array([left])]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "part", "waited", "left"])
+
+    parts = map_arrow(dealt.select(*names), waits, extended([kind], part=T.IntegerType(), waited=T.DoubleType(), left=T.DoubleType()))
+    return parts.groupBy(key).agg(F.sum("waited").alias("waited_ms"), F.max_by("left", "part").alias("left"))
 
 
 def attempt_rollup(events: DataFrame, model: str, outcome: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quirewise.functions.pacing import COOLDOWN, FLOOR, GAIN
+from quirewise.functions.pacing import Pace
 from quirewise.session import ship
 
 
@@ -62,18 +62,14 @@ def paced_rates(events: DataFrame, ceiling: float, keep_ms: int | None = None) -
         if state.hasTimedOut:
             state.remove()
             return
-        rate, cut_at, cut = state.get if state.exists else (ceiling, -1e18, 0)
+        pace = Pace(ceiling, *state.get) if state.exists else Pace(ceiling)
         rows = pd.concat(list(batches)).sort_values(["t", "seq"])
         for t, outcome in zip(rows["t"], rows["outcome"], strict=True):
-            if outcome == "rate_limited" and t - cut_at >= COOLDOWN:
-                rate, cut_at, cut = rate / 2, float(t), cut + 1
-            elif outcome == "accepted":
-                rate += GAIN * ceiling
-            rate = min(ceiling, max(FLOOR * ceiling, rate))
-        state.update((rate, cut_at, cut))
+            pace.step(t, outcome)
+        state.update((pace.rate, pace.cut_at, pace.cut))
         if keep_ms is not None:
             state.setTimeoutDuration(keep_ms)
-        yield pd.DataFrame([(key[0], rate, cut)], columns=["user_id", "rate", "cut"])
+        yield pd.DataFrame([(key[0], pace.rate, pace.cut)], columns=["user_id", "rate", "cut"])
 
     return events.groupBy("user_id").applyInPandasWithState(
         step, "user_id long, rate double, cut int", "rate double, cut_at double, cut int", "update", _timeout(keep_ms)
