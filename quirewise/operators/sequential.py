@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirewise.operators.graph import checkpoint
 from quirewise.session import ship
 
 
@@ -194,6 +195,85 @@ def probed_starts(
     return _by_record(rows, key, starts_of)
 
 
+#: Open questions are broadcast up to this many (about 80 bytes each), else joined by a shuffle.
+BROADCAST_QUESTIONS = 200_000
+Small = Callable[[DataFrame], DataFrame]
+
+
+def _segments(sizes: DataFrame, cuts: DataFrame | None, key: str) -> DataFrame:
+    """``key, low, high``: the parts of each record between its cuts; one that begins a record begins at 1."""
+    edges = sizes.where("n >= 1").select(key, F.lit(1).cast("bigint").alias("low"), F.col("n").cast("bigint").alias("n"))
+    if cuts is not None:
+        inner = cuts.join(sizes, key).where("start > 1 AND start <= n").select(key, F.col("start").cast("bigint").alias("low"), F.col("n").cast("bigint").alias("n"))
+        edges = edges.union(inner).distinct()
+    after = F.lead("low").over(Window.partitionBy(key).orderBy("low"))
+    return edges.select(key, "low", F.coalesce(after - 1, "n").alias("high"))
+
+
+def frontier_starts(
+    sizes: DataFrame, ask: Callable[[DataFrame, Small], DataFrame], sure: DataFrame | None = None, cuts: DataFrame | None = None, key: str = "doc_id"
+) -> DataFrame:
+    """``key, start`` by probing ranges between known cuts, all records at once.
+
+    Every part between two cuts has one open question at a time: is page ``ask``
+    new to the span that begins at ``start``?  Each round ``ask`` joins all open
+    questions with the verdicts and adds ``is_new`` (null counts as no); then every
+    part gallops on, halves, or has found a boundary.  ``ask`` also gets a function
+    that marks such a table for broadcast while the questions are few.  With ``sure`` (``key,
+    page``), a boundary counts only where it or the page before or behind it is
+    confirmed, else the search goes on behind it.  Records take as many rounds as
+    their longest part has questions; no task holds a record.
+    """
+    fresh = {"known": F.col("start"), "last": F.col("start"), "step": F.lit(1).cast("bigint"), "found": F.lit(None).cast("bigint"), "ask": F.col("start") + 1}
+    names = [key, "low", "high", "start", "known", "last", "step", "found", "ask"]
+    parts = checkpoint(_segments(sizes, cuts, key))
+    starts = [parts.select(key, F.col("low").alias("start"))]
+    open_ = checkpoint(parts.where("low < high").withColumn("start", F.col("low")).withColumns(fresh).select(*names))
+    if sure is not None:
+        # Which of a page, the one before it and the one behind it are confirmed.
+        named = sure.select(key, F.explode(F.array(*[F.struct((F.col("page") - i).cast("bigint").alias("page"), F.lit(i).alias("at")) for i in (0, -1, 1)])).alias("_s"))
+        flags = [F.bool_or(F.col("_s.at") == i).alias(n) for i, n in ((0, "c0"), (-1, "cm"), (1, "cp"))]
+        near = checkpoint(named.groupBy(key, F.col("_s.page").alias("found")).agg(*flags))
+    galloping, at_end = F.col("found").isNull(), F.col("ask") == F.col("high")
+    while (n := open_.count()) > 0:
+        small = F.broadcast if n <= BROADCAST_QUESTIONS else lambda df: df
+        told = ask(small(open_), small).withColumn("is_new", F.coalesce("is_new", F.lit(False)))
+        # The segment's end is asked once more where galloping passes it; then there is nothing behind.
+        told = told.withColumns({
+            "over": galloping & ~F.col("is_new") & at_end,
+            "step": F.when(galloping & ~F.col("is_new"), F.col("step") * 2).otherwise(F.col("step")),
+            "last": F.when(F.col("is_new"), F.col("last")).otherwise(F.col("ask")),
+            "found": F.when(F.col("is_new"), F.col("ask")).otherwise(F.col("found")),
+        }).where("NOT over").drop("over", "is_new")
+        there = F.coalesce(F.col("found") - F.col("last") <= 1, F.lit(False))
+        if sure is None:
+            told = told.withColumn("boundary", F.when(there, F.col("found")))
+        else:
+            page, low, high = F.col("found"), F.col("low"), F.col("high")
+            first = F.when(F.col("c0"), page).when(F.col("cm") & (page - 1 > low), page - 1).when(F.col("cp") & (page + 1 <= high), page + 1)
+            # Only boundaries that some confirmation is next to come back from this join; all others have none.
+            flags_ = near.join(small(told.where(there).select(key, "found").distinct()), [key, "found"])
+            told = told.join(small(flags_), [key, "found"], "left").withColumn("boundary", F.when(there, first))
+        # Where the page before was confirmed and is the start itself, the page found counts.
+        boundary = F.when(F.col("boundary") <= F.col("start"), F.col("found")).otherwise(F.col("boundary"))
+        state = told.select(*names[:-1], there.alias("there"), boundary.alias("boundary"))
+        # A boundary begins a new span; where none is confirmed the search goes on behind the page found; else it halves or gallops.
+        place = F.coalesce("boundary", "found")
+        follows = F.when(F.col("there"), place + 1).when(F.col("found").isNotNull(), F.floor((F.col("last") + F.col("found")) / 2)).otherwise(F.least(F.col("known") + F.col("step"), "high"))
+        ahead = lambda c: F.when(F.col("there"), place).otherwise(F.col(c)).alias(c)
+        moved = checkpoint(state.select(
+            key, "low", "high", F.coalesce("boundary", "start").alias("start"), ahead("known"), ahead("last"),
+            F.when(F.col("there"), 1).otherwise(F.col("step")).cast("bigint").alias("step"), F.when(~F.col("there"), F.col("found")).alias("found"),
+            follows.cast("bigint").alias("ask"), "boundary",
+        ))
+        starts.append(moved.where("boundary IS NOT NULL").select(key, F.col("boundary").alias("start")))
+        open_ = moved.where("ask <= high").select(*names)
+    found = starts[0]
+    for more in starts[1:]:
+        found = found.union(more)
+    return found.distinct()
+
+
 def older_suspicion(rows: DataFrame, key: str, order: str, seams: Column, most: int = 5) -> DataFrame:
     """Boundaries that look wrong by an older rule: the same bucket and date as before, or a short span between two alike."""
     by_row = Window.partitionBy(key).orderBy(order)

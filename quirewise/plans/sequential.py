@@ -53,6 +53,45 @@ def probed_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.probed_by_label(labelled, gold(paged).where("start % 20 = 0"))
 
 
+@query(
+    f"""WITH RECURSIVE {PAGES}, {SIZES}, lb AS MATERIALIZED (SELECT doc_id, page, length(text) AS len, sum(CASE WHEN page = 1 OR length(text) % 5 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY page) AS label FROM pages_v),
+edge AS (SELECT doc_id, 1 AS low FROM sizes UNION SELECT doc_id, page FROM lb WHERE page > 1 AND page % 8 = 0),
+seg AS MATERIALIZED (SELECT doc_id, low, coalesce(lead(low) OVER (PARTITION BY doc_id ORDER BY low) - 1, n) AS high FROM edge JOIN sizes USING (doc_id)),
+sure AS MATERIALIZED (SELECT doc_id, page FROM lb WHERE len % 5 = 0 OR len % 7 = 0),
+f(doc_id, low, high, start, known, last, step, found, ask, emitted) AS (SELECT doc_id, low, high, low, low, low, 1::BIGINT, NULL::BIGINT, low + 1, NULL::BIGINT FROM seg WHERE low < high
+UNION ALL SELECT doc_id, low, high, CASE WHEN b IS NOT NULL THEN b ELSE start END, CASE WHEN b IS NOT NULL THEN b WHEN there THEN found2 ELSE known END, CASE WHEN b IS NOT NULL THEN b WHEN there THEN found2 ELSE last2 END,
+CASE WHEN there THEN 1 ELSE step2 END, CASE WHEN there THEN NULL ELSE found2 END,
+CASE WHEN there THEN CASE WHEN coalesce(b, found2) < high THEN coalesce(b, found2) + 1 END WHEN found2 IS NOT NULL THEN (last2 + found2) // 2 ELSE least(known + step2, high) END, b
+FROM (SELECT *, CASE WHEN b0 <= start THEN found2 ELSE b0 END AS b FROM (SELECT t3.*, CASE WHEN there THEN CASE WHEN s0.page IS NOT NULL THEN found2 WHEN sm.page IS NOT NULL AND found2 - 1 > low THEN found2 - 1 WHEN sp.page IS NOT NULL AND found2 + 1 <= high THEN found2 + 1 END END AS b0
+FROM (SELECT *, coalesce(found2 - last2 <= 1, false) AS there FROM (SELECT *, CASE WHEN nw THEN ask ELSE found END AS found2, CASE WHEN nw THEN last ELSE ask END AS last2, CASE WHEN found IS NULL AND NOT nw THEN step * 2 ELSE step END AS step2
+FROM (SELECT f.*, (p.label <> s.label) <> ((f.start * 7 + f.ask * 3 + p.len) % 23 = 0) AS nw FROM f JOIN lb s ON s.doc_id = f.doc_id AND s.page = f.start JOIN lb p ON p.doc_id = f.doc_id AND p.page = f.ask) t1
+WHERE NOT (found IS NULL AND NOT nw AND ask = high)) t2) t3
+LEFT JOIN sure s0 ON s0.doc_id = t3.doc_id AND s0.page = found2 LEFT JOIN sure sm ON sm.doc_id = t3.doc_id AND sm.page = found2 - 1 LEFT JOIN sure sp ON sp.doc_id = t3.doc_id AND sp.page = found2 + 1) t4) t5)
+SELECT doc_id, low AS start FROM seg UNION SELECT doc_id, emitted FROM f WHERE emitted IS NOT NULL"""
+)
+def frontier_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts by probing all documents at once; one verdict in 23 is wrong, and boundaries need a confirmation."""
+    from pyspark.sql import Window
+
+    from quirewise.operators.graph import checkpoint
+
+    paged = pages(spark, sf_dir)
+    begins = F.when((F.col("page") == 1) | (F.length("text") % 5 == 0), 1).otherwise(0)
+    upto = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    facts = checkpoint(paged.select("doc_id", "page", F.length("text").alias("len"), F.sum(begins).over(upto).alias("label")))
+
+    def ask(questions: DataFrame, small: Q.Small) -> DataFrame:
+        of_start = facts.select("doc_id", F.col("page").alias("start"), F.col("label").alias("label_s"))
+        of_page = facts.select("doc_id", F.col("page").alias("ask"), "label", "len")
+        wrong = (F.col("start") * 7 + F.col("ask") * 3 + F.col("len")) % 23 == 0
+        met = small(questions.join(of_start, ["doc_id", "start"])).join(of_page, ["doc_id", "ask"])
+        return met.withColumn("is_new", (F.col("label") != F.col("label_s")) != wrong).drop("label", "label_s", "len")
+
+    sure = facts.where("len % 5 = 0 OR len % 7 = 0").select("doc_id", "page")
+    cuts = facts.where("page % 8 = 0").select("doc_id", F.col("page").alias("start"))
+    return Q.frontier_starts(S.sizes_of(paged), ask, sure, cuts)
+
+
 @query(
     """WITH t AS (SELECT conv_id, turn, role AS bucket, 'd' || length(text) % 2 AS date, turn * 10 + 1 AS start, turn * 10 + 1 + length(text) % 8 AS "end" FROM conversations),
 l AS (SELECT *, lag(bucket) OVER w AS b, lead(bucket) OVER w AS a, lag(date) OVER w AS d FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn))

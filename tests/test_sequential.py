@@ -134,3 +134,26 @@ def test_sequential_by_rule_and_label(spark):
     asked = spark.createDataFrame(probes, "doc_id long, first int, page int, is_new boolean")
     assert order(Q.probed_by_label(labelled, cuts)) == order(Q.probed_starts(sizes, asked, None, cuts))
     assert Q.accumulated_by_rule(pages.limit(0), 4).count() == 0 and Q.probed_by_label(labelled.limit(0)).count() == 0
+
+
+def test_frontier_equals_each_record_alone(spark):
+    """All records at once, with wrong verdicts, confirmations and cuts, give what a search of each part gives."""
+    rng = random.Random(12)
+    sizes = {d: rng.choice([0, 1, 2, 9, 25]) for d in range(25)}
+    new = {(d, s, p) for d, n in sizes.items() for s in range(1, n + 1) for p in range(s + 1, n + 1) if rng.random() < 0.25}
+    sure = {(d, p) for d, n in sizes.items() for p in range(1, n + 1) if rng.random() < 0.4}
+    cuts = {(d, p) for d, n in sizes.items() for p in (1, 4, 12, n, n + 3) if rng.random() < 0.5}
+    verdicts = spark.createDataFrame([(*x, True) for x in new], "doc_id long, start long, ask long, is_new boolean")
+    ask = lambda q, small: q.join(verdicts, ["doc_id", "start", "ask"], "left")
+    frame = spark.createDataFrame(list(sizes.items()), "doc_id long, n long")
+    for confirm in (True, False):
+        got = Q.frontier_starts(
+            frame, ask, spark.createDataFrame(list(sure), "doc_id long, page long") if confirm else None, spark.createDataFrame(list(cuts), "doc_id long, start long")
+        )
+        want = set()
+        for d, n in sizes.items():
+            bounds = [1, *sorted({p for e, p in cuts if e == d and 1 < p <= n}), n + 1]
+            for low, after in zip(bounds, bounds[1:]):
+                known = {p for e, p in sure if e == d} if confirm else None
+                want |= {(d, s) for s in search(lambda s, p: (d, s, p) in new, known, low, after - 1)} if n else set()  # noqa: B023
+        assert {(r.doc_id, r.start) for r in got.collect()} == want
