@@ -25,6 +25,8 @@ from quirewise.session import ship
 JACCARD, CROSS_DATE, ACCEPT = 0.7, 0.99, 0.95
 #: Words in the prefixes of more sets than this are joined in salted parts.
 HOT_WORD = 2000
+#: Word runs of all probes that are broadcast, at most (16 bytes each); more are joined by a shuffle.
+BROADCAST_RUNS = 1_000_000
 
 
 def signature_classes(items: DataFrame, key: str) -> DataFrame:
@@ -273,7 +275,10 @@ def containment(items: DataFrame, probes: DataFrame, least: float = 0.8, width:
 
     wanted = runs(probes, "item_id")
     total = wanted.groupBy("item_id").agg(F.count("*").alias("n"))
-    shared = runs(items, "doc_id").join(wanted, "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("c"))
+    # Probes are few, as a rule; then no document's runs are dealt by run, and a run that all documents have is no one task.
+    wanted = checkpoint(wanted)
+    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_RUNS else wanted
+    shared = runs(items, "doc_id").join(near, "run").groupBy("doc_id", "item_id").agg(F.count("*").alias("c"))
     return shared.join(total, "item_id").select("doc_id", "item_id", (F.col("c") / F.col("n")).alias("share")).where(F.col("share") >= least)
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quirewise.functions import dates as D
 from quirewise.functions import text as X
+from quirewise.operators.graph import checkpoint
+from quirewise.operators.order import spare
 
 
 def counts_by(records: DataFrame, children: DataFrame, key: str, name: str = "n_rows") -> DataFrame:
@@ -22,10 +24,25 @@ def search(rows: DataFrame, column: str, needle: str, states: list[str] | None =
 
 
 def page_of(rows: DataFrame, order: list[Column], size: int, page: int) -> DataFrame:
-    """One page of an ordered listing; a page beyond the last gives the last."""
-    total = rows.count()
-    last = max(0, (total - 1) // size)
-    return rows.orderBy(*order).offset(min(max(page, 0), last) * size).limit(size)
+    """One page of an ordered listing; a page beyond the last gives the last.
+
+    Rows are dealt by ranges of the order; the driver gets a count for each range,
+    and only the ranges that the page lies in are numbered, however deep it is.
+    """
+    part, place, first_of = (spare(rows, n) for n in ("_part", "_place", "_first"))
+    dealt = checkpoint(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(part, F.spark_partition_id()))
+    counts = sorted(tuple(r) for r in dealt.groupBy(part).agg(F.count("*")).collect())
+    total = sum(n for _, n in counts)
+    first = min(max(page, 0), max(0, (total - 1) // size)) * size
+    wanted, before = [], 0
+    for number, n in counts:
+        if before < first + size and before + n > first:
+            wanted.append((number, before))
+        before += n
+    bases = rows.sparkSession.createDataFrame(wanted, f"{part} int, {first_of} long")
+    number = F.col(first_of) + F.row_number().over(Window.partitionBy(part).orderBy(*order))
+    numbered = dealt.join(F.broadcast(bases), part).withColumn(place, number)  # one row a range
+    return numbered.where(F.col(place).between(first + 1, first + size)).orderBy(place).select(*rows.columns)
 
 
 def chronological(entries: DataFrame, key: str, order: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quirewise.columns import extended
 from quirewise.operators.graph import checkpoint
-from quirewise.operators.order import by_key, running_sums
+from quirewise.operators.order import by_key, running_sums, spare
 from quirewise.session import ship
 
 
@@ -245,6 +245,15 @@ def coverage(spans: DataFrame, sizes: DataFrame, key: str = "doc_id") -> DataFra
 
 
 def running_ranges(files: DataFrame, group: str, order: str) -> DataFrame:
-    """Running 1-based page ranges of files put together; files without pages are skipped."""
-    total = F.sum("n_pages").over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return files.where("n_pages > 0").withColumn("end", total).withColumn("start", F.col("end") - F.col("n_pages") + 1)
+    """Running 1-based page ranges of files put together; files without pages are skipped.
+
+    Sums run over all groups by ranges of the order, and each group takes off what
+    was before its first file, so a group of very many files is no one task.
+    """
+    kept = files.where("n_pages > 0")
+    place, base, own = (spare(kept, n) for n in ("_o", "_base", "_group"))
+    summed = running_sums(kept.withColumn(place, F.struct(group, order)), place, ["n_pages"])
+    before = summed.groupBy(F.col(group).alias(own)).agg(F.min(F.col("n_pages_upto") - F.col("n_pages")).alias(base))
+    joined = summed.join(before, summed[group].eqNullSafe(before[own]))
+    end = F.col("n_pages_upto") - F.col(base)
+    return joined.select(*files.columns, end.alias("end"), (end - F.col("n_pages") + 1).alias("start"))
