@@ -51,6 +51,8 @@ SUBSPACE = 4
 CODEWORDS = 256
 #: Vectors of a block; a list's queries pass by it in a stream.
 BLOCK_ROWS = 512
+#: Numbers of the vectors of the pairs that are verified at once.
+PAIR_NUMBERS = 1 << 21
 #: Allowance for rounding in the bounds.
 SLACK = 1e-6
 
@@ -199,7 +201,10 @@ def _linked(blocks: DataFrame, index, least: float, store: type[np.floating]) ->
             if inside:
                 near = np.triu(near | near.T, 1)
             i, j = np.nonzero(near)
-            sure = np.einsum("ij,ij->i", vecs[i], state["vecs"][j]) >= least
+            # Some pairs at a time, so that a dense block holds no copies of all its pairs' vectors.
+            step = max(1, PAIR_NUMBERS // max(1, vecs.shape[1]))
+            parts = [np.einsum("ij,ij->i", vecs[i[k : k + step]], state["vecs"][j[k : k + step]]) for k in range(0, len(i), step)]
+            sure = np.concatenate([*parts, np.empty(0)]) >= least
             i, j = i[sure], j[sure]
             if not len(i):
                 return
