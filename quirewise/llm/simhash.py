@@ -260,7 +260,7 @@ def _bits_apart(words: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.nda
 
 
 def near_pairs(cell: np.ndarray, words: list[np.ndarray], max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Rows ``a < b`` of a cell within the distance, all of one ``a`` together; rows are sorted by cell."""
+    """Rows ``a < b`` of a cell within the distance, all of one ``a`` together; without ``words`` all of them. Rows are sorted by cell."""
     bounds = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True])))
     size = np.repeat(np.diff(bounds), np.diff(bounds))
     left, right = [bounds[:0]], [bounds[:0]]
@@ -270,7 +270,7 @@ def near_pairs(cell: np.ndarray, words: list[np.ndarray], max_distance: int) ->
         rows = rows[cell[rows] == cell[rows + shift]]
         if not len(rows):
             break
-        near = rows[_bits_apart(words, rows, rows + shift) <= max_distance]
+        near = rows[_bits_apart(words, rows, rows + shift) <= max_distance] if words else rows
         left.append(near)
         right.append(near + shift)
     yield np.concatenate(left), np.concatenate(right)
@@ -278,7 +278,7 @@ def near_pairs(cell: np.ndarray, words: list[np.ndarray], max_distance: int) ->
         if end - start > SHIFT_ROWS:
             for at in range(start, end, 128):
                 mine = np.arange(at, min(at + 128, end))
-                near = _bits_apart(words, mine[:, None], np.arange(at, end)[None, :]) <= max_distance
+                near = _bits_apart(words, mine[:, None], np.arange(at, end)[None, :]) <= max_distance if words else np.ones((len(mine), end - at), bool)
                 i, j = np.nonzero(near)
                 yield at + i[i < j], at + j[i < j]
 
@@ -502,18 +502,26 @@ def _hex_names(high: np.ndarray, low: np.ndarray) -> pa.Array:
     return pa.array([f"{x:016X}{y:016X}" for x, y in both], pa.string())
 
 
-def _unlinked(rows: DataFrame, max_distance: int, least: float, most: int) -> DataFrame:
-    """Pairs ``a, b`` of different labels in a cell that may be similar enough, of each row the ``most`` most alike.
+#: Columns of a row in a shingle's cell: digest, shingles, sketch, place of the shingle among the row's, label, shingle.
+CELL = [*MARKS[2:], "at", "label", "shingle"]
 
-    A row of nulls names a ``shingle`` of which there are more.  The last columns of ``rows`` are the label and the shingle.
+
+def _unlinked(rows: DataFrame, least: float, most: int) -> DataFrame:
+    """Pairs ``a, b`` of different labels in a shingle's cell that may be similar enough, of each row the ``most`` most alike.
+
+    A pair is due at the first shingle that both have: then they share nothing
+    before it, and no more from there on than what is left of either.  A row of
+    nulls names a ``shingle`` of which there are more.  ``rows`` has ``cell`` and ``CELL``.
     """
 
     def emit(cell: np.ndarray, *marks: np.ndarray) -> Iterator[pa.RecordBatch]:
-        *marks, label, shingle = marks
-        far, words, more = _unlike(marks[4 : 5 + SKETCH_WORDS], least), [w.view(np.uint64) for w in marks[:2]], []
-        for a, b in near_pairs(cell, words, max_distance):
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
+        high, low, size, *sketch = marks[: 3 + SKETCH_WORDS]
+        at, label, shingle = marks[3 + SKETCH_WORDS :]
+        far, more = _unlike([size, *sketch], least), []
+        for a, b in near_pairs(cell, [], 0):
+            left = np.minimum(size[a] - at[a], size[b] - at[b])
+            due = (label[a] != label[b]) & (left >= (size[a] + size[b]) * (least / (1 + least)) - 1e-6)
+            a, b = a[due], b[due]
             share = far(a, b)
             a, b, share = a[share >= 0], b[share >= 0], share[share >= 0]
             order = np.lexsort((b, share, a))
@@ -521,7 +529,7 @@ def _unlinked(rows: DataFrame, max_distance: int, least: float, most: int) -> Da
             now = np.arange(len(a)) - np.searchsorted(a, a) < most
             more.append(np.unique(shingle[a[~now]]))
             if now.any():
-                names = [_hex_names(marks[2][x], marks[3][x]) for x in (a[now], b[now])]
+                names = [_hex_names(high[x], low[x]) for x in (a[now], b[now])]
                 yield pa.RecordBatch.from_arrays([*names, pa.nulls(len(names[0]), pa.int64())], names=["a", "b", "shingle"])
         unfinished = np.unique(np.concatenate(more)) if more else np.empty(0, np.int64)
         if len(unfinished):
@@ -702,18 +710,19 @@ def _copies(classes: DataFrame, hashed: DataFrame, max_distance: int, least: flo
         ends = rows.groupBy("part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
         return ends.where("lo <> hi").select("part")
 
-    keyed = labelled(classes.select("fp2", "fp3", "first_shingles"), labels).select("fp2", "fp3", "label", F.explode("first_shingles").alias("part"))
+    places = F.posexplode("first_shingles").alias("at", "part")
+    keyed = labelled(classes.select("fp2", "fp3", "first_shingles"), labels).select("fp2", "fp3", "label", places)
     shared = cut(mixed(keyed))
     small = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    members = cut(keyed.join(small, "part").select("part", "fp2", "fp3"))
-    marked = classes.select(*MARKS)
+    members = cut(keyed.join(small, "part").select("part", "fp2", "fp3", F.col("at").cast("bigint").alias("at")))
+    marked = classes.select(*MARKS[2:])
     most = FIRST_PARTNERS
     while True:
         # Only where rows that share a shingle are not linked yet is there anything left to verify.
         now = labelled(members, labels)
-        left = cut(now.join(mixed(now), "part").select(F.col("part").alias("cell"), "fp2", "fp3", "label", F.col("part").alias("shingle")))
-        near = _blocked(left).join(marked, ["fp2", "fp3"]).select("cell", *MARKS, "label", "shingle")
-        pairs = cut(_unlinked(near.repartition("cell").sortWithinPartitions("cell"), 64 * 2, least, most).distinct())
+        left = cut(now.join(mixed(now), "part").select(F.col("part").alias("cell"), "fp2", "fp3", "at", "label", F.col("part").alias("shingle")))
+        near = _blocked(left).join(marked, ["fp2", "fp3"]).select("cell", *CELL)
+        pairs = cut(_unlinked(near.repartition("cell").sortWithinPartitions("cell"), least, most).distinct())
         more = cut(pairs.where("a IS NULL").select(F.col("shingle").alias("part")).distinct())
         n_more = more.count()
         new = cut(_pairs_of(pairs.where("a IS NOT NULL").select("a", "b")).join(tested, ["a", "b"], "left_anti"))
