@@ -9,6 +9,7 @@ from .dates import UNKNOWN, house_date
 
 #: Characters of a text that are compared character by character; a fixed value.
 EXCERPT = 1500
+#: What a date looks like; a fixed value.
 DATE_TOKEN = r"\b\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}\b"
 
 
@@ -83,6 +84,7 @@ def page_counter(text: Column, broad: bool = False) -> Column:
         )
         return F.try_element_at(F.filter(pairs, lambda p: p["x"] <= p["y"]), F.lit(-1))
 
+    # Printed forms of counters; fixed values.
     strict = last(r"(?i)page\s+(\d{1,4})\s+of\s+(\d{1,4})")
     return F.coalesce(strict, last(r"(?i)(?<!\d)(\d{1,4})\s+of\s+(\d{1,4})(?!\d)")) if broad else strict
 
@@ -107,6 +109,7 @@ def heading(text: Column, lines: int = 3) -> Column:
 
 def banner(text: Column) -> Column:
     """The first of the top lines that looks like a fax banner, without digits and signs."""
+    # What marks a fax banner; a fixed value.
     pattern = r"(?i)fax|facsimile|transmi|(\d{1,2}/\d{1,2}/\d{2,4}\D{0,10}\d{1,2}:\d{2})"
     line = F.try_element_at(F.filter(F.slice(filled(text), 1, 3), lambda x: x.rlike(pattern)), F.lit(1))
     return F.trim(F.regexp_replace(F.lower(line), r"(?U)[\d\W]+", " "))
@@ -117,6 +120,7 @@ def date_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"\b(\d{1,2})/(\d{1,2})/(\d{2,4})\b"), F.lit(0)))
 
 
+#: Forms of dates, periods and injury-date prefixes that texts must match; fixed values.
 _D = r"\d{1,2}[/.\-]\d{1,2}[/.\-]\d{2,4}"
 _DS = r"\d{1,2}[/.]\d{1,2}[/.]\d{2,4}"
 _ITEM = rf"(?i)(\bC\.?T\.?\s*:?\s*)?({_DS})\s*(?:-|--|to|through)\s*({_DS})|({_D})"

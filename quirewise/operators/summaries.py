@@ -14,6 +14,7 @@ from quirewise.functions import text as X
 
 #: Issues that justify no structural change.
 CORRECTIONS = ("capitalization", "range_of_motion")
+#: The wording of notices is fixed.
 NOTICE = "Unintelligible: the text recognizer could not read "
 
 
