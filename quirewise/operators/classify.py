@@ -118,6 +118,25 @@ def fuse(rule: Column, vector: Column, vote: Column) -> Column:
     )
 
 
+def escalated(rows: DataFrame, texts: DataFrame, again: DataFrame, key: str) -> DataFrame:
+    """Opinions on rows, those in doubt asked a second time with the text of their pages.
+
+    ``rows`` gives ``key, category, confidence, method, needs_review, flag``;
+    ``texts`` ``key, text``; ``again`` the same columns as ``rows`` without the
+    flag, of the second asking.  Only rows in doubt meet their text; where it is
+    blank or the asking failed (no row), the first opinion stays.  A row that is
+    still in doubt, or was flagged, gets the flag ``x``.
+    """
+    opinion = ["category", "confidence", "method", "needs_review"]
+    doubt = F.coalesce("needs_review", F.lit(True))
+    second = again.select(key, F.struct(*opinion).alias("_second"))
+    readable = texts.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")) != "").select(key).distinct()
+    asked = rows.where(doubt).join(readable, key, "left_semi").join(second, key)
+    told = asked.select(key, "flag", "_second.*").unionByName(rows.join(asked.select(key), key, "left_anti").select(key, "flag", *opinion))
+    flagged = F.coalesce("needs_review", F.lit(True)) | (F.lower(F.trim(F.coalesce("flag", F.lit("")))) == "x")
+    return told.withColumn("flag", F.when(flagged, "x").otherwise(F.col("flag")))
+
+
 def buckets(title: Column, patterns: list[tuple[str, str]]) -> Column:
     """The first bucket whose pattern a title matches, else ``other``."""
     text, out = F.lower(F.coalesce(title, F.lit(""))), F.lit(None).cast("string")

@@ -125,3 +125,50 @@ def signal_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quirewise.operators.learn import signal_band
 
     return table(spark, sf_dir, "documents").select("doc_id", signal_band(F.col("n_chars") % 70 / 10.0).alias("band"))
+
+
+@query(
+    f"""WITH {_TITLED}, {_sql_rules()}, o AS (SELECT page_id, rule, CASE WHEN page_id % 5 > 0 THEN CAST(page_id % 3 AS VARCHAR) END AS vec, CASE WHEN page_id % 7 > 0 THEN CAST(page_id % 2 AS VARCHAR) END AS vote FROM rl),
+a AS (SELECT page_id, coalesce(rule, vote, vec, '100') AS category, NOT (rule IS NOT NULL OR coalesce(vec = vote, false)) AS needs_review FROM o),
+b AS (SELECT page_id, CASE WHEN page_id % 4 > 0 THEN CAST(page_id % 2 AS VARCHAR) END AS vec, CASE WHEN page_id % 9 > 0 THEN CAST(page_id % 2 AS VARCHAR) END AS vote FROM pages WHERE page_id % 10 > 0),
+c AS (SELECT a.page_id, coalesce(a.needs_review AND page_id % 6 > 0 AND b.page_id IS NOT NULL, false) AS twice, a.category AS c1, a.needs_review AS r1, coalesce(vote, vec, '100') AS c2, NOT coalesce(vec = vote, false) AS r2 FROM a LEFT JOIN b USING (page_id))
+SELECT page_id, CASE WHEN twice THEN c2 ELSE c1 END AS category, CASE WHEN twice THEN r2 ELSE r1 END AS needs_review,
+CASE WHEN (CASE WHEN twice THEN r2 ELSE r1 END) OR page_id % 8 = 1 THEN 'x' ELSE '' END AS flag FROM c"""
+)
+def escalated_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Categories of titles, those in doubt asked again with their pages' text; what stays in doubt is flagged."""
+    i = F.col("page_id")
+    flag = F.when(i % 8 == 1, " X").otherwise("")
+    first = C.fuse(C.by_rules(F.col("title")), F.when(i % 5 > 0, (i % 3).cast("string")), F.when(i % 7 > 0, (i % 2).cast("string")))
+    rows = _titled(spark, sf_dir).select("page_id", flag.alias("flag"), first.alias("o")).select("page_id", "flag", "o.*")
+    every = table(spark, sf_dir, "pages")
+    texts = every.select("page_id", F.when(i % 6 > 0, F.col("html")).otherwise(" \n").alias("text"))
+    none = F.lit(None).cast("string")
+    second = C.fuse(none, F.when(i % 4 > 0, (i % 2).cast("string")), F.when(i % 9 > 0, (i % 2).cast("string")))
+    again = every.where(i % 10 > 0).select("page_id", second.alias("o")).select("page_id", "o.*")
+    return C.escalated(rows, texts, again, "page_id").select("page_id", "category", "needs_review", "flag")
+
+
+@query(
+    f"""WITH {_TITLED} SELECT page_id, CASE WHEN regexp_matches(t, 'report|note') THEN 'report' WHEN regexp_matches(t, 'letter|notice') THEN 'letter' WHEN regexp_matches(t, 'records?\\b') THEN 'record' ELSE 'other' END AS bucket FROM tt"""
+)
+def type_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first bucket whose pattern each title matches."""
+    patterns = [("report", "report|note"), ("letter", "letter|notice"), ("record", r"records?\b")]
+    return _titled(spark, sf_dir).select("page_id", C.buckets(F.col("title"), patterns).alias("bucket"))
+
+
+@query(
+    """SELECT event_id, CASE event_id % 5 WHEN 0 THEN CAST(event_id % 90 AS DOUBLE) WHEN 1 THEN (event_id % 90) + 0.5 WHEN 2 THEN event_id % 7 END AS seconds FROM events"""
+)
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seconds that duration texts state; what is no duration gives none."""
+    from quirewise.functions import text as X
+
+    i = F.col("event_id")
+    n = (i % 90).cast("string")
+    said = (
+        F.when(i % 5 == 0, F.concat(n, F.lit("s"))).when(i % 5 == 1, F.concat(F.lit(" "), n, F.lit(".5s ")))
+        .when(i % 5 == 2, F.concat((i % 7).cast("string"), F.lit(".0s"))).when(i % 5 == 3, F.concat(n, F.lit("ms")))
+    )
+    return table(spark, sf_dir, "events").select("event_id", X.seconds(said).alias("seconds"))
