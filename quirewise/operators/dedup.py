@@ -221,6 +221,24 @@ def renumbered(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     return rows.join(written, key, "left").withColumns(cleared).select(*rows.columns)
 
 
+def reviewed(rows: DataFrame, verdicts: DataFrame, key: str, order: str, least: float = JACCARD) -> DataFrame:
+    """Rows with their duplicate groups found, gated, confirmed and written anew, as one plan.
+
+    ``rows`` gives ``key, order, text, date, title, category`` and the columns that
+    ``renumbered`` writes; ``verdicts`` gives ``key, same, failed``.  A group's
+    similarity is the lowest of its members' texts: where it is high enough no
+    verdict is asked for.
+    """
+    members = checkpoint(rows.join(clusters(rows.select(key, "text", "date"), key, least), key))
+    alike = checkpoint(lowest_ratios(members, "cluster", key))
+    facts = gate(members.join(alike, "cluster"), "cluster").join(alike, "cluster")
+    kept = checkpoint(confirmed(members, facts, verdicts, "cluster", key))
+    # Groups are numbered in the order of their clusters, whose first member may not have been confirmed.
+    whole = members.join(kept.select("cluster").distinct(), "cluster", "left_semi").select("cluster", order)
+    numbers = number_groups(whole, "cluster", order).select("cluster", "grp").distinct()
+    return renumbered(rows, kept.join(numbers, "cluster").select(key, "grp", "similarity"), key)
+
+
 def unreviewed(members: DataFrame, key: str, group: str) -> DataFrame:
     """``key, n``: groups of each record of which two members or more would still be included and none is dismissed."""
     facts = members.where(F.col(group).isNotNull()).groupBy(key, group).agg(

@@ -199,3 +199,22 @@ def lowest_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lowest similarity of any two turns of each role in a conversation."""
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), "role").alias("grp"), "turn", "text")
     return U.lowest_ratios(turns, "grp", "turn")
+
+
+def review_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as review rows with an old grouping, and the verdicts of the confirmation."""
+    i = F.col("doc_id")
+    date = F.when(i % 9 == 0, "-").otherwise(F.concat(F.lit("0"), (F.length(F.coalesce("text", F.lit(""))) % 2 + 1).cast("string"), F.lit("/02/2020")))
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", date.alias("date"), F.coalesce("lang", F.lit("-")).alias("title"), F.coalesce("source", F.lit("-")).alias("category"),
+        F.lit(7).cast("bigint").alias("dupe_group"), F.lit(0.5).alias("dupe_similarity"), F.lit(True).alias("dupe_dismissed"),
+    )
+    verdicts = rows.where(i % 5 != 1).select("doc_id", (i % 3 != 0).alias("same"), (i % 7 == 0).alias("failed"))
+    return rows, verdicts
+
+
+@query()
+def duplicate_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate groups of documents from their texts: clusters, gate, similarity, confirmation, and the grouping written anew."""
+    rows, verdicts = review_rows(spark, sf_dir)
+    return U.reviewed(rows, verdicts, "doc_id", "doc_id").select("doc_id", "dupe_group", "dupe_similarity", "dupe_dismissed")
