@@ -2,6 +2,14 @@
 
 Each stage takes what its predecessor kept, reread from Parquet, and is one of
 the operators of ``quirewise.llm``.
+
+Rows: null and empty texts are scored like any other, and are one group of
+copies, of which one row stays; a null ``doc_id`` comes last among copies and
+stays where it is alone; ties between copies go to the smallest ``doc_id``, then
+to the smallest hash of the whole row; repeated rows are copies; columns of any
+name and kind, and in any case, are passed on as they are by all stages but the
+last; empty tables give empty results, and without labels of both kinds every
+document is kept by the first stage.
 """
 
 from __future__ import annotations
