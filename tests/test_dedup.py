@@ -129,3 +129,29 @@ def test_groups(spark):
     stored = spark.createDataFrame([(1, 9, 0.5, True, True), (2, None, None, True, False)], "id long, dupe_group long, dupe_similarity double, dupe_dismissed boolean, dupe_primary boolean")
     new = dedup.renumbered(stored, spark.createDataFrame([(2, 1, 0.97)], "id long, grp long, similarity double"), "id")
     assert sorted(tuple(r) for r in new.collect()) == [(1, None, None, False, True), (2, 1, 0.97, False, False)]
+
+
+def shuffled_rows(spark):
+    """Rows that all stages so far have written to shuffles."""
+    gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(gateway.jvm.java.util.ArrayList(), False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("hot", [20_000, 7])
+def test_pairs_are_sifted_where_they_meet(spark, hot):
+    """Sets of all sizes of sketches; what is shuffled grows with the sets and what is alike, not with all that share a word."""
+    rng = random.Random(3)
+    vocabulary = [rng.getrandbits(64) - (1 << 63) for _ in range(1500)]
+    sets = [set(rng.sample(vocabulary, rng.choice((60, 64, 65, 90, 128, 130, 200, 256, 300, 700)))) for _ in range(500)]
+    for base in sets[:60]:
+        kept = rng.sample(sorted(base), round(len(base) * rng.choice((0.7, 0.75, 0.85, 1.0))))
+        sets.append(set(kept) | set(rng.sample(vocabulary, rng.randrange(1 + len(base) // 6))))
+    sets = list({frozenset(s) for s in sets})
+    frame = spark.createDataFrame([(i, sorted(s)) for i, s in enumerate(sets)], "sid long, words array<long>").repartition(3)
+    before = shuffled_rows(spark)
+    got = {(r.a, r.b): r.jaccard for r in dedup.jaccard_pairs(frame, hot=hot).collect()}
+    rows = shuffled_rows(spark) - before
+    pairs = {(i, j): len(s & t) / len(s | t) for (i, s), (j, t) in itertools.combinations(enumerate(sets), 2)}
+    assert got == pytest.approx({k: v for k, v in pairs.items() if v >= 0.7}) and len(got) > 20
+    assert hot == 7 or rows < sum(map(len, sets))
