@@ -194,7 +194,7 @@ def progress_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN NULL ELSE greatest(0.02 * 2, least(2.0, (event_id % 100) / value)) END AS rate FROM events)
+    """WITH r AS (SELECT user_id, event_type, event_id, CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 7 = 0 THEN NULL WHEN value > 0 THEN greatest(0.02 * 2, least(2.0, (event_id % 100) / value)) END AS rate FROM events)
 SELECT user_id, event_type, round(arg_max(rate, event_id), 9) AS rate, round(arg_max(rate, event_id) * 60, 1) AS per_minute FROM r WHERE rate IS NOT NULL GROUP BY ALL"""
 )
 def header_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
