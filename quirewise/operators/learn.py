@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +31,11 @@ def weighted_terms(train: DataFrame, column: str, least_documents: int = 2, most
 
 
 def _terms(rows: DataFrame, key: str, column: str) -> DataFrame:
-    """``key, term, n``: how often each text has each word and each pair of words."""
+    """``key, term`` of each word and each pair of words of the texts."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(column), F.lit(""))), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
     split = rows.select(key, words.alias("_w"))
     pairs = F.zip_with(F.slice("_w", 1, F.greatest(F.size("_w") - 1, F.lit(0))), F.slice("_w", 2, F.greatest(F.size("_w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
-    return split.select(key, F.explode(F.concat("_w", pairs)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    return split.select(key, F.explode(F.concat("_w", pairs)).alias("term"))
 
 
 def tfidf(train: DataFrame, rows: DataFrame, key: str, column: str, least_documents: int = 2, most_terms: int = 50_000) -> DataFrame:
@@ -44,17 +44,21 @@ def tfidf(train: DataFrame, rows: DataFrame, key: str, column: str, least_docume
     The vocabulary and the rarities are those of ``train``: of the terms that at
     least ``least_documents`` of its texts have, the ``most_terms`` most frequent
     (of equally frequent ones the first by name).  A text without a known term has
-    no rows.
+    no rows.  Texts to learn from are dealt by key before their terms are made, and
+    of all others only the numbers of known terms are.
     """
-    counted = _terms(train, key, column)
+    counted = _terms(train.select(key, column).repartition(key), key, column).groupBy(key, "term").agg(F.count("*").alias("n"))
     total = train.agg(F.count("*").alias("_all"))
     common = counted.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf")).where(F.col("df") >= least_documents)
     vocabulary = common.orderBy(F.col("tf").desc(), "term").limit(most_terms).crossJoin(F.broadcast(total))  # one row of totals
-    rarity = vocabulary.select("term", (F.log((1 + F.col("_all")) / (1.0 + F.col("df"))) + 1).alias("_r"))
-    known = F.broadcast(rarity) if most_terms <= MOST_BROADCAST else rarity  # a vocabulary of bounded size
-    weighed = _terms(rows, key, column).join(known, "term").select(key, "term", ((1 + F.log("n")) * F.col("_r")).alias("_w"))
-    length = weighed.groupBy(key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
-    return weighed.join(length, key).select(key, "term", (F.col("_w") / F.col("_l")).alias("weight"))
+    rarity = (F.log((1 + F.col("_all")) / (1.0 + F.col("df"))) + 1).alias("_r")
+    known = checkpoint(vocabulary.select("term", rarity, F.monotonically_increasing_id().alias("_t")))
+    near = F.broadcast(known) if most_terms <= MOST_BROADCAST else known  # a vocabulary of bounded size
+    numbers = _terms(rows, key, column).join(near, "term").select(key, "_t")
+    counts = numbers.repartition(key).groupBy(key, "_t").agg(F.count("*").alias("n"))
+    weighed = counts.join(near, "_t").select(key, "term", ((1 + F.log("n")) * F.col("_r")).alias("_w"))
+    length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(key)))
+    return weighed.withColumn("_l", length).select(key, "term", (F.col("_w") / F.col("_l")).alias("weight"))
 
 
 class Folds(NamedTuple):
