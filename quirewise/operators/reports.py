@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
 import unicodedata
+import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -160,20 +165,83 @@ def report_lines(heads: DataFrame, entries: DataFrame, key: str, order: str) ->
     return first.unionByName(middle).unionByName(last)
 
 
+#: Folders that the reports' own folders are dealt over, so that no folder is listed by one task alone.
+BUCKETS = 1024
+#: Tasks that read reports back; each opens its files one after the other.
+READERS = 256
+#: What Spark escapes in a folder's name, and the folder of null and of the empty string.
+_ESCAPED = re.compile(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+
+
 def write_reports(lines: DataFrame, key: str, path: str) -> None:
-    """Each record's lines as one text file in a folder of its own, in order.
+    """Each record's lines as one text file in a folder of its own, in order: ``bucket=B/record=K/*.txt``.
 
     A record's lines pass sorted through one task, which holds none of them.  The
-    files appear when the whole job is committed, and a task that is run again
-    replaces what it wrote, so no line is there twice.
+    files appear when the whole job is done, and a task that is run again replaces
+    what it wrote, so no line is there twice.  In a folder of the machines' own file
+    system tasks write the files themselves, as Hadoop starts a process for each
+    file that it creates there; in other stores Spark's writer does it.
     """
-    dealt = lines.repartition(key).sortWithinPartitions(key, "part", "at")
-    dealt.select(F.col(key).alias("record"), F.col("line").alias("value")).write.mode("overwrite").partitionBy("record").text(path)
+    # Null and the empty string share a folder, as Spark has it; never null, so that the writer does not sort anew.
+    record = F.coalesce(F.nullif(F.col(key).cast("string"), F.lit("")), F.lit(_NO_NAME))
+    named = lines.select(F.pmod(F.xxhash64(record), F.lit(BUCKETS)).alias("bucket"), record.alias("record"), F.col(key).alias("key"), "part", "at", F.col("line").alias("value"))
+    dealt = named.repartition("record").sortWithinPartitions("bucket", "record", "key", "part", "at").select("bucket", "record", "value")
+    folder = _plain_folder(lines.sparkSession, path)
+    if folder is None:
+        dealt.write.mode("overwrite").partitionBy("bucket", "record").text(path)
+    else:
+        _write_files(dealt, folder)
+
+
+def _plain_folder(spark, path: str) -> str | None:
+    """The folder that ``path`` names where it is in the machines' own file system."""
+    parts = urlsplit(path)
+    scheme = parts.scheme or urlsplit(spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")).scheme
+    return os.path.abspath(parts.path if parts.scheme else path) if scheme == "file" else None
+
+
+def _folder_name(record: str) -> str:
+    """The folder's name as Spark's writer would have it."""
+    return "record=" + _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", record)
+
+
+def _write_files(rows: DataFrame, folder: str) -> None:
+    """``bucket, record, value`` rows that are sorted by record in each part, as files; the folder is put in place when all are written."""
+    ship(rows.sparkSession)
+    staged = f"{folder}-{uuid.uuid4().hex}"
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, out, mark = None, None, uuid.uuid4().hex  # what another attempt at this task writes has another mark
+        for batch in batches:
+            for bucket, record, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                at = f"{staged}/bucket={bucket}/{_folder_name(record)}"
+                if at != name:
+                    if out is not None:
+                        out.close()
+                        os.replace(out.name, f"{name}/report.txt")
+                    os.makedirs(at, exist_ok=True)
+                    name, out = at, open(f"{at}/report.{mark}", "wb")  # noqa: SIM115
+                out.write((value or "").encode() + b"\n")
+        if out is not None:
+            out.close()
+            os.replace(out.name, f"{name}/report.txt")
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["n"])
+
+    os.makedirs(staged)
+    try:
+        rows.mapInArrow(run, "n bigint").write.format("noop").mode("overwrite").save()
+        if os.path.isdir(folder):
+            shutil.rmtree(folder)
+        os.replace(staged, folder)
+    finally:
+        shutil.rmtree(staged, ignore_errors=True)
 
 
 def read_reports(spark, path: str) -> DataFrame:
-    """``record, file, n, line``: the lines of written reports, numbered from 1 in each file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
+    """``record, file, n_files, n, line``: the lines of written reports, numbered from 1 in each file, and how many files its record has."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).coalesce(READERS)
     record = F.regexp_extract("path", "record=([^/]*)/", 1)
     text = F.regexp_replace(F.decode("content", "UTF-8"), "\n$", "")
-    return files.select(record.alias("record"), F.col("path").alias("file"), F.posexplode(F.split(text, "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
+    counted = files.select(record.alias("record"), F.col("path").alias("file"), text.alias("text")).withColumn("n_files", F.count("*").over(Window.partitionBy("record")))
+    return counted.select("record", "file", "n_files", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)

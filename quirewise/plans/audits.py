@@ -141,9 +141,7 @@ def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = table(spark, sf_dir, "customer").join(counts, "c_custkey").select("c_custkey", F.col("c_name").alias("name"), F.lit("born -").alias("born"), kind.alias("kind"), intro.alias("intro"))
     path = scratch(spark)
     R.write_reports(R.report_lines(heads, entries, "c_custkey", "n"), "c_custkey", path)
-    lines = R.read_reports(spark, path)
-    files = lines.groupBy("record").agg(F.count_distinct("file").alias("n_files"))
-    return lines.join(files, "record").select("record", "n_files", "n", "line")
+    return R.read_reports(spark, path).select("record", "n_files", "n", "line")
 
 
 @query(

@@ -109,6 +109,22 @@ def test_reports_are_one_ordered_file_each(spark, tmp_path):
     assert [r.line for r in lines if r.record == "c"][:3] == ["RE: ", "", "QME"]
 
 
+def test_reports_are_written_by_tasks_and_read_in_one_pass(spark, tmp_path, monkeypatch):
+    """Names and lines are those of Spark's own writer, but no file costs a process of its own, and few tasks read all of them."""
+    keys = ["a/b", "x=1 {[^]}", "", None, "%2F", "é'\"\\", *map(str, range(300))]
+    lines = spark.createDataFrame([(k, i, "x\ry" if i else None) for k in keys for i in range(3)], "k string, at int, line string").selectExpr("k", "0 AS part", "at", "line").repartition(5)
+    R.write_reports(lines, "k", f"file://{tmp_path}/own")
+    assert not list((tmp_path / "own").rglob("*.crc")) and [p.name for p in tmp_path.iterdir()] == ["own"]
+    monkeypatch.setattr(R, "_plain_folder", lambda *x: None)
+    R.write_reports(lines, "k", str(tmp_path / "spark"))
+    read = [R.read_reports(spark, str(tmp_path / name)) for name in ("own", "spark")]
+    folders = [{str(p.parent.relative_to(tmp_path / name)) for p in (tmp_path / name).rglob("*.txt")} for name in ("own", "spark")]
+    assert folders[0] == folders[1] and len(folders[0]) == len(keys) - 1
+    own, spark_ = (sorted((r.record, r.n_files, r.n, r.line) for r in df.collect()) for df in read)
+    assert own == spark_ and len(own) == 3 * len(keys) and {r[1] for r in own} == {1}
+    assert read[0].select("file").rdd.getNumPartitions() <= R.READERS
+
+
 def test_attempt_statistics(spark):
     rows = [("a", "accepted", 500, 0.0), ("a", "exhausted", 0, 60.0), ("a", "rate_limited", 1500, 90.0), ("b", "accepted", None, 120.0)]
     got = {r.m: r for r in J.attempt_statistics(spark.createDataFrame(rows, "m string, o string, wait_ms long, t double"), "m", "o").collect()}
