@@ -110,32 +110,53 @@ def _folds(rows: DataFrame, record: str, features: list[str], label: str) -> Fol
     return Folds([r[record] for r in found], centre, scale, penalty, weights, share)
 
 
-def _newton_sums(rows: DataFrame, folds: Folds, models: np.ndarray, record: str, features: list[str], label: str) -> DataFrame:
-    """``fold, sums``: gradient and upper half of the Hessian of every fold at its own model, of the rows that it trains on."""
+#: A block of training rows: the place of each row's record, its label, and its scaled features behind a constant, as bytes.
+_BLOCK = "own binary, labels binary, points binary"
+
+
+def _blocks(rows: DataFrame, folds: Folds, record: str, features: list[str], label: str) -> DataFrame:
+    """The rows that train, an Arrow batch as one row, so that each round reads numbers and no rows."""
     place = {r: i for i, r in enumerate(folds.records)}
-    shared = rows.sparkSession.sparkContext.broadcast((folds, models, place))
-    d = len(features) + 1
-    upper = np.triu_indices(d)
+    shared = rows.sparkSession.sparkContext.broadcast((folds, place))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, at, where = shared.value
-        total = np.zeros((len(at), d + len(upper[0])))
+        known, where = shared.value
         for batch in batches:
             points, labels, own = _points(batch, known, where, len(features))
             use = np.isfinite(points).all(1) & np.isfinite(labels)
-            points, labels, own = points[use], labels[use], own[use]
-            outer = points[:, upper[0]] * points[:, upper[1]]
-            for low in range(0, len(at), 256):  # folds by blocks, so that the batch times folds stays small
-                part = slice(low, low + 256)
-                chance = 1 / (1 + np.exp(-np.clip(points @ at[part].T, -500, 500)))
-                weight = np.where(labels[:, None] == 1, known.class_weights[part, 1], known.class_weights[part, 0])
-                weight[own[:, None] == np.arange(low, min(low + 256, len(at)))] = 0
-                weight = np.where(np.isfinite(weight), weight, 0)
-                total[part, :d] += (weight * (chance - labels[:, None])).T @ points
-                total[part, d:] += (weight * chance * (1 - chance)).T @ outer
+            if not use.any():
+                continue
+            block = own[use].astype(np.int64), labels[use].astype(np.float64), points[use].astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in block], names=["own", "labels", "points"])
+
+    return checkpoint(rows.select(record, label, *features).mapInArrow(run, _BLOCK))
+
+
+def _newton_sums(blocks: DataFrame, folds: Folds, models: np.ndarray) -> DataFrame:
+    """``fold, v0...``: gradient and upper half of the Hessian of every fold at its own model, of the rows that it trains on."""
+    shared = blocks.sparkSession.sparkContext.broadcast((folds, models))
+    d = models.shape[1]
+    upper = np.triu_indices(d)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, at = shared.value
+        total = np.zeros((len(at), d + len(upper[0])))
+        for batch in batches:
+            for own_, labels_, points_ in zip(*batch.columns, strict=True):
+                own, labels = np.frombuffer(own_.as_buffer(), np.int64), np.frombuffer(labels_.as_buffer(), np.float64)
+                points = np.frombuffer(points_.as_buffer(), np.float64).reshape(-1, d)
+                outer = points[:, upper[0]] * points[:, upper[1]]
+                for low in range(0, len(at), 256):  # folds by blocks, so that the batch times folds stays small
+                    part = slice(low, low + 256)
+                    chance = 1 / (1 + np.exp(-np.clip(points @ at[part].T, -500, 500)))
+                    weight = np.where(labels[:, None] == 1, known.class_weights[part, 1], known.class_weights[part, 0])
+                    weight[own[:, None] == np.arange(low, min(low + 256, len(at)))] = 0
+                    weight = np.where(np.isfinite(weight), weight, 0)
+                    total[part, :d] += (weight * (chance - labels[:, None])).T @ points
+                    total[part, d:] += (weight * chance * (1 - chance)).T @ outer
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(at))), pa.array(list(total), pa.list_(pa.float64()))], names=["fold", "sums"])
 
-    found = rows.select(record, label, *features).mapInArrow(run, "fold bigint, sums array<double>")
+    found = blocks.mapInArrow(run, "fold bigint, sums array<double>")
     parts = [F.sum(F.col("sums")[i]).alias(f"v{i}") for i in range(d + len(upper[0]))]
     return found.groupBy("fold").agg(*parts)
 
@@ -145,7 +166,9 @@ def _points(batch: pa.RecordBatch, folds: Folds, place: dict, d: int) -> tuple[n
     numbers = [batch.column(2 + i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in range(d)]
     points = np.column_stack([np.ones(batch.num_rows), (np.column_stack(numbers) - folds.centre) / folds.scale])
     labels = batch.column(1).cast(pa.float64()).to_numpy(zero_copy_only=False)
-    return points, labels, np.array([place[r] for r in batch.column(0).to_pylist()], np.int64)
+    each = batch.column(0).dictionary_encode("encode")  # each record of a batch is looked up once
+    found = np.array([place[r] for r in each.dictionary.to_pylist()], np.int64)
+    return points, labels, found[each.indices.to_numpy(zero_copy_only=False)]
 
 
 def leave_one_out(rows: DataFrame, record: str, features: list[str], label: str, rounds: int = 50, within: float = 1e-10) -> DataFrame:
@@ -156,8 +179,9 @@ def leave_one_out(rows: DataFrame, record: str, features: list[str], label: str,
     penalty.  All are fitted together: each round one aggregate gives every fold
     the gradient and Hessian of its own model over the rows that it trains on, and
     one Newton step is taken for each, until no step is larger than ``within``.
-    The driver holds one row of numbers for each record, and rows meet the models
-    of all records in blocks, as the folds are asked for.
+    The driver holds one row of numbers for each record.  Rows are packed into
+    blocks of numbers once, and blocks meet the models of all records each round,
+    as the folds are asked for.
 
     Rows without a label are scored and train nothing; rows with unknown features
     get no score.  A null record is a record of its own.  Where the other records
@@ -170,9 +194,10 @@ def leave_one_out(rows: DataFrame, record: str, features: list[str], label: str,
     upper = np.triu_indices(d)
     models = np.zeros((len(folds.records), d))
     penalty = np.column_stack([np.zeros(len(models)), folds.penalty])
+    blocks = _blocks(rows, folds, record, features, label) if good.any() else None
     for _ in range(rounds if good.any() else 0):
         sums = np.zeros((len(models), d + len(upper[0])))
-        for r in _newton_sums(rows, folds, models, record, features, label).collect():
+        for r in _newton_sums(blocks, folds, models).collect():
             sums[r[0]] = r[1:]
         hessian = np.zeros((len(models), d, d))
         hessian[:, upper[0], upper[1]] = hessian[:, upper[1], upper[0]] = sums[:, d:]

@@ -95,6 +95,20 @@ def test_all_folds_at_once_equal_each_fold_alone(spark):
     assert L.leave_one_out(frame.limit(0), "rec", ["x", "z"], "label").count() == 0
 
 
+def test_rounds_read_blocks_of_training_rows(spark):
+    """A round reads a few blocks, which hold each row that trains once, and not the rows again."""
+    rows = [(None if i % 3 == 0 else f"r{i % 3}", float(i), None if i % 10 == 0 else i % 2, float("nan") if i % 11 == 0 else 1.0) for i in range(5000)]
+    frame = spark.createDataFrame(rows, "rec string, x double, label int, y double").repartition(3)
+    folds = L._folds(frame, "rec", ["x", "y"], "label")
+    blocks = L._blocks(frame, folds, "rec", ["x", "y"], "label").collect()
+    got = []
+    for b in blocks:
+        own, labels, points = np.frombuffer(b.own, np.int64), np.frombuffer(b.labels), np.frombuffer(b.points).reshape(-1, 3)
+        got += [(folds.records[i], round(float(p[1] * folds.scale[0] + folds.centre[0])), int(y)) for i, y, p in zip(own, labels, points, strict=True)]
+    want = [(r, round(x), y) for r, x, y, z in rows if y is not None and z == z]
+    assert len(blocks) <= 3 and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_thousands_of_records(spark):
     rng = np.random.default_rng(5)
     rows = [(i % 2000, float(x), int(x > 0.3 * rng.normal())) for i, x in enumerate(rng.normal(size=6000))]
