@@ -80,16 +80,20 @@ def frontier_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     upto = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     facts = checkpoint(paged.select("doc_id", "page", F.length("text").alias("len"), F.sum(begins).over(upto).alias("label")))
 
+    blocks = checkpoint(Q.page_blocks(facts, ["len", "label"]))
+
     def ask(questions: DataFrame, small: Q.Small) -> DataFrame:
-        of_start = facts.select("doc_id", F.col("page").alias("start"), F.col("label").alias("label_s"))
-        of_page = facts.select("doc_id", F.col("page").alias("ask"), "label", "len")
+        start, page = F.col("_facts")[F.col("start")], F.col("_facts")[F.col("ask")]
+        held = blocks.select("doc_id", F.col("block").alias("_block"), F.col("facts").alias("_facts"))
+        at = lambda df, c: df.withColumn("_block", Q.block_of(F.col(c))).join(held, ["doc_id", "_block"])
+        begun = at(questions, "start").withColumn("label_s", start["label"]).drop("_block", "_facts")
+        met = at(small(begun), "ask").withColumns({"label": page["label"], "len": page["len"]}).drop("_block", "_facts")
         wrong = (F.col("start") * 7 + F.col("ask") * 3 + F.col("len")) % 23 == 0
-        met = small(questions.join(of_start, ["doc_id", "start"])).join(of_page, ["doc_id", "ask"])
         return met.withColumn("is_new", (F.col("label") != F.col("label_s")) != wrong).drop("label", "label_s", "len")
 
     sure = facts.where("len % 5 = 0 OR len % 7 = 0").select("doc_id", "page")
     cuts = facts.where("page % 8 = 0").select("doc_id", F.col("page").alias("start"))
-    return Q.frontier_starts(S.sizes_of(paged), ask, sure, cuts)
+    return Q.frontier_starts(S.sizes_of(facts), ask, sure, cuts)
 
 
 @query(
