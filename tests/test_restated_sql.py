@@ -42,3 +42,11 @@ def test_transition_numbers_of_other_counters(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
     next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
     assert {r.pagenum for r in agree(spark, tmp_path, "transition_numbers")} == {0, 1, -1}
+
+
+def test_transition_numbers_of_late_counters(spark, tmp_path):
+    # 5998 % 3 = 1: the second page's counter, 3 of 3, stands behind 2000 characters; so does the third's own, 1 of 9.
+    texts = ["a\n" + "y" * 5998 + "\n" + "z" * 4000 + " page 1 of 9 " + "z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d")
+    next((tmp_path / "d").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert {r.page: r.pagenum for r in agree(spark, tmp_path, "transition_numbers")} == {2: -1, 3: 1}
