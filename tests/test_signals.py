@@ -6,10 +6,12 @@ import re
 import unicodedata
 from collections import defaultdict
 from difflib import SequenceMatcher
+from fractions import Fraction
 from pathlib import Path
 
 import pytest
 
+from quirewise.operators import pages as P
 from quirewise.queries import QUERIES
 from quirewise.sources.tables import pages, table
 
@@ -81,3 +83,37 @@ def test_safe_names(spark):
 
     want = sorted((r.doc_id, plain(r.text)) for r in table(spark, SF, "documents").collect())
     assert sorted(map(tuple, QUERIES["safe_names"](spark, SF).select("doc_id", "name").collect())) == want
+
+
+def picture_bits(text):
+    """The hash by plain fractions: lines of 72 characters as a picture, 8 x 9 area averages, left brighter than right."""
+    rows = [[int(c > " ") for c in text[i : i + 72].ljust(72)] for i in range(0, max(len(text), 1), 72)]
+    cell = lambda r, c: sum(
+        max(Fraction(0), min(Fraction((r + 1) * len(rows), 8), y + 1) - max(Fraction(r * len(rows), 8), y)) * sum(row[8 * c : 8 * c + 8]) for y, row in enumerate(rows)
+    )
+    grid = [[cell(r, c) for c in range(9)] for r in range(8)]
+    return [grid[r][c] < grid[r][c + 1] for r in range(8) for c in range(8)]
+
+
+def test_transition_pictures(spark):
+    """All six signals: the pictures of two pages, too."""
+    want = {}
+    some = [d for d in sorted(records(spark)) if d % 4 == 0]
+    for doc, texts in records(spark).items():
+        if doc in some:
+            marked = {p: t + ("" if len(t) % 3 == 0 else f" Page {p % 4 + 1} of {3 + len(t) % 2} copies") for p, t in texts.items()}
+            bits = {p: picture_bits(t) for p, t in marked.items()}
+            for page in sorted(bits)[1:]:
+                apart = sum(a != b for a, b in zip(bits[page], bits[page - 1], strict=True))
+                want[doc, page] = -1 if apart <= 8 else 1 if apart >= 24 else 0
+    got = {(r.doc_id, r.page): r.phash for r in QUERIES["transition_signals"](spark, SF).collect() if r.doc_id in some}
+    assert got == want and set(want.values()) == {-1, 0, 1}
+
+
+def test_pictures_that_pages_bring(spark):
+    rows = [(1, p, "x", h) for p, h in enumerate([0, 255, 511, (1 << 24) - 1, -1, None, 3], start=1)]
+    got = P.transition_signals(spark.createDataFrame(rows, "doc_id long, page int, text string, hash long")).orderBy("page").collect()
+    assert [r.phash for r in got] == [-1, -1, 0, 1, 0, 0]
+    long = spark.createDataFrame([(1, 1, "a b " * 600), (1, 2, ""), (1, 3, None)], "doc_id long, page int, text string")
+    by_part = [[r.hash for r in P.page_hashes(long, n).orderBy("page").collect()] for n in (1, 2400, 10**6)]
+    assert by_part[0] == by_part[1] == by_part[2] and by_part[0][1:] == [0, 0]
