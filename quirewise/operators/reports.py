@@ -8,6 +8,7 @@ import shutil
 import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -169,6 +170,9 @@ def report_lines(heads: DataFrame, entries: DataFrame, key: str, order: str) ->
 BUCKETS = 1024
 #: Tasks that read reports back; each opens its files one after the other.
 READERS = 256
+#: Lines that a reading task holds at a time.
+LINES = 5000
+_LINE_TYPES = (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string())
 #: What Spark escapes in a folder's name, and the folder of null and of the empty string.
 _ESCAPED = re.compile(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]")
 _NO_NAME = "__HIVE_DEFAULT_PARTITION__"
@@ -239,9 +243,41 @@ def _write_files(rows: DataFrame, folder: str) -> None:
 
 
 def read_reports(spark, path: str) -> DataFrame:
-    """``record, file, n_files, n, line``: the lines of written reports, numbered from 1 in each file, and how many files its record has."""
+    """``record, file, n_files, n, line``: the lines of written reports, numbered from 1 in each file, and how many files its record has.
+
+    In a folder of the machines' own file system tasks list and read the reports
+    themselves, so the driver holds nothing of them; in other stores Spark's reader
+    does it, whose driver holds a status for each file.
+    """
+    folder = _plain_folder(spark, path)
+    if folder is not None:
+        return _read_files(spark, folder)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).coalesce(READERS)
     record = F.regexp_extract("path", "record=([^/]*)/", 1)
     text = F.regexp_replace(F.decode("content", "UTF-8"), "\n$", "")
     counted = files.select(record.alias("record"), F.col("path").alias("file"), text.alias("text")).withColumn("n_files", F.count("*").over(Window.partitionBy("record")))
     return counted.select("record", "file", "n_files", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")).withColumn("n", F.col("n") + 1)
+
+
+def _read_files(spark, folder: str) -> DataFrame:
+    """The lines of reports, by tasks that list some of the folders that records are dealt over; a record's files are all in one."""
+    ship(spark)
+    names = ["record", "file", "n_files", "n", "line"]
+
+    def lines(bucket: int) -> Iterator[tuple]:
+        at = f"{folder}/bucket={bucket}"
+        for record in sorted(os.listdir(at)) if os.path.isdir(at) else []:
+            files = sorted(f for f in os.listdir(f"{at}/{record}") if f.endswith(".txt") and f[0] not in "._")
+            for file in files:
+                with open(f"{at}/{record}/{file}", "rb") as text:
+                    for n, line in enumerate(text, start=1):
+                        yield record.removeprefix("record="), f"file:{at}/{record}/{file}", len(files), n, line.removesuffix(b"\n").decode(errors="replace")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket in batch.column(0).to_pylist():
+                every = lines(bucket)
+                while some := list(islice(every, LINES)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), _LINE_TYPES, strict=True)], names=names)
+
+    return spark.range(0, BUCKETS, 1, READERS).mapInArrow(run, "record string, file string, n_files bigint, n int, line string")

@@ -125,6 +125,22 @@ def test_reports_are_written_by_tasks_and_read_in_one_pass(spark, tmp_path, monk
     assert read[0].select("file").rdd.getNumPartitions() <= R.READERS
 
 
+def test_reports_are_listed_by_tasks(spark, tmp_path):
+    """The driver holds no status of a report's file; the lines are those of Spark's reader."""
+    keys = ["a/b", "", None, "%2F", "é", *map(str, range(40))]
+    lines = spark.createDataFrame([(k, i, ["x\ry", None, "", "z"][i]) for k in keys for i in range(4)], "k string, at int, line string").selectExpr("k", "0 AS part", "at", "line")
+    path = str(tmp_path / "own")
+    R.write_reports(lines, "k", path)
+    read = R.read_reports(spark, path)
+    assert not read.inputFiles() and read.rdd.getNumPartitions() <= R.READERS
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(R, "_plain_folder", lambda *x: None)
+        spark_ = R.read_reports(spark, path)
+    assert read.dtypes == spark_.dtypes
+    own, other = (sorted((r.record, r.n_files, r.n, r.line) for r in df.collect()) for df in (read, spark_))
+    assert own == other and len(own) == 4 * len(keys)
+
+
 def test_attempt_statistics(spark):
     rows = [("a", "accepted", 500, 0.0), ("a", "exhausted", 0, 60.0), ("a", "rate_limited", 1500, 90.0), ("b", "accepted", None, 120.0)]
     got = {r.m: r for r in J.attempt_statistics(spark.createDataFrame(rows, "m string, o string, wait_ms long, t double"), "m", "o").collect()}
