@@ -155,3 +155,32 @@ def test_pairs_are_sifted_where_they_meet(spark, hot):
     pairs = {(i, j): len(s & t) / len(s | t) for (i, s), (j, t) in itertools.combinations(enumerate(sets), 2)}
     assert got == pytest.approx({k: v for k, v in pairs.items() if v >= 0.7}) and len(got) > 20
     assert hot == 7 or rows < sum(map(len, sets))
+
+
+def crowded(rng):
+    """Sets of two crowds around related templates, some farther off, and some of their own."""
+    vocabulary = [rng.getrandbits(64) - (1 << 63) for _ in range(3000)]
+    one = rng.sample(vocabulary, 60)
+    two = one[:46] + rng.sample(vocabulary, 14)
+    sets = []
+    for base, changes in [(one, 4)] * 260 + [(two, 4)] * 160 + [(one, 14)] * 60 + [(two, 22)] * 60:
+        kept = rng.sample(base, len(base) - rng.randrange(changes + 1))
+        sets.append(frozenset(kept) | frozenset(rng.sample(vocabulary, rng.randrange(changes + 1))))
+    sets += [frozenset(rng.sample(vocabulary, rng.randrange(1, 80))) for _ in range(200)]
+    return sorted(set(sets), key=sorted)
+
+
+@pytest.mark.parametrize("part", [3000, 90])
+def test_pairs_of_crowds_are_not_shuffled(spark, monkeypatch, part):
+    """Of n sets that are all alike, n times n pairs are found, while what is shuffled grows with n."""
+    monkeypatch.setattr(dedup, "PART", part)
+    sets = crowded(random.Random(8))
+    frame = spark.createDataFrame([(f"k{i * 7919 % 1000:03d}", sorted(s)) for i, s in enumerate(sets)], "sid string, words array<long>").repartition(3)
+    names = [f"k{i * 7919 % 1000:03d}" for i in range(len(sets))]
+    before = shuffled_rows(spark)
+    got = [(r.a, r.b, r.jaccard) for r in dedup.jaccard_pairs(frame).collect()]
+    rows = shuffled_rows(spark) - before
+    pairs = {tuple(sorted((names[i], names[j]))): len(s & t) / len(s | t) for (i, s), (j, t) in itertools.combinations(enumerate(sets), 2)}
+    want = {k: v for k, v in pairs.items() if v >= 0.7}
+    assert len(got) == len(want) > 40_000 and {(a, b): v for a, b, v in got} == pytest.approx(want)
+    assert rows < 60_000, rows
