@@ -184,3 +184,26 @@ def test_pairs_of_crowds_are_not_shuffled(spark, monkeypatch, part):
     want = {k: v for k, v in pairs.items() if v >= 0.7}
     assert len(got) == len(want) > 40_000 and {(a, b): v for a, b, v in got} == pytest.approx(want)
     assert rows < 60_000, rows
+
+
+@pytest.mark.parametrize("cross_date", [None, 0.97])
+def test_crowds_are_clustered_by_few_links(spark, monkeypatch, cross_date):
+    """Rows that are all alike are joined by as many links as rows, not by all pairs; dates keep them apart as before."""
+    monkeypatch.setattr(dedup, "PART", 60)
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdeilnorst", k=7)) for _ in range(900)]
+    base = rng.sample(vocabulary, 50)
+    rows = []
+    for i in range(300):
+        now = list(base)
+        for _ in range(rng.randrange(6)):
+            now[rng.randrange(50)] = rng.choice(vocabulary)
+        rows.append((i, " ".join(now), rng.choice(["-", "01/02/2020", "03/02/2020"])))
+    rows += [(i, " ".join(rng.sample(vocabulary, 30)), "-") for i in range(300, 320)]
+    linked = []
+    plain = dedup.components
+    monkeypatch.setattr(dedup, "components", lambda links: linked.append(links.count()) or plain(links))
+    frame = spark.createDataFrame(rows, "id long, text string, date string").repartition(3)
+    got = {r.id: r.cluster for r in dedup.clusters(frame, "id", cross_date=cross_date).collect()}
+    assert got == brute(rows, cross_date) and len(got) >= 290
+    assert linked[0] < 8_000, linked
