@@ -207,3 +207,31 @@ def test_crowds_are_clustered_by_few_links(spark, monkeypatch, cross_date):
     got = {r.id: r.cluster for r in dedup.clusters(frame, "id", cross_date=cross_date).collect()}
     assert got == brute(rows, cross_date) and len(got) >= 290
     assert linked[0] < 8_000, linked
+
+
+@pytest.mark.parametrize("most", [200, 5])
+def test_lowest_ratios_by_parts(spark, monkeypatch, most):
+    """A large group's pairs are compared by many tasks, and all of them count."""
+    monkeypatch.setattr(dedup, "EXCERPTS", most)
+    rng = random.Random(6)
+    words = ["".join(rng.choices("etaoinshrd", k=5)) for _ in range(60)]
+    rows = [(i, f"g{i % 2}", " ".join(rng.choices(words, k=rng.randrange(6, 9)))) for i in range(50)]
+    rows += [(100 + i, "g0", rows[i][2]) for i in (0, 2, 4)] + [(200, "g2", "alone")]
+    members = spark.createDataFrame(rows, "id long, `group` string, text string").repartition(3)
+    got = {r.group: r.similarity for r in dedup.lowest_ratios(members, "group", "id").collect()}
+    want = {"g2": 1.0}
+    for g in ("g0", "g1"):
+        own = sorted(r for r in rows if r[1] == g)
+        want[g] = round(min(SequenceMatcher(None, a[2], b[2]).ratio() for a, b in itertools.combinations(own, 2)), 3)
+    assert got == pytest.approx(want)
+
+
+def test_ratio_that_ends_above():
+    from quirewise.functions.ratios import ratio
+
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcde ", k=rng.randrange(1, 60))) for _ in range(2))
+        whole = SequenceMatcher(None, a, b).ratio()
+        for low in (0.1, whole - 0.01, whole, whole + 0.01, 0.9):
+            assert ratio(a, b, above=low) == whole if whole <= low else ratio(a, b, above=low) > low
